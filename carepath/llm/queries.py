@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import ngram_join, packing, prefix_bpe, repair, token_counts
+from . import ngram_join, packing, prefix_bpe, repair, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokens=1024, segments=128, end_id=0).drop("n_loss")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_spans(documents(spark, sf_dir))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_decode(documents(spark, sf_dir), "word_bpe_49k.json")
 
@@ -41,6 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_repair_token_files": op8_repair_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
