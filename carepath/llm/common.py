@@ -24,21 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[str] = []
+
+
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Cut the lineage: write to the shared folder, so that a lost executor costs no recomputation, and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/carepath/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by `written` once nothing needs it."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, os.path.dirname(file))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far. Only for a caller that knows that no DataFrame made from them is
+    still to be read, as the pipeline does between stages."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
 
 
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
