@@ -1,6 +1,614 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries, each with equal SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..operators import identity, quality
+from ..operators.relational import apply_filters, asof_join, cube_with_all, gap_dedup, keyed_upsert, latest_per_key, nearest_join, scd2_diff
+from . import gold, serve, silver, views
+from .analogue import PRELUDE, SNAPSHOT, Frames
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: bool = True):
+    """Register a function of Frames under its name, with its SQL."""
+
+    def register(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Frames(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = f"{PRELUDE} {sql}" if prelude else sql
+        return f
+
+    return register
+
+
+_CUBE = """
+    , cells AS (
+        SELECT stage, state, grouping(stage) AS gs, grouping(state) AS gt, {measures}
+        FROM (SELECT CASE WHEN stage <> 'Unknown' THEN stage END AS stage, state, {inputs} FROM base {where}) x
+        GROUP BY GROUPING SETS ((stage, state), (stage), (state), ())
+    )
+    SELECT {columns} FROM cells {join} WHERE (gs = 1 OR stage IS NOT NULL) AND (gt = 1 OR state IS NOT NULL)
+"""
+_RATE = "CASE WHEN {n} > 0 THEN round(100.0 * {k} / {n}, {d}) ELSE 0.0 END"
+
+
+def _rate(k: str, n: str, d: int = 2) -> str:
+    return f"CASE WHEN {n} > 0 THEN round(CAST(100 AS DOUBLE) * {k} / {n}, {d}) ELSE CAST(0 AS DOUBLE) END"
+
+
+_OVERVIEW = _CUBE.format(
+    inputs="stage AS s, first_diagnosis_date AS d, ttt_days, has_io, has_biomarker, has_trial",
+    where="",
+    measures=f"""count(*) AS total_patients,
+        count(*) FILTER (WHERE d >= DATE '2001-06-01' AND d <= DATE '{SNAPSHOT}') AS new_diagnoses_mtd,
+        count(*) FILTER (WHERE d >= DATE '2001-04-01' AND d <= DATE '{SNAPSHOT}') AS new_diagnoses_qtd,
+        count(*) FILTER (WHERE d >= DATE '2001-01-01' AND d <= DATE '{SNAPSHOT}') AS new_diagnoses_ytd,
+        CAST(quantile_disc(ttt_days, 0.5) AS DOUBLE) AS median_time_to_treatment,
+        {_rate("count(*) FILTER (WHERE has_biomarker)", "count(*)")} AS biomarker_testing_rate,
+        {_rate("count(*) FILTER (WHERE s = 'ES-SCLC' AND has_io)", "count(*) FILTER (WHERE s = 'ES-SCLC')")} AS immunotherapy_uptake_rate,
+        {_rate("count(*) FILTER (WHERE has_trial)", "count(*)")} AS clinical_trial_rate""",
+    columns=f"""DATE '{SNAPSHOT}' AS snapshot_date, stage AS stage_filter, state AS state_filter, total_patients, new_diagnoses_mtd, new_diagnoses_qtd,
+        new_diagnoses_ytd, median_time_to_treatment, biomarker_testing_rate, immunotherapy_uptake_rate, clinical_trial_rate""",
+    join="",
+)
+
+
+@query(_OVERVIEW)
+def kpi_overview_cube(t: Frames) -> DataFrame:
+    return gold.overview(t.base, t.snapshot)
+
+
+@query(_OVERVIEW)
+def kpi_current(t: Frames) -> DataFrame:
+    older = gold.overview(t.base, t.snapshot).withColumn("snapshot_date", F.date_sub("snapshot_date", 30))
+    return views.kpi_current(gold.overview(t.base, t.snapshot).unionByName(older))
+
+
+@query(
+    f"""SELECT o_custkey AS patient_id,
+        count(*) FILTER (WHERE o_orderdate::DATE >= DATE '2001-06-01') AS mtd, count(*) FILTER (WHERE o_orderdate::DATE >= DATE '2001-04-01') AS qtd,
+        count(*) FILTER (WHERE o_orderdate::DATE >= DATE '2001-01-01') AS ytd
+        FROM orders WHERE o_orderdate::DATE <= DATE '{SNAPSHOT}' GROUP BY o_custkey""",
+    prelude=False,
+)
+def new_diagnoses_periods(t: Frames) -> DataFrame:
+    rows = t.diagnoses.where(F.col("diagnosis_date") <= t.snapshot)
+    return rows.groupBy("patient_id").agg(*[F.count_if(gold.since("diagnosis_date", t.snapshot, p)).alias(n) for n, p in (("mtd", "month"), ("qtd", "quarter"), ("ytd", "year"))])
+
+
+_BUCKETS = "(VALUES ('0-7', 0, 7, 1), ('8-14', 8, 14, 2), ('15-21', 15, 21, 3), ('22-30', 22, 30, 4), ('31+', 31, 9999, 5)) b(bucket_label, lo, hi, bucket_order)"
+
+
+def _ttt(zero: bool) -> str:
+    return _CUBE.format(
+        inputs="ttt_days",
+        where="WHERE ttt_days IS NOT NULL",
+        measures=f"""count(*) AS n, list(ttt_days) AS days, CAST(quantile_disc(ttt_days, 0.5) AS DOUBLE) AS median_days, round(avg(ttt_days), 2) AS mean_days,
+            {_rate("count(*) FILTER (WHERE ttt_days <= 21)", "count(*)")} AS within_target_pct""",
+        columns=f"""DATE '{SNAPSHOT}' AS snapshot_date, stage AS stage_filter, state AS state_filter, bucket_label, bucket_order,
+            CAST(len(list_filter(days, lambda x: x BETWEEN lo AND hi)) AS BIGINT) AS patient_count,
+            {_rate("len(list_filter(days, lambda x: x BETWEEN lo AND hi))", "n")} AS percentage, median_days, mean_days, within_target_pct""",
+        join=f", {_BUCKETS}",
+    ) + ("" if zero else " AND len(list_filter(days, lambda x: x BETWEEN lo AND hi)) > 0")
+
+
+@query(_ttt(False))
+def ttt_distribution(t: Frames) -> DataFrame:
+    return gold.ttt_distribution(t.base, t.snapshot)
+
+
+@query(_ttt(True))
+def ttt_zero_filled(t: Frames) -> DataFrame:
+    return gold.ttt_distribution(t.base, t.snapshot, zero_filled=True)
+
+
+@query(
+    _CUBE.format(
+        inputs="ttt_days",
+        where="WHERE ttt_days IS NOT NULL",
+        measures=f"""count(*) AS total_treated, CAST(quantile_disc(ttt_days, 0.25) AS DOUBLE) AS p25_days, CAST(quantile_disc(ttt_days, 0.5) AS DOUBLE) AS median_days,
+            CAST(quantile_disc(ttt_days, 0.75) AS DOUBLE) AS p75_days, round(avg(ttt_days), 2) AS mean_days, CAST(min(ttt_days) AS INTEGER) AS min_days, CAST(max(ttt_days) AS INTEGER) AS max_days,
+            round(stddev(ttt_days), 2) AS stddev_days, {_rate("count(*) FILTER (WHERE ttt_days <= 21)", "count(*)")} AS within_target_pct""",
+        columns="stage AS stage_filter, state AS state_filter, total_treated, p25_days, median_days, p75_days, mean_days, min_days, max_days, stddev_days, within_target_pct",
+        join="",
+    )
+)
+def ttt_summary(t: Frames) -> DataFrame:
+    return gold.ttt_summary(t.base)
+
+
+@query("SELECT stage, CAST(list_sort(list(ttt_days))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS DOUBLE) AS median_days FROM base WHERE ttt_days IS NOT NULL GROUP BY stage")
+def ttt_upper_median(t: Frames) -> DataFrame:
+    return t.base.where("ttt_days is not null").groupBy("stage").agg(exprs.upper_median("ttt_days").alias("median_days"))
+
+
+@query(
+    f"""SELECT d.stage, count(*) AS pairs, round(avg(e.treatment_start_date - d.diagnosis_date), 4) AS mean_days,
+        {_rate("count(*) FILTER (WHERE e.treatment_start_date - d.diagnosis_date <= 21)", "count(*)")} AS within_target_pct
+        FROM diagnoses d JOIN episodes e ON d.patient_id = e.patient_id AND e.line_of_therapy = 1 AND e.treatment_start_date >= d.diagnosis_date GROUP BY d.stage"""
+)
+def ttt_pairs(t: Frames) -> DataFrame:
+    """Every diagnosis with the patient's first line, not only the first diagnosis."""
+    first = t.episodes.where("line_of_therapy = 1").select("patient_id", "treatment_start_date")
+    days = F.datediff("treatment_start_date", "diagnosis_date")
+    rows = t.diagnoses.join(first, "patient_id").withColumn("days", days).where("days >= 0")
+    n = F.count(F.lit(1))
+    return rows.groupBy("stage").agg(n.alias("pairs"), F.round(F.avg("days"), 4).alias("mean_days"), exprs.rate(F.count_if(F.col("days") <= 21), n).alias("within_target_pct"))
+
+
+_PATTERNS = f"""
+    , marked AS (
+        SELECT e.patient_id, e.line_of_therapy, e.regimen_category, NULL AS stage_filter FROM episodes e JOIN diagnosed d ON e.patient_id = d.patient_id
+        UNION ALL SELECT e.patient_id, e.line_of_therapy, e.regimen_category, d.stage FROM episodes e JOIN diagnosed d ON e.patient_id = d.patient_id WHERE d.stage <> 'Unknown'
+    ), counts AS (
+        SELECT stage_filter, line_of_therapy, regimen_category, count(DISTINCT patient_id) AS patient_count FROM marked GROUP BY ALL
+    ), patterns AS (
+        SELECT *, {_rate("patient_count", "sum(patient_count) OVER (PARTITION BY stage_filter, line_of_therapy)")} AS percentage,
+               CASE line_of_therapy WHEN 1 THEN '1st line' WHEN 2 THEN '2nd line' ELSE '3rd line+' END AS line_label
+        FROM counts
+    )
+"""
+
+
+@query(_PATTERNS + "SELECT * FROM patterns")
+def treatment_patterns_category(t: Frames) -> DataFrame:
+    return gold.treatment_patterns(t.episodes, t.diagnosed)
+
+
+@query(
+    f"""
+    , counts AS (SELECT line_of_therapy, regimen_category, regimen_name, count(DISTINCT patient_id) AS patient_count FROM episodes GROUP BY ALL)
+    SELECT *, {_rate("patient_count", "sum(patient_count) OVER (PARTITION BY line_of_therapy)")} AS percentage,
+           CAST(row_number() OVER (PARTITION BY line_of_therapy, regimen_category ORDER BY patient_count DESC, regimen_name) AS INTEGER) AS regimen_rank
+    FROM counts QUALIFY regimen_rank <= 10"""
+)
+def treatment_patterns_regimen_top10(t: Frames) -> DataFrame:
+    return gold.regimens_top(t.episodes)
+
+
+@query(_PATTERNS + "SELECT * FROM patterns WHERE stage_filter IS NULL AND line_of_therapy <= 2")
+def patterns_first_second_line(t: Frames) -> DataFrame:
+    return serve.treatment_patterns(gold.treatment_patterns(t.episodes, t.diagnosed))
+
+
+_GEO = f"""
+    , geo AS (
+        SELECT state, count(*) AS patient_count, coalesce(round(avg(ttt_days), 1), 0.0) AS avg_time_to_treatment,
+               {_rate("count(*) FILTER (WHERE stage = 'ES-SCLC' AND has_io)", "count(*) FILTER (WHERE stage = 'ES-SCLC')", 1)} AS immunotherapy_rate,
+               {_rate("count(*) FILTER (WHERE has_trial)", "count(*)", 1)} AS trial_enrollment_rate
+        FROM base WHERE state IS NOT NULL GROUP BY state
+    )
+"""
+
+
+@query(_GEO + "SELECT * FROM geo")
+def geographic_metrics(t: Frames) -> DataFrame:
+    return gold.geographic(t.base)
+
+
+@query("SELECT state, count(*) AS patient_count FROM patients GROUP BY state")
+def state_counts(t: Frames) -> DataFrame:
+    return t.patients.groupBy("state").agg(F.count(F.lit(1)).alias("patient_count"))
+
+
+@query(_GEO + "SELECT *, round(100.0 * patient_count / max(patient_count) OVER (), 1) AS bar_share FROM (SELECT * FROM geo ORDER BY patient_count DESC, state LIMIT 15)")
+def top15_states(t: Frames) -> DataFrame:
+    return serve.states(gold.geographic(t.base), top=15)
+
+
+_EDGES = """
+    , steps AS (
+        SELECT patient_id, stage, 'SCLC Diagnosis' AS s, stage AS d, 'diagnosis' AS sc, 'stage' AS dc FROM paths
+        UNION ALL SELECT patient_id, stage, stage, treatment, 'stage', 'treatment' FROM paths
+        UNION ALL SELECT patient_id, stage, treatment, response, 'treatment', 'response' FROM paths WHERE treatment <> 'No Treatment'
+        UNION ALL SELECT patient_id, stage, response, next_step, 'response', 'next_step' FROM paths WHERE response <> 'Not Assessed'
+    ), twice AS (
+        SELECT NULL AS stage_filter, * FROM steps UNION ALL SELECT stage, * FROM steps WHERE stage <> 'Unknown'
+    ), edges AS (
+        SELECT stage_filter, s AS source_node, d AS target_node, count(DISTINCT patient_id) AS patient_count, sc AS source_category, dc AS target_category FROM twice GROUP BY ALL
+    )
+"""
+
+
+@query(_EDGES + "SELECT * FROM edges")
+def sankey_transitions(t: Frames) -> DataFrame:
+    return gold.sankey(t.paths)
+
+
+@query(
+    _EDGES
+    + """SELECT stage_filter, target_category AS category, target_node AS node, CAST(sum(patient_count) AS BIGINT) AS patient_count FROM edges GROUP BY ALL
+        UNION ALL SELECT stage_filter, source_category, source_node, CAST(sum(patient_count) AS BIGINT) FROM edges WHERE source_category = 'diagnosis' GROUP BY ALL"""
+)
+def sankey_nodes(t: Frames) -> DataFrame:
+    return gold.sankey_nodes(gold.sankey(t.paths))
+
+
+@query("SELECT patient_id, line_of_therapy, treatment_start_date, treatment_end_date, claim_count, CAST(treatment_end_date - treatment_start_date AS INTEGER) AS duration_days FROM episodes")
+def treatment_episodes(t: Frames) -> DataFrame:
+    return t.episodes.select("patient_id", "line_of_therapy", "treatment_start_date", "treatment_end_date", "claim_count", "duration_days")
+
+
+@query("SELECT patient_id, max(line_of_therapy) AS n_lines, count(*) FILTER (WHERE line_label = '3rd line+') AS later_lines FROM episodes GROUP BY patient_id")
+def line_of_therapy(t: Frames) -> DataFrame:
+    return t.episodes.groupBy("patient_id").agg(F.max("line_of_therapy").alias("n_lines"), F.count_if(F.col("line_label") == "3rd line+").alias("later_lines"))
+
+
+@query("SELECT patient_id, line_of_therapy, regimen_name, regimen_category, has_chemo, has_io, has_radiation, line_label FROM episodes")
+def regimen_classification(t: Frames) -> DataFrame:
+    return t.episodes.select("patient_id", "line_of_therapy", "regimen_name", "regimen_category", "has_chemo", "has_io", "has_radiation", "line_label")
+
+
+@query("SELECT * FROM diagnoses QUALIFY row_number() OVER (PARTITION BY patient_id, diagnosis_date ORDER BY stage, diagnosis_id DESC) = 1")
+def dx_dedup_latest(t: Frames) -> DataFrame:
+    return latest_per_key(t.diagnoses, ["patient_id", "diagnosis_date"], [F.col("stage"), F.col("diagnosis_id").desc()])
+
+
+@query("SELECT assessment_id, patient_id, assessment_date, response_type, episode_id, treatment_start_date FROM responses")
+def response_asof_episode(t: Frames) -> DataFrame:
+    return t.responses
+
+
+@query("SELECT assessment_id, episode_id, response_type FROM responses WHERE episode_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY rank, assessment_date, assessment_id) = 1")
+def best_response_per_episode(t: Frames) -> DataFrame:
+    rows = silver.best_response(t.responses.where("episode_id is not null"), ["episode_id"], [F.col("assessment_date"), F.col("assessment_id")])
+    return rows.where("is_best_response").select("assessment_id", "episode_id", "response_type")
+
+
+_PD = """
+    , pd AS (SELECT patient_id, assessment_date AS progression_date, assessment_id FROM assessments WHERE response_type IN ('PD', 'NE')),
+    kept AS (
+        SELECT *, progression_date - lag(progression_date) OVER (PARTITION BY patient_id ORDER BY progression_date, assessment_id) AS gap FROM pd
+        QUALIFY gap IS NULL OR gap > 30
+    )
+"""
+
+
+def _pd(t: Frames) -> DataFrame:
+    return t.responses.where("response_type in ('PD', 'NE')").select("patient_id", F.col("assessment_date").alias("progression_date"), "assessment_id")
+
+
+@query(_PD + "SELECT patient_id, progression_date, assessment_id FROM kept")
+def progression_gap_dedup(t: Frames) -> DataFrame:
+    return gap_dedup(_pd(t), ["patient_id"], "progression_date", 30, ["assessment_id"])
+
+
+@query(
+    _PD
+    + """SELECT k.patient_id, k.progression_date, e.episode_id, CAST(row_number() OVER (PARTITION BY k.patient_id ORDER BY k.progression_date) AS INTEGER) AS progression_number,
+        CAST(k.progression_date - f.d AS INTEGER) AS pfs_days_from_diagnosis, CAST(k.progression_date - e.treatment_start_date AS INTEGER) AS pfs_days_from_treatment
+        FROM kept k JOIN (SELECT patient_id, min(diagnosis_date) AS d FROM diagnoses GROUP BY patient_id) f ON f.patient_id = k.patient_id
+        ASOF LEFT JOIN episodes e ON k.patient_id = e.patient_id AND k.progression_date >= e.treatment_start_date"""
+)
+def progression_pfs(t: Frames) -> DataFrame:
+    rows = _pd(t).select("patient_id", "progression_date", F.col("assessment_id").cast("string").alias("evidence"))
+    return silver.progressions(rows, t.diagnoses, t.episodes).drop("evidence")
+
+
+@query(
+    """
+    , near AS (
+        SELECT d.diagnosis_id, e.episode_id, e.treatment_start_date, abs(d.diagnosis_date - e.treatment_start_date) AS gap
+        FROM diagnoses d JOIN episodes e ON d.patient_id = e.patient_id AND abs(d.diagnosis_date - e.treatment_start_date) <= 30
+        QUALIFY row_number() OVER (PARTITION BY d.diagnosis_id ORDER BY gap, e.treatment_start_date, e.episode_id) = 1
+    )
+    SELECT d.diagnosis_id, d.patient_id, d.diagnosis_date, n.episode_id, n.treatment_start_date FROM diagnoses d LEFT JOIN near n ON d.diagnosis_id = n.diagnosis_id"""
+)
+def trial_nearest_30d(t: Frames) -> DataFrame:
+    left = t.diagnoses.drop("stage")
+    right = t.episodes.select("patient_id", "episode_id", "treatment_start_date")
+    return nearest_join(left, right, ["patient_id"], "diagnosis_date", "treatment_start_date", 30, ["diagnosis_id"], ["treatment_start_date", "episode_id"])
+
+
+@query(
+    """
+    , dx AS (SELECT * FROM diagnoses QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY diagnosis_date DESC, diagnosis_id DESC) = 1),
+    tx AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY treatment_start_date DESC) = 1)
+    SELECT p.patient_id, p.state, p.insurance_type, dx.diagnosis_date AS latest_diagnosis_date, dx.stage AS current_stage, tx.line_of_therapy AS current_line_of_therapy,
+           tx.treatment_start_date AS latest_treatment_start_date, tx.treatment_end_date AS latest_treatment_end_date, tx.regimen_category AS current_regimen_category,
+           tx.has_io AS on_immunotherapy, tx.facility_id, s_name AS facility_name,
+           p.patient_id IN (SELECT patient_id FROM trials) AS enrolled_in_trial, p.patient_id IN (SELECT patient_id FROM biomarkers) AS has_biomarker_test,
+           CAST((SELECT min(treatment_start_date) FROM episodes e WHERE e.patient_id = p.patient_id) - dx.diagnosis_date AS INTEGER) AS days_to_first_treatment
+    FROM patients p LEFT JOIN dx ON p.patient_id = dx.patient_id LEFT JOIN tx ON p.patient_id = tx.patient_id LEFT JOIN supplier ON s_suppkey = tx.facility_id"""
+)
+def patient_latest_status(t: Frames) -> DataFrame:
+    dx = t.diagnoses.withColumn("facility_id", F.lit(None).cast("long"))
+    return views.patient_latest_status(t.patients, dx, t.episodes, t.facilities, t.biomarkers, t.trials)
+
+
+@query(
+    """
+    , best_one AS (SELECT episode_id, assessment_date AS response_date, response_type FROM responses WHERE episode_id IS NOT NULL
+                   QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY rank, assessment_date DESC, assessment_id) = 1)
+    SELECT p.patient_id, d.diagnosis_id, d.stage, e.episode_id, e.line_of_therapy, e.regimen_category, s_name AS facility_name, b.response_date, b.response_type,
+           CAST(e.treatment_start_date - d.diagnosis_date AS INTEGER) AS days_from_diagnosis_to_treatment,
+           CAST(e.treatment_end_date - e.treatment_start_date AS INTEGER) AS treatment_duration_days
+    FROM patients p JOIN diagnoses d ON p.patient_id = d.patient_id LEFT JOIN episodes e ON p.patient_id = e.patient_id
+    LEFT JOIN supplier ON s_suppkey = e.facility_id LEFT JOIN best_one b ON b.episode_id = e.episode_id"""
+)
+def treatment_timeline(t: Frames) -> DataFrame:
+    rows = views.treatment_timeline(t.patients, t.diagnoses, t.episodes, t.facilities, t.responses)
+    return rows.select(
+        "patient_id", "diagnosis_id", "stage", "episode_id", "line_of_therapy", "regimen_category", "facility_name", "response_date", "response_type",
+        "days_from_diagnosis_to_treatment", "treatment_duration_days",
+    )
+
+
+_LIST = """
+    , dx AS (SELECT * FROM diagnoses QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY diagnosis_date DESC, diagnosis_id DESC) = 1),
+    tx AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY treatment_start_date DESC) = 1),
+    listed AS (
+        SELECT p.*, dx.diagnosis_date, dx.stage, tx.regimen_category, tx.treatment_start_date,
+               CASE WHEN tx.treatment_start_date >= dx.diagnosis_date THEN CAST(tx.treatment_start_date - dx.diagnosis_date AS INTEGER) END AS days_to_treatment
+        FROM patients p LEFT JOIN dx ON p.patient_id = dx.patient_id LEFT JOIN tx ON p.patient_id = tx.patient_id
+    )
+"""
+
+
+def _listed(t: Frames) -> DataFrame:
+    return serve.patient_rows(t.patients, t.diagnoses, t.episodes)
+
+
+@query(_LIST + "SELECT * FROM listed WHERE stage = 'ES-SCLC' ORDER BY days_to_treatment DESC NULLS LAST, patient_id LIMIT 25 OFFSET 25")
+def patient_list_page(t: Frames) -> DataFrame:
+    return serve.list_patients(_listed(t), page=2, page_size=25, stage="ES-SCLC", sort_by="days_to_treatment", order="desc")[0]
+
+
+@query(_LIST + "SELECT count(*) AS total, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM listed WHERE stage = 'ES-SCLC'")
+def patient_count(t: Frames) -> DataFrame:
+    return serve.list_patients(_listed(t), page=1, page_size=25, stage="ES-SCLC")[1]
+
+
+@query(_LIST + "SELECT * FROM listed")
+def patient_rows(t: Frames) -> DataFrame:
+    return _listed(t)
+
+
+@query()
+def patient_detail_nested(t: Frames) -> DataFrame:
+    return serve.patient_details(t.patients, diagnoses=(t.diagnoses, "diagnosis_date"), episodes=(t.episodes.select("patient_id", "treatment_start_date", "line_of_therapy", "regimen_category"), "treatment_start_date"), trials=(t.trials, "day"))
+
+
+@query(
+    """SELECT p_type, flag_name, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DOUBLE AS quantity
+       FROM (SELECT p_type, CASE l_returnflag WHEN 'A' THEN 'chemo' WHEN 'R' THEN 'io' ELSE 'other' END AS flag_name, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) x GROUP BY ALL""",
+    prelude=False,
+)
+def code_map_join(t: Frames) -> DataFrame:
+    from ..operators.relational import code_table
+
+    names = code_table(t.spark, [("A", "chemo"), ("R", "io")], "l_returnflag string, flag_name string")
+    rows = t.table("lineitem").select("l_partkey", "l_returnflag", "l_quantity").join(t.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    rows = rows.join(names, "l_returnflag", "left").fillna("other", ["flag_name"])
+    return rows.groupBy("p_type", "flag_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
+@query(
+    """SELECT l_linestatus, bool_or(l_returnflag = 'A') AS any_a, count(*) FILTER (WHERE l_returnflag IN ('A', 'R') AND l_quantity BETWEEN 10 AND 20) AS hits,
+       count(*) FILTER (WHERE lower(l_returnflag) SIMILAR TO '(a|n)') AS matched FROM lineitem GROUP BY l_linestatus""",
+    prelude=False,
+)
+def flag_filters(t: Frames) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return t.table("lineitem").groupBy("l_linestatus").agg(F.max(flag == "A").alias("any_a"), F.count_if(flag.isin("A", "R") & F.col("l_quantity").between(10, 20)).alias("hits"), F.count_if(F.lower(flag).rlike("^(a|n)$")).alias("matched"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand END AS code, CASE WHEN p_size > 10 THEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') END AS confirmed
+       FROM part WHERE p_size <= 10 OR p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')""",
+    prelude=False,
+)
+def null_tolerant_filter(t: Frames) -> DataFrame:
+    wanted = ["Brand#11", "Brand#12", "Brand#13"]
+    rows = t.table("part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("code"))
+    return rows.where(F.col("code").isin(wanted) | F.col("code").isNull()).withColumn("confirmed", F.col("code").isin(wanted))
+
+
+@query("SELECT patient_id, state FROM patients WHERE patient_id NOT IN (SELECT user_id FROM events)")
+def anti_join_unmatched(t: Frames) -> DataFrame:
+    return t.patients.join(t.table("events").select(F.col("user_id").alias("patient_id")), "patient_id", "left_anti").select("patient_id", "state")
+
+
+@query("SELECT assessment_id, response_type FROM responses WHERE episode_id IN (SELECT episode_id FROM episodes WHERE line_of_therapy = 1)")
+def semi_join_filter(t: Frames) -> DataFrame:
+    return t.responses.join(t.episodes.where("line_of_therapy = 1"), "episode_id", "left_semi").select("assessment_id", "response_type")
+
+
+@query("SELECT patient_id, state, insurance_type FROM patients WHERE insurance_type = 'BUILDING' AND state IN (SELECT n_name FROM nation WHERE n_regionkey = 1)")
+def optional_filters(t: Frames) -> DataFrame:
+    region = t.table("nation").where("n_regionkey = 1").select(F.col("n_name").alias("state"))
+    rows = apply_filters(t.patients, insurance_type="BUILDING", state=None)
+    return rows.join(F.broadcast(region), "state", "left_semi").select("patient_id", "state", "insurance_type")
+
+
+@query(
+    """, old AS (SELECT patient_id, state, insurance_type FROM patients WHERE patient_id % 10 <> 0),
+    new AS (SELECT patient_id, state, CASE WHEN patient_id % 7 = 0 THEN 'CHANGED' ELSE insurance_type END AS insurance_type FROM patients WHERE patient_id % 9 <> 0)
+    SELECT o.*, DATE '2001-01-01' AS effective_date, CASE WHEN o.insurance_type <> n.insurance_type THEN DATE '2001-06-15' ELSE DATE '9999-12-31' END AS end_date,
+           NOT coalesce(o.insurance_type <> n.insurance_type, false) AS is_current FROM old o LEFT JOIN new n ON o.patient_id = n.patient_id
+    UNION ALL SELECT n.*, DATE '2001-06-15', DATE '9999-12-31', true FROM new n LEFT JOIN old o ON o.patient_id = n.patient_id
+    WHERE o.patient_id IS NULL OR o.insurance_type <> n.insurance_type"""
+)
+def scd2_apply(t: Frames) -> DataFrame:
+    end = F.lit("9999-12-31").cast("date")
+    old = t.patients.where("patient_id % 10 <> 0").withColumns({"effective_date": F.lit("2001-01-01").cast("date"), "end_date": end, "is_current": F.lit(True)})
+    new = t.patients.where("patient_id % 9 <> 0").withColumn("insurance_type", F.when(F.col("patient_id") % 7 == 0, "CHANGED").otherwise(F.col("insurance_type")))
+    return scd2_diff(old, new, "patient_id", ["state", "insurance_type"], t.snapshot)
+
+
+@query(
+    """SELECT patient_id, state, CASE WHEN patient_id % 3 = 0 THEN 'NEW' ELSE insurance_type END AS insurance_type FROM patients WHERE patient_id % 5 <> 0 OR patient_id % 3 = 0"""
+)
+def keyed_upsert_patients(t: Frames) -> DataFrame:
+    return keyed_upsert(t.patients.where("patient_id % 5 <> 0"), t.patients.where("patient_id % 3 = 0").withColumn("insurance_type", F.lit("NEW")), ["patient_id"])
+
+
+def _raw_people(t: Frames) -> DataFrame:
+    """Customers as raw records, with the oddities of raw data."""
+    c = F.col("c_custkey")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs)).cast("int") + 1)
+    return t.table("customer").select(
+        c.alias("patient_id"),
+        pick("ca", "New York", "Ontario", " TX ", "nevada").alias("state"),
+        pick("M", "female", "nb", "?", "u").alias("gender"),
+        pick("Private PPO", "Nevada VA", "Medicaid Plus", "self-pay", "Acme").alias("insurance_type"),
+        pick("Caucasian", "asian american", "Not Hispanic", "declined").alias("race_ethnicity"),
+        pick("10001", "12345", "90210", "99999", "123", "70012", "22901").alias("zip5"),
+        F.date_sub(t.snapshot, (c * 37 % 50000).cast("int")).alias("date_of_birth"),
+        F.when(c % 11 == 0, F.lit("")).otherwise(F.lit("ANN")).alias("first_name"),
+        F.when(c % 13 != 0, F.lit("LEE")).alias("last_name"),
+    )
+
+
+_PEOPLE = """
+    , raw AS (
+        SELECT patient_id, ['ca', 'New York', 'Ontario', ' TX ', 'nevada'][patient_id % 5 + 1] AS rs, ['M', 'female', 'nb', '?', 'u'][patient_id % 5 + 1] AS rg,
+               ['Private PPO', 'Nevada VA', 'Medicaid Plus', 'self-pay', 'Acme'][patient_id % 5 + 1] AS ri, ['Caucasian', 'asian american', 'Not Hispanic', 'declined'][patient_id % 4 + 1] AS rr,
+               ['10001', '12345', '90210', '99999', '123', '70012', '22901'][patient_id % 7 + 1] AS zip5,
+               DATE '2001-06-15' - CAST(patient_id * 37 % 50000 AS INTEGER) AS date_of_birth,
+               CASE WHEN patient_id % 11 = 0 THEN '' ELSE 'ANN' END AS first_name, CASE WHEN patient_id % 13 <> 0 THEN 'LEE' END AS last_name
+        FROM patients
+    ), people AS (
+        SELECT patient_id, CASE rs WHEN 'ca' THEN 'CA' WHEN 'New York' THEN 'NY' WHEN ' TX ' THEN 'TX' WHEN 'nevada' THEN 'NV' END AS state,
+               CASE rg WHEN 'M' THEN 'Male' WHEN 'female' THEN 'Female' WHEN 'nb' THEN 'Other' ELSE 'Unknown' END AS gender,
+               CASE ri WHEN 'Private PPO' THEN 'Commercial' WHEN 'Nevada VA' THEN 'Other Government' WHEN 'Medicaid Plus' THEN 'Medicaid' WHEN 'self-pay' THEN 'Self-Pay' ELSE 'Other' END AS insurance_type,
+               CASE rr WHEN 'Caucasian' THEN 'White' WHEN 'asian american' THEN 'Asian' WHEN 'Not Hispanic' THEN 'Hispanic or Latino' ELSE 'Unknown' END AS race_ethnicity,
+               zip5, CASE zip5 WHEN '10001' THEN 'Urban' WHEN '12345' THEN 'Suburban' WHEN '90210' THEN 'Urban' WHEN '99999' THEN 'Rural' WHEN '70012' THEN 'Urban' WHEN '22901' THEN 'Suburban' ELSE 'Unknown' END AS urban_rural,
+               CAST(floor((DATE '2001-06-15' - date_of_birth) / 365.25) AS INTEGER) AS age_at_processing, date_of_birth, first_name, last_name
+        FROM raw
+    )
+"""
+
+
+@query(_PEOPLE + "SELECT * FROM people")
+def demographics_standardised(t: Frames) -> DataFrame:
+    return silver.standardise_demographics(_raw_people(t), t.snapshot)
+
+
+@query(_PEOPLE + "SELECT urban_rural, count(*) AS n FROM people GROUP BY urban_rural")
+def urban_rural(t: Frames) -> DataFrame:
+    return silver.standardise_demographics(_raw_people(t), t.snapshot).groupBy("urban_rural").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _PEOPLE
+    + """SELECT patient_id, NOT (first_name = '' OR last_name IS NULL) AND age_at_processing BETWEEN 0 AND 120 AS valid,
+        concat_ws(',', CASE WHEN first_name = '' OR last_name IS NULL THEN 'missing_name' END, CASE WHEN age_at_processing NOT BETWEEN 0 AND 120 THEN 'invalid_age' END,
+                  CASE WHEN gender = 'Unknown' THEN 'unknown_gender' END, CASE WHEN state IS NULL THEN 'missing_state' END, CASE WHEN zip5 = '123' THEN 'invalid_zip' END) AS issues FROM people"""
+)
+def dq_flags(t: Frames) -> DataFrame:
+    rows = quality.flag_patients(silver.standardise_demographics(_raw_people(t), t.snapshot))
+    return rows.select("patient_id", F.col("_dq_valid").alias("valid"), F.array_join("_dq_issues", ",").alias("issues"))
+
+
+def _two_sources(t: Frames) -> DataFrame:
+    c = F.col("c_custkey")
+    rows = t.table("customer").select(
+        F.when(c % 2 == 0, "EHR").otherwise("CLAIMS").alias("source_system"),
+        c.cast("string").alias("source_patient_id"),
+        F.element_at(F.array(F.lit("Robert"), F.lit("Rupert"), F.lit("Anna")), (F.floor(c / 2) % 3).cast("int") + 1).alias("first_name"),
+        F.concat(F.lit("Name"), F.element_at(F.array(*[F.lit(x) for x in "abcdefg"]), (F.floor(c / 6) % 7).cast("int") + 1)).alias("last_name"),
+        F.date_sub(t.snapshot, F.floor(c / 4).cast("int")).alias("date_of_birth"),
+        F.lpad((F.floor(c / 2) % 90000).cast("string"), 5, "0").alias("zip5"),
+    )
+    return rows.withColumn("_ingestion_timestamp", F.lit("2001-01-01").cast("timestamp"))
+
+
+@query(
+    """SELECT upper('Name' || ['a', 'b', 'c', 'd', 'e', 'f', 'g'][CAST(floor(c_custkey / 6) AS BIGINT) % 7 + 1]) AS last_name, DATE '2001-06-15' - CAST(floor(c_custkey / 4) AS INTEGER) AS date_of_birth,
+       lpad(CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 90000 AS VARCHAR), 5, '0') AS zip5, count(*) AS records, count(DISTINCT c_custkey % 2) AS systems FROM customer GROUP BY ALL""",
+    prelude=False,
+)
+def identity_exact_key(t: Frames) -> DataFrame:
+    rows = _two_sources(t).withColumn("last_name", F.upper("last_name"))
+    return rows.groupBy("last_name", "date_of_birth", "zip5").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source_system").alias("systems"))
+
+
+@query()
+def identity_fuzzy(t: Frames) -> DataFrame:
+    return identity.golden_records(identity.resolve(_two_sources(t)))
+
+
+@query(
+    """SELECT o_custkey AS patient_id, o_orderdate::DATE AS day, 'order' AS source, o_orderpriority AS note, NULL::DOUBLE AS amount FROM orders
+       UNION ALL SELECT user_id, ts::DATE, 'event', NULL, value FROM events""",
+    prelude=False,
+)
+def union_by_name_sources(t: Frames) -> DataFrame:
+    a = t.table("orders").select(F.col("o_custkey").alias("patient_id"), F.to_date("o_orderdate").alias("day"), F.lit("order").alias("source"), F.col("o_orderpriority").alias("note"))
+    b = t.table("events").select(F.col("user_id").alias("patient_id"), F.to_date("ts").alias("day"), F.lit("event").alias("source"), F.col("value").alias("amount"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query(
+    """SELECT event_type, count(*) AS records, count(DISTINCT ts::DATE) AS partitions, min(ts::DATE) AS first_day, max(ts::DATE) AS last_day, count(DISTINCT user_id % 7) AS batches
+       FROM events GROUP BY event_type""",
+    prelude=False,
+)
+def ingest_summary(t: Frames) -> DataFrame:
+    day = F.to_date("ts")
+    return t.table("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.count_distinct(day).alias("partitions"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(F.col("user_id") % 7).alias("batches"))
+
+
+@query(
+    """SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d::DATE AS full_date, CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week, CAST(weekofyear(d) AS INTEGER) AS week_of_year,
+       CAST(quarter(d) AS INTEGER) AS quarter, dayofweek(d) IN (0, 6) AS is_weekend, d::DATE = last_day(d::DATE) AS is_month_end, monthname(d) AS month_name, dayname(d) AS day_name
+       FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) s(d)""",
+    prelude=False,
+)
+def dim_date(t: Frames) -> DataFrame:
+    return silver.dim_date(t.spark, "1995-01-01", "2001-12-31").select("date_key", "full_date", "day_of_week", "week_of_year", "quarter", "is_weekend", "is_month_end", "month_name", "day_name")
+
+
+@query(
+    f"""SELECT stage, count(DISTINCT patient_id) AS patients, count(DISTINCT CASE WHEN has_io THEN patient_id END) AS io_patients FROM (SELECT * FROM base) x GROUP BY stage"""
+)
+def overview_live(t: Frames) -> DataFrame:
+    """The KPIs computed live from rows."""
+    return t.base.groupBy("stage").agg(F.count_distinct("patient_id").alias("patients"), F.count_distinct(F.when(F.col("has_io"), F.col("patient_id"))).alias("io_patients"))
+
+
+@query(
+    """SELECT insurance_type, state, count(*) AS n, CAST(grouping(insurance_type) AS INTEGER) + 2 * CAST(grouping(state) AS INTEGER) AS level
+       FROM patients GROUP BY CUBE (insurance_type, state)"""
+)
+def cube_all(t: Frames) -> DataFrame:
+    out = cube_with_all(t.patients, ["insurance_type", "state"], [F.count(F.lit(1)).alias("n")])
+    return out.withColumn("level", F.col("insurance_type").isNull().cast("int") + 2 * F.col("state").isNull().cast("int"))
+
+
+@query(
+    """SELECT e.event_id, e.user_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'click') e
+       ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts""",
+    prelude=False,
+)
+def event_asof(t: Frames) -> DataFrame:
+    e = t.table("events")
+    left = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"))
+    return asof_join(left, right, ["user_id"], "ts", "bought", ["purchase_id"]).select("event_id", "user_id", "purchase_id")
+
+
+@query(
+    """, dates AS (SELECT patient_id, service_date, count(*) AS n FROM claims GROUP BY ALL)
+    SELECT patient_id, service_date, n, CAST(sum(n) OVER (PARTITION BY patient_id ORDER BY service_date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM dates"""
+)
+def running_claims(t: Frames) -> DataFrame:
+    w = Window.partitionBy("patient_id").orderBy("service_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.claims.groupBy("patient_id", "service_date").agg(F.count(F.lit(1)).alias("n")).withColumn("running", F.sum("n").over(w))
+
+
+@query()
+def insights_rules(t: Frames) -> DataFrame:
+    kpi = serve.overview(gold.overview(t.base, t.snapshot))
+    ttt = serve.time_to_treatment(gold.ttt_distribution(t.base, t.snapshot, zero_filled=True))
+    patterns = serve.treatment_patterns(gold.treatment_patterns(t.episodes, t.diagnosed))
+    return serve.insights(kpi, ttt, patterns, gold.geographic(t.base))
