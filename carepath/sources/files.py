@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Feed:
-    """A raw feed. Each format is a stream of its own with its own checkpoint; all append to one table."""
+    """A raw feed. Each format is a stream of its own with its own checkpoint; each appends to its part of one table."""
 
     name: str
     folder: str
@@ -60,8 +60,17 @@ def with_lineage(df: DataFrame, feed: Feed, batch_id: str, today: Column | None
 
 
 def read_bronze(spark, path: str) -> DataFrame:
-    """A bronze table with the columns of all its files."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """A bronze table: what each format's stream has committed, with the columns of all files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory())
+    out = None
+    for part in parts:
+        df = spark.read.option("mergeSchema", "true").parquet(part)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(path)
+    return out
 
 
 def ingest_summary(tables: dict[str, DataFrame]) -> DataFrame:

@@ -21,7 +21,7 @@ def stream(spark: SparkSession, feed: Feed, source: str, kind: str) -> DataFrame
 
 
 def ingest(spark: SparkSession, feed: Feed | str, source: str, bronze: str, checkpoints: str, batch_id: str, kinds: tuple[str, ...] | None = None) -> list[StreamingQuery]:
-    """Append what is new to bronze/<feed>. A run over the same files adds nothing. Formats whose folder holds no
+    """Append what is new to bronze/<feed>/<format>; a sink's commit log serves one stream only. A run over the same files adds nothing. Formats whose folder holds no
     file of theirs are passed by."""
     feed = FEEDS[feed] if isinstance(feed, str) else feed
     was = spark.conf.get(INFERENCE)
@@ -35,7 +35,7 @@ def ingest(spark: SparkSession, feed: Feed | str, source: str, bronze: str, chec
             writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoints}/{feed.name}/{kind}").trigger(availableNow=True)
             if feed.service_date:
                 writer = writer.partitionBy("_partition_date")
-            query = writer.start(f"{bronze}/{feed.name}")
+            query = writer.start(f"{bronze}/{feed.name}/{kind}")
             query.awaitTermination()
             out.append(query)
     finally:
