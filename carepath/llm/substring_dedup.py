@@ -78,23 +78,32 @@ def anchors(words: list[np.ndarray], n: int = SHINGLE, window: int = WINNOW, pas
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(id, text) to (id, word, h1, h2): see anchors."""
+    """(id, text) to (id, h1, h2, words array<int>): each passage of a document once, with its places (see
+    anchors). A text that repeats itself has few passages however long it is."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             texts = texts_of(batch.column(1))
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for a, b in pieces(texts, 1 << 18):
                 words = [w[w != 0] for w in map(_words, texts[a:b])]
                 which, word, h1, h2 = anchors(words)
-                for column, x in zip(out, (ids[a:b][which], word, h1.view(np.int64), h2.view(np.int64))):
+                order = np.lexsort((word, h2, h1, which))
+                which, word, h1, h2 = which[order], word[order], h1[order], h2[order]
+                fresh = np.ones(len(which), bool)
+                fresh[1:] = (which[1:] != which[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                first = np.flatnonzero(fresh)
+                sizes = np.diff(np.r_[first, len(which)])
+                for column, x in zip(out, (ids[a:b][which[first]], h1[first].view(np.int64), h2[first].view(np.int64), word, sizes)):
                     column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["id", "word", "h1", "h2"])
+            id_, h1, h2, word, sizes = (np.concatenate(c) for c in out)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(word, pa.int32()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (id_, h1, h2)), lists], names=["id", "h1", "h2", "words"])
 
         return f
 
-    return map_batches(rows, make, "id long, word long, h1 long, h2 long")
+    return map_batches(rows, make, "id long, h1 long, h2 long, words array<int>")
 
 
 def long_lines(rows: DataFrame) -> DataFrame:
@@ -122,18 +131,20 @@ def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float
 
 
 def passage_copies(rows: DataFrame) -> DataFrame:
-    """Passages that a document with a smaller id has too: (id, word, keep_id)."""
+    """Passages that a document with a smaller id has too: (id, words, keep_id)."""
     found = written(passages(rows), "passages")
     groups = found.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("most")).where("most > keep_id").select("h1", "h2", "keep_id")
-    return found.join(groups, ["h1", "h2"]).where("id <> keep_id").select("id", "word", "keep_id")
+    return found.join(groups, ["h1", "h2"]).where("id <> keep_id").select("id", "words", "keep_id")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """Documents that lose text: (id, lines array<long>, words array<long>, keep_ids array<long>). Only documents
+    """Documents that lose text: (id, lines array<int>, words array<int>, keep_ids array<long>). Only documents
     that share with another document are listed; a passage repeated within one document stays."""
-    lines = line_clusters(rows).where("id <> keep_id").select("id", "line", F.lit(None).cast("long").alias("word"), "keep_id")
-    words = passage_copies(rows).select("id", F.lit(None).cast("long").alias("line"), "word", "keep_id")
-    return lines.unionByName(words).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sort_array(F.collect_set("word")).alias("words"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
+    lines = line_clusters(rows).where("id <> keep_id").select("id", F.array(F.col("line").cast("int")).alias("lines"), "keep_id")
+    words = passage_copies(rows).select("id", "words", "keep_id")
+    both = lines.unionByName(words, allowMissingColumns=True)
+    places = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return both.groupBy("id").agg(places("lines"), places("words"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
 
 
 def spans(text: str, lines: list[int], words: list[int], passage: int = PASSAGE) -> list[tuple[int, int]]:
