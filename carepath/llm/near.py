@@ -37,7 +37,8 @@ def near_links(items: DataFrame, payload: Callable[[DataFrame], DataFrame], payl
     `items` must be a written table. `payload(ids)` gives (id, payload) for a table of ids. class_id is the
     smallest id of the item's component over the verified links and copies, class_size its items, copies
     the items with the same key, itself included, and n_links the other items linked to it, copies of itself
-    included. Items without bands are linked to nothing, not even to each other.
+    included. Items without bands are linked to nothing, not even to each other. Rows may repeat; rows that
+    share an id but not the key are one node, verified by one of its payloads.
     """
     full = items.where(F.size("bands") > 0)
     reps = written(full.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "reps")
@@ -65,7 +66,9 @@ def near_links(items: DataFrame, payload: Callable[[DataFrame], DataFrame], payl
 def _verified(reps: DataFrame, sought: DataFrame, payload, payload_type: str, verify: Verify) -> DataFrame:
     """(rep, root, n_links) of each group and member with a link."""
     spark = reps.sparkSession
-    rows = sought.join(payload(sought.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep").join(reps.select("rep", "copies"), "rep")
+    # one payload per id, though rows may repeat
+    payloads = payload(sought.select(F.col("rep").alias("id"))).groupBy(F.col("id").alias("rep")).agg(F.min("payload").alias("payload"))
+    rows = sought.join(payloads, "rep").join(reps.select("rep", "copies"), "rep")
     blocks = F.ceil(F.col("b.n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep", "b.bucket"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("mine")).alias("i"), F.greatest(other, F.col("mine")).alias("j")))
