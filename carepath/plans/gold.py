@@ -19,18 +19,19 @@ def first_diagnosis(diagnoses: DataFrame) -> DataFrame:
     )
 
 
-def first_treatment(diagnosed: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The first episode that begins on or after the first diagnosis; earlier ones are not its treatment."""
-    rows = episodes.join(diagnosed.select("patient_id", "first_diagnosis_date"), "patient_id").where("treatment_start_date >= first_diagnosis_date")
-    return rows.groupBy("patient_id").agg(F.min("treatment_start_date").alias("first_treatment_date"))
+def treatments(diagnosed: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Per patient, in one pass over the episodes: the first that begins on or after the first diagnosis (earlier
+    ones are not its treatment), and whether any holds immunotherapy."""
+    rows = episodes.join(diagnosed.select("patient_id", "first_diagnosis_date"), "patient_id")
+    start = F.when(F.col("treatment_start_date") >= F.col("first_diagnosis_date"), F.col("treatment_start_date"))
+    return rows.groupBy("patient_id").agg(F.min(start).alias("first_treatment_date"), F.max("has_io").alias("has_io"))
 
 
 def patient_base(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame, biomarkers: DataFrame, trials: DataFrame, snapshot: Column) -> DataFrame:
     """The cohort: current patients diagnosed by the snapshot, with their first treatment and flags."""
     dx = first_diagnosis(diagnoses).where(F.col("first_diagnosis_date") <= snapshot)
-    io = episodes.groupBy("patient_id").agg(F.max("has_io").alias("has_io"))
     flag = lambda df, name: df.select("patient_id").distinct().withColumn(name, F.lit(True))
-    base = patients.join(dx, "patient_id").join(first_treatment(dx, episodes), "patient_id", "left").join(io, "patient_id", "left")
+    base = patients.join(dx, "patient_id").join(treatments(dx, episodes), "patient_id", "left")
     base = base.join(flag(biomarkers, "has_biomarker"), "patient_id", "left").join(flag(trials, "has_trial"), "patient_id", "left")
     return base.fillna(False, ["has_io", "has_biomarker", "has_trial"]).withColumn("ttt_days", F.datediff("first_treatment_date", "first_diagnosis_date"))
 
@@ -153,12 +154,15 @@ def geographic(base: DataFrame) -> DataFrame:
 
 def journeys(diagnosed: DataFrame, episodes: DataFrame, responses: DataFrame, trials: DataFrame) -> DataFrame:
     """Each patient's path: stage, first-line category, best first-line response, next step."""
-    first = episodes.where("line_of_therapy = 1").select("patient_id", F.col("regimen_category").alias("treatment"), "episode_id")
+    line = lambda k, c: F.max(F.when(F.col("line_of_therapy") == k, c))
+    lines = episodes.where("line_of_therapy <= 2").groupBy("patient_id").agg(
+        line(1, F.col("regimen_category")).alias("treatment"), line(1, F.col("episode_id")).alias("episode_id"), line(2, F.lit(True)).alias("has_second")
+    )
     ranked = F.struct(exprs.response_rank(F.col("response_type")).alias("rank"), "response_type")
-    best = responses.join(first.select("episode_id"), "episode_id", "left_semi").groupBy("patient_id").agg(F.min(ranked).alias("b")).select("patient_id", F.col("b.response_type").alias("response"))
-    second = episodes.where("line_of_therapy = 2").select("patient_id", F.lit(True).alias("has_second"))
+    best = responses.select("patient_id", "episode_id", "response_type").join(lines.select("patient_id", "episode_id"), ["patient_id", "episode_id"], "left_semi")
+    best = best.groupBy("patient_id").agg(F.min(ranked).alias("b")).select("patient_id", F.col("b.response_type").alias("response"))
     trial = trials.select("patient_id").distinct().withColumn("has_trial", F.lit(True))
-    rows = diagnosed.select("patient_id", "stage").join(first.drop("episode_id"), "patient_id", "left").join(best, "patient_id", "left").join(second, "patient_id", "left").join(trial, "patient_id", "left")
+    rows = diagnosed.select("patient_id", "stage").join(lines.drop("episode_id"), "patient_id", "left").join(best, "patient_id", "left").join(trial, "patient_id", "left")
     rows = rows.fillna({"treatment": "No Treatment", "response": "Not Assessed", "has_second": False, "has_trial": False})
     step = (
         F.when(F.col("has_trial"), "Clinical Trial")
