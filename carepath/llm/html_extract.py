@@ -26,10 +26,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that do not break a block of text and are not part of a path.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link nobr output q s samp small span strike strong sub sup time tt u var wbr br ruby rb rt rp area map picture source track param embed base".split())
 BAD_TAGS = frozenset("nav footer aside form button dialog menu menuitem fieldset legend datalist head".split())
+#: Of these, an element is left out though it holds an article: a teaser or a comment.
+STRICT_TAGS = BAD_TAGS - {"form", "fieldset"}
+STRICT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended recommendations teaser teasers".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog tablist".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars rail aside footer footers header masthead topbar "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars rail aside footer footers masthead topbar "
     "comment comments commentlist disqus reply replies respond discussion notice notices cookie cookies consent gdpr popup modal overlay alert "
     "subscribe subscription newsletter signup login register social share sharing sharebar related recommended recommendations "
     "teaser teasers widget widgets toolbar pagination pager search form hidden copyright legal disclaimer skip".split()
@@ -67,6 +70,8 @@ class Element:
     bad: bool
     article: bool
     main: bool
+    header: bool
+    strict: bool  # bad even if it holds an article
 
 
 @dataclass
@@ -79,7 +84,7 @@ class Block:
 def read(page: str) -> tuple[list[Element], list[Block]]:
     """Elements, and blocks of text in page order with white space collapsed. Broken markup is read as browsers
     do in the main: an open paragraph, list item or cell ends where the next begins, stray end tags are passed by."""
-    elements = [Element("", -1, "", False, False, False)]
+    elements = [Element("", -1, "", False, False, False, False, False)]
     blocks: list[Block] = []
     stack = [0]
     held: list[str] = []
@@ -160,13 +165,16 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
 
 
 def _element(tag: str, parent: int, path: str, attrs: str) -> Element:
-    bad, article, main, label = tag in BAD_TAGS, tag == "article", tag == "main", ""
+    strict = tag in STRICT_TAGS
+    bad, article, main, header, label = tag in BAD_TAGS, tag == "article", tag == "main", tag == "header", ""
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 found = {w.lower() for w in SPLIT.split(value) if w}
                 bad |= bool(found & BAD_WORDS)
+                strict |= bool(found & STRICT_WORDS)
+                header |= "header" in found
                 if name == "class":
                     label = "." + value.strip()
             elif name == "role":
@@ -178,8 +186,8 @@ def _element(tag: str, parent: int, path: str, attrs: str) -> Element:
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 bad = True
     if tag in ("html", "body", "main"):
-        bad = False
-    return Element(tag, parent, f"{path}/{tag}{label}", bad, article, main)
+        bad = header = strict = False
+    return Element(tag, parent, f"{path}/{tag}{label}", bad, article, main, header and not article and tag not in HEADINGS, strict)
 
 
 def _chosen(elements: list[Element], blocks: list[Block]) -> list[Block]:
@@ -188,15 +196,15 @@ def _chosen(elements: list[Element], blocks: list[Block]) -> list[Block]:
     kids = np.zeros(n, bool)  # holds an article or main that is not bad itself
     for k in range(n - 1, 0, -1):
         e = elements[k]
-        if kids[k] or (e.article or e.main) and not e.bad:
+        if (kids[k] or (e.article or e.main) and not e.bad) and not e.strict:
             kids[e.parent] = True
     out, region, header = [False] * n, [-1] * n, [False] * n
     for k in range(1, n):
         e = elements[k]
-        out[k] = out[e.parent] or e.bad and not kids[k]
+        out[k] = out[e.parent] or e.bad and (e.strict or not kids[k])
         region[k] = k if (e.article or e.main) and not out[k] else region[e.parent]
         # a page's header is left out; an article's header may hold its headline
-        header[k] = header[e.parent] or e.tag == "header"
+        header[k] = header[e.parent] or e.header
         if header[k] and not kids[k] and region[k] < 0:
             out[k] = True
     good = [b for b in blocks if not out[b.element] and not (header[b.element] and region[b.element] >= 0 and not _heading(elements, b.element))]

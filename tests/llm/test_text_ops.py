@@ -163,6 +163,8 @@ def test_packing_under_a_loss_limit(docs, byte_ids):
     ("<article><h1>T</h1><p>One.<br> two\n three</p><div class=ad>buy</div><div id=comments><p>Nice, post.</p></div></article>", "T\nOne. two three"),
     ("<nav><a href=/>x</a></nav><main><p>Body, text. More.</p></main><footer>f</footer>", "Body, text. More."),
     ("<article><header><h1>Title</h1><p>by me</p></header><p>Body text, here.</p><form><input value=x>Send</form></article>", "Title\nBody text, here."),
+    ("<article><div class='entry-header'><h1 class=header>Title</h1><span>by me</span></div><p>Body text, here.</p></article>", "Title\nBody text, here."),
+    ("<article><p>Body text, here.</p><article class=comment><p>Me too, yes.</p></article></article><section id=comments-area><article><p>Long reply, with marks, and more, yes.</p></article></section>", "Body text, here."),
     ("<body class='no-sidebar'><article><p>Kept, yes.</p></article><aside><p>no, no.</p></aside>", "Kept, yes."),
 ])
 def test_extraction(page, want):
