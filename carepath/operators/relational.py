@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows counts as a code table.
+#: The most rows of a literal that is broadcast as a code table.
 SMALL_ROWS = 100_000
 
 
@@ -158,11 +158,6 @@ def flow_edges(df: DataFrame, levels: Sequence[tuple[str, Column, Column, Column
     return rows.groupBy("filter_value", "level", "category", "source", "target").agg(F.count_distinct(key).alias("patient_count"))
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a code table, given only after its size is counted; a larger one is left to Spark."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def code_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A fixed code map as a frame for broadcast joins; its size is that of the literal."""
     if len(rows) > SMALL_ROWS:

@@ -78,6 +78,19 @@ def test_export_reports_each_table(spark, tmp_path):
         sinks.export(spark, {"bad": good.select(F.raise_error(F.lit("no")).alias("x")), "good": good}, f"{tmp_path}/out2")
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    df = spark.range(200).select((F.col("id") % 20).alias("patient_id"), F.col("id").alias("v"))
+    for name in ("fact_a", "fact_b"):
+        sinks.write_bucketed(df, name, "patient_id", 4)
+        sinks.analyze(spark, name)
+    joined = spark.table("fact_a").join(spark.table("fact_b").hint("merge"), "patient_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    sinks.publish_view(joined, "joined")
+    assert spark.table("joined").count() == 2000
+    for name in ("fact_a", "fact_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 @pytest.fixture(scope="module")
 def records():
     return seed.generate(1000)

@@ -140,3 +140,26 @@ def test_insights(spark):
     geo = spark.createDataFrame([("NY", 10.0), ("TX", 15.1)], "state string, avg_time_to_treatment double")
     got = {x.rule: x.insight_type for x in serve.insights(kpi, ttt, pat, geo).collect()}
     assert got == {"treatment_timeliness": "positive", "late_treatment": "action", "immunotherapy_uptake_rate": "caution", "biomarker_testing_rate": "positive", "clinical_trial_rate": "action", "chemo_io_share": "info", "top_second_line": "info", "state_gap": "caution"}
+
+
+def test_cohort_rules(spark):
+    """Unknown stages count in totals only; treatment before diagnosis is none; the snapshot day counts; a median of 0 stays 0."""
+    people = spark.createDataFrame([("a", "NY"), ("b", None), ("c", "NY"), ("late", "NY")], "patient_id string, state string")
+    dx = spark.createDataFrame(
+        [("1", "a", D("2024-06-15"), "Unknown"), ("2", "a", D("2024-07-01"), "ES-SCLC"), ("3", "b", D("2024-04-01"), "LS-SCLC"), ("4", "c", D("2024-01-01"), "Unknown"), ("5", "late", D("2024-06-16"), "LS-SCLC")],
+        "diagnosis_id string, patient_id string, diagnosis_date date, stage string",
+    )
+    ep = spark.createDataFrame([("a", D("2024-06-15"), True), ("b", D("2024-03-31"), True), ("b", D("2024-04-09"), False), ("c", D("2023-12-31"), False)], "patient_id string, treatment_start_date date, has_io boolean")
+    none = spark.createDataFrame([], "patient_id string")
+    snap = F.lit("2024-06-15").cast("date")
+    base = gold.patient_base(people, dx, ep, spark.createDataFrame([("a",), ("a",)], "patient_id string"), none, snap)
+    assert {r.patient_id: (r.stage, r.ttt_days) for r in base.collect()} == {"a": ("ES-SCLC", 0), "b": ("LS-SCLC", 8), "c": ("Unknown", None)}
+    cube = {(r.stage_filter, r.state_filter): r for r in gold.overview(base, snap).collect()}
+    assert set(cube) == {(None, None), ("ES-SCLC", None), ("LS-SCLC", None), (None, "NY"), ("ES-SCLC", "NY")}
+    r = cube[None, None]
+    assert (r.total_patients, r.new_diagnoses_mtd, r.new_diagnoses_qtd, r.new_diagnoses_ytd) == (3, 1, 2, 3)
+    assert (r.biomarker_testing_rate, r.immunotherapy_uptake_rate, r.clinical_trial_rate) == (33.33, 100.0, 0.0)
+    assert cube["ES-SCLC", None].median_time_to_treatment == 0.0 and cube["LS-SCLC", None].immunotherapy_uptake_rate == 0.0
+    buckets = {r.bucket_label: r.patient_count for r in gold.ttt_distribution(base, snap, zero_filled=True).where("stage_filter is null and state_filter is null").collect()}
+    assert buckets == {"0-7": 1, "8-14": 1, "15-21": 0, "22-30": 0, "31+": 0}
+    assert [r.state for r in gold.geographic(base).collect()] == ["NY"]
