@@ -372,9 +372,29 @@ def patient_rows(t: Frames) -> DataFrame:
     return _listed(t)
 
 
+@query(
+    """
+    , d AS (SELECT patient_id, string_agg(diagnosis_date || ':' || stage, ';' ORDER BY diagnosis_date DESC, diagnosis_id DESC) AS t, count(*) AS n FROM diagnoses GROUP BY patient_id),
+    e AS (SELECT patient_id, string_agg(treatment_start_date || ':' || regimen_category, ';' ORDER BY treatment_start_date DESC) AS t FROM episodes GROUP BY patient_id),
+    x AS (SELECT patient_id, count(*) AS n FROM trials GROUP BY patient_id)
+    SELECT p.patient_id, coalesce(d.t, '') AS diagnoses, CAST(coalesce(d.n, 0) AS INTEGER) AS n_diagnoses, coalesce(e.t, '') AS episodes, CAST(coalesce(x.n, 0) AS INTEGER) AS n_trials
+    FROM patients p LEFT JOIN d ON d.patient_id = p.patient_id LEFT JOIN e ON e.patient_id = p.patient_id LEFT JOIN x ON x.patient_id = p.patient_id"""
+)
+def patient_detail_text(t: Frames) -> DataFrame:
+    """The nested records, newest first, as text."""
+    rows = patient_details(t)
+    shown = lambda c, day, what: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[day].cast("string"), x[what])), ";").alias(c)
+    return rows.select("patient_id", shown("diagnoses", "diagnosis_date", "stage"), F.size("diagnoses").alias("n_diagnoses"), shown("episodes", "treatment_start_date", "regimen_category"), F.size("trials").alias("n_trials"))
+
+
+def patient_details(t: Frames) -> DataFrame:
+    episodes = t.episodes.select("patient_id", "treatment_start_date", "line_of_therapy", "regimen_category")
+    return serve.patient_details(t.patients, diagnoses=(t.diagnoses, "diagnosis_date"), episodes=(episodes, "treatment_start_date"), trials=(t.trials, "day"))
+
+
 @query()
 def patient_detail_nested(t: Frames) -> DataFrame:
-    return serve.patient_details(t.patients, diagnoses=(t.diagnoses, "diagnosis_date"), episodes=(t.episodes.select("patient_id", "treatment_start_date", "line_of_therapy", "regimen_category"), "treatment_start_date"), trials=(t.trials, "day"))
+    return patient_details(t)
 
 
 @query(
@@ -606,7 +626,31 @@ def running_claims(t: Frames) -> DataFrame:
     return t.claims.groupBy("patient_id", "service_date").agg(F.count(F.lit(1)).alias("n")).withColumn("running", F.sum("n").over(w))
 
 
-@query()
+_LEVEL = "CASE WHEN v >= {0} THEN 'positive' WHEN v >= {1} THEN 'caution' ELSE 'action' END"
+
+
+def _kpi_rule(name: str, value: str) -> str:
+    return f"SELECT '{name}' AS rule, {_LEVEL.format(*serve.INSIGHTS[name])} AS insight_type, v AS value FROM (SELECT {value} AS v FROM base)"
+
+
+@query(
+    _PATTERNS
+    + _GEO
+    + f""", rules AS (
+        SELECT 'treatment_timeliness' AS rule, {_LEVEL.format(75, 60)} AS insight_type, v AS value
+        FROM (SELECT {_rate("count(*) FILTER (WHERE ttt_days <= 21)", "count(ttt_days)")} AS v FROM base)
+        UNION ALL SELECT 'late_treatment', 'action', v FROM (SELECT {_rate("count(*) FILTER (WHERE ttt_days >= 31)", "count(ttt_days)")} AS v FROM base) WHERE v >= 10
+        UNION ALL {_kpi_rule("immunotherapy_uptake_rate", _rate("count(*) FILTER (WHERE stage = 'ES-SCLC' AND has_io)", "count(*) FILTER (WHERE stage = 'ES-SCLC')"))}
+        UNION ALL {_kpi_rule("biomarker_testing_rate", _rate("count(*) FILTER (WHERE has_biomarker)", "count(*)"))}
+        UNION ALL {_kpi_rule("clinical_trial_rate", _rate("count(*) FILTER (WHERE has_trial)", "count(*)"))}
+        UNION ALL SELECT 'chemo_only_first_line', 'caution', percentage FROM patterns WHERE stage_filter IS NULL AND line_of_therapy = 1 AND regimen_category = 'Chemo Only' AND percentage > 25
+        UNION ALL SELECT 'chemo_io_share', 'info', percentage FROM patterns WHERE stage_filter IS NULL AND line_of_therapy = 1 AND regimen_category = 'Chemo+IO' AND percentage > 0
+        UNION ALL SELECT 'top_second_line', 'info', max(percentage) FROM patterns WHERE stage_filter IS NULL AND line_of_therapy = 2 HAVING count(*) > 0
+        UNION ALL SELECT 'state_gap', 'caution', round(max(avg_time_to_treatment) - min(avg_time_to_treatment), 1) FROM geo WHERE avg_time_to_treatment > 0
+                  HAVING count(*) > 1 AND max(avg_time_to_treatment) - min(avg_time_to_treatment) > 5
+    )
+    SELECT *, CAST(list_position(['action', 'caution', 'positive', 'info'], insight_type) AS BIGINT) AS position FROM rules"""
+)
 def insights_rules(t: Frames) -> DataFrame:
     kpi = serve.overview(gold.overview(t.base, t.snapshot))
     ttt = serve.time_to_treatment(gold.ttt_distribution(t.base, t.snapshot, zero_filled=True))
