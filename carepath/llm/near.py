@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, join_ids, partitions, written
+from .common import drop_written, partitions, written
 from .components import components
 
 #: Members of a block.
@@ -123,8 +123,6 @@ def _block(bucket: int, i: int, j: int, group: list[tuple], verify: Verify) -> l
     if i < j:
         side = np.array(mine)
         ask &= side[:, None] != side[None, :]
-    elif len({*map(tuple, ids)}) == 1 and ids[0][0] == bucket:
-        pass  # every pair's least common bucket is this one
     # the least common bucket of a pair owns it: a smaller one that both are in asks for it there
     smaller: dict[int, list[int]] = {}
     for k, x in enumerate(ids):
@@ -190,5 +188,3 @@ def jaccard_verifier(similarity: float) -> Verify:
 
     return verify
 
-
-__all__ = ["BLOCK", "jaccard_verifier", "join_ids", "near_links"]

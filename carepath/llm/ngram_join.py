@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
+from .common import join_ids, map_batches, pieces, texts_of, written
 from .near import jaccard_verifier, near_links
 from .shingles import SHINGLE, band_keys, choose_bands, shingles
 
@@ -84,5 +84,3 @@ def ngram_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     gone = written(classes.where("class_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
     return join_ids(docs, gone, id_col, "left_anti")
 
-
-__all__ = ["drop_written", "jaccard_links", "ngram_dedup", "ngram_join"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
+from .common import join_ids, map_batches, pieces, texts_of, written
 from .ngram_join import shingle_sets, signatures
 from .near import jaccard_verifier, near_links
 from .shingles import MULT, SHINGLE, choose_bands, mix, word_hashes

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from carepath.llm import edit_fingerprint, exact_dedup, near, ngram_join, packing, quality, queries, shingles, substring_dedup
+from carepath.llm import edit_fingerprint, exact_dedup, near, ngram_join, quality, queries, shingles, substring_dedup
 from carepath.llm.components import components
 
 EXTRA = "lines string, words int, id string, kept string, rank string, score double"
@@ -341,5 +341,3 @@ def test_every_operator_has_its_query(spark, sf_dir):
     for f in queries.QUERIES.values():
         assert f(spark, sf_dir).count() > 0
 
-
-assert packing
