@@ -10,7 +10,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs
 from . import gold, silver
 
 SNAPSHOT = "2001-06-15"

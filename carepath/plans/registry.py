@@ -37,7 +37,6 @@ _CUBE = """
     )
     SELECT {columns} FROM cells {join} WHERE (gs = 1 OR stage IS NOT NULL) AND (gt = 1 OR state IS NOT NULL)
 """
-_RATE = "CASE WHEN {n} > 0 THEN round(100.0 * {k} / {n}, {d}) ELSE 0.0 END"
 
 
 def _rate(k: str, n: str, d: int = 2) -> str:
