@@ -4,8 +4,9 @@ Two kinds of paragraphs are looked at:
 - lines of at least LEAST_WORDS words, by MinHash banding: colliding lines are verified by exact Jaccard
   similarity of their word 5-grams and clustered by components; the first line of a cluster stays;
 - passages inside lines or across them. Every word 5-gram whose hash is the least among WINNOW in a row
-  starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies. A run of
-  WINNOW + PASSAGE - 1 or more words that two documents share, wherever it starts, holds such a passage.
+  starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies, and go on at
+  both ends as far as the words stay the same. A run of WINNOW + PASSAGE - 1 or more words that two
+  documents share, wherever it starts, holds such a passage, and goes whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, map_batches, pieces, texts_of, written
+from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
 from .ngram_join import shingle_sets, signatures
 from .near import jaccard_verifier, near_links
 from .shingles import MULT, SHINGLE, choose_bands, mix, word_hashes
@@ -124,30 +125,80 @@ def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float
         documents = written(documents, "line-documents")
         return shingle_sets(join_ids(long_lines(join_ids(rows, documents, "id", "left_semi")), ids, "id", "left_semi"), SHINGLE)
 
-    found = near_links(items, payload, "binary", jaccard_verifier(similarity)).where("class_size > 1")
+    found = written(near_links(items, payload, "binary", jaccard_verifier(similarity)).where("class_size > 1"), "line-classes")
+    drop_written(items)
     part = lambda c: (F.floor(F.col(c) / LINES).cast("long"), F.pmod(F.col(c), F.lit(LINES)).cast("long"))
     (a, b), (k, m) = part("id"), part("class_id")
     return found.select(a.alias("doc"), b.alias("line"), k.alias("keep_id"), m.alias("keep_line")).withColumnRenamed("doc", "id")
 
 
+def contexts(texts: list[str], firsts: list[list[int]], lasts: list[list[int]], reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each text's passages, hashes of the 1, 2, ... `reach` words before the first place and after the last
+    place of each, one row per passage. Where the text ends they go on, equal for all texts."""
+    left, right = [], []
+    for text, first, last in zip(texts, firsts, lasts):
+        w = _words(text)
+        w = np.r_[np.zeros(reach, np.uint64), w[w != 0], np.zeros(reach + PASSAGE, np.uint64)]
+        for out, start, sign in ((left, np.array(first) + reach - 1, -1), (right, np.array(last) + reach + PASSAGE, 1)):
+            found = w[np.clip(start[:, None] + sign * np.arange(reach), 0, len(w) - 1)]
+            key, columns = np.zeros(len(found), np.uint64), []
+            for k in range(reach):
+                key = mix((key ^ found[:, k]) * MULT + np.uint64(k))
+                columns.append(key.astype(np.uint32).view(np.int32))
+            out.append(np.stack(columns, 1))
+    empty = np.zeros((0, reach), np.int32)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
 def passage_copies(rows: DataFrame) -> DataFrame:
-    """Passages that a document with a smaller id has too: (id, words, keep_id)."""
+    """Passages that a document with a smaller id has too: (id, ranges array<struct<from, to>> of words, keep_id).
+
+    Before the first place of a passage in a document and after the last, a range goes on as far as the words
+    are the ones that stand there in the document in which it stays.
+    """
     found = written(passages(rows), "passages")
     groups = found.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("most")).where("most > keep_id").select("h1", "h2", "keep_id")
-    return found.join(groups, ["h1", "h2"]).where("id <> keep_id").select("id", "words", "keep_id")
+    copies = written(found.join(groups, ["h1", "h2"]), "copies")
+    drop_written(found)
+    places = copies.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))).alias("places"))
+    texts = join_ids(rows, written(copies.select("id").distinct(), "copy-ids"), "id", "left_semi")
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = [[p for p in x] for x in batch.column(2).to_pylist()]
+            flat = [p for x in lists for p in x]
+            # rows that share an id also share its places, which may lie beyond a row's text
+            left, right = contexts(texts_of(batch.column(1)), *([[p[k] for p in x] for x in lists] for k in ("first", "last")))
+            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in lists])
+            wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([p[k] for p in flat], pa.int64()) for k in ("h1", "h2")), wide(left), wide(right)], names=["id", "h1", "h2", "left", "right"])
+
+        return f
+
+    around = map_batches(texts.join(places, "id"), make, "id long, h1 long, h2 long, left array<int>, right array<int>")
+    around = around.groupBy("id", "h1", "h2").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+    near = copies.join(around, ["id", "h1", "h2"])
+    kept = near.where("id = keep_id").select("h1", "h2", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
+    gone = near.where("id <> keep_id").join(kept, ["h1", "h2"])
+    # the hashes are of all words so far, so the equal ones come first
+    same = lambda a, b: F.size(F.filter(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda z: z["x"] == z["y"]))
+    span = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
+    first, last = F.element_at("words", 1), F.element_at("words", -1)
+    grown = F.array(span(first - same("left", "kept_left"), first + PASSAGE), span(last, last + PASSAGE + same("right", "kept_right")))
+    return gone.select("id", F.concat(grown, F.transform("words", lambda w: span(w, w + PASSAGE))).alias("ranges"), "keep_id")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """Documents that lose text: (id, lines array<int>, words array<int>, keep_ids array<long>). Only documents
+    """Documents that lose text: (id, lines array<int>, words array<struct<from, to>>, keep_ids array<long>). Only documents
     that share with another document are listed; a passage repeated within one document stays."""
     lines = line_clusters(rows).where("id <> keep_id").select("id", F.array(F.col("line").cast("int")).alias("lines"), "keep_id")
-    words = passage_copies(rows).select("id", "words", "keep_id")
+    words = passage_copies(rows)
     both = lines.unionByName(words, allowMissingColumns=True)
     places = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return both.groupBy("id").agg(places("lines"), places("words"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
+    return both.groupBy("id").agg(places("lines"), places("ranges").alias("words"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
 
 
-def spans(text: str, lines: list[int], words: list[int], passage: int = PASSAGE) -> list[tuple[int, int]]:
+def spans(text: str, lines: list[int], words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What goes, as ranges of code points, in order and apart."""
     found = []
     if lines:
@@ -159,7 +210,7 @@ def spans(text: str, lines: list[int], words: list[int], passage: int = PASSAGE)
     if words:
         hashes = _words(text)
         places = [m.span() for m, h in zip(WORD.finditer(text), hashes.tolist()) if h]
-        found += [(places[w][0], places[w + passage - 1][1]) for w in words]
+        found += [(places[max(0, a)][0], places[min(b, len(places)) - 1][1]) for a, b in words]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and (a <= out[-1][1] or text[out[-1][1] : a].isspace()):
@@ -212,11 +263,11 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(hit.select("id", "text", "lines", "words", "keep_ids"), make, "doc_id long, n_spans long, removed_chars long, spans array<struct<start: long, end: long>>, keep_doc_ids array<long>").where("n_spans > 0")
 
 
-def _safe_spans(text: str, lines: list[int], words: list[int]) -> list[tuple[int, int]]:
+def _safe_spans(text: str, lines: list[int], words: list[dict]) -> list[tuple[int, int]]:
     """As spans, for a row whose id another text shares: places beyond this text are passed by."""
     n_lines = text.count("\n") + 1
     n_words = int(np.count_nonzero(_words(text))) if words else 0
-    return spans(text, [x for x in lines or [] if x < n_lines], [w for w in words or [] if w + PASSAGE <= n_words])
+    return spans(text, [x for x in lines or [] if x < n_lines], [(r["from"], r["to"]) for r in words or [] if r["from"] + PASSAGE <= n_words])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

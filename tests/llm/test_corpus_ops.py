@@ -160,6 +160,7 @@ def test_substring_dedup_finds_every_shared_passage(spark, passages):
     got = {r.doc_id: r for r in substring_dedup.substring_spans(docs).collect()}
     assert sorted(got) == [*range(20, 60), 203]
     assert all(got[k].keep_doc_ids == [k % 20] for k in range(20, 60))
+    assert all(r.removed_chars >= len(passages.shared[k % 20]) for k, r in got.items() if k < 100)
     texts = dict(passages.rows)
     for k, r in got.items():
         assert r.removed_chars == sum(s.end - s.start for s in r.spans) and r.n_spans == len(r.spans)
@@ -197,7 +198,7 @@ def test_spans_and_cuts():
     assert substring_dedup.without(text, [(8, 23)]) == "one two\nsix"
     assert substring_dedup.without(text, [(0, 27)]) == ""
     assert substring_dedup.without("a b c", [(4, 5)]) == "a b"
-    assert substring_dedup._safe_spans("a b", [5], [0]) == []
+    assert substring_dedup._safe_spans("a b", [5], [{"from": 0, "to": 36}]) == []
 
 
 def slow_walk(text):
