@@ -13,6 +13,7 @@ import base64
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +44,7 @@ def library(name: str) -> Tokenizer:
 
 class ByteBpe:
     def __init__(self, name: str):
-        self.exact = library(name)
+        self.name = name
         self.special = [t["content"] for t in json.load(open(public_tokenizers.path(name)))["added_tokens"]]
         self.fast = None
         ranks = public_tokenizers.path(name).replace(".json", ".tiktoken")
@@ -52,6 +53,11 @@ class ByteBpe:
                 table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def exact(self) -> Tokenizer:
+        """Loaded when first needed: it takes some 100 MB of each worker."""
+        return library(self.name)
+
     def encode_exact(self, text: str) -> list[int]:
         return self.exact.encode(text, add_special_tokens=False).ids
 

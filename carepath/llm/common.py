@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -66,14 +67,31 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a batch that a task turns into Python objects at a time.
+ROWS = 1024
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def tidy() -> None:
+    """Give the memory that a task is done with back to the system: workers are kept and used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that is made once per task; empty batches are passed by."""
+    """mapInArrow with a function of rows that is made once per task; it gets slices of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            yield from map(f, slices(batch))
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, partitions, written
+from .common import drop_written, partitions, slices, tidy, written
 from .components import components
 
 #: Members of a block.
@@ -90,6 +90,7 @@ def _verified(reps: DataFrame, sought: DataFrame, payload, payload_type: str, ve
                 yield _links(out)
                 out = []
         yield _links(out)
+        tidy()
 
     return dealt.mapInArrow(run, "rep long, root long, n_links long")
 
@@ -103,12 +104,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     """Runs of rows with the same first three columns, over batch borders."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != key:
-                if len(held) > 1:
-                    yield key, held
-                key, held = row[:3], []
-            held.append(row[3:])
+        for part in slices(batch, 256):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        yield key, held
+                    key, held = row[:3], []
+                held.append(row[3:])
     if len(held) > 1:
         yield key, held
 
@@ -178,7 +180,7 @@ def jaccard_verifier(similarity: float) -> Verify:
         order = np.argsort(index, kind="stable")
         index, owner = index[order], owner[order]
         common = np.zeros(ask.shape, np.float32)
-        step = max(1, (16 << 20) // max(1, 4 * len(sets)))
+        step = max(1, (8 << 20) // max(1, 4 * len(sets)))
         for a in range(0, len(values), step):
             lo, hi = np.searchsorted(index, (a, a + step))
             seen = np.zeros((len(sets), min(step, len(values) - a)), np.float32)

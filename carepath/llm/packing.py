@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bytebpe import byte_bpe
-from .common import texts_of
+from .common import slices, texts_of, tidy
 
 #: Examples that a task holds at once to choose from; its memory is this times the token limit.
 WINDOW = 2048
@@ -139,7 +139,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         step = min(tokens, loss)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fresh = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 ids = np.append(bpe.ids(text), np.uint32(end_id)).astype("<u4")
@@ -164,5 +164,6 @@ def pack_documents(
             take(packer.drain(WINDOW))
         take(packer.finish())
         yield out()
+        tidy()
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, SCHEMA)

@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-#: Words whose hash is kept per Python worker, about 60 MB.
-KEPT = 400_000
+#: Words whose hash is kept per Python worker, about 40 MB.
+KEPT = 250_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
