@@ -29,9 +29,8 @@ from .common import BROADCAST_IDS, map_batches, partitions, texts_of, written
 MAGIC = b"RPR1"
 #: Ids of a shard, about; a longer document makes a longer shard.
 SHARD_IDS = 2_000_000
-#: Rounds of replacement, pairs replaced in a round, the least count of a pair (of those counted), and the
-#: share of a shard, in strides, on which pairs are counted to choose the rules.
-ROUNDS, RULES, LEAST, STRIDE, RUN = 2, 8192, 8, 8, 4096
+#: Pairs replaced in a round at most, and the least count of a pair.
+RULES, LEAST = 8192, 8
 SLOTS = 1 << 20
 #: Symbols that are replaced or expanded at a time.
 BLOCK = 1 << 17
@@ -41,53 +40,68 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (left, right) and the first nonterminal of a shard; `ends` marks each document's last id.
 
-    Each round counts pairs, gives the most frequent ones nonterminals, and replaces them from left to
-    right, without overlap. Which pairs get rules follows the counts of a stride of the shard; the
-    replacement covers all of it.
+    Each round counts the pairs of the whole shard, gives the most frequent ones nonterminals, and replaces
+    them from left to right, without overlap; rounds go on until no pair is left that occurs LEAST times (or
+    for so many `rounds`).
     """
     seq, last = ids.astype(np.uint32), ends.copy()
     first = top = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
+    while rounds is None or len(rules) < rounds:
+        rule = _frequent(seq, last)
+        if not len(rule):
             break
-        n = len(seq) - 1
-        if n > 4 * RUN * STRIDE:
-            rows = n // (RUN * STRIDE)
-            pick = (np.arange(rows)[:, None] * (RUN * STRIDE) + np.arange(RUN)).ravel()
-            left, right, inner = seq[pick], seq[pick + 1], ~last[pick]
-        else:
-            left, right, inner = seq[:-1], seq[1:], ~last[:-1]
-        pairs = (left[inner].astype(np.uint64) << np.uint64(32)) | right[inner]
-        pairs.sort()
-        start = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[start, len(pairs)])
-        often = np.flatnonzero(count >= LEAST)
-        if len(often) > RULES:
-            often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES]])
-        if not len(often):
-            break
-        chosen = pairs[start[often]]
-        order = np.argsort(-count[often], kind="stable")
-        rule = np.stack([chosen[order] >> np.uint64(32), chosen[order] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        # of pairs that share a slot of the table the most frequent one stays
-        slot, keep = np.unique(_slot(rule[:, 0], rule[:, 1]), return_index=True)
-        rule = rule[np.sort(keep)]
         table = np.full(SLOTS, -1, np.int16)
         table[_slot(rule[:, 0], rule[:, 1])] = np.arange(len(rule), dtype=np.int16)
-        # blocks that fit in a cache; a pair over the border of two blocks stays
-        done = [_replace(seq[k : k + BLOCK], last[k : k + BLOCK], table, rule, top) for k in range(0, len(seq), BLOCK)]
+        # blocks that fit in a cache, each up to the end of a document, over which no pair goes
+        stops = np.flatnonzero(last) + 1
+        cuts = np.unique(np.r_[0, stops[np.searchsorted(stops, np.arange(BLOCK, stops[-1], BLOCK))], len(seq)] if len(stops) else [0, len(seq)])
+        done = [_replace(seq[a:b], last[a:b], table, rule, top) for a, b in zip(cuts[:-1], cuts[1:])]
         seq, last = (np.concatenate(x) for x in zip(*done))
+        # a pair whose places all overlap with other pairs' needs no rule
+        used = np.zeros(len(rule), bool)
+        used[seq[seq >= top] - np.uint32(top)] = True
+        if not used.all():
+            number = np.r_[np.arange(top), top + np.cumsum(used) - 1].astype(np.uint32)
+            seq, rule = number[seq], rule[used]
         rules.append(rule)
         top += len(rule)
-        if len(seq) > 0.99 * (n + 1):
-            break
     return seq, np.vstack(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
+def _frequent(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """At most RULES pairs that occur LEAST times or more without overlap, the most frequent ones first, one to
+    a slot of the table."""
+    at = np.flatnonzero(~last[:-1])
+    left, right = seq[at], seq[at + 1]
+    # in a run of one symbol every other place counts
+    same = np.flatnonzero(left == right)
+    if len(same):
+        step = np.arange(len(same))
+        begin = np.maximum.accumulate(np.where(np.r_[True, at[same[1:]] != at[same[:-1]] + 1], step, 0))
+        stay = np.ones(len(at), bool)
+        stay[same[(step - begin) % 2 == 1]] = False
+        left, right = left[stay], right[stay]
+    # only pairs whose slot is hit often enough can be frequent
+    slot = _slot(left, right)
+    often = (np.bincount(slot, minlength=SLOTS) >= LEAST)[slot]
+    pairs = (left[often].astype(np.uint64) << np.uint64(32)) | right[often]
+    if not len(pairs):
+        return np.zeros((0, 2), np.uint32)
+    pairs.sort()
+    start = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    count = np.diff(np.r_[start, len(pairs)])
+    order = np.argsort(-count, kind="stable")
+    chosen = pairs[start[order[: min(RULES, int((count >= LEAST).sum()))]]]
+    rule = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    # of pairs that share a slot the most frequent one stays; the others have their turn in later rounds
+    keep = np.unique(_slot(rule[:, 0], rule[:, 1]), return_index=True)[1]
+    return rule[np.sort(keep)]
+
+
 def _replace(seq: np.ndarray, last: np.ndarray, table: np.ndarray, rule: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """A block with the rules' pairs replaced from left to right."""
     left, right = seq[:-1], seq[1:]
@@ -162,7 +176,7 @@ def _unpack(raw: memoryview, n: int, bits: int, a: int, b: int) -> np.ndarray:
     return out
 
 
-def write_shard(docs: list[tuple[int | None, np.ndarray]], rounds: int = ROUNDS) -> bytes:
+def write_shard(docs: list[tuple[int | None, np.ndarray]], rounds: int | None = None) -> bytes:
     """A shard file of (doc_id, ids of at least one id) in the given order."""
     sizes = np.array([len(x) for _, x in docs], np.int64)
     ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.uint32)

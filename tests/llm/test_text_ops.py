@@ -187,3 +187,24 @@ def test_extract_pages(spark, sf_dir):
     rows = html_extract.extract_pages(pages).collect()
     assert len(rows) == pages.count() and all(r.n_chars == len(r.text) for r in rows)
     assert sum(r.n_chars > 0 for r in rows) == len(rows) - 1
+
+
+def test_replacement_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    n = 300_000
+    ids = rng.integers(0, 40_000, n).astype(np.uint32)
+    # a phrase that stands only outside the first eighth of each 32,768 ids, and one id repeated
+    phrase = np.arange(50_000, 50_008, dtype=np.uint32)
+    for k in range(0, n - 32_768, 32_768):
+        for at in range(k + 8192, k + 8192 + 40 * 16, 16):
+            ids[at : at + 8] = phrase
+    docs = [(0, ids), (1, np.full(100_000, 7, np.uint32)), (2, np.tile(rng.integers(0, 40_000, 50).astype(np.uint32), 2000))]
+    s = repair.Shard(repair.write_shard(docs))
+    assert [s.decode(k).tolist() for k in range(3)] == [x.tolist() for _, x in docs]
+    whole = [repair.expand(np.array([s.first + k], np.uint32), s.rules, s.first).tolist() for k in range(len(s.rules))]
+    assert phrase.tolist() in whole
+    assert s.n_symbols - s.where[1] < 100  # what two documents of 100,000 ids each shrink to
+    symbols = np.concatenate([repair._unpack(s.data, s.n_symbols, s.bits, int(a), int(b)) for a, b in [(0, s.n_symbols)]])
+    ends = np.zeros(len(symbols), bool)
+    ends[[*(s.where[1:] - 1), -1]] = True
+    assert len(repair._frequent(symbols, ends)) == 0
