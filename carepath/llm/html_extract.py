@@ -3,8 +3,9 @@
 A page is read into blocks of text, each with the tag path from the root to it. Text length and punctuation
 are summed per path; their ratios to the path's number of blocks are smoothed over the page, fused, and
 thresholded to choose the paths that hold content. Elements that never are content (menus, footers, forms,
-adverts, comments and the like, by tag, role or class) are left out before, and where a page marks its
-article, the paths inside it are the ones that compete.
+adverts, comments and the like, by tag, role or class) are left out before. Where a page marks articles or a
+main part, the mark is a prior: the ratio that a path needs is lower in the largest marked regions than in
+the other ones, and higher outside all of them.
 """
 
 from __future__ import annotations
@@ -60,6 +61,10 @@ MARK = re.compile(r"[.,;:!?…。，、！？；：]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Width of the smoothing in blocks, and the share of the mean fused ratio that a path needs.
 SMOOTH, SHARE = 1.0, 0.25
+#: What the share is multiplied by outside the marked regions, inside them (and on pages without any), and in
+#: the ones that hold nearly as much text as the largest.
+PRIOR = np.array([4.0, 1.0, 0.5])
+OUTSIDE, NEUTRAL, CORE = range(3)
 
 
 @dataclass
@@ -190,8 +195,8 @@ def _element(tag: str, parent: int, path: str, attrs: str) -> Element:
     return Element(tag, parent, f"{path}/{tag}{label}", bad, article, main, header and not article and tag not in HEADINGS, strict)
 
 
-def _chosen(elements: list[Element], blocks: list[Block]) -> list[Block]:
-    """Blocks outside bad elements, and of these the ones inside the page's article if it marks one."""
+def _chosen(elements: list[Element], blocks: list[Block]) -> tuple[list[Block], np.ndarray]:
+    """Blocks outside bad elements, and for each one where it stands to the regions that the page marks."""
     n = len(elements)
     kids = np.zeros(n, bool)  # holds an article or main that is not bad itself
     for k in range(n - 1, 0, -1):
@@ -216,17 +221,20 @@ def _chosen(elements: list[Element], blocks: list[Block]) -> list[Block]:
             size[k] += len(b.text) - b.links
             k = region[elements[k].parent]
     if not size or not max(size.values()):
-        return good
+        return good, np.full(len(good), NEUTRAL)
     most = max(size.values())
-    # the innermost of the regions that hold nearly all of the text of the largest
-    best = max(k for k, v in size.items() if v >= 0.7 * most)
-
-    def inside(k: int) -> bool:
-        while k > best:
-            k = elements[k].parent
-        return k == best
-
-    return [b for b in good if inside(b.element)]
+    # the core is regions of nearly as much text as the largest, without those that have such a one inside
+    core = {k for k, v in size.items() if v >= 0.7 * most}
+    for k in sorted(core, reverse=True):
+        k = region[elements[k].parent]
+        while k > 0:
+            core.discard(k)
+            k = region[elements[k].parent]
+    level = [OUTSIDE] * n
+    for k in range(1, n):
+        up = level[elements[k].parent]
+        level[k] = CORE if k in core else max(NEUTRAL, up) if region[k] == k else up
+    return good, np.array([level[b.element] for b in good])
 
 
 def _heading(elements: list[Element], k: int) -> bool:
@@ -237,32 +245,35 @@ def _heading(elements: list[Element], k: int) -> bool:
     return False
 
 
-def _by_ratio(elements: list[Element], blocks: list[Block], marked: bool) -> list[Block]:
-    """Blocks whose path's smoothed and fused ratios of text and punctuation pass the threshold."""
+def _by_ratio(elements: list[Element], blocks: list[Block], level: np.ndarray) -> list[Block]:
+    """Blocks whose path's smoothed and fused ratios of text and punctuation pass the threshold of their level."""
     if len(blocks) < 2:
         return blocks
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for b in blocks:
-        s = sums[elements[b.element].path]
+    paths = [(k, elements[b.element].path) for k, b in zip(level.tolist(), blocks)]
+    sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    for path, b in zip(paths, blocks):
+        s = sums[path]
         s[0] += len(b.text)
         s[1] += len(MARK.findall(b.text))
         s[2] += 1
         s[3] += b.links
-    text, marks, linked = (np.array(x) for x in zip(*((s[0] / s[2], (s[1] + 0.5) / s[2], s[3] / s[0]) for s in (sums[elements[b.element].path] for b in blocks))))
-    if marked:  # inside the article every path is content but lists of links
-        keep = linked < 0.6
-    else:
-        near = np.exp(-0.5 * (np.arange(-3, 4) / SMOOTH) ** 2)
-        near /= near.sum()
-        smooth = lambda x: np.convolve(np.pad(x, 3, mode="edge"), near, "valid")
-        fused = np.sqrt(smooth(text) * smooth(marks)) * (1 - linked)
-        size = np.array([len(b.text) for b in blocks], float)
-        keep = (fused >= SHARE * (fused @ size) / size.sum()) & (linked < 0.6) & (text >= 20)
-        # a heading goes with the content that follows it
-        for k in range(len(blocks) - 2, -1, -1):
-            if _heading(elements, blocks[k].element):
-                keep[k] = keep[k + 1] and linked[k] < 0.6
-    return [b for b, k in zip(blocks, keep.tolist()) if k] or blocks
+    text, marks, linked = (np.array(x) for x in zip(*((s[0] / s[2], (s[1] + 0.5) / s[2], s[3] / s[0]) for s in (sums[path] for path in paths))))
+    near = np.exp(-0.5 * (np.arange(-3, 4) / SMOOTH) ** 2)
+    near /= near.sum()
+    smooth = lambda x: np.convolve(np.pad(x, 3, mode="edge"), near, "valid")
+    fused = np.sqrt(smooth(text) * smooth(marks)) * (1 - linked)
+    size = np.where(level > OUTSIDE, [len(b.text) for b in blocks], 0.0)
+    keep = (fused >= SHARE * PRIOR[level] * (fused @ size) / max(1.0, size.sum())) & (linked < 0.6) & ((text >= 20) | (level == CORE))
+    # a heading goes with the content that follows it, in the core up to the next heading
+    heading = [_heading(elements, b.element) for b in blocks]
+    follows = bool(keep[-1])
+    for k in range(len(blocks) - 2, -1, -1):
+        if heading[k]:
+            keep[k] = (follows if level[k] == CORE else keep[k + 1]) and linked[k] < 0.6
+            follows = bool(keep[k]) and heading[k - 1]
+        else:
+            follows = follows and not heading[k + 1] or bool(keep[k])
+    return [b for b, k in zip(blocks, keep.tolist()) if k] or [b for b, k in zip(blocks, level.tolist()) if k > OUTSIDE]
 
 
 def extract(page: str) -> str:
@@ -270,9 +281,7 @@ def extract(page: str) -> str:
     if not page:
         return ""
     elements, blocks = read(page)
-    good = _chosen(elements, blocks)
-    marked = any((e.article or e.main) and not e.bad for e in elements)
-    return "\n".join(b.text for b in _by_ratio(elements, good, marked))
+    return "\n".join(b.text for b in _by_ratio(elements, *_chosen(elements, blocks)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -208,3 +208,18 @@ def test_replacement_goes_on_until_no_pair_is_frequent():
     ends = np.zeros(len(symbols), bool)
     ends[[*(s.where[1:] - 1), -1]] = True
     assert len(repair._frequent(symbols, ends)) == 0
+
+
+def test_ratios_decide_inside_marked_regions():
+    prose = lambda k: f"<p>Paragraph {k} has words, commas, and sentences of some length. It goes on, as such text does, for a while.</p>"
+    # sibling regions of nearly the same size are joined
+    first, second = ("".join(map(prose, ks)) for ks in ((1, 2, 3), (4, 5, 6)))
+    got = html_extract.extract(f"<body><main><article>{first}</article><article>{second}</article></main></body>")
+    assert [x.split()[1] for x in got.split("\n")] == list("123456")
+    # a path of short pieces without punctuation falls inside an article, far from prose
+    tags = "".join(f"<div class=tag>tag {k}</div>" for k in range(8))
+    got = html_extract.extract(f"<body><article><h1>Title of it</h1>{first}{second}{tags}</article></body>").split("\n")
+    assert got[0] == "Title of it" and len(got) < 11 and "tag 7" not in got
+    # text that a page leaves outside its mark stands if it is as dense, short text there does not
+    got = html_extract.extract(f"<body><div>Terms</div><article>{prose(1)}</article><div class=x>Terms</div><div class=body>{first}{second}</div></body>")
+    assert "Paragraph 6" in got and "Terms" not in got
