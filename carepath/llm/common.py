@@ -56,8 +56,8 @@ def drop_scratch(spark: SparkSession) -> None:
         _delete(spark, _scratch.pop())
 
 
-def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join by id. `ids` must be cheap to read twice (a written table): its size is counted,
+def join_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """Semi, anti or inner join by id. `ids` must be cheap to read twice (a written table): its size is counted,
     and it is broadcast up to BROADCAST_IDS rows and shuffled beyond."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids, key, how)

@@ -19,8 +19,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text").where("id is not null")
 
 
-def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
-    """(id, text) to (id, same, bands): a 128-bit digest of the set of n-grams, and its MinHash band keys."""
+def signatures(rows: DataFrame, n: int, bands: int, band_rows: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text) to (id, same, bands): a 128-bit digest of the set of n-grams, and its MinHash band keys;
+    the long columns `also` go along."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -35,11 +36,11 @@ def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame
                 keys += [row if size else row[:0] for row, size in zip(found, sizes.tolist())]
             flat = pa.array(np.concatenate(keys), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], names=["id", "same", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists, *batch.columns[2:]], names=["id", "same", "bands", *also])
 
         return f
 
-    return map_batches(rows, make, "id long, same binary, bands array<long>")
+    return map_batches(rows.select("id", "text", *also), make, "id long, same binary, bands array<long>" + "".join(f", {c} long" for c in also))
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:

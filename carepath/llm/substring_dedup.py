@@ -26,8 +26,6 @@ from .shingles import MULT, SHINGLE, choose_bands, mix, word_hashes
 LEAST_WORDS = 36
 WINNOW, PASSAGE = 16, 36
 SIMILARITY, RECALL = 0.8, 0.98
-#: Lines that banding compares, per document; ids are doc_id * LINES + line.
-LINES = 1 << 23
 WORD = re.compile(r"\S+")
 
 
@@ -108,28 +106,31 @@ def passages(rows: DataFrame) -> DataFrame:
 
 
 def long_lines(rows: DataFrame) -> DataFrame:
-    """(id, text) to (id, text) of lines of at least LEAST_WORDS words, with id = document * LINES + line."""
-    lines = rows.where(f"id between {-(2**39)} and {2**39}").select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    """(id, text) to (doc, line, text) of lines of at least LEAST_WORDS words."""
+    lines = rows.select(F.col("id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
     spaces = F.length("text") - F.length(F.translate("text", " \t", ""))
-    return lines.where((spaces >= LEAST_WORDS - 1) & (F.col("line") < LINES)).select((F.col("id") * LINES + F.col("line")).alias("id"), "text")
+    return lines.where(spaces >= LEAST_WORDS - 1).select("doc", F.col("line").cast("long").alias("line"), "text")
 
 
 def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Long lines in a cluster of two or more: (id, line, keep_id, keep_line)."""
-    lines = long_lines(rows)
     bands, band_rows = choose_bands(similarity, recall, 64)
-    items = written(signatures(lines, SHINGLE, bands, band_rows), "lines")
+    # a line's number is fixed once it is written; any document ids and numbers of lines take part
+    numbered = long_lines(rows).withColumn("id", F.monotonically_increasing_id())
+    items = written(signatures(numbered, SHINGLE, bands, band_rows, ("doc", "line")), "lines")
+    places = items.select("id", "doc", "line")
 
     def payload(ids: DataFrame) -> DataFrame:
-        documents = ids.select(F.floor(F.col("id") / LINES).cast("long").alias("id")).distinct()
-        documents = written(documents, "line-documents")
-        return shingle_sets(join_ids(long_lines(join_ids(rows, documents, "id", "left_semi")), ids, "id", "left_semi"), SHINGLE)
+        wanted = written(places.join(ids, "id", "left_semi"), "line-places")
+        documents = written(wanted.select(F.col("doc").alias("id")).distinct(), "line-documents")
+        lines = long_lines(join_ids(rows, documents, "id", "left_semi"))
+        return shingle_sets(join_ids(lines, wanted, ["doc", "line"], "inner").select("id", "text"), SHINGLE)
 
-    found = written(near_links(items, payload, "binary", jaccard_verifier(similarity)).where("class_size > 1"), "line-classes")
+    found = near_links(items, payload, "binary", jaccard_verifier(similarity)).where("class_size > 1")
+    found = written(found.select("id", "class_id").join(places, "id"), "line-classes")
     drop_written(items)
-    part = lambda c: (F.floor(F.col(c) / LINES).cast("long"), F.pmod(F.col(c), F.lit(LINES)).cast("long"))
-    (a, b), (k, m) = part("id"), part("class_id")
-    return found.select(a.alias("doc"), b.alias("line"), k.alias("keep_id"), m.alias("keep_line")).withColumnRenamed("doc", "id")
+    kept = written(found.groupBy("class_id").agg(F.min(F.struct("doc", "line")).alias("keep")), "line-kept")
+    return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), "line", F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
 def contexts(texts: list[str], firsts: list[list[int]], lasts: list[list[int]], reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +245,7 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of each cluster of near-duplicate long lines, and of each repeated passage, the occurrence in the
     document with the smallest id stays. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
-    An empty table gives an empty table. Ids beyond 2^39 take part by passages only.
+    An empty table gives an empty table.
     """
     rows = _rows(docs, id_col, text_col)
     gone = written(removals(rows), "removals")

@@ -342,3 +342,18 @@ def test_every_operator_has_its_query(spark, sf_dir):
     for f in queries.QUERIES.values():
         assert f(spark, sf_dir).count() > 0
 
+
+
+def test_lines_of_documents_with_any_long_id_are_cut(spark):
+    rng = random.Random(6)
+    line = words(rng, 120).split()
+    rows = []
+    for k, doc in enumerate((-(2**63), -(2**50), 7, 2**39 + 1, 2**63 - 1)):
+        w = list(line)
+        w[20 * k + 5] = words(rng, 1)
+        rows.append((doc, words(rng, 60) + "\n" + " ".join(w) + "\n" + words(rng, 40)))
+    got = substring_dedup.line_clusters(spark.createDataFrame(rows, "id long, text string")).collect()
+    pairs = brute_links([(k, t.split("\n")[1]) for k, (_, t) in enumerate(rows)])
+    root = edges_of(5, pairs)
+    want = {(rows[k][0], 1, rows[root[k]][0], 1) for k in range(5) if root.count(root[k]) > 1}
+    assert want and {tuple(r) for r in got} == want
