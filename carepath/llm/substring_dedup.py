@@ -1,8 +1,9 @@
 """Substring dedup: passages that several documents share stay in one and are removed from the others.
 
 Two kinds of paragraphs are looked at:
-- lines of at least LEAST_WORDS words, by MinHash banding: colliding lines are verified by exact Jaccard
-  similarity of their word 5-grams and clustered by components; the first line of a cluster stays;
+- lines of at least LEAST_WORDS words, and blocks of lines between blank ones, by MinHash banding: colliding
+  paragraphs are verified by exact Jaccard similarity of their word 5-grams and clustered by components; the
+  first one of a cluster stays;
 - passages inside lines or across them. Every word 5-gram whose hash is the least among WINNOW in a row
   starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies, and go on at
   both ends as far as the words stay the same. A run of WINNOW + PASSAGE - 1 or more words that two
@@ -15,15 +16,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
-from .ngram_join import shingle_sets, signatures
 from .near import jaccard_verifier, near_links
-from .shingles import MULT, SHINGLE, choose_bands, mix, word_hashes
+from .shingles import MULT, SHINGLE, band_keys, choose_bands, mix, shingles, word_hashes
 
-LEAST_WORDS = 36
+#: Words (as white space separates them) of a line that is a paragraph, and of a block of shorter lines.
+LEAST_WORDS, BLOCK_WORDS = SHINGLE, 36
 WINNOW, PASSAGE = 16, 36
 SIMILARITY, RECALL = 0.8, 0.98
 WORD = re.compile(r"\S+")
@@ -105,32 +107,91 @@ def passages(rows: DataFrame) -> DataFrame:
     return map_batches(rows, make, "id long, h1 long, h2 long, words array<int>")
 
 
-def long_lines(rows: DataFrame) -> DataFrame:
-    """(id, text) to (doc, line, text) of lines of at least LEAST_WORDS words."""
-    lines = rows.select(F.col("id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    spaces = F.length("text") - F.length(F.translate("text", " \t", ""))
-    return lines.where(spaces >= LEAST_WORDS - 1).select("doc", F.col("line").cast("long").alias("line"), "text")
+def paragraphs(text: str) -> list[tuple[int, int, str]]:
+    """First line, last line and text of each paragraph: a line of LEAST_WORDS words or more, or two or more
+    lines between blank ones of which one is such a line, or which have BLOCK_WORDS words together."""
+    lines = text.split("\n")
+    sizes = [len(x.split()) for x in lines]
+    found, begin = [], 0
+    for k, size in enumerate([*sizes, 0]):
+        if size:
+            if size >= LEAST_WORDS:
+                found.append((k, k, lines[k]))
+            continue
+        if k - begin > 1 and (max(sizes[begin:k]) >= LEAST_WORDS or sum(sizes[begin:k]) >= BLOCK_WORDS):
+            found.append((begin, k - 1, "\n".join(lines[begin:k])))
+        begin = k + 1
+    return found
+
+
+def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(id, text) to (doc, line, upto, same, bands) of the paragraphs; a paragraph that only equal sets of
+    5-grams can be similar to has one band."""
+    bands, band_rows = choose_bands(similarity, recall, 64)
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            doc, line, upto, texts = [], [], [], []
+            for k, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                for a, b, t in paragraphs(text):
+                    doc.append(k)
+                    line.append(a)
+                    upto.append(b)
+                    texts.append(t)
+            same, keys = [], [np.zeros(0, np.int64)]
+            for a, b in pieces(texts, 1 << 18, 8192):
+                hashes, sizes = shingles(texts[a:b], SHINGLE)
+                ends = np.cumsum(sizes)
+                found = band_keys(hashes, sizes, bands, band_rows).view(np.int64)
+                for row, s, e in zip(found, (ends - sizes).tolist(), ends.tolist()):
+                    distinct = np.unique(hashes[s:e])
+                    digest = xxhash.xxh3_128_digest(distinct.tobytes())
+                    same.append(digest)
+                    n = len(distinct)
+                    keys.append(row[:0] if not n else row if n >= similarity * (n + 1) else np.frombuffer(digest[:8], np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys[1:])]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            columns = [pa.array(x, pa.int64()) for x in (doc, line, upto)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.binary()), lists], names=["doc", "line", "upto", "same", "bands"])
+
+        return f
+
+    return map_batches(rows.select("id", "text"), make, "doc long, line long, upto long, same binary, bands array<long>")
+
+
+def paragraph_sets(rows: DataFrame) -> DataFrame:
+    """(id, text, places array<struct<id, line, upto>>) to (id, payload): each place's sorted set of 5-grams."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, sets = [], []
+            for text, places in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                lines = text.split("\n")
+                for p in places:
+                    ids.append(p["id"])
+                    sets.append(np.unique(shingles(["\n".join(lines[p["line"] : p["upto"] + 1])], SHINGLE)[0]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "payload"])
+
+        return f
+
+    return map_batches(rows.select("text", "places"), make, "id long, payload binary")
 
 
 def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Long lines in a cluster of two or more: (id, line, keep_id, keep_line)."""
-    bands, band_rows = choose_bands(similarity, recall, 64)
-    # a line's number is fixed once it is written; any document ids and numbers of lines take part
-    numbered = long_lines(rows).withColumn("id", F.monotonically_increasing_id())
-    items = written(signatures(numbered, SHINGLE, bands, band_rows, ("doc", "line")), "lines")
-    places = items.select("id", "doc", "line")
+    """Paragraphs in a cluster of two or more: (id, line, keep_id, keep_line), a row per line."""
+    # a paragraph's number is fixed once it is written; any document ids and numbers of lines take part
+    items = written(paragraph_signatures(rows, similarity, recall).withColumn("id", F.monotonically_increasing_id()), "lines")
+    places = items.select("id", "doc", "line", "upto")
 
     def payload(ids: DataFrame) -> DataFrame:
-        wanted = written(places.join(ids, "id", "left_semi"), "line-places")
-        documents = written(wanted.select(F.col("doc").alias("id")).distinct(), "line-documents")
-        lines = long_lines(join_ids(rows, documents, "id", "left_semi"))
-        return shingle_sets(join_ids(lines, wanted, ["doc", "line"], "inner").select("id", "text"), SHINGLE)
+        wanted = places.join(ids, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "upto")).alias("places"))
+        wanted = written(wanted.withColumnRenamed("doc", "id"), "line-places")
+        return paragraph_sets(join_ids(rows, wanted.select("id"), "id", "left_semi").join(wanted, "id"))
 
     found = near_links(items, payload, "binary", jaccard_verifier(similarity)).where("class_size > 1")
     found = written(found.select("id", "class_id").join(places, "id"), "line-classes")
     drop_written(items)
     kept = written(found.groupBy("class_id").agg(F.min(F.struct("doc", "line")).alias("keep")), "line-kept")
-    return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), "line", F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
+    return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), F.explode(F.sequence("line", "upto")).alias("line"), F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
 def contexts(texts: list[str], firsts: list[list[int]], lasts: list[list[int]], reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +303,7 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document that loses text: doc_id, n_spans, removed_chars, spans (array<struct<start, end>>,
     in code points), keep_doc_ids (the documents in which what it loses stays).
 
-    Of each cluster of near-duplicate long lines, and of each repeated passage, the occurrence in the
+    Of each cluster of near-duplicate paragraphs, and of each repeated passage, the occurrence in the
     document with the smallest id stays. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
     An empty table gives an empty table.

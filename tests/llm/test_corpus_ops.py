@@ -357,3 +357,23 @@ def test_lines_of_documents_with_any_long_id_are_cut(spark):
     root = edges_of(5, pairs)
     want = {(rows[k][0], 1, rows[root[k]][0], 1) for k in range(5) if root.count(root[k]) > 1}
     assert want and {tuple(r) for r in got} == want
+
+
+def test_paragraphs_of_any_length_are_cut(spark):
+    rng = random.Random(7)
+    short, wrapped = words(rng, 12), words(rng, 70).split()
+    rows = []
+    for k in range(4):
+        w = list(wrapped)
+        w[35] = words(rng, 1)  # no run of 51 equal words
+        own = lambda: words(rng, 30)
+        lines = "\n".join(" ".join(w[a : a + 11 + k]) for a in range(0, 70, 11 + k))
+        rows.append((k, own() + "\n" + (short if k % 2 else short.upper() + ".") + "\n" + own() + "\n\n" + lines + "\n\n" + own()))
+    got = {r.doc_id: r for r in substring_dedup.substring_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == [1, 2, 3]
+    for k, r in got.items():
+        text = rows[k][1]
+        gone = [text[s.start : s.end] for s in r.spans]
+        assert len(gone) == 2 and gone[0].lower().strip(".") == short
+        assert len(gone[1].split()) == 70 and r.keep_doc_ids == [0]
+    assert substring_dedup.paragraphs("a b\nc d\n\n1 2 3 4 5") == [(3, 3, "1 2 3 4 5")]
