@@ -5,8 +5,8 @@ Two kinds of paragraphs are looked at:
   paragraphs are verified by exact Jaccard similarity of their word 5-grams and clustered by components; the
   first one of a cluster stays;
 - passages inside lines or across them. Every word 5-gram whose hash is the least among WINNOW in a row
-  starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies, and go on at
-  both ends as far as the words stay the same. A run of WINNOW + PASSAGE - 1 or more words that two
+  starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies. Chains of copies
+  that overlap go on at both ends as far as some document with a smaller id has the same words. A run of WINNOW + PASSAGE - 1 or more words that two
   documents share, wherever it starts, holds such a passage, and goes whole.
 """
 
@@ -194,60 +194,99 @@ def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float
     return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), F.explode(F.sequence("line", "upto")).alias("line"), F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
-def contexts(texts: list[str], firsts: list[list[int]], lasts: list[list[int]], reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
-    """For each text's passages, hashes of the 1, 2, ... `reach` words before the first place and after the last
-    place of each, one row per passage. Where the text ends they go on, equal for all texts."""
-    left, right = [], []
-    for text, first, last in zip(texts, firsts, lasts):
-        w = _words(text)
-        w = np.r_[np.zeros(reach, np.uint64), w[w != 0], np.zeros(reach + PASSAGE, np.uint64)]
-        for out, start, sign in ((left, np.array(first) + reach - 1, -1), (right, np.array(last) + reach + PASSAGE, 1)):
-            found = w[np.clip(start[:, None] + sign * np.arange(reach), 0, len(w) - 1)]
-            key, columns = np.zeros(len(found), np.uint64), []
-            for k in range(reach):
-                key = mix((key ^ found[:, k]) * MULT + np.uint64(k))
-                columns.append(key.astype(np.uint32).view(np.int32))
-            out.append(np.stack(columns, 1))
-    empty = np.zeros((0, reach), np.int32)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+def chain_ends(places: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending first words of passages, the numbers of the first and of the last one of each chain of
+    passages without a gap between them."""
+    apart = np.diff(places) > passage
+    return np.flatnonzero(np.r_[True, apart]), np.flatnonzero(np.r_[apart, True])
+
+
+def context_keys(words: np.ndarray, places: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
+    """A row per passage, given by its first word and hash: 64-bit keys of the passage with the 1, 2, ... `reach`
+    words before it (side 0) or after it (side 1), and how many of these the text has."""
+    key = mix(h1.view(np.uint64) ^ mix(h2.view(np.uint64) + np.uint64(side)))
+    start, step = (places + PASSAGE, 1) if side else (places - 1, -1)
+    keys = np.zeros((len(places), reach), np.uint64)
+    for k in range(reach):
+        at = np.clip(start + step * k, 0, max(0, len(words) - 1))
+        key = mix((key ^ (words[at] if len(words) else np.uint64(0))) * MULT + np.uint64(k))
+        keys[:, k] = key
+    return keys.view(np.int64), np.clip(len(words) - start if side else places, 0, reach)
 
 
 def passage_copies(rows: DataFrame) -> DataFrame:
     """Passages that a document with a smaller id has too: (id, ranges array<struct<from, to>> of words, keep_id).
 
-    Before the first place of a passage in a document and after the last, a range goes on as far as the words
-    are the ones that stand there in the document in which it stays.
+    At both ends of a chain of such passages, a range goes on as far as any place of the same passage in any
+    document with a smaller id has the same words around it.
     """
     found = written(passages(rows), "passages")
     groups = found.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("most")).where("most > keep_id").select("h1", "h2", "keep_id")
     copies = written(found.join(groups, ["h1", "h2"]), "copies")
     drop_written(found)
-    places = copies.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))).alias("places"))
-    texts = join_ids(rows, written(copies.select("id").distinct(), "copy-ids"), "id", "left_semi")
+    gone = copies.where("id <> keep_id")
 
-    def make():
+    def make_ends():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[list] = [[], [], [], [], []]
+            for doc, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                flat = sorted((w, p["h1"], p["h2"]) for p in listed for w in p["words"])
+                for side, which in enumerate(chain_ends(np.array([x[0] for x in flat], np.int64))):
+                    for w, h1, h2 in (flat[k] for k in which.tolist()):
+                        for column, x in zip(out, (doc, h1, h2, w, side)):
+                            column.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "h1", "h2", "place", "side"])
+
+        return f
+
+    listed = lambda t, *c: t.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", *c)).alias("listed"))
+    ends = written(map_batches(listed(gone, "words"), make_ends, "id long, h1 long, h2 long, place long, side long"), "ends")
+    # every document that holds the passage of an end, with all its places there, and the ends of its own
+    sides = written(ends.select("h1", "h2").distinct(), "end-passages")
+    holders = listed(join_ids(copies, sides, ["h1", "h2"], "left_semi"), "words")
+    around = written(holders.join(listed(ends, "place", "side").withColumnRenamed("listed", "ends"), "id", "left"), "holders")
+    texts = join_ids(rows, around.select("id"), "id", "left_semi").join(around, "id").select("id", "text", "listed", "ends")
+
+    def make_keys():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = [[p for p in x] for x in batch.column(2).to_pylist()]
-            flat = [p for x in lists for p in x]
-            # rows that share an id also share its places, which may lie beyond a row's text
-            left, right = contexts(texts_of(batch.column(1)), *([[p[k] for p in x] for x in lists] for k in ("first", "last")))
-            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in lists])
-            wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([p[k] for p in flat], pa.int64()) for k in ("h1", "h2")), wide(left), wide(right)], names=["id", "h1", "h2", "left", "right"])
+            ids, places, which, keys = [], [], [], []
+            for doc, text, listed, own in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                w = _words(text)
+                w = w[w != 0]
+                at = np.array([x for p in listed for x in p["words"]], np.int64)
+                h1, h2 = (np.array([p[h] for p in listed for _ in p["words"]], np.int64) for h in ("h1", "h2"))
+                held = []
+                for side in (0, 1):
+                    k, n = context_keys(w, at, h1, h2, side)
+                    held.append(k[np.arange(k.shape[1]) < n[:, None]])
+                ids.append(doc)
+                places.append(None)
+                which.append(None)
+                keys.append(np.unique(np.concatenate(held)))
+                for side in (0, 1):
+                    mine = [p for p in own or [] if p["side"] == side]
+                    at_, a, b = (np.array([p[c] for p in mine], np.int64) for c in ("place", "h1", "h2"))
+                    k, n = context_keys(w, at_, a, b, side)
+                    for p, row, m in zip(mine, k, n.tolist()):
+                        ids.append(doc)
+                        places.append(p["place"])
+                        which.append(side)
+                        keys.append(row[:m])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, places, which)), lists], names=["id", "place", "side", "keys"])
 
         return f
 
-    around = map_batches(texts.join(places, "id"), make, "id long, h1 long, h2 long, left array<int>, right array<int>")
-    around = around.groupBy("id", "h1", "h2").agg(F.min("left").alias("left"), F.min("right").alias("right"))
-    near = copies.join(around, ["id", "h1", "h2"])
-    kept = near.where("id = keep_id").select("h1", "h2", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
-    gone = near.where("id <> keep_id").join(kept, ["h1", "h2"])
-    # the hashes are of all words so far, so the equal ones come first
-    same = lambda a, b: F.size(F.filter(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda z: z["x"] == z["y"]))
+    keyed = written(map_batches(texts, make_keys, "id long, place long, side long, keys array<long>"), "context-keys")
+    least = keyed.where("place is null").select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
+    least = written(least.select("key", "least"), "contexts")
+    asked = keyed.where("place is not null").select("id", "place", "side", F.posexplode("keys").alias("k", "key"))
+    # what is shared with k words is shared with fewer, so the longest counts
+    far = join_ids(asked, least, "key", "inner").where("least < id").groupBy("id", "place", "side").agg(F.max(F.struct("k", "least")).alias("m"))
     span = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
-    first, last = F.element_at("words", 1), F.element_at("words", -1)
-    grown = F.array(span(first - same("left", "kept_left"), first + PASSAGE), span(last, last + PASSAGE + same("right", "kept_right")))
-    return gone.select("id", F.concat(grown, F.transform("words", lambda w: span(w, w + PASSAGE))).alias("ranges"), "keep_id")
+    left, more = F.when(F.col("side") == 0, F.col("m.k") + 1).otherwise(0), F.when(F.col("side") == 1, F.col("m.k") + 1).otherwise(0)
+    grown = far.select("id", F.array(span(F.col("place") - left, F.col("place") + PASSAGE + more)).alias("ranges"), F.col("m.least").alias("keep_id"))
+    return gone.select("id", F.transform("words", lambda w: span(w, w + PASSAGE)).alias("ranges"), "keep_id").unionByName(grown)
 
 
 def removals(rows: DataFrame) -> DataFrame:

@@ -377,3 +377,22 @@ def test_paragraphs_of_any_length_are_cut(spark):
         assert len(gone) == 2 and gone[0].lower().strip(".") == short
         assert len(gone[1].split()) == 70 and r.keep_doc_ids == [0]
     assert substring_dedup.paragraphs("a b\nc d\n\n1 2 3 4 5") == [(3, 3, "1 2 3 4 5")]
+
+
+def test_runs_go_whole_where_a_document_repeats_them_or_a_smaller_id_has_a_part(spark):
+    rng = random.Random(9)
+    own = lambda: words(rng, 40)
+    rows = []
+    for n in range(8):  # winnowed windows fall differently in each
+        p, run = words(rng, 60), words(rng, 80).split()
+        rows += [(10 * n, f"{own()} {p} {own()}"), (10 * n + 1, f"{own()} {p} {own()} {p} {own()} {p} {own()}")]
+        rows += [(10 * n + 2, f"{own()} {' '.join(run[20:60])} {own()}")]
+        rows += [(10 * n + k, f"{own()} {' '.join(run)} {own()}") for k in (3, 4)]
+    got = {r.doc_id: r for r in substring_dedup.substring_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for n in range(8):
+        r = got[10 * n + 1]
+        assert [len(texts[10 * n + 1][s.start : s.end].split()) for s in r.spans] == [60, 60, 60]
+        r = got[10 * n + 4]
+        assert [len(texts[10 * n + 4][s.start : s.end].split()) for s in r.spans] == [80]
+        assert 10 * n + 3 in r.keep_doc_ids
