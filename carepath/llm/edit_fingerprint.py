@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import join_ids, map_batches, partitions, texts_of, written
 from .near import near_links
+from .shingles import MULT, mix
 
 #: Steps after which the random bits repeat, classes of characters, places sampled per octave, octaves.
 PERIOD, CLASSES, SAMPLES, OCTAVES, SEED = 2048, 256, 24, 34, 11
@@ -270,11 +271,40 @@ def edit_similarity(a: str, b: str, least: float) -> bool:
     return bool(row[m - n + most] <= most)
 
 
-def edit_near(docs: DataFrame, similarity: float = 0.8, bands: int = 24, bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Places of the walk from each character that a band samples from, and the characters it starts from at a time.
+WINDOW, STARTS = 24, 1 << 18
+
+
+def near_keys(text: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """A key per band of a text's classes: the least hash of `bits` sampled places, the same ones for all texts,
+    of the first WINDOW places of a walk that starts anew at each character. Texts agree in a band with a
+    probability of the share of walks that agree in its places, whatever the texts' lengths."""
+    rng = np.random.default_rng(SEED + 3)
+    picks = [rng.choice(WINDOW, bits, replace=False) for _ in range(bands)]
+    out = np.full(bands, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for a in range(0, len(text), STARTS):
+        x = np.r_[text[a : a + STARTS + WINDOW].astype(np.uint64) + np.uint64(1), np.uint64(0)]
+        end = len(x) - 1
+        at = np.arange(min(STARTS, len(text) - a))
+        places = []
+        for j in range(WINDOW):
+            now = x[at]
+            places.append(now)
+            # past the end of the text the walk stays
+            at = np.minimum(at + (STEPS[now.astype(np.int64) - 1, j] == 1), end)
+        for k, pick in enumerate(picks):
+            key = np.full(len(at), k + 1, np.uint64)
+            for j in pick:
+                key = mix(key * MULT + places[j])
+            out[k] = min(out[k], key.min())
+    return out.view(np.int64)
+
+
+def edit_near(docs: DataFrame, similarity: float = 0.8, bands: int = 64, bits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents of nearly the same text: (doc_id, class_id, class_size, copies, n_links), as near_links gives them.
 
-    Each band samples `bits` of a fingerprint's places of one octave that the text fills (its last full one
-    and the one before); documents that agree in a band are verified by their edit distance. Rows without an
+    Each band samples `bits` places of the walks that start at each character, and takes the least of their
+    hashes (see near_keys); documents that agree in a band are verified by their edit distance. Rows without an
     id are left out; null and empty texts are linked to nothing.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text").where("id is not null")
@@ -282,20 +312,8 @@ def edit_near(docs: DataFrame, similarity: float = 0.8, bands: int = 24, bits: i
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch.column(1))
-            same, keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], []
-            rng = np.random.default_rng(SEED + 3)
-            picks = [rng.integers(0, SAMPLES, bits) for _ in range(bands)]
-            for text, marks in zip(texts, fingerprints(texts)):
-                own = []
-                full = int(OCTAVE[len(marks) - 1]) - 1 if len(marks) > SAMPLES else -1
-                for o in {full, full - 1}:
-                    at = int(np.searchsorted(OCTAVE, o))
-                    block = marks[at : at + SAMPLES]
-                    if o >= 0 and len(block) and OCTAVE[at + len(block) - 1] == o:
-                        own += [(o, k, block[p % len(block)].tobytes()) for k, p in enumerate(picks)]
-                if not own and len(marks):
-                    own = [(-1, 0, marks.tobytes())]
-                keys.append([int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little", signed=True) for k in own])
+            same = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            keys = [near_keys(classes(t), bands, bits).tolist() if t else [] for t in texts]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "same", "bands"])
 
         return f

@@ -396,3 +396,37 @@ def test_runs_go_whole_where_a_document_repeats_them_or_a_smaller_id_has_a_part(
         r = got[10 * n + 4]
         assert [len(texts[10 * n + 4][s.start : s.end].split()) for s in r.spans] == [80]
         assert 10 * n + 3 in r.keep_doc_ids
+
+
+def edited_letters(rng, text, share):
+    out = []
+    for c in text:
+        kind = rng.randrange(3) if rng.random() < share else None
+        other = chr(97 + rng.randrange(26))
+        out.append(c if kind is None else "" if kind == 0 else other if kind == 1 else other + c)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", [40, 500, 5000])
+def test_edit_bands_recall_at_any_length(size):
+    rng = random.Random(size)
+    hits = 0
+    for k in range(40):
+        text = "".join(chr(97 + rng.randrange(26)) for _ in range(size))
+        other = edited_letters(rng, text, (0.05, 0.1, 0.2)[k % 3])
+        a, b = (edit_fingerprint.near_keys(edit_fingerprint.classes(t), 64, 10) for t in (text, other))
+        hits += bool((a == b).any())
+    assert hits >= 38
+
+
+def test_edit_near_links_long_and_short_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(9):
+        text = "".join(chr(97 + rng.randrange(26)) for _ in range((40, 500, 3000)[k % 3]))
+        rows += [(2 * k, text), (2 * k + 1, edited_letters(rng, text, 0.15))]
+    got = {r.doc_id: r for r in edit_fingerprint.edit_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    similar = [k for k in range(9) if edit_fingerprint.edit_similarity(texts[2 * k], texts[2 * k + 1], 0.8)]
+    assert len(similar) >= 7
+    assert {k for k in range(9) if got[2 * k + 1].class_id == 2 * k and got[2 * k].n_links == 1} == set(similar)
