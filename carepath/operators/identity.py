@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 
+#: Rounds that are run before labels are looked at for changes.
 ROUNDS = 3
 
 
@@ -27,14 +28,28 @@ def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     own = exprs.key(F.col("source_system"), F.col("source_patient_id"))
     rows = people.withColumns({"_own": own, "_exact": exact, "_fuzzy": fuzzy}).withColumn("_label", F.col("_own"))
     # the least label of a key's rows goes to all of them, over both keys in turn, in each round;
-    # a chain of rows that alternate between the keys settles in half as many rounds as it has links
-    for _ in range(rounds):
-        for key in ("_exact", "_fuzzy"):
-            least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_label").alias("_least"))
-            rows = rows.join(least, key, "left").withColumn("_label", F.coalesce("_least", "_label")).drop("_least")
+    # a chain of rows that alternate between the keys settles in half as many rounds as it has links,
+    # so rounds go on, `rounds` at a time, until the last one changes no label; labels only get smaller
+    while True:
+        for _ in range(rounds):
+            rows = rows.withColumn("_last", F.col("_label"))
+            for key in ("_exact", "_fuzzy"):
+                least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_label").alias("_least"))
+                rows = rows.join(least, key, "left").withColumn("_label", F.coalesce("_least", "_label")).drop("_least")
+        rows = _cut(rows)
+        settled = rows.where("_label <> _last").isEmpty()
+        rows = rows.drop("_last")
+        if settled:
+            break
     return rows.withColumns({"patient_id": F.col("_label"), "match_group": F.coalesce("_exact", "_own")}).drop("_own", "_exact", "_fuzzy", "_label")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Computed rows, whose plan does not grow by the rounds; in the shared folder where there is one."""
+    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    return rows.checkpoint() if shared else rows.localCheckpoint()
+
+
 def golden_records(resolved: DataFrame) -> DataFrame:
     """One row per patient_id: the EHR's newest record, else the newest."""
     w = Window.partitionBy("patient_id").orderBy(F.when(F.col("source_system") == "EHR", 0).otherwise(1), F.col("_ingestion_timestamp").desc(), "source_system", "source_patient_id")

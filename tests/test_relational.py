@@ -95,3 +95,11 @@ def test_expectations_fire(spark):
     assert expect(df, Expectation("negative", F.col("id") < 0)) is df
     with pytest.raises(ExpectationError, match="big"):
         expect(df, Expectation("big", F.col("id") > 1))
+
+
+def test_identity_merges_long_chains(spark):
+    n = 40  # each record shares the ZIP with the one before or the sound of the first name
+    rows = [("A", f"{k:02}", "BCDFGHKLMNPQRSTVWXZJ"[(k + 1) // 2 % 20] + "a" + "bdlmr"[(k + 1) // 2 % 5], "Long", "1980-01-01", f"{k // 2:05}") for k in range(n)]
+    df = spark.createDataFrame(rows, "source_system string, source_patient_id string, first_name string, last_name string, date_of_birth string, zip5 string")
+    got = resolve(df).collect()
+    assert len(got) == n and len({r.patient_id for r in got}) == 1
