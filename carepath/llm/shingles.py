@@ -3,40 +3,20 @@
 from __future__ import annotations
 
 import math
+import sys
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import xxhash
 
 SHINGLE = 5
-#: Words whose hash is kept per Python worker, about 40 MB.
-KEPT = 250_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hash of a chunk's word: the chunk in lower case without the characters at its ends that are
-    neither letters nor digits; 0 if none are left."""
-
-    def __missing__(self, chunk: str) -> int:
-        word = chunk.lower()
-        if not word.isalnum():
-            a, b = 0, len(word)
-            while a < b and not word[a].isalnum():
-                a += 1
-            while a < b and not word[b - 1].isalnum():
-                b -= 1
-            word = word[a:b]
-        value = (xxhash.xxh3_64_intdigest(word) | 1) if word else 0
-        if len(self) < KEPT and len(chunk) <= 48:
-            self[chunk] = value
-        return value
-
-
-_known = WordHashes()
-
-
-def word_hashes(chunks: list[str]) -> np.ndarray:
-    return np.fromiter(map(_known.__getitem__, chunks), np.uint64, len(chunks))
+#: Base of the words' polynomial hash, and its inverse modulo 2^64.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Characters that are hashed at a time; a longer word is hashed alone.
+SPAN = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,35 +25,123 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: 2 white space, 1 letter or digit, 0 other; and 64 mixed bits of its lower case. Powers
+    of the base, and of its inverse."""
+    every = [chr(k) for k in range(sys.maxunicode + 1)]
+    kind = np.fromiter((2 if c.isspace() else c.isalnum() for c in every), np.uint8, len(every))
+    # one character for one: a final sigma is a sigma, and the dotted capital I is a letter of its own
+    lower = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every), np.uint64, len(every))
+    lower[ord("\u03c2")] = ord("\u03c3")
+    powers = [np.cumprod(np.r_[np.uint64(1), np.full(SPAN, x, np.uint64)]) for x in (BASE, INVERSE)]
+    return kind, mix((lower + np.uint64(1)) * MULT), *powers
+
+
+@dataclass
+class Words:
+    """What white space separates, of many texts, one after another."""
+
+    text: np.ndarray  # which text
+    line: np.ndarray  # which line, counted over all texts; each text's first line is a new one
+    start: np.ndarray  # bounds in code points, counted from the text's start
+    end: np.ndarray
+    #: 64-bit hash of the word in lower case without the characters at its ends that are neither letters nor
+    #: digits; 0 if none are left.
+    hash: np.ndarray
+    first_line: np.ndarray  # of each text
+    lines: int
+
+
+def _bounds(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    blank = np.ones(len(kind) + 2, bool)
+    np.equal(kind, 2, out=blank[1:-1])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
+
+
+def read_words(texts: list[str]) -> Words:
+    kinds, bits, power, inverse = _tables()
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[points]
+    start, end = _bounds(kind)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.cumsum(lengths + 1) - lengths - 1
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.r_[at, len(points) + 1])))
+    breaks = np.flatnonzero(points == 10)
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, np.searchsorted(start, breaks), len(start)]))
+    words = Words(text, line, start - at[text], end - at[text], np.zeros(len(start), np.uint64), np.searchsorted(breaks, at), len(breaks) + 1)
+    # without the marks at the ends
+    a, b = start.copy(), end.copy()
+    odd = (kind[a] != 1) | (kind[b - 1] != 1)
+    if odd.any():
+        good = np.flatnonzero(kind == 1)
+        lo, hi = np.searchsorted(good, a[odd]), np.searchsorted(good, b[odd])
+        some = lo < hi
+        k = np.flatnonzero(odd)
+        a[k[some]], b[k[some]] = good[lo[some]], good[hi[some] - 1] + 1
+        b[k[~some]] = a[k[~some]]
+    full = np.flatnonzero(b > a)
+    a, b = a[full], b[full]
+    sums = np.zeros(len(full), np.uint64)
+    k = 0
+    while k < len(full):
+        m = max(k + 1, int(np.searchsorted(b, a[k] + SPAN, "right")))
+        base = int(a[k])
+        size = int(b[m - 1]) - base
+        mixed = bits[points[base : base + size]]
+        if size > SPAN:  # one long word
+            sums[k] = xxhash.xxh3_64_intdigest(mixed.tobytes())
+        else:
+            total = np.zeros(size + 1, np.uint64)
+            mixed *= power[:size]
+            np.cumsum(mixed, out=total[1:])
+            sums[k:m] = (total[b[k:m] - base] - total[a[k:m] - base]) * inverse[a[k:m] - base]
+        k = m
+    words.hash[full] = mix(sums + (b - a).astype(np.uint64) * MULT) | np.uint64(1)
+    return words
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, without zeros, of the words of all texts, and each text's number of them."""
+    words = read_words(texts)
+    some = words.hash != 0
+    return words.hash[some], np.bincount(words.text[some], minlength=len(texts))
+
+
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word n-grams of all texts, one after another, and each text's number of them. A text of
     1 to n - 1 words has one shingle, of all its words; a text without words has none."""
-    words = []
-    for text in texts:
-        w = word_hashes(text.split())
-        w = w[w != 0] if len(w) else w
-        if 0 < len(w) < n:
-            short = np.zeros(n, np.uint64)
-            short[: len(w)] = w
-            w = short
-        words.append(w)
-    return ngrams(words, n)
-
-
-def ngrams(words: list[np.ndarray], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.concatenate([*words, np.zeros(n, np.uint64)]) if len(words) else np.zeros(n, np.uint64)
-    total = len(flat) - n
+    return ngrams(*word_hashes(texts), n)
+
+
+def ngrams(flat: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles, of the texts' word hashes."""
+    short = (sizes > 0) & (sizes < n)
+    if short.any():
+        wide = np.where(short, n, sizes)
+        shift = np.cumsum(wide - sizes) - (wide - sizes)
+        padded = np.zeros(int(wide.sum()), np.uint64)
+        padded[np.arange(len(flat)) + np.repeat(shift, sizes)] = flat
+        flat, sizes = padded, wide
+    h = grams(flat, n)
+    keep = np.ones(len(flat), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, n):
+        keep[ends[sizes >= k] - k] = False
+    return h[keep], np.maximum(sizes - (n - 1), 0)
+
+
+def grams(flat: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """At each word, a hash of it and the n - 1 next ones (of zeros past the end)."""
+    total = len(flat)
+    flat = np.concatenate([flat, np.zeros(n, np.uint64)])
     h = flat[:total].copy()
     for k in range(1, n):
         h *= MULT
         h ^= h >> np.uint64(32)
         h += flat[k : k + total]
-    keep = np.ones(total, bool)
-    ends = np.cumsum(sizes)
-    for k in range(1, n):
-        keep[ends[sizes >= k] - k] = False
-    return mix(h[keep]), np.maximum(sizes - (n - 1), 0)
+    return mix(h)
 
 
 def choose_bands(similarity: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -98,16 +166,27 @@ def band_keys(hashes: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> n
     """MinHash band keys, one row of `bands` 64-bit keys per text; texts without shingles get zeros."""
     out = np.zeros((len(sizes), bands), np.uint64)
     full = np.flatnonzero(sizes)
-    if not len(full):
+    ends = np.cumsum(sizes)
+    out[full] = range_keys(hashes, (ends - sizes)[full], ends[full], bands, rows)
+    return out
+
+
+def range_keys(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash band keys of ranges of hashes, none of them empty, one row of `bands` 64-bit keys per range."""
+    out = np.zeros((len(start), bands), np.uint64)
+    if not len(start):
         return out
-    starts = (np.cumsum(sizes) - sizes)[full]
-    low = hashes.astype(np.uint32)
+    bounds = np.stack([start, end], 1).ravel()
+    low = np.r_[hashes.astype(np.uint32), np.uint32(0)]
+    h, high = np.empty_like(low), np.empty_like(low)
     flip, odd = _constants(bands * rows)
     for b in range(bands):
-        key = np.full(len(full), b + 1, np.uint64)
+        key = np.full(len(start), b + 1, np.uint64)
         for r in range(b * rows, b * rows + rows):
-            h = (low ^ flip[r]) * odd[r]
-            h ^= h >> np.uint32(15)
-            key = mix(key * MULT + np.minimum.reduceat(h, starts).astype(np.uint64))
-        out[full, b] = key
+            np.bitwise_xor(low, flip[r], out=h)
+            np.multiply(h, odd[r], out=h)
+            np.right_shift(h, 15, out=high)
+            np.bitwise_xor(h, high, out=h)
+            key = mix(key * MULT + np.minimum.reduceat(h, bounds)[::2].astype(np.uint64))
+        out[:, b] = key
     return out

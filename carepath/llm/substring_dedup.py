@@ -12,44 +12,33 @@ Two kinds of paragraphs are looked at:
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
 from .near import jaccard_verifier, near_links
-from .shingles import MULT, SHINGLE, band_keys, choose_bands, mix, shingles, word_hashes
+from .shingles import MULT, SHINGLE, Words, choose_bands, grams, mix, range_keys, read_words, word_hashes
 
 #: Words (as white space separates them) of a line that is a paragraph, and of a block of shorter lines.
 LEAST_WORDS, BLOCK_WORDS = SHINGLE, 36
 WINNOW, PASSAGE = 16, 36
 SIMILARITY, RECALL = 0.8, 0.98
-WORD = re.compile(r"\S+")
-
-
-def _words(text: str) -> np.ndarray:
-    return word_hashes(text.split())
+#: Characters of the texts whose words are read at a time, and places whose contexts are.
+CHARS, PLACES = 1 << 18, 1 << 13
 
 
-def anchors(words: list[np.ndarray], n: int = SHINGLE, window: int = WINNOW, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passages of all texts: which text, first word, and a 128-bit hash of the words as two 64-bit numbers.
+def anchors(words: np.ndarray, sizes: np.ndarray, n: int = SHINGLE, window: int = WINNOW, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages of all texts, given by their words' hashes and numbers: which text, first word, and a 128-bit hash
+    of the words as two 64-bit numbers.
 
     A passage starts where an n-gram's hash is the least of some `window` n-grams in a row (the last of
     equals) and ends within its text.
     """
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.concatenate([*words, np.zeros(n, np.uint64)])
-    total = len(flat) - n
-    h = flat[:total].copy()
-    for k in range(1, n):
-        h *= MULT
-        h ^= h >> np.uint64(32)
-        h += flat[k : k + total]
-    h = mix(h)
+    total = len(words)
+    h = grams(words, n)
     text = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     end = np.repeat(ends, sizes)
@@ -71,7 +60,7 @@ def anchors(words: list[np.ndarray], n: int = SHINGLE, window: int = WINNOW, pas
     for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
         key = np.zeros(len(start), np.uint64)
         for k in range(passage):
-            key = (key ^ flat[start + k]) * base
+            key = (key ^ words[start + k]) * base
             key ^= key >> np.uint64(29)
         hashes.append(mix(key))
     begin = ends - sizes
@@ -87,9 +76,8 @@ def passages(rows: DataFrame) -> DataFrame:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             texts = texts_of(batch.column(1))
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for a, b in pieces(texts, 1 << 18):
-                words = [w[w != 0] for w in map(_words, texts[a:b])]
-                which, word, h1, h2 = anchors(words)
+            for a, b in pieces(texts, CHARS):
+                which, word, h1, h2 = anchors(*word_hashes(texts[a:b]))
                 order = np.lexsort((word, h2, h1, which))
                 which, word, h1, h2 = which[order], word[order], h1[order], h2[order]
                 fresh = np.ones(len(which), bool)
@@ -107,68 +95,111 @@ def passages(rows: DataFrame) -> DataFrame:
     return map_batches(rows, make, "id long, h1 long, h2 long, words array<int>")
 
 
-def paragraphs(text: str) -> list[tuple[int, int, str]]:
-    """First line, last line and text of each paragraph: a line of LEAST_WORDS words or more, or two or more
-    lines between blank ones of which one is such a line, or which have BLOCK_WORDS words together."""
-    lines = text.split("\n")
-    sizes = [len(x.split()) for x in lines]
-    found, begin = [], 0
-    for k, size in enumerate([*sizes, 0]):
-        if size:
-            if size >= LEAST_WORDS:
-                found.append((k, k, lines[k]))
-            continue
-        if k - begin > 1 and (max(sizes[begin:k]) >= LEAST_WORDS or sum(sizes[begin:k]) >= BLOCK_WORDS):
-            found.append((begin, k - 1, "\n".join(lines[begin:k])))
-        begin = k + 1
-    return found
+def line_places(words: Words) -> np.ndarray:
+    """For each line of the texts, and the end, the number of words with a hash before it."""
+    chunks = np.searchsorted(words.line, np.arange(words.lines + 1))
+    return np.r_[0, np.cumsum(words.hash != 0)][chunks]
+
+
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each paragraph, counted over all texts: a line of LEAST_WORDS words or more, or two or
+    more lines between blank ones of which one is such a line, or which have BLOCK_WORDS words together."""
+    size = np.bincount(words.line, minlength=words.lines)
+    line = np.flatnonzero(size >= LEAST_WORDS)
+    head = np.zeros(words.lines + 1, bool)  # a block ends where a text does
+    head[words.first_line] = True
+    full = np.r_[False, size > 0, False]
+    first = np.flatnonzero(full[1:-1] & (~full[:-2] | head[:-1]))
+    last = np.flatnonzero(full[1:-1] & (~full[2:] | head[1:]))
+    if len(first):
+        bounds = np.stack([first, last + 1], 1).ravel()
+        padded = np.r_[size, 0]
+        most, total = np.maximum.reduceat(padded, bounds)[::2], np.add.reduceat(padded, bounds)[::2]
+        block = (last > first) & ((most >= LEAST_WORDS) | (total >= BLOCK_WORDS))
+        first, last = first[block], last[block]
+    return np.r_[line, first], np.r_[line, last]
+
+
+def paragraph_grams(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """5-gram hashes, and of each paragraph (first and last line) the range of them that are its own. One of fewer
+    words has one 5-gram, of all its words; one without words has none."""
+    known = words.hash[words.hash != 0]
+    place = line_places(words)
+    start, end = place[first], place[last + 1]
+    short = np.flatnonzero((end - start < SHINGLE) & (end > start))
+    padded = np.zeros((len(short), SHINGLE), np.uint64)
+    for row, k in zip(padded, short.tolist()):
+        row[: end[k] - start[k]] = known[start[k] : end[k]]
+    hashes = np.r_[grams(known), grams(padded.ravel())[::SHINGLE]]
+    stop = np.maximum(start, end - SHINGLE + 1)
+    start[short] = len(known) + np.arange(len(short))
+    stop[short] = start[short] + 1
+    return hashes, start, stop
 
 
 def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(id, text) to (doc, line, upto, same, bands) of the paragraphs; a paragraph that only equal sets of
-    5-grams can be similar to has one band."""
+    """(id, text) to (doc, line, upto, same, bands) of the paragraphs that have words. `same` holds two sums of the
+    5-grams' hashes. A paragraph that only equal sets of 5-grams can be similar to has the first band alone."""
     bands, band_rows = choose_bands(similarity, recall, 64)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc, line, upto, texts = [], [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                for a, b, t in paragraphs(text):
-                    doc.append(k)
-                    line.append(a)
-                    upto.append(b)
-                    texts.append(t)
-            same, keys = [], [np.zeros(0, np.int64)]
-            for a, b in pieces(texts, 1 << 18, 8192):
-                hashes, sizes = shingles(texts[a:b], SHINGLE)
-                ends = np.cumsum(sizes)
-                found = band_keys(hashes, sizes, bands, band_rows).view(np.int64)
-                for row, s, e in zip(found, (ends - sizes).tolist(), ends.tolist()):
-                    distinct = np.unique(hashes[s:e])
-                    digest = xxhash.xxh3_128_digest(distinct.tobytes())
-                    same.append(digest)
-                    n = len(distinct)
-                    keys.append(row[:0] if not n else row if n >= similarity * (n + 1) else np.frombuffer(digest[:8], np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys[1:])]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            ids, texts = np.array(batch.column(0).to_pylist(), np.int64), texts_of(batch.column(1))
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            same = [b""]
+            for a, b in pieces(texts, CHARS):
+                words = read_words(texts[a:b])
+                first, last = paragraphs(words)
+                hashes, start, stop = paragraph_grams(words, first, last)
+                some = stop > start
+                first, last, start, stop = first[some], last[some], start[some], stop[some]
+                if not len(first):
+                    continue
+                bounds, padded = np.stack([start, stop], 1).ravel(), np.r_[hashes, np.uint64(0)]
+                sums = [np.add.reduceat(x, bounds)[::2] for x in (padded, mix(padded * MULT))]
+                same.append(np.stack(sums, 1).astype("<u8").tobytes())
+                size = stop - start
+                width = np.where(size >= similarity * (size + 1), bands, 1)
+                keys = range_keys(hashes, start, stop, bands, band_rows).view(np.int64)
+                text = np.searchsorted(words.first_line, first, "right") - 1
+                base = words.first_line[text]
+                for column, x in zip(out, (ids[a:b][text], first - base, last - base, width, keys[np.arange(bands) < width[:, None]])):
+                    column.append(x)
+            doc, line, upto, width, keys = (np.concatenate(c) for c in out)
+            digests = pa.Array.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(b"".join(same))]).cast(pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)], pa.int32()), pa.array(keys, pa.int64()))
             columns = [pa.array(x, pa.int64()) for x in (doc, line, upto)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.binary()), lists], names=["doc", "line", "upto", "same", "bands"])
+            return pa.RecordBatch.from_arrays([*columns, digests, lists], names=["doc", "line", "upto", "same", "bands"])
 
         return f
 
     return map_batches(rows.select("id", "text"), make, "doc long, line long, upto long, same binary, bands array<long>")
 
 
+def flat_structs(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Of a column of lists of structs: the row that each struct is in, and fields of integers; null counts as empty."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy()
+    found = column.flatten()
+    fields = (found.field(found.type.get_field_index(c)) for c in names)
+    return np.repeat(np.arange(len(sizes)), sizes), *(f.to_numpy(zero_copy_only=False) for f in fields)
+
+
 def paragraph_sets(rows: DataFrame) -> DataFrame:
-    """(id, text, places array<struct<id, line, upto>>) to (id, payload): each place's sorted set of 5-grams."""
+    """(text, places array<struct<id, line, upto>>) to (id, payload): each place's sorted set of 5-grams."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = texts_of(batch.column(0))
+            row, id_, line, upto = flat_structs(batch.column(1), "id", "line", "upto")
             ids, sets = [], []
-            for text, places in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                lines = text.split("\n")
-                for p in places:
-                    ids.append(p["id"])
-                    sets.append(np.unique(shingles(["\n".join(lines[p["line"] : p["upto"] + 1])], SHINGLE)[0]).tobytes())
+            for a, b in pieces(texts, CHARS):
+                mine = slice(*np.searchsorted(row, (a, b)))
+                words = read_words(texts[a:b])
+                base = words.first_line[row[mine] - a]
+                here = base + upto[mine] < np.r_[words.first_line[1:], words.lines][row[mine] - a]
+                hashes, start, stop = paragraph_grams(words, (base + line[mine])[here], (base + upto[mine])[here])
+                ids += id_[mine][here].tolist()
+                sets += [np.unique(hashes[s:e]).tobytes() for s, e in zip(start.tolist(), stop.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "payload"])
 
         return f
@@ -194,28 +225,124 @@ def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float
     return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), F.explode(F.sequence("line", "upto")).alias("line"), F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
-def chain_ends(places: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Of ascending first words of passages, the numbers of the first and of the last one of each chain of
-    passages without a gap between them."""
-    apart = np.diff(places) > passage
-    return np.flatnonzero(np.r_[True, apart]), np.flatnonzero(np.r_[apart, True])
-
-
-def context_keys(words: np.ndarray, places: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
+def context_keys(words: np.ndarray, place: np.ndarray, room: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
     """A row per passage, given by its first word and hash: 64-bit keys of the passage with the 1, 2, ... `reach`
-    words before it (side 0) or after it (side 1), and how many of these the text has."""
+    words before it (side 0) or after it (side 1), and which of these its text has; `room` is how many words of
+    the text there are on that side."""
     key = mix(h1.view(np.uint64) ^ mix(h2.view(np.uint64) + np.uint64(side)))
-    start, step = (places + PASSAGE, 1) if side else (places - 1, -1)
-    keys = np.zeros((len(places), reach), np.uint64)
+    start, step = (place + PASSAGE, 1) if side else (place - 1, -1)
+    keys = np.zeros((len(place), reach), np.uint64)
     for k in range(reach):
         at = np.clip(start + step * k, 0, max(0, len(words) - 1))
         key = mix((key ^ (words[at] if len(words) else np.uint64(0))) * MULT + np.uint64(k))
         keys[:, k] = key
-    return keys.view(np.int64), np.clip(len(words) - start if side else places, 0, reach)
+    return keys.view(np.int64), np.arange(reach) < room[:, None]
+
+
+def chains(gone: DataFrame) -> DataFrame:
+    """(id, h1, h2, words, keep_id) to a row per chain of passages of a document without a gap between them: (id,
+    first, last: the first words of its first and last passage, head, tail: these passages' hashes, keep_ids)."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            row, h1, h2, keep = flat_structs(batch.column(1), "h1", "h2", "keep_id")
+            listed = batch.column(1).flatten().field(2)
+            sizes = np.diff(listed.offsets.to_numpy())
+            word, of = listed.flatten().to_numpy(), np.repeat(np.arange(len(row)), sizes)
+            order = np.lexsort((word, row[of]))
+            word, of = word[order].astype(np.int64), of[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (row[of[1:]] != row[of[:-1]]) | (np.diff(word) > PASSAGE)
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(word)] - 1 if len(first) else first
+            chain = np.cumsum(new) - 1
+            kept = np.lexsort((keep[of], chain))
+            chain, kept = chain[kept], keep[of][kept]
+            fresh = np.ones(len(kept), bool)
+            fresh[1:] = (chain[1:] != chain[:-1]) | (kept[1:] != kept[:-1])
+            counts = np.bincount(chain[fresh], minlength=len(first))
+            ends = [pa.StructArray.from_arrays([pa.array(h1[of[k]], pa.int64()), pa.array(h2[of[k]], pa.int64())], ["h1", "h2"]) for k in (first, last)]
+            keeps = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(kept[fresh], pa.int64()))
+            columns = [pa.array(x, pa.int64()) for x in (ids[row[of[first]]], word[first], word[last])]
+            return pa.RecordBatch.from_arrays([*columns, *ends, keeps], names=["id", "first", "last", "head", "tail", "keep_ids"])
+
+        return f
+
+    listed = gone.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", "words", "keep_id")).alias("listed"))
+    return map_batches(listed, make, "id long, first long, last long, head struct<h1: long, h2: long>, tail struct<h1: long, h2: long>, keep_ids array<long>")
+
+
+def passage_contexts(texts: DataFrame) -> DataFrame:
+    """(id, text, listed, ends) to (id, place, side, keys): of each document the keys of the contexts of all listed
+    passages (place null), and of each end of its chains the keys from the nearest context to the farthest."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, all_texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            row, h1, h2 = flat_structs(batch.column(2), "h1", "h2")
+            listed = batch.column(2).flatten().field(2)
+            of = np.repeat(np.arange(len(row)), np.diff(listed.offsets.to_numpy()))
+            word, row, h1, h2 = listed.flatten().to_numpy().astype(np.int64), row[of], h1[of], h2[of]
+            own = flat_structs(batch.column(3), "place", "side", "h1", "h2")
+            out: list[list] = [[], [], [], []]
+            keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+            for a, b in pieces(all_texts, CHARS):
+                words, sizes = word_hashes(all_texts[a:b])
+                begin = np.cumsum(sizes) - sizes
+
+                def contexts(at: np.ndarray, row: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+                    room = sizes[row - a] - at - PASSAGE if side else at
+                    return context_keys(words, begin[row - a] + at, room, h1, h2, side)
+
+                lo, hi = np.searchsorted(row, (a, b)).tolist()
+                found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+                for c in range(lo, hi, PLACES):
+                    block = slice(c, min(hi, c + PLACES))
+                    rows, values = [], []
+                    for side in (0, 1):
+                        k, has = contexts(word[block], row[block], h1[block], h2[block], side)
+                        rows.append(np.repeat(row[block], has.sum(1)))
+                        values.append(k[has])
+                    rows, values = np.concatenate(rows), np.concatenate(values)
+                    order = np.lexsort((values, rows))
+                    rows, values = rows[order], values[order]
+                    fresh = np.ones(len(rows), bool)
+                    fresh[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+                    found[0].append(rows[fresh])
+                    found[1].append(values[fresh])
+                rows, values = (np.concatenate(x) for x in found)  # rows ascend from block to block
+                at, counts = np.unique(rows, return_counts=True)
+                out[0] += [ids[k] for k in at.tolist()]
+                out[1] += [None] * len(at)
+                out[2] += [None] * len(at)
+                out[3] += counts.tolist()
+                keys.append(values)
+                lo, hi = np.searchsorted(own[0], (a, b)).tolist()
+                for side in (0, 1):
+                    which = np.flatnonzero(own[2][lo:hi] == side) + lo
+                    place = own[1][which].astype(np.int64)
+                    k, has = contexts(place, own[0][which], own[3][which], own[4][which], side)
+                    out[0] += [ids[r] for r in own[0][which].tolist()]
+                    out[1] += place.tolist()
+                    out[2] += [side] * len(which)
+                    out[3] += has.sum(1).tolist()
+                    keys.append(k[has])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out[3]]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), lists], names=["id", "place", "side", "keys"])
+
+        return f
+
+    return map_batches(texts.select("id", "text", "listed", "ends"), make, "id long, place long, side long, keys array<long>")
+
+
+def _range(a, b):
+    """A range of words as one number."""
+    return F.shiftleft(a.cast("long"), 32) + b.cast("long")
 
 
 def passage_copies(rows: DataFrame) -> DataFrame:
-    """Passages that a document with a smaller id has too: (id, ranges array<struct<from, to>> of words, keep_id).
+    """Passages that a document with a smaller id has too: (id, range of words, keep_ids).
 
     At both ends of a chain of such passages, a range goes on as far as any place of the same passage in any
     document with a smaller id has the same words around it.
@@ -224,103 +351,79 @@ def passage_copies(rows: DataFrame) -> DataFrame:
     groups = found.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("most")).where("most > keep_id").select("h1", "h2", "keep_id")
     copies = written(found.join(groups, ["h1", "h2"]), "copies")
     drop_written(found)
-    gone = copies.where("id <> keep_id")
-
-    def make_ends():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
-            for doc, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                flat = sorted((w, p["h1"], p["h2"]) for p in listed for w in p["words"])
-                for side, which in enumerate(chain_ends(np.array([x[0] for x in flat], np.int64))):
-                    for w, h1, h2 in (flat[k] for k in which.tolist()):
-                        for column, x in zip(out, (doc, h1, h2, w, side)):
-                            column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "h1", "h2", "place", "side"])
-
-        return f
-
-    listed = lambda t, *c: t.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", *c)).alias("listed"))
-    ends = written(map_batches(listed(gone, "words"), make_ends, "id long, h1 long, h2 long, place long, side long"), "ends")
+    chained = written(chains(copies.where("id <> keep_id")), "chains")
+    end = lambda h, place, side: F.struct(f"{h}.h1", f"{h}.h2", F.col(place).alias("place"), F.lit(side).cast("long").alias("side"))
+    ends = chained.select("id", F.explode(F.array(end("head", "first", 0), end("tail", "last", 1))).alias("e")).select("id", "e.*")
     # every document that holds the passage of an end, with all its places there, and the ends of its own
     sides = written(ends.select("h1", "h2").distinct(), "end-passages")
+    listed = lambda t, *c: t.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", *c)).alias("listed"))
     holders = listed(join_ids(copies, sides, ["h1", "h2"], "left_semi"), "words")
     around = written(holders.join(listed(ends, "place", "side").withColumnRenamed("listed", "ends"), "id", "left"), "holders")
-    texts = join_ids(rows, around.select("id"), "id", "left_semi").join(around, "id").select("id", "text", "listed", "ends")
-
-    def make_keys():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, places, which, keys = [], [], [], []
-            for doc, text, listed, own in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                w = _words(text)
-                w = w[w != 0]
-                at = np.array([x for p in listed for x in p["words"]], np.int64)
-                h1, h2 = (np.array([p[h] for p in listed for _ in p["words"]], np.int64) for h in ("h1", "h2"))
-                held = []
-                for side in (0, 1):
-                    k, n = context_keys(w, at, h1, h2, side)
-                    held.append(k[np.arange(k.shape[1]) < n[:, None]])
-                ids.append(doc)
-                places.append(None)
-                which.append(None)
-                keys.append(np.unique(np.concatenate(held)))
-                for side in (0, 1):
-                    mine = [p for p in own or [] if p["side"] == side]
-                    at_, a, b = (np.array([p[c] for p in mine], np.int64) for c in ("place", "h1", "h2"))
-                    k, n = context_keys(w, at_, a, b, side)
-                    for p, row, m in zip(mine, k, n.tolist()):
-                        ids.append(doc)
-                        places.append(p["place"])
-                        which.append(side)
-                        keys.append(row[:m])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, places, which)), lists], names=["id", "place", "side", "keys"])
-
-        return f
-
-    keyed = written(map_batches(texts, make_keys, "id long, place long, side long, keys array<long>"), "context-keys")
+    keyed = written(passage_contexts(join_ids(rows, around.select("id"), "id", "left_semi").join(around, "id")), "context-keys")
     least = keyed.where("place is null").select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
     least = written(least.select("key", "least"), "contexts")
     asked = keyed.where("place is not null").select("id", "place", "side", F.posexplode("keys").alias("k", "key"))
     # what is shared with k words is shared with fewer, so the longest counts
     far = join_ids(asked, least, "key", "inner").where("least < id").groupBy("id", "place", "side").agg(F.max(F.struct("k", "least")).alias("m"))
-    span = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
     left, more = F.when(F.col("side") == 0, F.col("m.k") + 1).otherwise(0), F.when(F.col("side") == 1, F.col("m.k") + 1).otherwise(0)
-    grown = far.select("id", F.array(span(F.col("place") - left, F.col("place") + PASSAGE + more)).alias("ranges"), F.col("m.least").alias("keep_id"))
-    return gone.select("id", F.transform("words", lambda w: span(w, w + PASSAGE)).alias("ranges"), "keep_id").unionByName(grown)
+    grown = far.select("id", _range(F.col("place") - left, F.col("place") + PASSAGE + more).alias("range"), F.array("m.least").alias("keep_ids"))
+    return chained.select("id", _range(F.col("first"), F.col("last") + PASSAGE).alias("range"), "keep_ids").unionByName(grown)
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """Documents that lose text: (id, lines array<int>, words array<struct<from, to>>, keep_ids array<long>). Only documents
-    that share with another document are listed; a passage repeated within one document stays."""
-    lines = line_clusters(rows).where("id <> keep_id").select("id", F.array(F.col("line").cast("int")).alias("lines"), "keep_id")
-    words = passage_copies(rows)
-    both = lines.unionByName(words, allowMissingColumns=True)
-    places = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return both.groupBy("id").agg(places("lines"), places("ranges").alias("words"), F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
-
-
-def spans(text: str, lines: list[int], words: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What goes, as ranges of code points, in order and apart."""
-    found = []
-    if lines:
-        starts, at = [], 0
-        for line in text.split("\n"):
-            starts.append((at, at + len(line)))
-            at += len(line) + 1
-        found += [starts[k] for k in lines]
-    if words:
-        hashes = _words(text)
-        places = [m.span() for m, h in zip(WORD.finditer(text), hashes.tolist()) if h]
-        found += [(places[max(0, a)][0], places[min(b, len(places)) - 1][1]) for a, b in words]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if out and (a <= out[-1][1] or text[out[-1][1] : a].isspace()):
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+    """Documents that lose text: (id, lines array<int>, words array<long>: ranges of words, keep_ids array<long>). Only
+    documents that share with another document are listed; a passage repeated within one document stays."""
+    lines = line_clusters(rows).where("id <> keep_id").select("id", F.col("line").cast("int").alias("line"), F.array("keep_id").alias("keep_ids"))
+    both = lines.unionByName(passage_copies(rows), allowMissingColumns=True)
+    return both.groupBy("id").agg(F.collect_set("line").alias("lines"), F.collect_list("range").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keep_ids")))).alias("keep_ids"))
+
+
+def spans_of(texts: list[str], lines: list[list[int]], words: list[list[int]]) -> list[list[tuple[int, int]]]:
+    """What goes of each text, as ranges of code points, in order and apart; `words` are ranges as numbers. Places
+    beyond a text are passed by: rows may share an id but not the text."""
+    out: list[list[tuple[int, int]]] = []
+    for a, b in pieces(texts, CHARS):
+        found = read_words(texts[a:b])
+        some = found.hash != 0
+        start, end = found.start[some], found.end[some]
+        sizes = np.bincount(found.text[some], minlength=b - a)
+        begin = np.cumsum(sizes) - sizes
+        ranges = np.array([x for w in words[a:b] for x in w], np.int64)
+        of = np.repeat(np.arange(b - a), [len(w) for w in words[a:b]])
+        lo, hi = ranges >> 32, ranges & 0xFFFFFFFF
+        good = (hi <= sizes[of]) & (lo < hi)
+        # ranges of all texts in one order, those of a text apart from the next one's
+        lo, hi, of = lo[good] + (begin + np.arange(b - a))[of[good]], hi[good] + (begin + np.arange(b - a))[of[good]], of[good]
+        order = np.argsort(lo, kind="stable")
+        lo, hi, of = lo[order], hi[order], of[order]
+        reach = np.maximum.accumulate(hi) if len(hi) else hi
+        first = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]]) if len(lo) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(lo)] - 1 if len(first) else first
+        of = of[first]
+        parts: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+        for k, x, y in zip(of.tolist(), start[lo[first] - of].tolist(), end[reach[last] - of - 1].tolist()):
+            parts[k].append((x, y))
+        for text, gone, part in zip(texts[a:b], lines[a:b], parts):
+            if gone:
+                at, bounds = 0, []
+                for line in text.split("\n"):
+                    bounds.append((at, at + len(line)))
+                    at += len(line) + 1
+                part = sorted(part + [bounds[k] for k in gone if k < len(bounds)])
+            joined: list[tuple[int, int]] = []
+            for x, y in part:
+                if joined and (x <= joined[-1][1] or text[joined[-1][1] : x].isspace()):
+                    joined[-1] = (joined[-1][0], max(y, joined[-1][1]))
+                else:
+                    joined.append((x, y))
+            out.append(joined)
     return out
 
 
+def _spans(texts: list[str], lines: pa.Array, words: pa.Array) -> list[list[tuple[int, int]]]:
+    return spans_of(texts, lines.to_pylist(), words.to_pylist())
+
+
 def without(text: str, gone: list[tuple[int, int]]) -> str:
     """The text without ranges, and without the white space that follows each (or goes before the last)."""
     kept, at = [], 0
@@ -340,7 +443,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses text: doc_id, n_spans, removed_chars, spans (array<struct<start, end>>,
-    in code points), keep_doc_ids (the documents in which what it loses stays).
+    in code points), keep_doc_ids (documents with smaller ids that hold what it loses; each part stays in the first).
 
     Of each cluster of near-duplicate paragraphs, and of each repeated passage, the occurrence in the
     document with the smallest id stays. Documents without a shared passage are not listed, nor are rows
@@ -353,7 +456,7 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_safe_spans(t, x, w) for t, x, w in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = _spans(texts_of(batch.column(1)), batch.column(2), batch.column(3))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             rows = [[{"start": a, "end": b} for a, b in s] for s in found]
             columns = [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sum(b - a for a, b in s) for s in found], pa.int64()), pa.array(rows, kind), batch.column(4)]
@@ -364,13 +467,6 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(hit.select("id", "text", "lines", "words", "keep_ids"), make, "doc_id long, n_spans long, removed_chars long, spans array<struct<start: long, end: long>>, keep_doc_ids array<long>").where("n_spans > 0")
 
 
-def _safe_spans(text: str, lines: list[int], words: list[dict]) -> list[tuple[int, int]]:
-    """As spans, for a row whose id another text shares: places beyond this text are passed by."""
-    n_lines = text.count("\n") + 1
-    n_words = int(np.count_nonzero(_words(text))) if words else 0
-    return spans(text, [x for x in lines or [] if x < n_lines], [(r["from"], r["to"]) for r in words or [] if r["from"] + PASSAGE <= n_words])
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the passages that stay elsewhere; where there is an
     n_chars column it is set to the new text's length. A document that loses all its text goes."""
@@ -385,8 +481,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = batch.columns[:-2]
-            lines, words = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            columns[at] = pa.array([without(t, _safe_spans(t, x, w)) for t, x, w in zip(texts_of(columns[at]), lines, words)], pa.string())
+            texts = texts_of(columns[at])
+            columns[at] = pa.array(map(without, texts, _spans(texts, batch.column(len(names)), batch.column(len(names) + 1))), pa.string())
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         return f
