@@ -3,7 +3,7 @@
 Two kinds of paragraphs are looked at:
 - lines of at least LEAST_WORDS words, and blocks of lines between blank ones, by MinHash banding: colliding
   paragraphs are verified by exact Jaccard similarity of their word 5-grams and clustered by components; the
-  first one of a cluster stays;
+  first one of a cluster stays, and so do those of fewer than CUT_WORDS words;
 - passages inside lines or across them. Every word 5-gram whose hash is the least among WINNOW in a row
   starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies. Chains of copies
   that overlap go on at both ends as far as some document with a smaller id has the same words. A run of WINNOW + PASSAGE - 1 or more words that two
@@ -25,7 +25,11 @@ from .shingles import MULT, SHINGLE, Words, choose_bands, grams, mix, range_keys
 #: Words (as white space separates them) of a line that is a paragraph, and of a block of shorter lines.
 LEAST_WORDS, BLOCK_WORDS = SHINGLE, 36
 WINNOW, PASSAGE = 16, 36
-SIMILARITY, RECALL = 0.8, 0.98
+#: Words that a paragraph of a cluster needs to be cut: shorter ones, such as headlines and set phrases, are found
+#: and clustered too, but stay.
+CUT_WORDS = 36
+#: MinHash hashes of a paragraph at most.
+SIMILARITY, RECALL, HASHES = 0.8, 0.98, 32
 #: Characters of the texts whose words are read at a time, and places whose contexts are.
 CHARS, PLACES = 1 << 18, 1 << 13
 
@@ -101,11 +105,12 @@ def line_places(words: Words) -> np.ndarray:
     return np.r_[0, np.cumsum(words.hash != 0)][chunks]
 
 
-def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of each paragraph, counted over all texts: a line of LEAST_WORDS words or more, or two or
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last line of each paragraph, counted over all texts, and its number of words: a line of LEAST_WORDS words or more, or two or
     more lines between blank ones of which one is such a line, or which have BLOCK_WORDS words together."""
     size = np.bincount(words.line, minlength=words.lines)
     line = np.flatnonzero(size >= LEAST_WORDS)
+    total = size[:0]
     head = np.zeros(words.lines + 1, bool)  # a block ends where a text does
     head[words.first_line] = True
     full = np.r_[False, size > 0, False]
@@ -116,8 +121,8 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
         padded = np.r_[size, 0]
         most, total = np.maximum.reduceat(padded, bounds)[::2], np.add.reduceat(padded, bounds)[::2]
         block = (last > first) & ((most >= LEAST_WORDS) | (total >= BLOCK_WORDS))
-        first, last = first[block], last[block]
-    return np.r_[line, first], np.r_[line, last]
+        first, last, total = first[block], last[block], total[block]
+    return np.r_[line, first], np.r_[line, last], np.r_[size[line], total]
 
 
 def paragraph_grams(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,21 +143,21 @@ def paragraph_grams(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[
 
 
 def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(id, text) to (doc, line, upto, same, bands) of the paragraphs that have words. `same` holds two sums of the
+    """(id, text) to (doc, line, upto, words, same, bands) of the paragraphs that have words. `same` holds two sums of the
     5-grams' hashes. A paragraph that only equal sets of 5-grams can be similar to has the first band alone."""
-    bands, band_rows = choose_bands(similarity, recall, 64)
+    bands, band_rows = choose_bands(similarity, recall, HASHES)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = np.array(batch.column(0).to_pylist(), np.int64), texts_of(batch.column(1))
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
             same = [b""]
             for a, b in pieces(texts, CHARS):
                 words = read_words(texts[a:b])
-                first, last = paragraphs(words)
+                first, last, count = paragraphs(words)
                 hashes, start, stop = paragraph_grams(words, first, last)
                 some = stop > start
-                first, last, start, stop = first[some], last[some], start[some], stop[some]
+                first, last, count, start, stop = first[some], last[some], count[some], start[some], stop[some]
                 if not len(first):
                     continue
                 bounds, padded = np.stack([start, stop], 1).ravel(), np.r_[hashes, np.uint64(0)]
@@ -163,17 +168,17 @@ def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> D
                 keys = range_keys(hashes, start, stop, bands, band_rows).view(np.int64)
                 text = np.searchsorted(words.first_line, first, "right") - 1
                 base = words.first_line[text]
-                for column, x in zip(out, (ids[a:b][text], first - base, last - base, width, keys[np.arange(bands) < width[:, None]])):
+                for column, x in zip(out, (ids[a:b][text], first - base, last - base, count, width, keys[np.arange(bands) < width[:, None]])):
                     column.append(x)
-            doc, line, upto, width, keys = (np.concatenate(c) for c in out)
+            doc, line, upto, count, width, keys = (np.concatenate(c) for c in out)
             digests = pa.Array.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(b"".join(same))]).cast(pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)], pa.int32()), pa.array(keys, pa.int64()))
-            columns = [pa.array(x, pa.int64()) for x in (doc, line, upto)]
-            return pa.RecordBatch.from_arrays([*columns, digests, lists], names=["doc", "line", "upto", "same", "bands"])
+            columns = [pa.array(x, pa.int64()) for x in (doc, line, upto, count)]
+            return pa.RecordBatch.from_arrays([*columns, digests, lists], names=["doc", "line", "upto", "words", "same", "bands"])
 
         return f
 
-    return map_batches(rows.select("id", "text"), make, "doc long, line long, upto long, same binary, bands array<long>")
+    return map_batches(rows.select("id", "text"), make, "doc long, line long, upto long, words long, same binary, bands array<long>")
 
 
 def flat_structs(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
@@ -207,11 +212,11 @@ def paragraph_sets(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("text", "places"), make, "id long, payload binary")
 
 
-def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Paragraphs in a cluster of two or more: (id, line, keep_id, keep_line), a row per line."""
+def paragraph_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """Paragraphs in a cluster of two or more: (id, line, upto, words, keep_id, keep_line), a row per paragraph."""
     # a paragraph's number is fixed once it is written; any document ids and numbers of lines take part
     items = written(paragraph_signatures(rows, similarity, recall).withColumn("id", F.monotonically_increasing_id()), "lines")
-    places = items.select("id", "doc", "line", "upto")
+    places = items.select("id", "doc", "line", "upto", "words")
 
     def payload(ids: DataFrame) -> DataFrame:
         wanted = places.join(ids, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "upto")).alias("places"))
@@ -222,7 +227,7 @@ def line_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall: float
     found = written(found.select("id", "class_id").join(places, "id"), "line-classes")
     drop_written(items)
     kept = written(found.groupBy("class_id").agg(F.min(F.struct("doc", "line")).alias("keep")), "line-kept")
-    return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), F.explode(F.sequence("line", "upto")).alias("line"), F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
+    return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), "line", "upto", "words", F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
 def context_keys(words: np.ndarray, place: np.ndarray, room: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -370,10 +375,11 @@ def passage_copies(rows: DataFrame) -> DataFrame:
     return chained.select("id", _range(F.col("first"), F.col("last") + PASSAGE).alias("range"), "keep_ids").unionByName(grown)
 
 
-def removals(rows: DataFrame) -> DataFrame:
+def removals(rows: DataFrame, cut_words: int) -> DataFrame:
     """Documents that lose text: (id, lines array<int>, words array<long>: ranges of words, keep_ids array<long>). Only
     documents that share with another document are listed; a passage repeated within one document stays."""
-    lines = line_clusters(rows).where("id <> keep_id").select("id", F.col("line").cast("int").alias("line"), F.array("keep_id").alias("keep_ids"))
+    cut = paragraph_clusters(rows).where((F.col("id") != F.col("keep_id")) & (F.col("words") >= cut_words))
+    lines = cut.select("id", F.explode(F.sequence(F.col("line").cast("int"), F.col("upto").cast("int"))).alias("line"), F.array("keep_id").alias("keep_ids"))
     both = lines.unionByName(passage_copies(rows), allowMissingColumns=True)
     return both.groupBy("id").agg(F.collect_set("line").alias("lines"), F.collect_list("range").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keep_ids")))).alias("keep_ids"))
 
@@ -441,17 +447,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text").where("id is not null")
 
 
-def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses text: doc_id, n_spans, removed_chars, spans (array<struct<start, end>>,
     in code points), keep_doc_ids (documents with smaller ids that hold what it loses; each part stays in the first).
 
     Of each cluster of near-duplicate paragraphs, and of each repeated passage, the occurrence in the
-    document with the smallest id stays. Documents without a shared passage are not listed, nor are rows
+    document with the smallest id stays; paragraphs of fewer than `cut_words` words (LEAST_WORDS cuts all) stay
+    unless a repeated passage covers them. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
     An empty table gives an empty table.
     """
     rows = _rows(docs, id_col, text_col)
-    gone = written(removals(rows), "removals")
+    gone = written(removals(rows, cut_words), "removals")
     hit = join_ids(rows, gone.select("id"), "id", "left_semi").join(gone, "id")
 
     def make():
@@ -467,10 +474,10 @@ def substring_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(hit.select("id", "text", "lines", "words", "keep_ids"), make, "doc_id long, n_spans long, removed_chars long, spans array<struct<start: long, end: long>>, keep_doc_ids array<long>").where("n_spans > 0")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the passages that stay elsewhere; where there is an
     n_chars column it is set to the new text's length. A document that loses all its text goes."""
-    gone = written(removals(_rows(docs, id_col, text_col)), "removals")
+    gone = written(removals(_rows(docs, id_col, text_col), cut_words), "removals")
     names = docs.columns
     own = [f"{c}_{'_'.join(names)}" for c in ("lines", "words")]  # names that no column of docs has
     ids = gone.select(F.col("id").alias(id_col))

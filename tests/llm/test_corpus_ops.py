@@ -371,7 +371,7 @@ def test_lines_of_documents_with_any_long_id_are_cut(spark):
         w = list(line)
         w[20 * k + 5] = words(rng, 1)
         rows.append((doc, words(rng, 60) + "\n" + " ".join(w) + "\n" + words(rng, 40)))
-    got = substring_dedup.line_clusters(spark.createDataFrame(rows, "id long, text string")).collect()
+    got = substring_dedup.paragraph_clusters(spark.createDataFrame(rows, "id long, text string")).select("id", "line", "keep_id", "keep_line").collect()
     pairs = brute_links([(k, t.split("\n")[1]) for k, (_, t) in enumerate(rows)])
     root = edges_of(5, pairs)
     want = {(rows[k][0], 1, rows[root[k]][0], 1) for k in range(5) if root.count(root[k]) > 1}
@@ -388,15 +388,18 @@ def test_paragraphs_of_any_length_are_cut(spark):
         own = lambda: words(rng, 30)
         lines = "\n".join(" ".join(w[a : a + 11 + k]) for a in range(0, 70, 11 + k))
         rows.append((k, own() + "\n" + (short if k % 2 else short.upper() + ".") + "\n" + own() + "\n\n" + lines + "\n\n" + own()))
-    got = {r.doc_id: r for r in substring_dedup.substring_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long_ones = {r.doc_id: r for r in substring_dedup.substring_spans(docs).collect()}
+    got = {r.doc_id: r for r in substring_dedup.substring_spans(docs, cut_words=5).collect()}
     assert sorted(got) == [1, 2, 3]
     for k, r in got.items():
         text = rows[k][1]
         gone = [text[s.start : s.end] for s in r.spans]
         assert len(gone) == 2 and gone[0].lower().strip(".") == short
         assert len(gone[1].split()) == 70 and r.keep_doc_ids == [0]
+        assert long_ones[k].spans == r.spans[1:]  # a short line is found, and stays
     found = substring_dedup.paragraphs(shingles.read_words(["a b\nc d\n\n1 2 3 4 5", "1 2 3\n1 2 3 4 5"]))
-    assert list(zip(*(x.tolist() for x in found))) == [(3, 3), (5, 5), (4, 5)]
+    assert list(zip(*(x.tolist() for x in found))) == [(3, 3, 5), (5, 5, 5), (4, 5, 8)]
 
 
 def test_runs_go_whole_where_a_document_repeats_them_or_a_smaller_id_has_a_part(spark):
