@@ -30,99 +30,133 @@ MAGIC = b"RPR1"
 #: Ids of a shard, about; a longer document makes a longer shard.
 SHARD_IDS = 2_000_000
 #: Pairs replaced in a round at most, and the least count of a pair.
-RULES, LEAST = 8192, 8
+RULES, LEAST = 16_000, 8
 SLOTS = 1 << 20
 #: Symbols that are replaced or expanded at a time.
 BLOCK = 1 << 17
+#: Multipliers of the two tables that pairs are looked up in.
+TABLES = ((np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)), (np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)))
 
 
-def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)
+def _slot(left: np.ndarray, right: np.ndarray, table: int) -> np.ndarray:
+    a, b = TABLES[table]
+    return (left * a + right * b) >> np.uint32(12)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (left, right) and the first nonterminal of a shard; `ends` marks each document's last id.
 
-    Each round counts the pairs of the whole shard, gives the most frequent ones nonterminals, and replaces
+    Each round counts pairs over the whole shard, gives the most frequent ones nonterminals, and replaces
     them from left to right, without overlap; rounds go on until no pair is left that occurs LEAST times (or
-    for so many `rounds`).
+    for so many `rounds`). Where a round has replaced every frequent pair, only pairs with one of its
+    nonterminals can be frequent in the next one, as others only get rarer: these alone are counted there.
     """
     seq, last = ids.astype(np.uint32), ends.copy()
     first = top = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    while rounds is None or len(rules) < rounds:
-        rule = _frequent(seq, last)
+    new = 0
+    while len(seq) > 1 and (rounds is None or len(rules) < rounds):
+        near = None
+        if new:
+            fresh = np.flatnonzero(seq >= new)
+            near = np.unique(np.r_[fresh[fresh > 0] - 1, fresh[fresh < len(seq) - 1]])
+            near = near[~last[near]]
+        rule, every = _frequent(seq, last, near)
         if not len(rule):
             break
-        table = np.full(SLOTS, -1, np.int16)
-        table[_slot(rule[:, 0], rule[:, 1])] = np.arange(len(rule), dtype=np.int16)
-        # blocks that fit in a cache, each up to the end of a document, over which no pair goes
-        stops = np.flatnonzero(last) + 1
-        cuts = np.unique(np.r_[0, stops[np.searchsorted(stops, np.arange(BLOCK, stops[-1], BLOCK))], len(seq)] if len(stops) else [0, len(seq)])
-        done = [_replace(seq[a:b], last[a:b], table, rule, top) for a, b in zip(cuts[:-1], cuts[1:])]
-        seq, last = (np.concatenate(x) for x in zip(*done))
+        at, number, fits = _hits(seq, last, near, rule)
+        seq[at] = np.uint32(top) + number
+        last[at] = last[at + 1]
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, last = seq[stay], last[stay]
         # a pair whose places all overlap with other pairs' needs no rule
-        used = np.zeros(len(rule), bool)
-        used[seq[seq >= top] - np.uint32(top)] = True
+        used = np.bincount(number, minlength=len(rule)) > 0
         if not used.all():
-            number = np.r_[np.arange(top), top + np.cumsum(used) - 1].astype(np.uint32)
-            seq, rule = number[seq], rule[used]
+            renumbered = (top + np.cumsum(used) - 1).astype(np.uint32)
+            big = np.flatnonzero(seq >= top)
+            seq[big], rule = renumbered[seq[big] - np.uint32(top)], rule[used]
         rules.append(rule)
+        new = top if every and fits else 0
         top += len(rule)
     return seq, np.vstack(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """At most RULES pairs that occur LEAST times or more without overlap, the most frequent ones first, one to
-    a slot of the table."""
-    at = np.flatnonzero(~last[:-1])
-    left, right = seq[at], seq[at + 1]
-    # in a run of one symbol every other place counts
-    same = np.flatnonzero(left == right)
-    if len(same):
-        step = np.arange(len(same))
-        begin = np.maximum.accumulate(np.where(np.r_[True, at[same[1:]] != at[same[:-1]] + 1], step, 0))
-        stay = np.ones(len(at), bool)
-        stay[same[(step - begin) % 2 == 1]] = False
-        left, right = left[stay], right[stay]
-    # only pairs whose slot is hit often enough can be frequent
-    slot = _slot(left, right)
-    often = (np.bincount(slot, minlength=SLOTS) >= LEAST)[slot]
-    pairs = (left[often].astype(np.uint64) << np.uint64(32)) | right[often]
-    if not len(pairs):
-        return np.zeros((0, 2), np.uint32)
-    pairs.sort()
-    start = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-    count = np.diff(np.r_[start, len(pairs)])
-    order = np.argsort(-count, kind="stable")
-    chosen = pairs[start[order[: min(RULES, int((count >= LEAST).sum()))]]]
-    rule = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    # of pairs that share a slot the most frequent one stays; the others have their turn in later rounds
-    keep = np.unique(_slot(rule[:, 0], rule[:, 1]), return_index=True)[1]
-    return rule[np.sort(keep)]
-
-
-def _replace(seq: np.ndarray, last: np.ndarray, table: np.ndarray, rule: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block with the rules' pairs replaced from left to right."""
-    left, right = seq[:-1], seq[1:]
-    which = table[_slot(left, right)]
-    at = np.flatnonzero((which >= 0) & ~last[:-1])
-    number = which[at]
-    good = (rule[number, 0] == left[at]) & (rule[number, 1] == right[at])
-    at, number = at[good], number[good]
-    if not len(at):
-        return seq, last
+def _pairs(seq: np.ndarray) -> np.ndarray:
+    """Each symbol and the next one as one number: the left one in the low half."""
+    return np.ndarray(len(seq) - 1, "<u8", np.ascontiguousarray(seq, "<u4").data, strides=(4,))
+
+
+def _frequent(seq: np.ndarray, last: np.ndarray, near: np.ndarray | None) -> tuple[np.ndarray, bool]:
+    """At most RULES pairs that occur LEAST times or more without overlap (at the places `near`, or all), the most
+    frequent ones first, and whether these are all."""
+    pairs = _pairs(seq)
+    if near is None:
+        count = ~last[:-1]
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & count)
+        at = same
+    else:
+        pairs, count = pairs[near], np.ones(len(near), bool)
+        same = np.flatnonzero(seq[near] == seq[near + 1])
+        at = near[same]
+    if len(same):  # in a run of one symbol every other place counts
+        step = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], step, 0))
+        count[same[(step - begin) % 2 == 1]] = False
+    pairs = np.sort(pairs[count])
+    # only where a pair is the same as the one LEAST - 1 places on does it occur often enough
+    often = np.flatnonzero(pairs[LEAST - 1 :] == pairs[: len(pairs) - LEAST + 1]) if len(pairs) >= LEAST else np.zeros(0, np.int64)
+    if not len(often):
+        return np.zeros((0, 2), np.uint32), True
+    found = pairs[often]
+    start = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    counts = np.diff(np.r_[start, len(found)])  # each less LEAST - 1
+    order = np.argsort(-counts, kind="stable")[:RULES]
+    chosen = found[start[order]]
+    return np.stack([chosen & np.uint64(0xFFFFFFFF), chosen >> np.uint64(32)], 1).astype(np.uint32), len(start) <= RULES
+
+
+def _hits(seq: np.ndarray, last: np.ndarray, near: np.ndarray | None, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the rules' pairs (at the places `near`, or anywhere), without overlap, the rule of each, and whether
+    all rules had a place in the tables; a rule that has none has its turn in a later round."""
+    tables, left_out = [], np.arange(len(rule))
+    for k in range(len(TABLES)):
+        slots = _slot(rule[left_out, 0], rule[left_out, 1], k)
+        table = np.full(SLOTS, -1, np.int16)
+        mine = np.unique(slots, return_index=True)[1]
+        table[slots[mine]] = left_out[mine]
+        tables.append(table)
+        left_out = np.delete(left_out, mine)
+
+    def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number = tables[0][_slot(left, right, 0)]
+        at = np.flatnonzero(number >= 0)
+        number = number[at]
+        x, y = left[at], right[at]
+        good = (rule[number, 0] == x) & (rule[number, 1] == y)
+        bad = np.flatnonzero(~good)  # another rule has the slot
+        second = tables[1][_slot(x[bad], y[bad], 1)]
+        fits = (second >= 0) & (rule[second, 0] == x[bad]) & (rule[second, 1] == y[bad])
+        number[bad[fits]] = second[fits]
+        good[bad[fits]] = True
+        return at[good], number[good]
+
+    if near is not None:
+        at, number = look(seq[near], seq[near + 1])
+        at = near[at]
+    else:
+        found = []
+        for a in range(0, len(seq) - 1, BLOCK):  # blocks that fit in a cache
+            b = min(len(seq) - 1, a + BLOCK)
+            at, number = look(seq[a:b], seq[a + 1 : b + 1])
+            inside = ~last[a:b][at]
+            found.append((at[inside] + a, number[inside]))
+        at, number = (np.concatenate(x) for x in zip(*found))
     # in a run of hits that overlap, every other one is replaced
     step = np.arange(len(at))
-    begin = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], step, 0))
+    begin = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], step, 0)) if len(at) else step
     even = (step - begin) % 2 == 0
-    at = at[even]
-    seq, last = seq.copy(), last.copy()
-    seq[at] = np.uint32(top) + number[even].astype(np.uint32)
-    last[at] = last[at + 1]
-    stay = np.ones(len(seq), bool)
-    stay[at + 1] = False
-    return seq[stay], last[stay]
+    return at[even], number[even].astype(np.uint32), not len(left_out)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -207,7 +208,29 @@ def test_replacement_goes_on_until_no_pair_is_frequent():
     symbols = np.concatenate([repair._unpack(s.data, s.n_symbols, s.bits, int(a), int(b)) for a, b in [(0, s.n_symbols)]])
     ends = np.zeros(len(symbols), bool)
     ends[[*(s.where[1:] - 1), -1]] = True
-    assert len(repair._frequent(symbols, ends)) == 0
+    assert most_frequent(symbols, ends) < repair.LEAST
+
+
+def most_frequent(symbols, ends):
+    """How often the most frequent pair inside documents occurs without overlap."""
+    counts, after = Counter(), {}
+    for k, (a, b) in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+        if not ends[k] and after.get((a, b), 0) <= k:
+            counts[a, b] += 1
+            after[a, b] = k + 2
+    return max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("rules", [16_000, 60])
+def test_no_pair_stays_frequent_on_real_ids(texts, monkeypatch, rules):
+    monkeypatch.setattr(repair, "RULES", rules)  # few rules a round: pairs are left over from round to round
+    parts = [np.append(bytebpe.byte_bpe().ids(t), np.uint32(2)) for t in texts] * 2
+    ends = np.zeros(sum(map(len, parts)), bool)
+    ends[np.cumsum([*map(len, parts)]) - 1] = True
+    symbols, found, first = repair.compress(np.concatenate(parts), ends)
+    assert (repair.expand(symbols, found, first) == np.concatenate(parts)).all() and len(found) > 60
+    size = np.r_[np.ones(first, np.uint64), repair.lengths_of(found, first)][symbols].astype(np.int64)
+    assert most_frequent(symbols, ends[np.cumsum(size) - 1]) < repair.LEAST
 
 
 def test_ratios_decide_inside_marked_regions():
