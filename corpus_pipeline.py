@@ -38,32 +38,52 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _alone(stage: Stage) -> Stage:
-    """A stage that first deletes the scratch tables of the stage before, whose output is written by then."""
+#: Scratch tables of the stages called so far, by application: the stage's place in STAGES and its paths.
+_made: dict[str, list[tuple[int, list[str]]]] = {}
+
+
+def _step(place: int, stage: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of the pipeline's earlier stages, whose output
+    is written by then, and no others."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.drop_scratch(spark)
-        return stage(spark, docs, sf_dir)
+        made = _made.setdefault(spark.sparkContext.applicationId, [])
+        for k, paths in made:
+            if k < place:
+                common.delete(spark, paths)
+        made[:] = [(k, paths) for k, paths in made if paths]
+        paths: list[str] = []
+        made.append((place, paths))
+        with common.owned(paths):
+            return stage(spark, docs, sf_dir)
 
     run_stage.__doc__ = stage.__doc__
     return run_stage
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("quality", _alone(reject_low_quality)),
-    ("exact_dedup", _alone(drop_exact_copies)),
-    ("ngram_jaccard", _alone(drop_near_copies)),
-    ("substring_dedup", _alone(cut_repeated_passages)),
-    ("packing", _alone(pack_sequences)),
+FUNCTIONS: list[tuple[str, Stage]] = [
+    ("quality", reject_low_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, _step(k, stage)) for k, (name, stage) in enumerate(FUNCTIONS)]
 
 #: No stage but exact dedup can be said in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}", scratch=False)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents table. A stage's scratch tables, and its predecessor's output, are deleted once
+    its own output is written; what the last stage reads stays in the shared folder."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in FUNCTIONS[:-1]:
+        after: list[str] = []
+        with common.scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            with common.owned(after):
+                docs = common.written(result, f"stage-{name}")
+        common.delete(spark, before)
+        before = after
+    return FUNCTIONS[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Deduplication, fingerprints, quality and the pipeline against brute force and planted cases."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from carepath.llm import edit_fingerprint, exact_dedup, near, ngram_join, quality, queries, shingles, substring_dedup
+from carepath.llm import common, edit_fingerprint, exact_dedup, near, ngram_join, quality, queries, shingles, substring_dedup
 from carepath.llm.components import components
 
 EXTRA = "lines string, words int, id string, kept string, rank string, score double"
@@ -453,3 +454,18 @@ def test_edit_near_links_long_and_short_texts(spark):
     similar = [k for k in range(9) if edit_fingerprint.edit_similarity(texts[2 * k], texts[2 * k + 1], 0.8)]
     assert len(similar) >= 7
     assert {k for k in range(9) if got[2 * k + 1].class_id == 2 * k and got[2 * k].n_links == 1} == set(similar)
+
+
+def test_the_pipeline_leaves_other_tables_alone(spark, sf_dir):
+    docs = spark.createDataFrame(near_corpus(), "doc_id long, text string")
+    mine = ngram_join.ngram_join(docs)
+    planned = sorted(map(tuple, mine.collect()))
+    corpus_pipeline.run(spark, sf_dir).count()
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
+    assert sorted(map(tuple, mine.collect())) == planned
+    with common.scratch(spark) as paths:
+        assert ngram_join.ngram_join(docs).count() and paths
+        files = [p.removeprefix("file://") for p in paths]
+        assert any(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
