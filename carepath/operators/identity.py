@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from .lineage import cut_lineage
 
 #: Rounds that are run before labels are looked at for changes.
 ROUNDS = 3
@@ -25,29 +26,31 @@ def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     born = F.col("date_of_birth").cast("string")
     exact = F.when(last.isNotNull() & born.isNotNull() & F.col("zip5").isNotNull(), F.concat_ws("|", last, born, F.col("zip5")))
     fuzzy = F.when(last.isNotNull() & born.isNotNull() & first.isNotNull(), F.concat_ws("|", F.soundex(first), last, born))
-    own = exprs.key(F.col("source_system"), F.col("source_patient_id"))
-    rows = people.withColumns({"_own": own, "_exact": exact, "_fuzzy": fuzzy}).withColumn("_label", F.col("_own"))
-    # the least label of a key's rows goes to all of them, over both keys in turn, in each round;
-    # a chain of rows that alternate between the keys settles in half as many rounds as it has links,
-    # so rounds go on, `rounds` at a time, until the last one changes no label; labels only get smaller
+    rows = people.withColumns({"_own": exprs.key(F.col("source_system"), F.col("source_patient_id")), "_exact": exact, "_fuzzy": fuzzy})
+    found = _labels(rows, rounds).withColumnRenamed("label", "_label")
+    rows = rows.join(found, "_own", "left")
+    return rows.withColumns({"patient_id": F.coalesce("_label", "_own"), "match_group": F.coalesce("_exact", "_own")}).drop("_own", "_exact", "_fuzzy", "_label")
+
+
+def _labels(rows: DataFrame, rounds: int) -> DataFrame:
+    """(_own, label): the least _own among the rows that keys connect. Rows without a key are not listed.
+
+    Only row and key hashes are shuffled. The least label of a key's rows goes to all of them, round by round; a
+    chain of rows settles in as many rounds as it has links at most, so rounds go on, `rounds` at a time, until
+    one changes no label; labels only get smaller.
+    """
+    keys = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_exact").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("_fuzzy").alias("value"))))
+    edges = rows.select("_own", keys.alias("k")).where("k.value is not null")
+    edges = edges.select("_own", F.sha2(F.concat_ws("|", "k.kind", "k.value"), 256).alias("key")).distinct().withColumn("label", F.col("_own"))
     while True:
         for _ in range(rounds):
-            rows = rows.withColumn("_last", F.col("_label"))
-            for key in ("_exact", "_fuzzy"):
-                least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_label").alias("_least"))
-                rows = rows.join(least, key, "left").withColumn("_label", F.coalesce("_least", "_label")).drop("_least")
-        rows = _cut(rows)
-        settled = rows.where("_label <> _last").isEmpty()
-        rows = rows.drop("_last")
-        if settled:
-            break
-    return rows.withColumns({"patient_id": F.col("_label"), "match_group": F.coalesce("_exact", "_own")}).drop("_own", "_exact", "_fuzzy", "_label")
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """Computed rows, whose plan does not grow by the rounds; in the shared folder where there is one."""
-    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return rows.checkpoint() if shared else rows.localCheckpoint()
+            least = edges.groupBy("key").agg(F.min("label").alias("least"))
+            after = edges.join(least, "key").groupBy("_own").agg(F.min("least").alias("now"))
+            edges = edges.join(after, "_own").select("_own", "key", F.col("label").alias("last"), F.col("now").alias("label"))
+        edges = cut_lineage(edges)
+        if edges.where("label <> last").isEmpty():
+            return edges.select("_own", "label").distinct()
+        edges = edges.drop("last")
 
 
 def golden_records(resolved: DataFrame) -> DataFrame:
