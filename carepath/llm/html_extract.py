@@ -38,6 +38,15 @@ BAD_WORDS = frozenset(
     "subscribe subscription newsletter signup login register social share sharing sharebar related recommended recommendations "
     "teaser teasers widget widgets toolbar pagination pager search form hidden copyright legal disclaimer skip".split()
 )
+#: Words that say where or how large an element is, not what; beside them a bad word still names the whole element,
+#: beside any other it does not ("site-footer", but not "legal-analysis").
+PLACE_WORDS = frozenset(
+    "site page main list lists box block blocks section container wrapper wrap area inner outer top bottom left right header bar item items "
+    "link links inline slot unit global primary secondary post article entry user new icon icons button buttons content body panel row col column "
+    "group label title text message msg wide narrow small large first last js fixed sticky float mobile desktop leaderboard "
+    "articles posts stories story news videos reading topics tags tag us our your my web info warning important trail next prev previous dialog "
+    "feed bottombar strip card cards module component region zone holder in on the by and of for to".split()
+)
 #: An open element that the start of another one ends, up to the nearest of the third set.
 ENDS = {
     "p": (frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), frozenset("table td th button object".split())),
@@ -55,10 +64,11 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S,
 )
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop|type)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 MARK = re.compile(r"[.,;:!?…。，、！？；：]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("table thead tbody tfoot tr td th".split())
 #: Width of the smoothing in blocks, and the share of the mean fused ratio that a path needs.
 SMOOTH, SHARE = 1.0, 0.25
 #: What the share is multiplied by outside the marked regions, inside them (and on pages without any), and in
@@ -175,11 +185,13 @@ def _element(tag: str, parent: int, path: str, attrs: str) -> Element:
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                found = {w.lower() for w in SPLIT.split(value) if w}
-                bad |= bool(found & BAD_WORDS)
-                strict |= bool(found & STRICT_WORDS)
-                header |= "header" in found
+            if name == "class" or name == "id" and tag not in HEADINGS:  # a heading's id is a target of links
+                for one in value.split():
+                    found = {w.lower() for w in SPLIT.split(one) if w and not w.isdigit()}
+                    named = found & BAD_WORDS and found <= BAD_WORDS | PLACE_WORDS and not (tag in CELLS and found <= {"form"})
+                    bad |= bool(named)
+                    strict |= bool(named and found & STRICT_WORDS)
+                    header |= "header" in found
                 if name == "class":
                     label = "." + value.strip()
             elif name == "role":
@@ -261,9 +273,12 @@ def _by_ratio(elements: list[Element], blocks: list[Block], level: np.ndarray) -
     near = np.exp(-0.5 * (np.arange(-3, 4) / SMOOTH) ** 2)
     near /= near.sum()
     smooth = lambda x: np.convolve(np.pad(x, 3, mode="edge"), near, "valid")
-    fused = np.sqrt(smooth(text) * smooth(marks)) * (1 - linked)
+    fused = np.sqrt(smooth(text) * smooth(marks))
+    # links with the marks of sentences, such as a list of sources, are content in the core; menus have none
+    listed = (level == CORE) & (marks >= 1.5) & (text >= 20)
     size = np.where(level > OUTSIDE, [len(b.text) for b in blocks], 0.0)
-    keep = (fused >= SHARE * PRIOR[level] * (fused @ size) / max(1.0, size.sum())) & (linked < 0.6) & ((text >= 20) | (level == CORE))
+    fused *= np.where(listed, 1, 1 - linked)
+    keep = (fused >= SHARE * PRIOR[level] * (fused @ size) / max(1.0, size.sum())) & ((linked < 0.6) | listed) & ((text >= 20) | (level == CORE))
     # a heading goes with the content that follows it, in the core up to the next heading
     heading = [_heading(elements, b.element) for b in blocks]
     follows = bool(keep[-1])

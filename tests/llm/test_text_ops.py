@@ -172,6 +172,28 @@ def test_extraction(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ("<div data-id=related><p>A paragraph, kept.</p></div>", True),
+        ("<div title='class=ad'><p>A paragraph, kept.</p></div>", True),
+        ("<div class=legal-analysis><p>A paragraph, kept.</p></div>", True),
+        ("<h2 id=search>A paragraph, kept.</h2><p>Its text, here, too.</p>", True),
+        ("<h2 id=notices-to-airmen>A paragraph, kept.</h2><p>Its text, here, too.</p>", True),
+        ("<table class=form><tr><td>A paragraph, kept.</td></tr></table>", True),
+        ("<ul><li><a href=x>A paragraph, kept. (2020), 3.</a></li><li><a href=x>Doe, R., and others. (2021).</a></li></ul>", True),
+        ("<ul><li><a href=x>A paragraph, kept.</a></li><li><a href=x>Home</a></li><li><a href=x>News</a></li></ul>", False),
+        ("<div class=site-footer><p>A paragraph, kept.</p></div>", False),
+        ("<div class='box cookie-notice'><p>A paragraph, kept.</p></div>", False),
+        ("<div class=relatedArticles><p>A paragraph, kept.</p></div>", False),
+        ("<div id=ad-slot-3><p>A paragraph, kept.</p></div>", False),
+    ],
+)
+def test_one_word_of_a_name_does_not_drop_text(inner, kept):
+    page = f"<article><p>The first paragraph, of the article, with text.</p>{inner}<p>The last paragraph, of the article.</p></article>"
+    assert ("A paragraph, kept." in html_extract.extract(page)) == kept
+
+
 def test_extraction_without_an_article():
     page = "<div class=top><a href=1>Link one</a> <a href=2>Link two</a></div><div id=c><h2>Headline here</h2>" + "<p>This is a long paragraph, with commas, and sentences. It goes on.</p>" * 3 + "<p>Be.</p></div><div class=x>Terms</div>"
     assert html_extract.extract(page).split("\n") == ["Headline here", *["This is a long paragraph, with commas, and sentences. It goes on."] * 3, "Be."]
