@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import drop_written, partitions, slices, tidy, written
 from .components import components
 
-#: Members of a block.
-BLOCK = 512
+#: Members of a block, and bytes of the payloads that are compared at a time.
+BLOCK, BYTES = 512, 16 << 20
 
 #: Gives the links among a group's members: a symmetric boolean matrix, from the payloads and the pairs asked for.
 Verify = Callable[[list, np.ndarray], np.ndarray]
@@ -159,9 +159,27 @@ def _block(bucket: int, i: int, j: int, group: list[tuple], verify: Verify) -> l
 
 
 def jaccard_verifier(similarity: float) -> Verify:
-    """Exact Jaccard similarity of sorted sets of 64-bit hashes, given as bytes."""
+    """Exact Jaccard similarity of sorted sets of 64-bit hashes, given as bytes. Sets of many bytes are compared part
+    by part, two parts at a time."""
 
     def verify(payloads: list[bytes], ask: np.ndarray) -> np.ndarray:
+        size = np.cumsum([len(p) for p in payloads])
+        if size[-1] <= BYTES or len(payloads) <= 6:
+            return compare(payloads, ask)
+        part = size // max(1, BYTES // 2)
+        parts = [np.flatnonzero(part == k) for k in np.unique(part)]
+        out = np.zeros(ask.shape, bool)
+        for k, a in enumerate(parts):
+            for b in parts[k:]:
+                both = a if a is b else np.r_[a, b]
+                asked = ask[np.ix_(both, both)].copy()
+                if a is not b:  # pairs of one part are compared by themselves
+                    asked[: len(a), : len(a)] = asked[len(a) :, len(a) :] = False
+                if asked.any():
+                    out[np.ix_(both, both)] |= compare([payloads[x] for x in both.tolist()], asked)
+        return out
+
+    def compare(payloads: list[bytes], ask: np.ndarray) -> np.ndarray:
         sets = [np.frombuffer(p, np.uint64) for p in payloads]
         sizes = np.array([len(s) for s in sets], np.int64)
         out = np.zeros(ask.shape, bool)

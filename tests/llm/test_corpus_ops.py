@@ -117,6 +117,18 @@ def brute_links(rows, similarity=0.8, n=5):
     return pairs
 
 
+@pytest.mark.parametrize("limit", [1 << 24, 2000, 64])
+def test_sets_are_compared_part_by_part(monkeypatch, limit):
+    monkeypatch.setattr(near, "BYTES", limit)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.unique(np.r_[base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(0, 6))).astype(np.uint64)]) for _ in range(30)]
+    ask = np.triu(rng.random((30, 30)) < 0.7, 1)
+    got = near.jaccard_verifier(0.8)([s.tobytes() for s in sets], ask)
+    want = [[ask[a, b] and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for b in range(30)] for a in range(30)]
+    assert (got == np.array(want)).all() and 0 < got.sum() < ask.sum()
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_ngram_join_is_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
