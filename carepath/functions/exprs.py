@@ -65,6 +65,11 @@ def key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts]), 256)
 
 
+def state_name(code: Column) -> Column:
+    """The name of a state's code; null for others."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in codes.STATES.items() for x in pair]), code)
+
+
 def stage(value: Column) -> Column:
     """LS-SCLC or ES-SCLC by whole words, limited first; else Unknown."""
     text = F.lower(F.coalesce(value, F.lit("")))

@@ -1,20 +1,25 @@
-"""Cut a plan that would grow round by round."""
+"""Cut a plan that is used several times or would grow round by round."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` computed and kept in the folder of `spark.checkpoint.dir`, which survives lost executors. Where that is
-    unset a temporary folder is used, but only if driver and executors are one process."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+    """`df`, written as Parquet to the folder of `spark.checkpoint.dir`, which survives lost executors, and read back.
+    Where that is unset a temporary folder is used, but only if driver and executors are one process. The table stays
+    until the folder is cleared, as DataFrames made from it read it when they run."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="carepath-"))
-    return df.checkpoint()
+        shared = "file://" + tempfile.mkdtemp(prefix="carepath-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/carepath/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
 from . import gold, silver
 
 SNAPSHOT = "2001-06-15"
@@ -82,6 +83,13 @@ class Frames:
     def base(self) -> DataFrame:
         return gold.patient_base(self.patients, self.diagnoses, self.episodes, self.biomarkers, self.trials, self.snapshot)
 
+    def published(self) -> Frames:
+        """The same frames over written episodes and cohort, for queries that read these several times."""
+        out = Frames(self.spark, self.sf_dir)
+        out.__dict__["episodes"] = cut_lineage(self.episodes)
+        out.__dict__["base"] = cut_lineage(out.base)
+        return out
+
     @cached_property
     def paths(self) -> DataFrame:
         return gold.journeys(self.diagnosed, self.episodes, self.responses, self.trials)

@@ -57,6 +57,10 @@ def overview(base: DataFrame, snapshot: Column, places: int = 2) -> DataFrame:
             exprs.rate(F.count_if("has_biomarker"), n, places).alias("biomarker_testing_rate"),
             exprs.rate(F.count_if(es & F.col("has_io")), F.count_if(es), places).alias("immunotherapy_uptake_rate"),
             exprs.rate(F.count_if("has_trial"), n, places).alias("clinical_trial_rate"),
+            F.count_if("has_biomarker").alias("biomarker_tested_count"),
+            F.count_if(es).alias("es_sclc_patient_count"),
+            F.count_if(es & F.col("has_io")).alias("es_sclc_io_count"),
+            F.count_if("has_trial").alias("trial_enrolled_count"),
         ],
         known,
     )
@@ -114,13 +118,14 @@ def ttt_distribution(base: DataFrame, snapshot: Column, places: int = 2, zero_fi
     return out if zero_filled else out.where("patient_count > 0")
 
 
-def treatment_patterns(episodes: DataFrame, diagnosed: DataFrame, places: int = 2) -> DataFrame:
+def treatment_patterns(episodes: DataFrame, diagnosed: DataFrame, snapshot: Column, places: int = 2) -> DataFrame:
     """Distinct patients per line and regimen category, and their share of the line, for all stages and each."""
     rows = episodes.join(diagnosed.select("patient_id", "stage"), "patient_id")
     marked = rows.withColumn("stage_filter", F.explode(_with_all("stage")))
     counts = marked.groupBy("stage_filter", "line_of_therapy", "regimen_category").agg(F.count_distinct("patient_id").alias("patient_count"))
     line = Window.partitionBy("stage_filter", "line_of_therapy")
-    return counts.withColumn("percentage", exprs.rate(F.col("patient_count"), F.sum("patient_count").over(line), places)).withColumn("line_label", exprs.line_label(F.col("line_of_therapy")))
+    shared = counts.withColumn("percentage", exprs.rate(F.col("patient_count"), F.sum("patient_count").over(line), places)).withColumn("line_label", exprs.line_label(F.col("line_of_therapy")))
+    return shared.select(snapshot.alias("snapshot_date"), "*")
 
 
 def regimens_top(episodes: DataFrame, k: int = 10, places: int = 2) -> DataFrame:
@@ -136,8 +141,8 @@ def _with_all(dim: str) -> Column:
     return F.when(F.col(dim).isin(*STAGES), F.array(everyone, F.col(dim))).otherwise(F.array(everyone))
 
 
-def geographic(base: DataFrame) -> DataFrame:
-    """State metrics, one decimal place; states that are null have no row."""
+def geographic(base: DataFrame, snapshot: Column) -> DataFrame:
+    """State metrics, one decimal place; states that are null have no row. Names are null for unknown codes."""
     n, es = F.count(F.lit(1)), F.col("stage") == "ES-SCLC"
     return (
         base.where("state is not null")
@@ -147,8 +152,10 @@ def geographic(base: DataFrame) -> DataFrame:
             F.round(F.avg("ttt_days"), 1).alias("avg_time_to_treatment"),
             exprs.rate(F.count_if(es & F.col("has_io")), F.count_if(es), 1).alias("immunotherapy_rate"),
             exprs.rate(F.count_if("has_trial"), n, 1).alias("trial_enrollment_rate"),
+            exprs.rate(F.count_if("has_biomarker"), n, 1).alias("biomarker_rate"),
         )
         .fillna(0.0, ["avg_time_to_treatment"])
+        .select(snapshot.alias("snapshot_date"), "*", exprs.state_name(F.col("state")).alias("state_name"))
     )
 
 
@@ -176,7 +183,7 @@ def journeys(diagnosed: DataFrame, episodes: DataFrame, responses: DataFrame, tr
 ROOT = "SCLC Diagnosis"
 
 
-def sankey(paths: DataFrame) -> DataFrame:
+def sankey(paths: DataFrame, snapshot: Column) -> DataFrame:
     """Transitions of the journey, for all stages and each: distinct patients per edge."""
     yes = F.lit(True)
     levels = [
@@ -188,7 +195,7 @@ def sankey(paths: DataFrame) -> DataFrame:
     edges = flow_edges(paths, levels, "stage", STAGES, "patient_id")
     target = F.element_at(F.array(*[F.lit(x) for x in ("stage", "treatment", "response", "next_step")]), F.col("level"))
     return edges.select(
-        F.col("filter_value").alias("stage_filter"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "patient_count",
+        snapshot.alias("snapshot_date"), F.col("filter_value").alias("stage_filter"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "patient_count",
         F.col("category").alias("source_category"), target.alias("target_category"),
     )
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import identity, quality
+from ..operators.lineage import cut_lineage
 from ..operators.relational import apply_filters, asof_join, cube_with_all, gap_dedup, keyed_upsert, latest_per_key, nearest_join, scd2_diff
-from . import gold, serve, silver, views
+from . import gold, live, serve, silver, views
 from .analogue import PRELUDE, SNAPSHOT, Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +54,12 @@ _OVERVIEW = _CUBE.format(
         CAST(quantile_disc(ttt_days, 0.5) AS DOUBLE) AS median_time_to_treatment,
         {_rate("count(*) FILTER (WHERE has_biomarker)", "count(*)")} AS biomarker_testing_rate,
         {_rate("count(*) FILTER (WHERE s = 'ES-SCLC' AND has_io)", "count(*) FILTER (WHERE s = 'ES-SCLC')")} AS immunotherapy_uptake_rate,
-        {_rate("count(*) FILTER (WHERE has_trial)", "count(*)")} AS clinical_trial_rate""",
+        {_rate("count(*) FILTER (WHERE has_trial)", "count(*)")} AS clinical_trial_rate,
+        count(*) FILTER (WHERE has_biomarker) AS biomarker_tested_count, count(*) FILTER (WHERE s = 'ES-SCLC') AS es_sclc_patient_count,
+        count(*) FILTER (WHERE s = 'ES-SCLC' AND has_io) AS es_sclc_io_count, count(*) FILTER (WHERE has_trial) AS trial_enrolled_count""",
     columns=f"""DATE '{SNAPSHOT}' AS snapshot_date, stage AS stage_filter, state AS state_filter, total_patients, new_diagnoses_mtd, new_diagnoses_qtd,
-        new_diagnoses_ytd, median_time_to_treatment, biomarker_testing_rate, immunotherapy_uptake_rate, clinical_trial_rate""",
+        new_diagnoses_ytd, median_time_to_treatment, biomarker_testing_rate, immunotherapy_uptake_rate, clinical_trial_rate,
+        biomarker_tested_count, es_sclc_patient_count, es_sclc_io_count, trial_enrolled_count""",
     join="",
 )
 
@@ -67,8 +71,9 @@ def kpi_overview_cube(t: Frames) -> DataFrame:
 
 @query(_OVERVIEW)
 def kpi_current(t: Frames) -> DataFrame:
-    older = gold.overview(t.base, t.snapshot).withColumn("snapshot_date", F.date_sub("snapshot_date", 30))
-    return views.kpi_current(gold.overview(t.base, t.snapshot).unionByName(older))
+    # a published table of two snapshots, as the view reads it
+    both = F.explode(F.array("snapshot_date", F.date_sub("snapshot_date", 30)))
+    return views.kpi_current(cut_lineage(gold.overview(t.base, t.snapshot).withColumn("snapshot_date", both)))
 
 
 @query(
@@ -130,17 +135,13 @@ def ttt_upper_median(t: Frames) -> DataFrame:
 
 
 @query(
-    f"""SELECT d.stage, count(*) AS pairs, round(avg(e.treatment_start_date - d.diagnosis_date), 4) AS mean_days,
+    f"""SELECT d.stage, count(*) AS pairs, CAST(list_sort(list(e.treatment_start_date - d.diagnosis_date))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS DOUBLE) AS median_days,
+        round(avg(e.treatment_start_date - d.diagnosis_date), 4) AS mean_days,
         {_rate("count(*) FILTER (WHERE e.treatment_start_date - d.diagnosis_date <= 21)", "count(*)")} AS within_target_pct
         FROM diagnoses d JOIN episodes e ON d.patient_id = e.patient_id AND e.line_of_therapy = 1 AND e.treatment_start_date >= d.diagnosis_date GROUP BY d.stage"""
 )
 def ttt_pairs(t: Frames) -> DataFrame:
-    """Every diagnosis with the patient's first line, not only the first diagnosis."""
-    first = t.episodes.where("line_of_therapy = 1").select("patient_id", "treatment_start_date")
-    days = F.datediff("treatment_start_date", "diagnosis_date")
-    rows = t.diagnoses.join(first, "patient_id").withColumn("days", days).where("days >= 0")
-    n = F.count(F.lit(1))
-    return rows.groupBy("stage").agg(n.alias("pairs"), F.round(F.avg("days"), 4).alias("mean_days"), exprs.rate(F.count_if(F.col("days") <= 21), n).alias("within_target_pct"))
+    return live.time_to_treatment(t.diagnoses, t.episodes)
 
 
 _PATTERNS = f"""
@@ -150,7 +151,7 @@ _PATTERNS = f"""
     ), counts AS (
         SELECT stage_filter, line_of_therapy, regimen_category, count(DISTINCT patient_id) AS patient_count FROM marked GROUP BY ALL
     ), patterns AS (
-        SELECT *, {_rate("patient_count", "sum(patient_count) OVER (PARTITION BY stage_filter, line_of_therapy)")} AS percentage,
+        SELECT *, DATE '{SNAPSHOT}' AS snapshot_date, {_rate("patient_count", "sum(patient_count) OVER (PARTITION BY stage_filter, line_of_therapy)")} AS percentage,
                CASE line_of_therapy WHEN 1 THEN '1st line' WHEN 2 THEN '2nd line' ELSE '3rd line+' END AS line_label
         FROM counts
     )
@@ -159,7 +160,7 @@ _PATTERNS = f"""
 
 @query(_PATTERNS + "SELECT * FROM patterns")
 def treatment_patterns_category(t: Frames) -> DataFrame:
-    return gold.treatment_patterns(t.episodes, t.diagnosed)
+    return gold.treatment_patterns(t.episodes, t.diagnosed, t.snapshot)
 
 
 @query(
@@ -175,14 +176,15 @@ def treatment_patterns_regimen_top10(t: Frames) -> DataFrame:
 
 @query(_PATTERNS + "SELECT * FROM patterns WHERE stage_filter IS NULL AND line_of_therapy <= 2")
 def patterns_first_second_line(t: Frames) -> DataFrame:
-    return serve.treatment_patterns(gold.treatment_patterns(t.episodes, t.diagnosed))
+    return serve.treatment_patterns(cut_lineage(gold.treatment_patterns(t.episodes, t.diagnosed, t.snapshot)))
 
 
 _GEO = f"""
     , geo AS (
         SELECT state, count(*) AS patient_count, coalesce(round(avg(ttt_days), 1), 0.0) AS avg_time_to_treatment,
                {_rate("count(*) FILTER (WHERE stage = 'ES-SCLC' AND has_io)", "count(*) FILTER (WHERE stage = 'ES-SCLC')", 1)} AS immunotherapy_rate,
-               {_rate("count(*) FILTER (WHERE has_trial)", "count(*)", 1)} AS trial_enrollment_rate
+               {_rate("count(*) FILTER (WHERE has_trial)", "count(*)", 1)} AS trial_enrollment_rate,
+               {_rate("count(*) FILTER (WHERE has_biomarker)", "count(*)", 1)} AS biomarker_rate, DATE '{SNAPSHOT}' AS snapshot_date, NULL::VARCHAR AS state_name
         FROM base WHERE state IS NOT NULL GROUP BY state
     )
 """
@@ -190,7 +192,7 @@ _GEO = f"""
 
 @query(_GEO + "SELECT * FROM geo")
 def geographic_metrics(t: Frames) -> DataFrame:
-    return gold.geographic(t.base)
+    return gold.geographic(t.base, t.snapshot)
 
 
 @query("SELECT state, count(*) AS patient_count FROM patients GROUP BY state")
@@ -200,7 +202,7 @@ def state_counts(t: Frames) -> DataFrame:
 
 @query(_GEO + "SELECT *, round(100.0 * patient_count / max(patient_count) OVER (), 1) AS bar_share FROM (SELECT * FROM geo ORDER BY patient_count DESC, state LIMIT 15)")
 def top15_states(t: Frames) -> DataFrame:
-    return serve.states(gold.geographic(t.base), top=15)
+    return serve.states(cut_lineage(gold.geographic(t.base, t.snapshot)), top=15)
 
 
 _EDGES = """
@@ -215,11 +217,22 @@ _EDGES = """
         SELECT stage_filter, s AS source_node, d AS target_node, count(DISTINCT patient_id) AS patient_count, sc AS source_category, dc AS target_category FROM twice GROUP BY ALL
     )
 """
+_LINKS = "SELECT source_node, target_node, patient_count, source_category, target_category FROM edges WHERE stage_filter = 'ES-SCLC'"
 
 
-@query(_EDGES + "SELECT * FROM edges")
+@query(_EDGES + f"SELECT DATE '{SNAPSHOT}' AS snapshot_date, * FROM edges")
 def sankey_transitions(t: Frames) -> DataFrame:
-    return gold.sankey(t.paths)
+    return gold.sankey(t.published().paths, t.snapshot)
+
+
+@query(_EDGES + _LINKS)
+def sankey_links(t: Frames) -> DataFrame:
+    return serve.sankey(cut_lineage(gold.sankey(t.published().paths, t.snapshot)), "ES-SCLC")[0]
+
+
+@query(_EDGES + f"SELECT source_node AS node, source_category AS category FROM ({_LINKS}) UNION SELECT target_node, target_category FROM ({_LINKS})")
+def sankey_link_nodes(t: Frames) -> DataFrame:
+    return serve.sankey(cut_lineage(gold.sankey(t.published().paths, t.snapshot)), "ES-SCLC")[1]
 
 
 @query(
@@ -228,7 +241,7 @@ def sankey_transitions(t: Frames) -> DataFrame:
         UNION ALL SELECT stage_filter, source_category, source_node, CAST(sum(patient_count) AS BIGINT) FROM edges WHERE source_category = 'diagnosis' GROUP BY ALL"""
 )
 def sankey_nodes(t: Frames) -> DataFrame:
-    return gold.sankey_nodes(gold.sankey(t.paths))
+    return gold.sankey_nodes(gold.sankey(t.published().paths, t.snapshot))
 
 
 @query("SELECT patient_id, line_of_therapy, treatment_start_date, treatment_end_date, claim_count, CAST(treatment_end_date - treatment_start_date AS INTEGER) AS duration_days FROM episodes")
@@ -587,12 +600,126 @@ def dim_date(t: Frames) -> DataFrame:
     return silver.dim_date(t.spark, "1995-01-01", "2001-12-31").select("date_key", "full_date", "day_of_week", "week_of_year", "quarter", "is_weekend", "is_month_end", "month_name", "day_name")
 
 
+_SHARE = "CASE WHEN {1} > 0 THEN round(CAST({0} AS DOUBLE) / {1} * 100, 1) ELSE CAST(0 AS DOUBLE) END"
+
+
+def _live(stage: str) -> str:
+    return f"""
+        , staged AS (SELECT * FROM diagnoses WHERE {stage} AND patient_id IN (SELECT patient_id FROM patients)),
+        lines AS (SELECT patient_id, treatment_start_date, has_io FROM episodes WHERE line_of_therapy = 1),
+        pairs AS (SELECT treatment_start_date - diagnosis_date AS days FROM staged JOIN lines USING (patient_id) WHERE treatment_start_date >= diagnosis_date),
+        es AS (SELECT has_io FROM diagnoses JOIN lines USING (patient_id) JOIN patients USING (patient_id) WHERE stage = 'ES-SCLC'),
+        n AS (SELECT (SELECT count(*) FROM patients) AS people, (SELECT count(DISTINCT patient_id) FROM staged) AS diagnosed,
+              (SELECT count(DISTINCT patient_id) FROM biomarkers JOIN patients USING (patient_id)) AS tested, (SELECT count(DISTINCT patient_id) FROM trials JOIN patients USING (patient_id)) AS enrolled,
+              (SELECT count(*) FROM es) AS es, (SELECT count(*) FROM es WHERE has_io) AS io)
+        SELECT people AS total_patients, (SELECT count(*) FROM staged WHERE diagnosis_date >= DATE '2001-06-01') AS new_diagnoses_mtd,
+               (SELECT count(*) FROM staged WHERE diagnosis_date >= DATE '2001-04-01') AS new_diagnoses_qtd, (SELECT count(*) FROM staged WHERE diagnosis_date >= DATE '2001-01-01') AS new_diagnoses_ytd,
+               (SELECT CAST(list_sort(list(days))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS DOUBLE) FROM pairs) AS median_time_to_treatment_days,
+               {_SHARE.format("tested", "diagnosed")} AS biomarker_testing_rate, {_SHARE.format("io", "es")} AS immunotherapy_uptake_rate, {_SHARE.format("enrolled", "people")} AS clinical_trial_enrollment_rate
+        FROM n"""
+
+
+@query(_live("true"))
+def overview_live(t: Frames) -> DataFrame:
+    return live.overview(t.patients, t.diagnoses, t.published().episodes, t.biomarkers, t.trials, t.snapshot)
+
+
+@query(_live("stage = 'LS-SCLC'"))
+def overview_live_stage(t: Frames) -> DataFrame:
+    return live.overview(t.patients, t.diagnoses, t.published().episodes, t.biomarkers, t.trials, t.snapshot, stage="LS-SCLC")
+
+
 @query(
-    f"""SELECT stage, count(DISTINCT patient_id) AS patients, count(DISTINCT CASE WHEN has_io THEN patient_id END) AS io_patients FROM (SELECT * FROM base) x GROUP BY stage"""
+    """, dx AS (SELECT patient_id, 'stage_' || last(stage ORDER BY diagnosis_date, diagnosis_id) AS a FROM diagnoses GROUP BY patient_id),
+    tx AS (SELECT patient_id, episode_id, '1l_' || regimen_category AS b FROM episodes WHERE line_of_therapy = 1),
+    ra AS (SELECT episode_id, 'resp_' || last(response_type ORDER BY assessment_date, assessment_id) AS c FROM responses GROUP BY episode_id),
+    journey AS (SELECT a, b, c FROM dx LEFT JOIN tx USING (patient_id) LEFT JOIN ra USING (episode_id))
+    SELECT 'diagnosis' AS source, a AS target, count(*) AS value FROM journey GROUP BY ALL
+    UNION ALL SELECT a, b, count(*) FROM journey WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT b, c, count(*) FROM journey WHERE c IS NOT NULL GROUP BY ALL"""
 )
-def overview_live(t: Frames) -> DataFrame:
-    """The KPIs computed live from rows."""
-    return t.base.groupBy("stage").agg(F.count_distinct("patient_id").alias("patients"), F.count_distinct(F.when(F.col("has_io"), F.col("patient_id"))).alias("io_patients"))
+def sankey_live(t: Frames) -> DataFrame:
+    t = t.published()
+    return live.sankey(t.diagnoses, t.episodes, t.responses)
+
+
+@query(
+    """, dx AS (SELECT patient_id, min(diagnosis_date) AS diagnosis_date, first(stage ORDER BY diagnosis_date, diagnosis_id) AS stage FROM diagnoses GROUP BY patient_id),
+    tx AS (SELECT patient_id, first(treatment_start_date ORDER BY line_of_therapy <> 1, treatment_start_date) AS start, first(regimen_category ORDER BY line_of_therapy <> 1, treatment_start_date) AS treatment FROM episodes GROUP BY patient_id)
+    SELECT p.*, dx.stage, dx.diagnosis_date, tx.treatment, CASE WHEN start >= diagnosis_date THEN CAST(start - diagnosis_date AS INTEGER) END AS days_to_treatment
+    FROM patients p LEFT JOIN dx USING (patient_id) LEFT JOIN tx USING (patient_id)"""
+)
+def patient_rows_enriched(t: Frames) -> DataFrame:
+    return serve.enriched_rows(t.patients, t.diagnoses, t.published().episodes)
+
+
+def _raw_orders(t: Frames, **columns: str) -> DataFrame:
+    """Orders as raw records of a feed."""
+    return t.table("orders").selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
+
+
+def _xref(t: Frames) -> DataFrame:
+    ids = t.patients.select(F.col("patient_id").cast("string").alias("source_patient_id"), "patient_id")
+    return ids.withColumn("source_system", F.explode(F.array(F.lit("EHR"), F.lit("CLAIMS"))))
+
+
+@query(
+    """, raw AS (
+        SELECT o_custkey AS patient_id, o_orderdate::DATE AS diagnosis_date, left(o_orderpriority, 1) AS p, o_orderstatus AS s FROM orders
+    ), rows AS (
+        SELECT patient_id, diagnosis_date, 'EHR' AS source_system, CASE p WHEN '1' THEN 'C34.10' ELSE 'C34.90' END AS icd10_code, CASE s WHEN 'F' THEN '8041' END AS morphology_code,
+               CASE s WHEN 'F' THEN 'LS-SCLC' WHEN 'O' THEN 'ES-SCLC' END AS stage FROM raw WHERE p IN ('1', '2') AND s <> 'P'
+        UNION ALL SELECT patient_id, diagnosis_date, 'CLAIMS', 'C34.2', NULL, 'Unknown' FROM raw WHERE p = '3'
+    )
+    SELECT patient_id, diagnosis_date, CAST(strftime(diagnosis_date, '%Y%m%d') AS INTEGER) AS diagnosis_date_key, stage, icd10_code, morphology_code,
+           CASE WHEN morphology_code = '8041' THEN true END AS is_confirmed_sclc, source_system
+    FROM rows WHERE patient_id IN (SELECT patient_id FROM patients)
+    QUALIFY row_number() OVER (PARTITION BY patient_id, diagnosis_date ORDER BY source_system DESC, icd10_code, stage) = 1"""
+)
+def fact_diagnosis(t: Frames) -> DataFrame:
+    priority = "CASE left(o_orderpriority, 1) WHEN '{0}' THEN '{1}' WHEN '{2}' THEN '{3}' ELSE 'I10' END"
+    conditions = _raw_orders(
+        t, subject_id="string(o_custkey)", code=priority.format(1, "C34.10", 2, "C34.90"), morphology_code="CASE o_orderstatus WHEN 'F' THEN '8041' WHEN 'P' THEN '8140' END",
+        onsetDateTime="string(to_date(o_orderdate))", stage="CASE o_orderstatus WHEN 'F' THEN 'Limited disease' ELSE 'extensive stage' END",
+    )
+    claims = _raw_orders(
+        t, subscriber_id="string(o_custkey)", primary_diagnosis_code="'Z51.11'", secondary_diagnosis_code_1=priority.format(3, "C34.2", "-", "-"), service_from_date="string(to_date(o_orderdate))"
+    )
+    return silver.fact_diagnosis(conditions, claims, _xref(t)).drop("diagnosis_id")
+
+
+@query(
+    """, daily AS (
+        SELECT patient_id, assessment_date, first(response_type ORDER BY CASE response_type WHEN 'CR' THEN 1 WHEN 'PR' THEN 2 WHEN 'SD' THEN 3 WHEN 'PD' THEN 4 ELSE 5 END) AS response_type
+        FROM assessments WHERE patient_id IN (SELECT patient_id FROM patients) GROUP BY ALL
+    ), linked AS (
+        SELECT d.*, e.episode_id, e.treatment_start_date, CASE response_type WHEN 'CR' THEN 1 WHEN 'PR' THEN 2 WHEN 'SD' THEN 3 WHEN 'PD' THEN 4 ELSE 5 END AS rank
+        FROM daily d ASOF LEFT JOIN episodes e ON d.patient_id = e.patient_id AND d.assessment_date >= e.treatment_start_date
+    )
+    SELECT patient_id, assessment_date, response_type, episode_id, treatment_start_date, row_number() OVER (PARTITION BY patient_id, episode_id ORDER BY rank, assessment_date) = 1 AS is_best_response FROM linked"""
+)
+def fact_response_assessment(t: Frames) -> DataFrame:
+    said = "element_at(array('Complete Response', 'partial', 'SD', 'cannot say', 'progression seen'), int(left(o_orderpriority, 1)))"
+    observations = _raw_orders(t, subject_id="string(o_custkey)", category="'Imaging'", valueString=said, effectiveDateTime="string(to_date(o_orderdate))")
+    return silver.fact_response_assessment(observations, t.episodes, _xref(t)).drop("assessment_id")
+
+
+@query(
+    """, met AS (
+        SELECT user_id AS patient_id, 'NCT' || (event_id % 3) AS trial_identifier, ts::DATE AS enrollment_date FROM events WHERE event_type = 'signup'
+        UNION ALL SELECT o_custkey, NULL, o_orderdate::DATE FROM orders WHERE left(o_orderpriority, 1) = '1'
+    ), rows AS (
+        SELECT patient_id, trial_identifier, min(enrollment_date) AS enrollment_date FROM met WHERE patient_id IN (SELECT patient_id FROM patients) GROUP BY ALL
+    ), near AS (
+        SELECT r.patient_id, r.trial_identifier, e.episode_id, e.treatment_start_date
+        FROM rows r JOIN episodes e ON r.patient_id = e.patient_id AND abs(r.enrollment_date - e.treatment_start_date) <= 30
+        QUALIFY row_number() OVER (PARTITION BY r.patient_id, r.trial_identifier ORDER BY abs(r.enrollment_date - e.treatment_start_date), e.treatment_start_date) = 1
+    )
+    SELECT r.*, 'enrolled' AS trial_status, n.episode_id, n.treatment_start_date FROM rows r LEFT JOIN near n ON r.patient_id = n.patient_id AND r.trial_identifier IS NOT DISTINCT FROM n.trial_identifier"""
+)
+def fact_trial_enrollment(t: Frames) -> DataFrame:
+    encounters = t.table("events").selectExpr("string(user_id) AS subject_id", "CASE event_type WHEN 'signup' THEN concat('NCT', event_id % 3) END AS clinical_trial_id", "event_type AS type", "string(to_date(ts)) AS encounter_date")
+    procedures = _raw_orders(t, subject_id="string(o_custkey)", code="CASE left(o_orderpriority, 1) WHEN '1' THEN '0075T' ELSE '99213' END", procedure_date="string(to_date(o_orderdate))")
+    return silver.fact_trial_enrollment(encounters, procedures, t.episodes, _xref(t)).drop("enrollment_id", "trial_name", "trial_phase")
 
 
 @query(
@@ -647,11 +774,13 @@ def _kpi_rule(name: str, value: str) -> str:
         UNION ALL SELECT 'top_second_line', 'info', max(percentage) FROM patterns WHERE stage_filter IS NULL AND line_of_therapy = 2 HAVING count(*) > 0
         UNION ALL SELECT 'state_gap', 'caution', round(max(avg_time_to_treatment) - min(avg_time_to_treatment), 1) FROM geo WHERE avg_time_to_treatment > 0
                   HAVING count(*) > 1 AND max(avg_time_to_treatment) - min(avg_time_to_treatment) > 5
+        UNION ALL SELECT 'low_testing_states', 'action', CAST(count(*) AS DOUBLE) FROM geo WHERE biomarker_rate < 70 HAVING count(*) >= 5
     )
     SELECT *, CAST(list_position(['action', 'caution', 'positive', 'info'], insight_type) AS BIGINT) AS position FROM rules"""
 )
 def insights_rules(t: Frames) -> DataFrame:
-    kpi = serve.overview(gold.overview(t.base, t.snapshot))
-    ttt = serve.time_to_treatment(gold.ttt_distribution(t.base, t.snapshot, zero_filled=True))
-    patterns = serve.treatment_patterns(gold.treatment_patterns(t.episodes, t.diagnosed))
-    return serve.insights(kpi, ttt, patterns, gold.geographic(t.base))
+    t = t.published()
+    kpi = cut_lineage(serve.overview(cut_lineage(gold.overview(t.base, t.snapshot))))
+    ttt = cut_lineage(serve.time_to_treatment(cut_lineage(gold.ttt_distribution(t.base, t.snapshot, zero_filled=True))))
+    patterns = cut_lineage(serve.treatment_patterns(cut_lineage(gold.treatment_patterns(t.episodes, t.diagnosed, t.snapshot))))
+    return serve.insights(kpi, ttt, patterns, cut_lineage(gold.geographic(t.base, t.snapshot)))

@@ -39,18 +39,44 @@ def time_to_treatment(agg: DataFrame, stage: str | None = None, state: str | Non
 
 def treatment_patterns(agg: DataFrame, stage: str | None = None) -> DataFrame:
     """First and second line."""
-    return _cell(agg, stage_filter=stage).where("line_of_therapy in (1, 2)").orderBy("line_of_therapy", F.col("patient_count").desc(), "regimen_category")
+    return _cell(kpi_current(agg), stage_filter=stage).where("line_of_therapy in (1, 2)").orderBy("line_of_therapy", F.col("patient_count").desc(), "regimen_category")
 
 
-def states(agg: DataFrame, top: int | None = None) -> DataFrame:
-    """States by patients; with `top`, the first ones with their share of the largest."""
-    rows = agg.orderBy(F.col("patient_count").desc(), "state")
+# fixed values: what states can be ranked by
+STATE_METRICS = ["patient_count", "avg_time_to_treatment", "immunotherapy_rate", "trial_enrollment_rate", "biomarker_rate"]
+
+
+def states(agg: DataFrame, metric_type: str = "patient_count", top: int | None = None) -> DataFrame:
+    """States of the latest snapshot by a metric; with `top`, the first ones with their share of the largest."""
+    if metric_type not in STATE_METRICS:
+        raise ValueError(f"no such metric: {metric_type}")
+    rows = kpi_current(agg).orderBy(F.col(metric_type).desc(), "state")
     if top is None:
         return rows
-    share = F.round(100.0 * F.col("patient_count") / F.max("patient_count").over(Window.partitionBy()), 1)
+    share = F.round(100.0 * F.col(metric_type) / F.max(metric_type).over(Window.partitionBy()), 1)
     return rows.limit(top).withColumn("bar_share", share)
 
 
+def sankey(agg: DataFrame, stage: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links of the latest snapshot, largest first, and the nodes they touch, each with its first category."""
+    links = _cell(kpi_current(agg), stage_filter=stage).select("source_node", "target_node", "patient_count", "source_category", "target_category")
+    order = F.struct(-F.col("patient_count"), "source_node", "target_node", "side")
+    end = lambda side, k: links.select(F.col(f"{side}_node").alias("node"), F.col(f"{side}_category").alias("category"), F.lit(k).alias("side"), "patient_count", "source_node", "target_node")
+    nodes = end("source", 0).unionByName(end("target", 1)).where("node is not null").groupBy("node").agg(F.min_by("category", order).alias("category"))
+    return links.orderBy(F.col("patient_count").desc(), "source_node", "target_node"), nodes
+
+
+def enriched_rows(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Patients as their table shows them: the first diagnosis, the first line's category or else its name, or those
+    of the first episode where there is no first line or it has neither; days between the two."""
+    dx = diagnoses.groupBy("patient_id").agg(F.min(F.struct("diagnosis_date", "diagnosis_id", "stage")).alias("d"))
+    one = F.struct((F.col("line_of_therapy") != 1).alias("later"), "treatment_start_date", "line_of_therapy", F.coalesce("regimen_category", "regimen_name").alias("treatment"))
+    tx = episodes.groupBy("patient_id").agg(F.min(one).alias("t"), F.min(F.when(F.coalesce("regimen_category", "regimen_name").isNotNull(), one)).alias("named"))
+    rows = patients.join(dx, "patient_id", "left").join(tx, "patient_id", "left")
+    days = F.datediff("t.treatment_start_date", "d.diagnosis_date")
+    return rows.withColumns({"stage": F.col("d.stage"), "diagnosis_date": F.col("d.diagnosis_date"), "treatment": F.col("named.treatment"), "days_to_treatment": F.when(days >= 0, days)}).drop("d", "t", "named")
+
+
 def patient_rows(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame) -> DataFrame:
     """Patients with their latest diagnosis and treatment, as lists show them."""
     dx = latest_per_key(diagnoses, ["patient_id"], [F.col("diagnosis_date").desc(), F.col("diagnosis_id").desc()]).select("patient_id", "diagnosis_date", "stage")
@@ -62,8 +88,10 @@ def patient_rows(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame)
 
 def list_patients(rows: DataFrame, page: int = 1, page_size: int = 20, stage: str | None = None, state: str | None = None, insurance_type: str | None = None, sort_by: str = "patient_id", order: str = "asc") -> tuple[DataFrame, DataFrame]:
     """A page of patient_rows in a total order, nulls last, and the count of the same relation with its pages."""
-    if sort_by not in SORTABLE or sort_by not in rows.columns:
+    if sort_by not in SORTABLE:
         raise ValueError(f"cannot sort by {sort_by}")
+    if sort_by not in rows.columns:  # a column that the source does not fill: all null
+        sort_by, order = "patient_id", "asc"
     found = apply_filters(rows, stage=stage, state=state, insurance_type=insurance_type)
     by = F.col(sort_by).desc_nulls_last() if order == "desc" else F.col(sort_by).asc_nulls_last()
     total = found.agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", F.ceil(F.col("total") / page_size))
@@ -138,4 +166,4 @@ def age_today(born, today):
     return F.floor(F.months_between(today, born) / 12).cast("int")
 
 
-__all__ = ["NotFound", "age_today", "get_patient", "insights", "list_patients", "overview", "patient_details", "patient_rows", "query", "states", "time_to_treatment", "treatment_patterns"]
+__all__ = ["NotFound", "age_today", "get_patient", "insights", "list_patients", "overview", "enriched_rows", "patient_details", "patient_rows", "query", "sankey", "states", "time_to_treatment", "treatment_patterns"]

@@ -288,7 +288,7 @@ def progressions(rows: DataFrame, diagnoses: DataFrame, episode: DataFrame) -> D
     )
 
 
-def fact_trial_enrollment(encounters: DataFrame, procedures: DataFrame, episode: DataFrame, xref: DataFrame) -> DataFrame:
+def fact_trial_enrollment(encounters: DataFrame, procedures: DataFrame, episode: DataFrame, xref: DataFrame, legacy_codes: bool = False) -> DataFrame:
     """Enrollments, one per patient and trial (rows without a trial id are one trial), each with the episode that
     begins nearest, within 30 days."""
     trial = pick(encounters, "clinical_trial_id", "study_id", "protocol_number")
@@ -303,8 +303,9 @@ def fact_trial_enrollment(encounters: DataFrame, procedures: DataFrame, episode:
         F.coalesce(F.lower(pick(encounters, "trial_status", "enrollment_status")), F.lit("enrolled")).alias("trial_status"),
         _date(encounters, "period_start", "encounter_date").alias("enrollment_date"),
     )
-    # the codes are held against the lower-cased code, so of these only the numeric one can match
-    done = F.coalesce(F.lower(pick(procedures, "code", "procedure_code")).rlike("0074T|0075T|99199"), F.lit(False)) | F.coalesce(F.lower(pick(procedures, "category")).rlike("research|trial|investigational"), F.lit(False))
+    code = pick(procedures, "code", "procedure_code")
+    # the legacy rule held the codes against the lower-cased code, so of these only the numeric one could match
+    done = F.coalesce((F.lower(code) if legacy_codes else F.upper(code)).rlike("0074T|0075T|99199"), F.lit(False)) | F.coalesce(F.lower(pick(procedures, "category")).rlike("research|trial|investigational"), F.lit(False))
     null = F.lit(None).cast("string")
     other = procedures.where(done).select(
         F.lit("EHR").alias("source_system"), _ids(procedures).alias("source_patient_id"), null.alias("trial_identifier"), null.alias("trial_name"), null.alias("trial_phase"),

@@ -11,21 +11,22 @@ from ..operators.relational import latest_per_key
 
 def patient_latest_status(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame, facilities: DataFrame, biomarkers: DataFrame, trials: DataFrame) -> DataFrame:
     """One row per patient: latest diagnosis and treatment, facility, flags."""
-    dx = latest_per_key(diagnoses, ["patient_id"], [F.col("diagnosis_date").desc(), F.col("diagnosis_id").desc()]).select(
-        "patient_id", F.col("diagnosis_date").alias("latest_diagnosis_date"), F.col("stage").alias("current_stage"), F.col("facility_id").alias("_dx_facility")
-    )
-    tx = latest_per_key(episodes, ["patient_id"], [F.col("treatment_start_date").desc(), F.col("line_of_therapy").desc()]).select(
+    # one combining aggregate a side: the greatest struct is the latest row
+    dx = diagnoses.groupBy("patient_id").agg(F.max(F.struct("diagnosis_date", "diagnosis_id", "stage", "facility_id")).alias("d"))
+    dx = dx.select("patient_id", F.col("d.diagnosis_date").alias("latest_diagnosis_date"), F.col("d.stage").alias("current_stage"), F.col("d.facility_id").alias("_dx_facility"))
+    last = F.struct("treatment_start_date", "line_of_therapy", "treatment_end_date", "regimen_category", "has_io", "facility_id")
+    tx = episodes.groupBy("patient_id").agg(F.max(last).alias("t"), F.min("treatment_start_date").alias("_first")).select(
         "patient_id",
-        F.col("line_of_therapy").alias("current_line_of_therapy"),
-        F.col("treatment_start_date").alias("latest_treatment_start_date"),
-        F.col("treatment_end_date").alias("latest_treatment_end_date"),
-        F.col("regimen_category").alias("current_regimen_category"),
-        F.col("has_io").alias("on_immunotherapy"),
-        F.col("facility_id").alias("_tx_facility"),
+        F.col("t.line_of_therapy").alias("current_line_of_therapy"),
+        F.col("t.treatment_start_date").alias("latest_treatment_start_date"),
+        F.col("t.treatment_end_date").alias("latest_treatment_end_date"),
+        F.col("t.regimen_category").alias("current_regimen_category"),
+        F.col("t.has_io").alias("on_immunotherapy"),
+        F.col("t.facility_id").alias("_tx_facility"),
+        "_first",
     )
-    first = episodes.groupBy("patient_id").agg(F.min("treatment_start_date").alias("_first"))
     flag = lambda df, name: df.select("patient_id").distinct().withColumn(name, F.lit(True))
-    rows = patients.join(dx, "patient_id", "left").join(tx, "patient_id", "left").join(first, "patient_id", "left")
+    rows = patients.join(dx, "patient_id", "left").join(tx, "patient_id", "left")
     rows = rows.join(flag(trials, "enrolled_in_trial"), "patient_id", "left").join(flag(biomarkers, "has_biomarker_test"), "patient_id", "left")
     rows = rows.withColumn("facility_id", F.coalesce("_tx_facility", "_dx_facility")).join(facilities.select("facility_id", "facility_name"), "facility_id", "left")
     return rows.fillna(False, ["enrolled_in_trial", "has_biomarker_test"]).withColumn("days_to_first_treatment", F.datediff("_first", "latest_diagnosis_date")).drop("_first", "_tx_facility", "_dx_facility")

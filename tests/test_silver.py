@@ -84,8 +84,9 @@ def test_responses_progressions_trials(spark, xref, tx):
     assert pe == [("2024-03-01", 1, 61, 3), ("2024-05-01", 2, 122, 64)]
     enc = spark.createDataFrame([("e1", "research", "NCT1", "2024-01-31", None), ("e1", "visit", "NCT1", "2024-02-02", "Active"), ("e1", "study", None, "2024-04-30", None), ("e2", "visit", None, "2024-01-01", None)], "subject_id string, type string, clinical_trial_id string, period_start string, trial_status string")
     none = spark.createDataFrame([("e2", "0074T", "x", "2024-01-01"), ("e2", "99199", "x", "2024-02-04")], "subject_id string, code string, category string, performedDateTime string")
-    te = sorted((x.patient_id, x.trial_identifier or "", x.enrollment_date.isoformat(), x.trial_status, x.treatment_start_date and x.treatment_start_date.isoformat()) for x in silver.fact_trial_enrollment(enc, none, tx, xref).collect())
-    assert te == [("p1", "", "2024-04-30", "enrolled", None), ("p1", "NCT1", "2024-01-31", "enrolled", "2024-02-27"), ("p2", "", "2024-02-04", "enrolled", "2024-01-05")]
+    for legacy, day in ((False, "2024-01-01"), (True, "2024-02-04")):  # the legacy rule misses the T codes
+        te = sorted((x.patient_id, x.trial_identifier or "", x.enrollment_date.isoformat(), x.trial_status, x.treatment_start_date and x.treatment_start_date.isoformat()) for x in silver.fact_trial_enrollment(enc, none, tx, xref, legacy).collect())
+        assert te == [("p1", "", "2024-04-30", "enrolled", None), ("p1", "NCT1", "2024-01-31", "enrolled", "2024-02-27"), ("p2", "", day, "enrolled", "2024-01-05")]
 
 
 def test_biomarkers(spark, xref):
@@ -109,7 +110,7 @@ def test_journey_order_of_next_steps(spark):
     tr = spark.createDataFrame([("a",)], "patient_id string")
     got = {x.patient_id: (x.treatment, x.response, x.next_step) for x in gold.journeys(dx, ep, ra, tr).collect()}
     assert got == {"a": ("Chemo Only", "CR", "Clinical Trial"), "b": ("Chemo+IO", "PD", "No Further Treatment"), "c": ("No Treatment", "Not Assessed", "No Further Treatment"), "d": ("Radiation", "Not Assessed", "No Further Treatment")}
-    edges = gold.sankey(gold.journeys(dx, ep, ra, tr))
+    edges = gold.sankey(gold.journeys(dx, ep, ra, tr), F.lit(None).cast("date"))
     n = {(x.source_node, x.target_node): x.patient_count for x in edges.where("stage_filter is null").collect()}
     assert n["SCLC Diagnosis", "Unknown"] == 1 and n["Unknown", "No Treatment"] == 1 and ("No Treatment", "Not Assessed") not in n and ("Not Assessed", "No Further Treatment") not in n
 
@@ -130,6 +131,16 @@ def test_serving(spark):
         serve.get_patient(details, None)
     with pytest.raises(ValueError):
         serve.list_patients(people, sort_by="drop table")
+    assert serve.list_patients(people, sort_by="created_at")[0].count() == 1
+    old, new = D("2024-01-01"), D("2024-02-01")
+    edges = spark.createDataFrame([(old, None, "a", "b", 9, "x", "y"), (new, None, "a", "b", 1, "x", "y"), (new, None, "b", "c", 2, "y", "z"), (new, "LS-SCLC", "a", "c", 5, "x", "z")], "snapshot_date date, stage_filter string, source_node string, target_node string, patient_count long, source_category string, target_category string")
+    links, nodes = serve.sankey(edges)
+    assert [(r.source_node, r.patient_count) for r in links.collect()] == [("b", 2), ("a", 1)]
+    assert sorted(map(tuple, nodes.collect())) == [("a", "x"), ("b", "y"), ("c", "z")]
+    geo = spark.createDataFrame([(old, "NY", 9, 1.0), (new, "NY", 3, 50.0), (new, "TX", 4, 60.0)], "snapshot_date date, state string, patient_count long, biomarker_rate double")
+    assert [r.state for r in serve.states(geo).collect()] == ["TX", "NY"] and serve.states(geo, "biomarker_rate", top=1).first().bar_share == 100.0
+    with pytest.raises(ValueError):
+        serve.states(geo, "state")
     assert serve.query(spark, "select :x + 1 as y", x=2).first().y == 3
 
 
@@ -162,4 +173,6 @@ def test_cohort_rules(spark):
     assert cube["ES-SCLC", None].median_time_to_treatment == 0.0 and cube["LS-SCLC", None].immunotherapy_uptake_rate == 0.0
     buckets = {r.bucket_label: r.patient_count for r in gold.ttt_distribution(base, snap, zero_filled=True).where("stage_filter is null and state_filter is null").collect()}
     assert buckets == {"0-7": 1, "8-14": 1, "15-21": 0, "22-30": 0, "31+": 0}
-    assert [r.state for r in gold.geographic(base).collect()] == ["NY"]
+    r = gold.geographic(base, snap).collect()
+    assert [(x.snapshot_date, x.state, x.state_name, x.biomarker_rate) for x in r] == [(D("2024-06-15"), "NY", "New York", 50.0)]
+    assert (cube[None, None].biomarker_tested_count, cube[None, None].es_sclc_patient_count, cube[None, None].es_sclc_io_count, cube[None, None].trial_enrolled_count) == (1, 1, 1, 0)
