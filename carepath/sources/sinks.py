@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import keyed_upsert
@@ -17,13 +17,13 @@ def replace_snapshot(df: DataFrame, path: str, partition: str = "snapshot_date")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    at, fs = _hadoop(spark, path)
+    at, fs = hadoop(spark, path)
     if not fs.exists(at):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
@@ -76,12 +76,7 @@ def export(spark: SparkSession, tables: dict[str, DataFrame], target: str, jdbc:
     for name, df in tables.items():
         began = time.time()
         try:
-            n = df.count()
-            if n and jdbc:
-                df.write.mode("overwrite").option("truncate", "true").options(**jdbc).format("jdbc").option("dbtable", name).save()
-            elif n:
-                flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-                flat.write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(f"{target}/{name}")
+            n = _replace_jdbc(df, name, jdbc) if jdbc else _replace_csv(df, f"{target}/{name}")
             rows.append((name, "success" if n else "skipped", n, round(time.time() - began, 3), None))
         except Exception as e:  # the other tables are still exported; the failure is raised below
             rows.append((name, "failed", 0, round(time.time() - began, 3), str(e)[:500]))
@@ -92,12 +87,44 @@ def export(spark: SparkSession, tables: dict[str, DataFrame], target: str, jdbc:
     return status
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows are counted as they are written."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _replace_jdbc(df: DataFrame, name: str, jdbc: dict[str, str]) -> int:
+    if df.isEmpty():
+        return 0
+    rows, seen = _counted(df)
+    rows.write.mode("overwrite").option("truncate", "true").options(**jdbc).format("jdbc").option("dbtable", name).save()
+    return seen.get["n"]
+
+
+def _replace_csv(df: DataFrame, path: str) -> int:
+    """Into a new folder, which takes the place of the old one once it is whole; an empty table leaves the old one."""
+    flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+    rows, seen = _counted(flat)
+    rows.write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(f"{path}.next")
+    new, fs = hadoop(df.sparkSession, f"{path}.next")
+    n = seen.get["n"]
+    if not n:
+        fs.delete(new, True)
+        return 0
+    old, _ = hadoop(df.sparkSession, path)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot rename to {path}")
+    return n
+
+
 def run_log(spark: SparkSession, path: str) -> DataFrame:
     """What each version of a table holds: version and rows."""
-    out = spark.createDataFrame([], "version int, n long")
-    for v in versions(spark, path):
-        out = out.unionByName(read_version(spark, path, v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), "n"))
-    return out
+    found = versions(spark, path)
+    if not found:
+        return spark.createDataFrame([], "version int, n long")
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/v={v}" for v in found])
+    return rows.groupBy(F.col("v").cast("int").alias("version")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def publish_view(df: DataFrame, name: str) -> None:
