@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An id set of at most this many rows (8 bytes each, 8 MB) is broadcast; a larger one is shuffled.
-BROADCAST_IDS = 1_000_000
+#: An id set of at most this many rows (about 70 bytes each as a hashed relation, so 14 MB) is broadcast; a larger
+#: one is shuffled.
+BROADCAST_IDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
