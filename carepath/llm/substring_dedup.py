@@ -42,6 +42,8 @@ def anchors(words: np.ndarray, sizes: np.ndarray, n: int = SHINGLE, window: int
     equals) and ends within its text.
     """
     total = len(words)
+    if total < max(window, passage):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = grams(words, n)
     text = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)

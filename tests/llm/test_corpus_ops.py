@@ -481,3 +481,21 @@ def test_the_pipeline_leaves_other_tables_alone(spark, sf_dir):
         files = [p.removeprefix("file://") for p in paths]
         assert any(map(os.path.exists, files))
     assert not any(map(os.path.exists, files))
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir):
+    rng = random.Random(11)
+    good = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 400 and 900").limit(6).collect()]
+    rows = [(k, t) for k, t in enumerate(good)] + [(0, good[0]), (50, good[1]), (60, None), (61, ""), (None, good[2]), (None, None), (70, words(rng, 60_000)), (71, "\n" * 3000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, None, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rank string, h int, payload string, words int")
+    for now in (docs, docs.where("false")):
+        empty = now is not docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, sf_dir)
+            if name != "packing":
+                assert out.columns == docs.columns
+            now = spark.createDataFrame(out.collect(), out.schema)
+            assert now.isEmpty() or not empty
+            if name == "exact_dedup" and not empty:
+                assert now.where("doc_id = 50").isEmpty()
+        assert empty or sum(r.length for r in now.collect()) > 0
