@@ -11,6 +11,8 @@ from .common import join_ids, partitions, written
 BLANKS = " \t\n\x0b\x0c\r"
 #: Room for a doc_id below the number of code points in one sortable decimal.
 ROOM, TOP = str(10**20), str(2**63 - 1)
+#: A group is hot when it holds more than LEAST_HOT rows and more than one in HOT of all rows; so fewer than HOT are.
+HOT, LEAST_HOT = 10_000, 1_000
 
 
 def normalised(text):
@@ -29,7 +31,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Grouping by (hash, normalised text) makes Spark compare the bytes within a hash, and combines the
     copies in each task before the shuffle, so a group may hold any share of the rows. What is joined back
-    is digests; a hash that two texts share is told apart by the second digest.
+    is digests; a hash that two texts share is told apart by the second digest. The rows of hot groups are
+    joined in as many parts as the group has times the least hot number of rows; which groups are hot is
+    broadcast, fewer than HOT by their definition, and all parts together are fewer than 2 * HOT rows more.
+
+    A text of any length is one value of a row. Columns of `docs` other than these two are not looked at,
+    whatever their names.
     """
     text = F.col(text_col)
     rows = docs.select(
@@ -46,9 +53,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best"))
         .select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best")
     )
+    groups = written(groups.coalesce(partitions(docs.sparkSession)), "exact-groups")
+    least = max(LEAST_HOT, (groups.agg(F.sum("group_size")).first()[0] or 0) // HOT)
+    parts = F.when(F.col("group_size") > least, F.ceil(F.col("group_size") / least)).otherwise(1).cast("int")
+    hot = groups.where(F.col("group_size") > least).select("h", "text_sha256", parts.alias("parts"))
+    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     members = rows.select("doc_id", digest.alias("h"), F.sha2("norm", 256).alias("text_sha256"), rank.alias("rank"))
+    members = members.join(F.broadcast(hot), ["h", "text_sha256"], "left")
+    members = members.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts").cast("int"), F.lit(0)))
     keep = top - F.col("best") % room
-    return members.join(groups, ["h", "text_sha256"]).select(
+    return members.join(groups, ["h", "text_sha256", "part"]).select(
         "doc_id",
         keep.cast("long").alias("keep_id"),
         "group_size",

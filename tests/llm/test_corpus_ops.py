@@ -170,6 +170,22 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_groups(docs.where("false")).count() == 0
 
 
+def test_exact_dedup_of_hot_groups_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 7)
+    long = "long text " * 200_000
+    rows = [(k, "hot" + " " * (k % 5)) for k in range(400)] + [(1000 + k, f"warm {k % 30}") for k in range(240)] + [(2000 + k, long + " " * k) for k in range(9)]
+    rows += [(3000 + k, f"cold {k}") for k in range(50)] + [(5, "hot"), (None, "hot")]
+    got = exact_dedup.exact_groups(with_extras(spark, rows)).collect()
+    groups = {}
+    for k, text in rows:
+        groups.setdefault("".join(text.split()), []).append((-len(text), k if k is not None else 1 << 62))
+    want = Counter()
+    for key, members in groups.items():
+        n, least = min(members)
+        want.update((k if k < 1 << 62 else None, least, len(members), (m, k) == (n, least), hashlib.sha256(key.encode()).hexdigest()) for m, k in members)
+    assert Counter(map(tuple, got)) == want
+
+
 @pytest.fixture(scope="module")
 def passages():
     """Passages of 51 words that documents share, at line starts or within lines; clean documents; oddities."""
