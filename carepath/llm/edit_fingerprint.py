@@ -240,35 +240,44 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def edit_similarity(a: str, b: str, least: float) -> bool:
-    """Whether 1 - edit distance / longer length is at least `least`, by a band of the distance's table as
-    wide as that allows."""
+    """Whether 1 - edit distance / longer length is at least `least`.
+
+    What both texts begin and end with is set aside. Of the rest, a column of the distance's table is kept as the
+    bits of two long integers, where it goes up and where down by one, so a column costs a few operations on integers
+    of a bit per character; it ends when the columns that are left cannot make up for the distance."""
     if len(a) < len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    most = int((1 - least) * n + 1e-9)
-    if n - m > most:
+    most = int((1 - least) * len(a) + 1e-9)
+    if len(a) - len(b) > most:
         return False
-    if not n:
-        return True
     x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    width = 2 * most + 1
-    far = n + m
-    offset = np.arange(width) - most  # the column less the row
-    row = np.where(offset >= 0, offset, far)
-    row = np.where(offset <= m, row, far)
-    for i in range(1, n + 1):
-        j = i + offset
-        inside = (j >= 1) & (j <= m)
-        change = np.full(width, far)
-        change[inside] = row[inside] + (y[j[inside] - 1] != x[i - 1])
-        drop = np.r_[row[1:], far] + 1
-        new = np.minimum(change, drop)
-        new = np.where(j == 0, i, np.where((j < 0) | (j > m), far, new))
-        new = np.minimum.accumulate(new - offset) + offset  # insertions
-        row = np.where((j < 0) | (j > m), far, new)
-        if row.min() > most:
+    differ = np.flatnonzero(x[: len(y)] != y)
+    head = int(differ[0]) if len(differ) else len(y)
+    x, y = x[head:], y[head:]
+    differ = np.flatnonzero(x[len(x) - len(y) :][::-1] != y[::-1])
+    tail = int(differ[0]) if len(differ) else len(y)
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if not len(y):
+        return len(x) <= most
+    chars, seen = np.unique(y, return_inverse=True)
+    order = np.argsort(seen, kind="stable")
+    where = {}
+    for c, places in zip(chars.tolist(), np.split(order, np.flatnonzero(np.diff(seen[order])) + 1)):
+        bits = np.zeros(len(y), np.uint8)
+        bits[places] = 1
+        where[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    whole, top = (1 << len(y)) - 1, len(y) - 1
+    up, down, distance = whole, 0, len(y)
+    for left, c in zip(range(len(x) - 1, -1, -1), x.tolist()):
+        equal = where.get(c, 0)
+        level = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | (whole & ~(level | up)), up & level
+        distance += (right_up >> top & 1) - (right_down >> top & 1)
+        if distance - left > most:
             return False
-    return bool(row[m - n + most] <= most)
+        right_up = (right_up << 1 | 1) & whole
+        up, down = (right_down << 1 & whole) | (whole & ~(equal | down | right_up)), right_up & (equal | down)
+    return distance <= most
 
 
 #: Places of the walk from each character that a band samples from, and the characters it starts from at a time.
