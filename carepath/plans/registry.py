@@ -560,13 +560,43 @@ def _two_sources(t: Frames) -> DataFrame:
     prelude=False,
 )
 def identity_exact_key(t: Frames) -> DataFrame:
-    rows = _two_sources(t).withColumn("last_name", F.upper("last_name"))
-    return rows.groupBy("last_name", "date_of_birth", "zip5").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source_system").alias("systems"))
+    groups = identity.resolve(_two_sources(t)).groupBy("match_group")
+    of_group = [F.upper(F.min("last_name")).alias("last_name"), F.min("date_of_birth").alias("date_of_birth"), F.min("zip5").alias("zip5")]
+    return groups.agg(*of_group, F.count(F.lit(1)).alias("records"), F.count_distinct("source_system").alias("systems")).drop("match_group")
 
 
-@query()
+_SOUNDS = "translate(regexp_replace(upper(first_name), '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000')"
+for _code in "0123456":  # letters of one code in a row count once
+    _SOUNDS = f"regexp_replace({_SOUNDS}, '{_code}+', '{_code}', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE people AS (
+            SELECT CASE WHEN c_custkey % 2 = 0 THEN 'EHR' ELSE 'CLAIMS' END AS source_system, CAST(c_custkey AS VARCHAR) AS source_patient_id,
+                   ['Robert', 'Rupert', 'Anna'][CAST(floor(c_custkey / 2) AS BIGINT) % 3 + 1] AS first_name,
+                   'Name' || ['a', 'b', 'c', 'd', 'e', 'f', 'g'][CAST(floor(c_custkey / 6) AS BIGINT) % 7 + 1] AS last_name,
+                   DATE '2001-06-15' - CAST(floor(c_custkey / 4) AS INTEGER) AS date_of_birth,
+                   lpad(CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 90000 AS VARCHAR), 5, '0') AS zip5
+            FROM customer
+        ), keyed AS (
+            SELECT *, sha256(source_system || '|' || source_patient_id) AS own,
+                   concat_ws('|', upper(last_name), date_of_birth, zip5) AS match_group,
+                   concat_ws('|', left(upper(first_name), 1) || left(replace(substr({_SOUNDS}, 2), '0', '') || '000', 3), upper(last_name), date_of_birth) AS sound
+            FROM people
+        ), links AS (
+            SELECT a.own AS a, b.own AS b FROM keyed a JOIN keyed b ON a.match_group = b.match_group
+            UNION SELECT a.own, b.own FROM keyed a JOIN keyed b ON a.sound = b.sound
+        ), reached AS (
+            SELECT own AS a, own AS b FROM keyed
+            UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), labels AS (SELECT a AS own, min(b) AS patient_id FROM reached GROUP BY a)
+        SELECT source_system, source_patient_id, first_name, last_name, date_of_birth, zip5, patient_id, match_group
+        FROM keyed JOIN labels USING (own)
+        QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY source_system <> 'EHR', source_patient_id) = 1""",
+    prelude=False,
+)
 def identity_fuzzy(t: Frames) -> DataFrame:
-    return identity.golden_records(identity.resolve(_two_sources(t)))
+    return identity.golden_records(identity.resolve(_two_sources(t))).drop("_ingestion_timestamp")
 
 
 @query(
