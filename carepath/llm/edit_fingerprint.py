@@ -209,7 +209,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has the last half of the code points (rounded down) replaced by as many first ones, or
     all, of the next document in ascending doc_id order; after the last comes the first. Rows without an id
     come first; rows that share an id follow the order of their texts. A null text counts as empty: its
-    fingerprint is empty, and two empty texts are alike by 1. One row alone is its own next.
+    fingerprint is empty, and two empty texts are alike by 1. One row alone is its own next. A text of any length
+    is walked whole; an empty table gives an empty table; other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

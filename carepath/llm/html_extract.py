@@ -303,7 +303,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per row: page_id, url, text, n_chars (code points of the text).
 
     Null and empty html and pages without text give an empty text. Null ids and urls stay null; repeated rows
-    stay repeated. Nothing is shuffled, and a task holds one Arrow batch.
+    stay repeated. Nothing is shuffled, and a task holds one Arrow batch. A page of any length is read whole; an
+    empty table gives an empty table; other columns are not read, whatever their names.
     """
 
     def make():

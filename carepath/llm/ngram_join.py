@@ -73,13 +73,15 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     smallest doc_id of its connected component. Documents with equal sets (`copies`) are linked to each
     other and have the same links. Null and empty texts and texts without words are linked to nothing. Rows without an
     id are left out; rows that share an id count as copies only if their texts' sets are equal. An empty
-    table gives an empty table.
+    table gives an empty table. Texts are read whole, and columns of `docs` other than the two are not read, whatever
+    their names.
     """
     return jaccard_links(_rows(docs, id_col, text_col), similarity, recall, n).withColumnRenamed("id", "doc_id")
 
 
 def ngram_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each class the one with the smallest id. Rows without an id stay."""
+    """The rows of `docs` that stay: of each class the one with the smallest id. Rows without an id stay; so do all rows
+    with the id that stays. No column is added, so no name clashes."""
     classes = ngram_join(docs, similarity, recall, n, id_col, text_col)
     gone = written(classes.where("class_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
     return join_ids(docs, gone, id_col, "left_anti")

@@ -118,7 +118,8 @@ def pack_documents(
     marks the loss-bearing tokens of an example (default: all). No row is shuffled: each task packs the
     rows of its partition, holding at most WINDOW examples of fewer than `tokens` ids, so a hot source or
     key does no harm; a lost task gives the same pieces again. sequence_id is unique over tasks.
-    A null or empty text is its end id alone; a null doc_id stays null; repeated rows are packed each.
+    A null or empty text is its end id alone; a null doc_id stays null; repeated rows are packed each. An empty
+    table gives an empty table; columns of `docs` other than the two are not read, whatever their names.
     """
     loss = tokens if loss is None else loss
     if min(tokens, segments, loss) < 1:

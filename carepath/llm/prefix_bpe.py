@@ -206,7 +206,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", digest:
     joined by one space) and decoded_sha256; with digest=False the ids (array<int>) and the decoded text.
 
     A null text counts as empty: no tokens, an empty decoded text. A null doc_id stays null; repeated rows
-    stay repeated. Nothing is shuffled.
+    stay repeated. Nothing is shuffled. A text of any length is encoded whole; an empty table gives an empty table;
+    columns of `docs` other than the two are not read, whatever their names.
     """
 
     def make():

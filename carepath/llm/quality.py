@@ -178,7 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     statistics alone. At most about `most_labelled` labelled rows are fitted on, drawn by a hash of the id;
     every document is scored. Null counts as the empty text, which gets a score as well; a null doc_id stays
     null and counts as held out. Labels that are null or that no document has are passed by; where an id has
-    several labels or rows, each pair counts. Empty tables give an empty table.
+    several labels or rows, each pair counts. Empty tables give an empty table. Texts are read whole, and columns
+    of `docs` other than the two are not read, whatever their names.
     """
     x = written(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.selectExpr("cast(doc_id as long) as doc_id", "cast(quality as double) as y").where("doc_id is not null and y is not null").withColumn("fold", fold()).where("fold <> 0")
@@ -201,7 +202,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not rejected, with all their columns. Rows without an id stay; of rows that
-    share an id all go if one is rejected."""
+    share an id all go if one is rejected; an empty table stays empty. No column is added, so no name clashes."""
     scores = quality_scores(docs, labels, threshold, id_col=id_col, text_col=text_col)
     gone = written(scores.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), "rejected")
     return join_ids(docs, gone, id_col, "left_anti")

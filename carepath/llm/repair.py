@@ -283,7 +283,8 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     n_docs long, n_ids long, file binary), whose order by shard is the order of the ids.
 
     The rows are dealt out by ranges of doc_id and sorted there, so tasks are even whatever the source, and
-    a task holds one shard. A null text is its end id alone.
+    a task holds one shard. A null text is its end id alone; a text of any length is in one shard; an empty table
+    gives no shard. Columns of `docs` other than the two are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -457,7 +457,8 @@ def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "
     document with the smallest id stays; paragraphs of fewer than `cut_words` words (LEAST_WORDS cuts all) stay
     unless a repeated passage covers them. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Texts are read whole, and columns of `docs` other than the two are not
+    read, whatever their names.
     """
     rows = _rows(docs, id_col, text_col)
     gone = written(removals(rows, cut_words), "removals")
@@ -478,7 +479,8 @@ def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "
 
 def substring_dedup(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the passages that stay elsewhere; where there is an
-    n_chars column it is set to the new text's length. A document that loses all its text goes."""
+    n_chars column it is set to the new text's length. A document that loses all its text goes; rows without an id,
+    null and empty texts stay as they are. Other columns keep their values, whatever their names."""
     gone = written(removals(_rows(docs, id_col, text_col), cut_words), "removals")
     names = docs.columns
     own = [f"{c}_{'_'.join(names)}" for c in ("lines", "words")]  # names that no column of docs has

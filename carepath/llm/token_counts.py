@@ -98,7 +98,8 @@ def token_counts(
     """One row per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows stay repeated.
-    Nothing is shuffled, and a task holds one Arrow batch and one chunk's encoding.
+    Nothing is shuffled, and a task holds one Arrow batch and one chunk's encoding. An empty table gives an empty
+    table; columns of `docs` other than the two are not read, whatever their names.
     """
 
     def make():

@@ -331,6 +331,39 @@ def test_isotonic_pools_violators():
     assert quality.isotonic(np.arange(4.0), np.array([1.0, 1, 1, 2]), np.array([0.0, 1, 0, 0.5])).tolist() == [0.0, 0.5, 0.5, 0.5]
 
 
+def test_isotonic_is_the_min_max_formula():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 40):
+        weight, value = rng.integers(1, 6, n).astype(float), rng.integers(0, 5, n) / 4
+        mean = lambda j, k: (weight * value)[j : k + 1].sum() / weight[j : k + 1].sum()
+        want = [max(min(mean(j, k) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        assert np.allclose(quality.isotonic(np.arange(n * 1.0), weight, value), want)
+
+
+def test_fit_is_the_direct_solution(spark):
+    rng, d = np.random.default_rng(6), len(quality.STATISTICS)
+    x = rng.normal(size=(600, d)) * rng.uniform(0.1, 3, d) + 1
+    y = (x[:, 0] - x[:, 1] ** 2 / 9 + rng.normal(size=600) > 0).astype(float)
+    part = np.arange(600) % 4 + 1
+    rows = [(k, x[k].tolist(), float(y[k]), int(part[k])) for k in range(600)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, x array<double>, y double, fold int").repartition(7))
+    train = part != 4
+    assert np.allclose(model.mean, x[train].mean(0)) and np.allclose(model.scale, x[train].std(0), atol=2e-6)
+    z = np.cos((x - model.mean) / model.scale @ model.turn + model.shift)
+    # ridge as least squares with a row for each penalised weight; the constant has no penalty to speak of
+    a = np.vstack([np.c_[z[train], np.ones(train.sum())], np.c_[np.sqrt(quality.RIDGE) * np.eye(quality.FEATURES), np.zeros(quality.FEATURES)]])
+    weights = np.linalg.lstsq(a, np.r_[y[train], np.zeros(quality.FEATURES)], rcond=None)[0]
+    raw = np.c_[z, np.ones(600)] @ weights
+    assert np.allclose(model.raw(x), raw, atol=1e-6)
+    # calibration: bins of the fourth fold's raw scores, each with a share of one row of each label
+    at = np.clip(((raw[~train] + 1) / 3 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    has = np.unique(at)
+    count, good = (np.array([v[at == k].sum() for k in has]) for v in (np.ones((~train).sum()), y[~train]))
+    share = (good + 1 / len(has)) / (count + 2 / len(has))
+    assert np.allclose(model.level, quality.isotonic(has, count + 2 / len(has), share)) and (np.diff(model.level) >= 0).all()
+    assert np.allclose(model.score(x), np.interp(raw, (has + 0.5) / quality.BINS * 3 - 1, model.level), atol=1e-5)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
