@@ -73,7 +73,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Rows without an id always stay; so does each
-    row that repeats the id of a row that stays."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = written(gone.select(F.col("doc_id").alias(id_col)).distinct().coalesce(partitions(docs.sparkSession)), "exact-gone")
+    row that repeats the id of a row that stays, so no group loses its last text."""
+    ids = exact_groups(docs, id_col, text_col).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("stays"))
+    gone = written(ids.where("not stays").select(f"`{id_col}`").coalesce(partitions(docs.sparkSession)), "exact-gone")
     return join_ids(docs, gone, id_col, "left_anti")

@@ -80,9 +80,10 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
 
 
 def ngram_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each class the one with the smallest id. Rows without an id stay; so do all rows
-    with the id that stays. No column is added, so no name clashes."""
+    """The rows of `docs` that stay: of each class the one with the smallest id. Rows without an id stay; of rows
+    that share an id all stay unless each is of a class that another leads, so no class loses its last text. No column
+    is added, so no name clashes."""
     classes = ngram_join(docs, similarity, recall, n, id_col, text_col)
-    gone = written(classes.where("class_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
+    gone = written(classes.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("class_id") == F.col("doc_id")).alias("leads")).where("not leads").select(id_col), "near-gone")
     return join_ids(docs, gone, id_col, "left_anti")
 

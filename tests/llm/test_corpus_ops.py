@@ -186,6 +186,14 @@ def test_exact_dedup_of_hot_groups_and_long_texts(spark, monkeypatch):
     assert Counter(map(tuple, got)) == want
 
 
+def test_no_text_is_lost_where_an_id_has_two_texts(spark):
+    rng = random.Random(8)
+    a, b = words(rng, 50), words(rng, 50)
+    docs = with_extras(spark, [(5, a), (5, b), (3, b), (7, a), (9, "alone")])
+    for dedup in (exact_dedup.exact_dedup, ngram_join.ngram_dedup):
+        assert Counter((r.doc_id, r.text) for r in dedup(docs).collect()) == Counter([(5, a), (5, b), (3, b), (9, "alone")])
+
+
 @pytest.fixture(scope="module")
 def passages():
     """Passages of 51 words that documents share, at line starts or within lines; clean documents; oddities."""
