@@ -87,6 +87,22 @@ def join_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> D
     return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
+#: A key is hot when it holds more than LEAST_HOT rows and more than one in HOT of all rows; so fewer than HOT are.
+HOT, LEAST_HOT = 10_000, 1_000
+
+
+def join_sized(rows: DataFrame, side: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join with a side that has one row per key and, in column `size`, how many of `rows` that key has. Both
+    must be cheap to read twice (written tables). A side of at most BROADCAST_IDS rows is broadcast. Of a larger one
+    the hot keys are, fewer than HOT, and only the others are shuffled, so no task gets a hot key's rows."""
+    if side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(side), keys)
+    least = max(LEAST_HOT, (side.agg(F.sum(size)).first()[0] or 0) // HOT)
+    hot, rest = side.where(F.col(size) > least), side.where(F.col(size) <= least)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

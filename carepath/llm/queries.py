@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, substring_dedup, token_counts
+from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, source_audit, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), "byte_bpe_50k.json", limit=512)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(documents(spark, sf_dir), least_docs=30, ranks=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repair_token_files": op8_repair_token_files,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -82,4 +87,38 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
     """,
+    "op11_source_divergence": r"""
+        WITH rows AS (
+            SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+        ), words AS (
+            SELECT row, lang, source, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows
+        ), kept AS (
+            SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+        ), vocabulary AS (
+            SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY lang
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), groups AS (
+            SELECT lang, source, (SELECT coalesce(sum(n), 0) FROM counts c WHERE c.lang = r.lang AND c.source = r.source) AS n
+            FROM (SELECT DISTINCT lang, source FROM rows) r
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n::HUGEINT + 5 * v.v) AS p,
+                   1 + 1000000000::HUGEINT * (k.total + 5) // (v.all_n::HUGEINT + 5 * v.v) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN vocabulary v USING (lang) LEFT JOIN counts c USING (lang, source, term)
+        ), distances AS (
+            SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL
+        ), pairs AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(d.value, 0) AS value
+            FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+            LEFT JOIN distances d ON d.lang = x.lang AND d.source = x.source AND d.item = y.source
+        ), lead AS (
+            SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM lead)
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
