@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, source_audit, substring_dedup, token_counts
+from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, source_audit, substring_dedup, token_counts, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,45 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.source_divergence(documents(spark, sf_dir), least_docs=30, ranks=50)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The Lloyd rounds one after another, over a row per component."""
+    nearest = """codes{r} AS MATERIALIZED (
+            SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+                SELECT x.row, x.part, b.entry, coalesce(sum((x.v - b.v) ** 2)::BIGINT, 0) AS d
+                FROM cells x JOIN books{r} b USING (part, place) GROUP BY ALL
+            ) GROUP BY ALL
+        )"""
+    update = """books{n} AS MATERIALIZED (
+            SELECT b.part, b.entry, b.place, coalesce(m.v, b.v) AS v FROM books{r} b LEFT JOIN (
+                SELECT x.part, c.entry, x.place, sum(x.v) AS s, count(*) AS n,
+                       (sum(x.v) // count(*) - (sum(x.v) % count(*) < 0)::INT)::BIGINT AS v
+                FROM cells x JOIN codes{r} c USING (row, part) GROUP BY ALL
+            ) m USING (part, entry, place)
+        )"""
+    steps = [(nearest if k % 2 == 0 else update).format(r=k // 2, n=k // 2 + 1) for k in range(2 * rounds + 1)]
+    return f"""
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cells AS MATERIALIZED (
+            SELECT row, (i - 1) // (dim // {parts}) AS part, (i - 1) % (dim // {parts}) AS place, floor({4096} * embedding[i]::DOUBLE)::BIGINT AS v
+            FROM (SELECT row, embedding, len(embedding) AS dim, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+        ), books0 AS MATERIALIZED (
+            SELECT part, row - 1 AS entry, place, v FROM cells WHERE row <= {entries}
+        ), {", ".join(steps)}, coded AS (
+            SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM codes{rounds} GROUP BY row
+        ), digest AS (
+            SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM books{rounds}
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (row), digest
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -71,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -121,4 +161,5 @@ ORACLE: dict[str, str] = {
         )
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
     """,
+    "op12_vector_codes": _vector_codes_sql(),
 }
