@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, source_audit, substring_dedup, token_counts, vector_codes
+from . import edit_fingerprint, html_extract, ngram_join, packing, prefix_bpe, quality, repair, simhash, source_audit, substring_dedup, token_counts, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
 
 
+def op13_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir), n=4, most=4)
+
+
 def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The Lloyd rounds one after another, over a row per component."""
     nearest = """codes{r} AS MATERIALIZED (
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
     "op12_vector_codes": op12_vector_codes,
+    "op13_simhash_components": op13_simhash_components,
 }
 
 ORACLE: dict[str, str] = {
