@@ -82,7 +82,7 @@ def _count(most_chars: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch
                         chars += len(piece)
                         if chars >= most_chars or len(held) >= most_rows:
                             read()
-                    if chars == 0 and con.execute("SELECT count(*) FROM seen").fetchone()[0] > 2 * most_rows:
+                    if chars == 0 and con.execute("SELECT count(*) FROM seen").fetchall()[0][0] > 2 * most_rows:
                         yield from flush().to_batches()
         if held:
             read()
