@@ -93,11 +93,11 @@ def _count(most_chars: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[tuple[pa.Table, bool]]:
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: list[str], rows: int, split: bool = True) -> Iterator[tuple[pa.Table, bool]]:
     """Tables of about so many rows of sorted batches; all but the last end where the key changes, unless one key has
-    more rows than that. With each, whether its last key may go on in the next."""
+    more rows than that and may be split. With each, whether its last key may go on in the next."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, schema = 0, None
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
@@ -113,12 +113,12 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) ->
             if rest < table.num_rows:
                 yield table.slice(0, table.num_rows - rest), False
                 table = table.slice(table.num_rows - rest)
-            if table.num_rows >= rows:
+            if split and table.num_rows >= rows:
                 yield table, True
                 table = table.slice(0, 0)
-            held, n = table.to_batches(), table.num_rows
-    if held:
-        yield pa.Table.from_batches(held), False
+            held, n, schema = table.to_batches(), table.num_rows, table.schema
+    if held or schema is not None:  # what went on ends here
+        yield pa.Table.from_batches(held, schema), False
 
 
 def _merge(least: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,7 +160,9 @@ def _compare(ranks: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch]],
         con = _connect()
         shard = ["lang", "part", "i", "j"]
         known: pa.Table | None = None
-        for table, _ in _whole_keys(batches, [*shard, "kind", "term"], most_rows):
+        for table, _ in _whole_keys(batches, [*shard, "kind", "term"], most_rows, split=False):  # a term has no more rows than two blocks have sources
+            if not table.num_rows:
+                continue
             if known is not None:
                 table = pa.concat_tables([known, table])
             con.register("part_rows", table)
