@@ -232,12 +232,13 @@ def lloyd(spark: SparkSession, table: DataFrame, books: Books, dim: int, rounds:
             drop(f"codes_{r - 1}")
         codes = now
         moves = codes.where("delta is not null").select(F.explode("delta").alias("d")).select("d.*")
-        numbers = moves.groupBy("part", "entry").agg(F.sum("n").alias("n"))
-        for part, entry, n in numbers.collect():
+        # one row per entry and limb, its components side by side
+        width = max(b - a for a, b in zip(at, at[1:]))
+        places = [F.sum(F.get("sums", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(width)]
+        for part, entry, limb, n, *values in moves.groupBy("part", "entry", "limb").agg(F.sum("n").alias("n"), *places).collect():
             counts[part][entry] += n
-        by_place = moves.select("part", "entry", "limb", F.posexplode("sums").alias("place", "value")).groupBy("part", "entry", "limb", "place")
-        for part, entry, limb, place, value in by_place.agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).collect():
-            sums[part][entry][place] += int(value) << (LIMB * limb)
+            for place in range(at[part + 1] - at[part]):
+                sums[part][entry][place] += int(values[place]) << (LIMB * limb)
         books = [
             [[s // n for s in total] if n else entry for entry, total, n in zip(book, totals, ns)]  # floor, below 0 too
             for book, totals, ns in zip(books, sums, counts)
