@@ -1,8 +1,14 @@
-"""Identity resolution: exact and phonetic keys, merged transitively; one golden record per person."""
+"""Identity resolution: exact and phonetic keys, merged transitively; one golden record per person.
+
+`resolve` looks at all records at once. `link` takes a load's records alone and joins them to the persons that earlier
+loads found, whose ids stay: of persons that a load finds to be one, the oldest keeps its id, and the others are
+redirected to it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -10,6 +16,29 @@ from .lineage import cut_lineage
 
 #: Rounds that are run before labels are looked at for changes.
 ROUNDS = 3
+#: What the loads leave behind: which person each key belongs to since it was first seen, and which ids have given
+#: way to which. `since` is the load that the person came with.
+KEYS = "key string, patient_id string, since int, load int"
+REDIRECTS = "old_id string, patient_id string, since int, load int"
+
+
+def _keyed(people: DataFrame) -> DataFrame:
+    """With the record's own key and its matching keys; a row that lacks a part of a key has no such key."""
+    norm = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[^A-Z]", "")
+    filled = lambda c: F.when(F.length(c) > 0, c)
+    last, first = filled(norm(F.col("last_name"))), filled(norm(F.col("first_name")))
+    born = F.col("date_of_birth").cast("string")
+    exact = F.when(last.isNotNull() & born.isNotNull() & F.col("zip5").isNotNull(), F.concat_ws("|", last, born, F.col("zip5")))
+    fuzzy = F.when(last.isNotNull() & born.isNotNull() & first.isNotNull(), F.concat_ws("|", F.soundex(first), last, born))
+    return people.withColumns({"_own": exprs.key(F.col("source_system"), F.col("source_patient_id")), "_exact": exact, "_fuzzy": fuzzy})
+
+
+def _edges(rows: DataFrame, own: bool) -> DataFrame:
+    """(node, key): a record's matching keys, and with `own` its own one too, as hashes."""
+    kinds = [(0, "_exact"), (1, "_fuzzy"), *([(2, "_own")] if own else [])]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds]))
+    edges = rows.select(F.col("_own").alias("node"), keys.alias("k")).where("k.value is not null")
+    return edges.select("node", F.sha2(F.concat_ws("|", "k.kind", "k.value"), 256).alias("key")).distinct()
 
 
 def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -20,39 +49,93 @@ def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the first name, last name and birth date; groups that share either key are merged. A row that lacks a part
     of a key has no such key, so incomplete rows never collapse.
     """
-    norm = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[^A-Z]", "")
-    filled = lambda c: F.when(F.length(c) > 0, c)
-    last, first = filled(norm(F.col("last_name"))), filled(norm(F.col("first_name")))
-    born = F.col("date_of_birth").cast("string")
-    exact = F.when(last.isNotNull() & born.isNotNull() & F.col("zip5").isNotNull(), F.concat_ws("|", last, born, F.col("zip5")))
-    fuzzy = F.when(last.isNotNull() & born.isNotNull() & first.isNotNull(), F.concat_ws("|", F.soundex(first), last, born))
-    rows = people.withColumns({"_own": exprs.key(F.col("source_system"), F.col("source_patient_id")), "_exact": exact, "_fuzzy": fuzzy})
-    found = _labels(rows, rounds).withColumnRenamed("label", "_label")
-    rows = rows.join(found, "_own", "left")
+    rows = _keyed(people)
+    found = _settle(_edges(rows, own=False).withColumn("label", F.col("node")), rounds)
+    rows = rows.join(found.select(F.col("node").alias("_own"), F.col("label").alias("_label")).distinct(), "_own", "left")
     return rows.withColumns({"patient_id": F.coalesce("_label", "_own"), "match_group": F.coalesce("_exact", "_own")}).drop("_own", "_exact", "_fuzzy", "_label")
 
 
-def _labels(rows: DataFrame, rounds: int) -> DataFrame:
-    """(_own, label): the least _own among the rows that keys connect. Rows without a key are not listed.
+def _settle(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, key, label) with the least label among the nodes that keys connect.
 
-    Only row and key hashes are shuffled. The least label of a key's rows goes to all of them, round by round; a
-    chain of rows settles in as many rounds as it has links at most, so rounds go on, `rounds` at a time, until
+    Only hashes are shuffled. The least label of a key's nodes goes to all of them, round by round; a
+    chain of nodes settles in as many rounds as it has links at most, so rounds go on, `rounds` at a time, until
     one changes no label; labels only get smaller.
     """
-    keys = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_exact").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("_fuzzy").alias("value"))))
-    edges = rows.select("_own", keys.alias("k")).where("k.value is not null")
-    edges = edges.select("_own", F.sha2(F.concat_ws("|", "k.kind", "k.value"), 256).alias("key")).distinct().withColumn("label", F.col("_own"))
     while True:
         for _ in range(rounds):
             least = edges.groupBy("key").agg(F.min("label").alias("least"))
-            after = edges.join(least, "key").groupBy("_own").agg(F.min("least").alias("now"))
-            edges = edges.join(after, "_own").select("_own", "key", F.col("label").alias("last"), F.col("now").alias("label"))
+            after = edges.join(least, "key").groupBy("node").agg(F.min("least").alias("now"))
+            edges = edges.join(after, "node").select("node", "key", F.col("label").alias("last"), F.col("now").alias("label"))
         edges = cut_lineage(edges)
         if edges.where("label <> last").isEmpty():
-            return edges.select("_own", "label").distinct()
+            return edges.drop("last")
         edges = edges.drop("last")
 
 
+@dataclass
+class Linked:
+    """What a load adds: `records` (source_system, source_patient_id, patient_id, load), `keys` and `redirects`."""
+
+    records: DataFrame
+    keys: DataFrame
+    redirects: DataFrame
+
+
+def no_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], KEYS)
+
+
+def no_redirects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], REDIRECTS)
+
+
+def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int, rounds: int = ROUNDS) -> Linked:
+    """The persons of a load's records (as for `resolve`), given the keys and redirects that earlier loads left.
+
+    Records that share a key with a known person belong to it, and so does a record that was seen before, whatever has
+    changed in it. Records that match no known person are a new one, named by their least own hash. Where records join several
+    known persons, the one of the earliest load (then the least id) keeps its id and the others are redirected to it.
+    Nothing is taken apart again: a person keeps the keys that its records once had.
+
+    The work grows with the load: of the known keys only those that it touches are joined, and labels are settled among its
+    records and the persons touched.
+    """
+    rows = _keyed(people)
+    new = _edges(rows, own=True)
+    known = keys.join(new.select("key").distinct(), "key", "left_semi").select("key", "patient_id", "since")
+    known = cut_lineage(current_ids(known, redirects))
+    label = lambda since, ident: F.struct(since.alias("since"), ident.alias("id"))
+    records = new.select(F.concat(F.lit("r"), F.col("node")).alias("node"), "key", label(F.lit(load), F.col("node")).alias("label"))
+    persons = known.select(F.concat(F.lit("p"), F.col("patient_id")).alias("node"), "key", label(F.col("since"), F.col("patient_id")).alias("label")).distinct()
+    settled = _settle(records.unionByName(persons), rounds)
+    kind, ident = F.substring("node", 1, 1), F.expr("substring(node, 2)")
+    of_record = settled.where(kind == "r")
+    owner = of_record.select(ident.alias("_own"), F.col("label.id").alias("patient_id")).distinct()
+    fresh = of_record.select("key", F.col("label.id").alias("patient_id"), F.col("label.since").alias("since"), F.lit(load).alias("load")).distinct()
+    moved = settled.where(kind == "p").select(ident.alias("old_id"), F.col("label.id").alias("patient_id"), F.col("label.since").alias("since"), F.lit(load).alias("load")).distinct()
+    return Linked(
+        rows.join(owner, "_own").select("source_system", "source_patient_id", "patient_id", F.lit(load).alias("load")).distinct(),
+        fresh.join(known.select("key"), "key", "left_anti"),
+        moved.where("old_id <> patient_id"),
+    )
+
+
+def add_redirects(redirects: DataFrame, more: DataFrame) -> DataFrame:
+    """All redirects after a load, each straight to a person that is current."""
+    step = more.select(F.col("old_id").alias("patient_id"), F.col("patient_id").alias("_to"), F.col("since").alias("_since"))
+    kept = redirects.join(step, "patient_id", "left").select("old_id", F.coalesce("_to", "patient_id").alias("patient_id"), F.coalesce("_since", "since").alias("since"), "load")
+    return kept.unionByName(more)
+
+
+def current_ids(df: DataFrame, redirects: DataFrame) -> DataFrame:
+    """`df` with each patient_id (and `since`, if it has it) that has given way replaced by the current one."""
+    to = redirects.select(F.col("old_id").alias("patient_id"), F.col("patient_id").alias("_to"), F.col("since").alias("_since"))
+    found = df.join(to, "patient_id", "left")
+    swapped = {"patient_id": F.coalesce("_to", "patient_id")} | ({"since": F.coalesce("_since", "since")} if "since" in df.columns else {})
+    return found.withColumns(swapped).select(*df.columns)
+
+
 def golden_records(resolved: DataFrame) -> DataFrame:
     """One row per patient_id: the EHR's newest record, else the newest."""
     w = Window.partitionBy("patient_id").orderBy(F.when(F.col("source_system") == "EHR", 0).otherwise(1), F.col("_ingestion_timestamp").desc(), "source_system", "source_patient_id")

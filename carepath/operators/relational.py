@@ -138,6 +138,13 @@ def scd2_diff(current: DataFrame, incoming: DataFrame, key: str, tracked: Sequen
     return history.unionByName(kept).unionByName(ended).unionByName(fresh.select(*current.columns))
 
 
+def scd2_end(current: DataFrame, gone: DataFrame, key: str, today: Column) -> DataFrame:
+    """A type-2 dimension in which the current rows of keys that are gone (rows of `gone`, one per key) end today."""
+    marked = current.join(gone.select(key, F.lit(True).alias("_gone")).distinct(), key, "left")
+    ends = F.col("is_current") & F.col("_gone").isNotNull()
+    return marked.withColumns({"end_date": F.when(ends, today).otherwise(F.col("end_date")), "is_current": F.col("is_current") & ~ends}).select(*current.columns)
+
+
 def paginate(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
     """One page of at most 100 rows in a total order."""
     if page < 1 or not 1 <= page_size <= 100:

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from carepath.operators import identity
 from carepath.operators import relational as r
 from carepath.operators.identity import golden_records, patient_xref, resolve
 from carepath.operators.quality import Expectation, ExpectationError, expect
@@ -103,3 +104,55 @@ def test_identity_merges_long_chains(spark):
     df = spark.createDataFrame(rows, "source_system string, source_patient_id string, first_name string, last_name string, date_of_birth string, zip5 string")
     got = resolve(df).collect()
     assert len(got) == n and len({r.patient_id for r in got}) == 1
+
+
+PEOPLE = "source_system string, source_patient_id string, first_name string, last_name string, date_of_birth string, zip5 string"
+
+
+class Loads:
+    """Loads one after another, as the batch keeps their state."""
+
+    def __init__(self, spark):
+        self.spark, self.n = spark, 0
+        self.keys, self.redirects = identity.no_keys(spark), identity.no_redirects(spark)
+        self.records = spark.createDataFrame([], "source_system string, source_patient_id string, patient_id string, load int")
+
+    def __call__(self, *rows):
+        self.n += 1
+        out = identity.link(self.spark.createDataFrame(list(rows), PEOPLE), self.keys, self.redirects, self.n)
+        self.keys = self.spark.createDataFrame(self.keys.unionByName(out.keys).collect(), identity.KEYS)
+        self.redirects = self.spark.createDataFrame(identity.add_redirects(self.redirects, out.redirects).collect(), identity.REDIRECTS)
+        self.records = self.spark.createDataFrame(self.records.unionByName(out.records).collect(), self.records.schema)
+        return {(r[0], r[1]): r[2] for r in identity.current_ids(self.records, self.redirects).collect()}
+
+
+def test_ids_hold_over_loads_and_the_oldest_survives(spark):
+    load = Loads(spark)
+    ann, bea, cy = ("EHR", "1", "Ann", "Lee", "1950-01-01", "10001"), ("EHR", "2", "Bea", "Lee", "1950-01-01", "20002"), ("EHR", "3", "Cy", "Ray", "1960-01-01", None)
+    one = load(ann, bea, cy)
+    assert len(set(one.values())) == 3
+    # records that match keep the ids of the first load, whatever their own hashes are
+    two = load(*[("CLAIMS", str(k), "Anne", "LEE", "1950-01-01", "99999") for k in range(12)])
+    assert {k: v for k, v in two.items() if k in one} == one and {two["CLAIMS", str(k)] for k in range(12)} == {one["EHR", "1"]}
+    # a record that was seen keeps its person though nothing else matches
+    three = load(("EHR", "3", "Cyrus", "Roy", "1961-01-01", "30003"), ("CLAIMS", "new", "Dee", "Fox", "1970-01-01", "1"))
+    assert three["EHR", "3"] == one["EHR", "3"] and three["CLAIMS", "new"] not in one.values()
+    # a record joins two persons: the older, or of one load the lesser, stays
+    four = load(("CLAIMS", "x", "Ann", "Lee", "1950-01-01", "20002"))
+    stays = min(one["EHR", "1"], one["EHR", "2"])
+    assert {four[k] for k in four if k[1] in ("1", "2", "x") and k[0] == "EHR"} == {stays} == {four["CLAIMS", "x"]}
+    five = load(("CLAIMS", "y", "Dee", "Fox", "1970-01-01", "9"), ("CLAIMS", "z", "Cyrus", "Roy", "1961-01-01", "9"), ("EHR", "9", "Dee", "Roy", "1961-01-01", "9"))
+    assert five["CLAIMS", "y"] == three["CLAIMS", "new"] and five["CLAIMS", "z"] == one["EHR", "3"] == five["EHR", "9"]
+    # a chain of mergers over loads leads straight to the last one
+    six = load(("CLAIMS", "q", "Ann", "Lee", "1950-01-01", "777"), ("CLAIMS", "q", "Cy", "Ray", "1960-01-01", None))
+    assert len({six["EHR", "1"], six["EHR", "2"], six["EHR", "3"], six["CLAIMS", "q"]}) == 1
+    assert not {r.patient_id for r in load.redirects.collect()} & {r.old_id for r in load.redirects.collect()}
+    assert load(ann, bea, cy) == six  # the same records again change nothing
+
+
+def test_a_merged_person_has_one_current_version(spark):
+    end = "date'9999-12-31'"
+    dim = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int").selectExpr("*", "date'2024-01-01' AS effective_date", f"{end} AS end_date", "true AS is_current")
+    gone = spark.createDataFrame([("b", "a"), ("b", "a"), ("zz", "a")], "k string, into string")
+    got = {x.k: (x.is_current, str(x.end_date)) for x in r.scd2_end(dim, gone, "k", F.lit("2024-05-01").cast("date")).collect()}
+    assert got == {"a": (True, "9999-12-31"), "b": (False, "2024-05-01"), "c": (True, "9999-12-31")}
