@@ -35,7 +35,11 @@ def _linked(df: DataFrame, xref: DataFrame) -> DataFrame:
 
 
 def ehr_patients(raw: DataFrame) -> DataFrame:
-    """FHIR (struct) or flat (string) names and addresses, by the frame's schema."""
+    """FHIR (struct, or an array of them, of which the first counts) or flat (string) names and addresses, by the frame's
+    schema."""
+    for c, t in raw.dtypes:
+        if c in ("name", "address") and t.startswith("array<struct"):
+            raw = raw.withColumn(c, F.get(F.col(c), 0))
     kinds = dict(raw.dtypes)
     struct = lambda c: kinds.get(c, "").startswith("struct")
     first = F.get(F.col("name.given"), 0) if struct("name") else F.split_part(pick(raw, "name"), F.lit(" "), F.lit(1))
@@ -102,8 +106,11 @@ def dim_patient(current: DataFrame | None, golden: DataFrame, today: Column) ->
 
 
 def dim_facility(facilities: DataFrame) -> DataFrame:
-    rows = ensure_columns(facilities, {"facility_name": "string", "facility_type": "string", "state": "string", "city": "string"})
-    return rows.select("facility_id", "facility_name", "facility_type", exprs.state_code(F.col("state")).alias("state"), "city").dropDuplicates(["facility_id"])
+    """The newest record of each facility."""
+    rows = ensure_columns(facilities, {"facility_name": "string", "facility_type": "string", "state": "string", "city": "string", "_ingestion_timestamp": "timestamp"})
+    told = ["facility_name", "facility_type", "state", "city"]
+    newest = latest_per_key(rows, ["facility_id"], [F.col("_ingestion_timestamp").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in told]])
+    return newest.select("facility_id", "facility_name", "facility_type", exprs.state_code(F.col("state")).alias("state"), "city")
 
 
 def dim_date(spark: SparkSession, start: str, end: str, fiscal_start_month: int = 1) -> DataFrame:

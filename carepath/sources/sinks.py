@@ -50,6 +50,13 @@ def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (), file
     return version
 
 
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all versions but the last `keep`."""
+    for version in versions(spark, path)[:-keep]:
+        at, fs = hadoop(spark, f"{path}/v={version}")
+        fs.delete(at, True)
+
+
 def upsert(df: DataFrame, path: str, key: Sequence[str]) -> int:
     """Merge by key into the latest version."""
     current = read_version(df.sparkSession, path)
@@ -62,7 +69,9 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 def analyze(spark: SparkSession, table: str) -> None:
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    """Statistics of the table, and of its columns but nested ones, which have none."""
+    flat = [f"`{c}`" for c, t in spark.table(table).dtypes if not t.startswith(("array", "map", "struct"))]
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(flat)}")
 
 
 class ExportError(RuntimeError):
@@ -111,10 +120,16 @@ def _replace_csv(df: DataFrame, path: str) -> int:
     if not n:
         fs.delete(new, True)
         return 0
+    # aside, in, away: a crash leaves the old folder or the new one, if under its name for the way
     old, _ = hadoop(df.sparkSession, path)
-    fs.delete(old, True)
+    aside, _ = hadoop(df.sparkSession, f"{path}.last")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"cannot rename {path}")
     if not fs.rename(new, old):
         raise OSError(f"cannot rename to {path}")
+    fs.delete(aside, True)
     return n
 
 
