@@ -98,13 +98,14 @@ def list_patients(rows: DataFrame, page: int = 1, page_size: int = 20, stage: st
     return paginate(found, [by, F.col("patient_id")], page, page_size), total
 
 
-def patient_details(patients: DataFrame, **children: tuple[DataFrame, str]) -> DataFrame:
-    """Each patient with arrays of their records, newest first. A child is (frame, its date column)."""
+def patient_details(patients: DataFrame, colocated: bool = False, **children: tuple[DataFrame, str]) -> DataFrame:
+    """Each patient with arrays of their records, newest first. A child is (frame, its date column). With `colocated`
+    the joins keep to the buckets that all tables share, even where a side is small enough for a broadcast."""
     out = patients
     for name, (df, day) in children.items():
         cols = [day, *[c for c in df.columns if c not in ("patient_id", day)]]
         rows = df.groupBy("patient_id").agg(F.sort_array(F.collect_list(F.struct(*cols)), asc=False).alias(name))
-        out = out.join(rows, "patient_id", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+        out = out.join(rows.hint("merge") if colocated else rows, "patient_id", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     return out
 
 

@@ -56,7 +56,7 @@ def details(spark: SparkSession, database: str, patient_id: object | None = None
     people = mine("dim_patient")
     if "is_current" in people.columns:
         people = people.where("is_current")
-    return patient_details(people, **{child: (mine(table), day) for child, (table, day) in CHILDREN.items()})
+    return patient_details(people, colocated=True, **{child: (mine(table), day) for child, (table, day) in CHILDREN.items()})
 
 
 def patient(spark: SparkSession, database: str, patient_id: object) -> DataFrame:
