@@ -4,77 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import delete, owned, scratch, shared_dir, written
+
+__all__ = [
+    "delete", "drop_written", "join_ids", "join_sized", "map_batches", "owned", "partitions", "pieces", "scratch", "shared_dir", "slices", "texts_of", "tidy", "written",
+]
+
 #: An id set of at most this many rows (about 70 bytes each as a hashed relation, so 14 MB) is broadcast; a larger
 #: one is shuffled.
 BROADCAST_IDS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a temporary one, but only if
-    driver and executors are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="carepath-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: The list that the paths of written tables go to, for their owner to delete.
-_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, so that a lost executor costs no recomputation, and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/carepath/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    mine = _owner.get()
-    if mine is not None:
-        mine.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def owned(paths: list[str]) -> Iterator[list[str]]:
-    """Within this, the paths of written tables are added to `paths`. DataFrames made from them read them when they
-    run, so the owner deletes them, with `delete`, only when these have been written or are no longer needed."""
-    token = _owner.set(paths)
-    try:
-        yield paths
-    finally:
-        _owner.reset(token)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables written within this are deleted at its end: write or collect what reads them before."""
-    paths: list[str] = []
-    try:
-        with owned(paths):
-            yield paths
-    finally:
-        delete(spark, paths)
-
-
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    while paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by `written` once nothing needs it."""
     delete(df.sparkSession, [os.path.dirname(file) for file in df.inputFiles()[:1]])

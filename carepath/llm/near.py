@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, partitions, slices, tidy, written
+from .common import drop_written, join_sized, partitions, slices, tidy, written
 from .components import components
 
 #: Members of a block, and bytes of the payloads that are compared at a time.
-BLOCK, BYTES = 512, 16 << 20
+BLOCK, BYTES = 1024, 16 << 20
 
 #: Gives the links among a group's members: a symmetric boolean matrix, from the payloads and the pairs asked for.
 Verify = Callable[[list, np.ndarray], np.ndarray]
@@ -57,10 +57,10 @@ def near_links(items: DataFrame, payload: Callable[[DataFrame], DataFrame], payl
     counted = links.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     known = reps.select("same", "rep", "copies").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
     known = written(known.select("same", F.coalesce("component", "rep").alias("class_id"), "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    sizes = known.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    known = known.join(sizes, "class_id")
+    sizes = written(known.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")).coalesce(partitions(items.sparkSession)), "class-sizes")
+    known = written(join_sized(known, sizes, ["class_id"], "members").drop("members"), "classes")
     alone = items.where(F.size("bands") == 0).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
-    return full.select("id", "same").join(known, "same").select("id", "class_id", "class_size", "copies", "n_links").unionByName(alone)
+    return join_sized(full.select("id", "same"), known, ["same"], "copies").select("id", "class_id", "class_size", "copies", "n_links").unionByName(alone)
 
 
 def _verified(reps: DataFrame, sought: DataFrame, payload, payload_type: str, verify: Verify) -> DataFrame:
@@ -143,19 +143,19 @@ def _block(bucket: int, i: int, j: int, group: list[tuple], verify: Verify) -> l
     linked |= linked.T
     weight = np.array(copies, np.int64)
     counts = linked @ weight
-    root = list(range(n))
+    root = _least_reached(linked)
+    return [(reps[k], reps[root[k]], int(counts[k])) for k in np.flatnonzero(counts).tolist()]
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for a, b in zip(*np.nonzero(np.triu(linked))):
-        x, y = find(int(a)), find(int(b))
-        if x != y:
-            root[max(x, y)] = min(x, y)  # members are in ascending order of their ids
-    return [(reps[k], reps[find(k)], int(counts[k])) for k in range(n) if counts[k]]
+def _least_reached(linked: np.ndarray) -> np.ndarray:
+    """The least member that each one is connected with, by a symmetric matrix of links."""
+    label = np.arange(len(linked), dtype=np.int32)
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], np.int32(len(linked))).min(1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 def jaccard_verifier(similarity: float) -> Verify:
@@ -197,6 +197,10 @@ def jaccard_verifier(similarity: float) -> Verify:
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(index, kind="stable")
         index, owner = index[order], owner[order]
+        # a value of one set alone is common to no pair
+        shared = np.bincount(index, minlength=len(values))[index] > 1
+        values, index = np.unique(index[shared], return_inverse=True)
+        owner = owner[shared]
         common = np.zeros(ask.shape, np.float32)
         step = max(1, (8 << 20) // max(1, 4 * len(sets)))
         for a in range(0, len(values), step):
