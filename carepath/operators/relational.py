@@ -152,9 +152,9 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int, page_size: int)
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
-def flow_edges(df: DataFrame, levels: Sequence[tuple[str, Column, Column, Column]], dim: str, values: Iterable[str], key: str) -> DataFrame:
-    """Edges between the steps of each row's path, counted by distinct key, for all rows (null) and for each of
-    the dimension's values. A level is (category, source, target, condition)."""
+def flow_edges(df: DataFrame, levels: Sequence[tuple[str, Column, Column, Column]], dim: str, values: Iterable[str], key: str, distinct: bool = True) -> DataFrame:
+    """Edges between the steps of each row's path, counted by distinct key (with `distinct` off by rows, which are
+    combined before the shuffle), for all rows (null) and for each of the dimension's values. A level is (category, source, target, condition)."""
     steps = F.filter(
         F.array(*[F.when(cond, F.struct(F.lit(k).alias("level"), F.lit(cat).alias("category"), src.alias("source"), dst.alias("target"))) for k, (cat, src, dst, cond) in enumerate(levels, 1)]),
         lambda s: s.isNotNull(),
@@ -162,7 +162,7 @@ def flow_edges(df: DataFrame, levels: Sequence[tuple[str, Column, Column, Column
     rows = df.select(key, dim, F.explode(steps).alias("s")).select(key, dim, "s.*")
     everyone = F.lit(None).cast("string")
     rows = rows.withColumn("filter_value", F.explode(F.when(F.col(dim).isin(list(values)), F.array(everyone, F.col(dim))).otherwise(F.array(everyone))))
-    return rows.groupBy("filter_value", "level", "category", "source", "target").agg(F.count_distinct(key).alias("patient_count"))
+    return rows.groupBy("filter_value", "level", "category", "source", "target").agg((F.count_distinct(key) if distinct else F.count(F.lit(1))).alias("patient_count"))
 
 
 def code_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:

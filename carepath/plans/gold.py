@@ -19,20 +19,21 @@ def first_diagnosis(diagnoses: DataFrame) -> DataFrame:
     )
 
 
-def treatments(diagnosed: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Per patient, in one pass over the episodes: the first that begins on or after the first diagnosis (earlier
-    ones are not its treatment), and whether any holds immunotherapy."""
-    rows = episodes.join(diagnosed.select("patient_id", "first_diagnosis_date"), "patient_id")
-    start = F.when(F.col("treatment_start_date") >= F.col("first_diagnosis_date"), F.col("treatment_start_date"))
-    return rows.groupBy("patient_id").agg(F.min(start).alias("first_treatment_date"), F.max("has_io").alias("has_io"))
+def treatments(episodes: DataFrame) -> DataFrame:
+    """Per patient, the days on which episodes begin (a patient has few), and whether any holds immunotherapy.
+    Episodes are dealt by patient already, so this needs no shuffle, and no diagnoses."""
+    return episodes.groupBy("patient_id").agg(F.collect_set("treatment_start_date").alias("_starts"), F.max("has_io").alias("has_io"))
 
 
 def patient_base(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame, biomarkers: DataFrame, trials: DataFrame, snapshot: Column) -> DataFrame:
-    """The cohort: current patients diagnosed by the snapshot, with their first treatment and flags."""
+    """The cohort: current patients diagnosed by the snapshot, with their first treatment on or after the first
+    diagnosis (earlier ones are not its treatment) and flags."""
     dx = first_diagnosis(diagnoses).where(F.col("first_diagnosis_date") <= snapshot)
     flag = lambda df, name: df.select("patient_id").distinct().withColumn(name, F.lit(True))
-    base = patients.join(dx, "patient_id").join(treatments(dx, episodes), "patient_id", "left")
+    base = patients.join(dx, "patient_id").join(treatments(episodes), "patient_id", "left")
     base = base.join(flag(biomarkers, "has_biomarker"), "patient_id", "left").join(flag(trials, "has_trial"), "patient_id", "left")
+    first = F.array_min(F.filter("_starts", lambda day: day >= F.col("first_diagnosis_date")))
+    base = base.withColumn("first_treatment_date", first).drop("_starts")
     return base.fillna(False, ["has_io", "has_biomarker", "has_trial"]).withColumn("ttt_days", F.datediff("first_treatment_date", "first_diagnosis_date"))
 
 
@@ -119,10 +120,11 @@ def ttt_distribution(base: DataFrame, snapshot: Column, places: int = 2, zero_fi
 
 
 def treatment_patterns(episodes: DataFrame, diagnosed: DataFrame, snapshot: Column, places: int = 2) -> DataFrame:
-    """Distinct patients per line and regimen category, and their share of the line, for all stages and each."""
+    """Patients per line and regimen category, and their share of the line, for all stages and each. A patient has one
+    episode of each line and one stage, so rows are patients."""
     rows = episodes.join(diagnosed.select("patient_id", "stage"), "patient_id")
     marked = rows.withColumn("stage_filter", F.explode(_with_all("stage")))
-    counts = marked.groupBy("stage_filter", "line_of_therapy", "regimen_category").agg(F.count_distinct("patient_id").alias("patient_count"))
+    counts = marked.groupBy("stage_filter", "line_of_therapy", "regimen_category").agg(F.count(F.lit(1)).alias("patient_count"))
     line = Window.partitionBy("stage_filter", "line_of_therapy")
     shared = counts.withColumn("percentage", exprs.rate(F.col("patient_count"), F.sum("patient_count").over(line), places)).withColumn("line_label", exprs.line_label(F.col("line_of_therapy")))
     return shared.select(snapshot.alias("snapshot_date"), "*")
@@ -130,7 +132,7 @@ def treatment_patterns(episodes: DataFrame, diagnosed: DataFrame, snapshot: Colu
 
 def regimens_top(episodes: DataFrame, k: int = 10, places: int = 2) -> DataFrame:
     """The k most frequent regimens of each line and category."""
-    counts = episodes.groupBy("line_of_therapy", "regimen_category", "regimen_name").agg(F.count_distinct("patient_id").alias("patient_count"))
+    counts = episodes.groupBy("line_of_therapy", "regimen_category", "regimen_name").agg(F.count(F.lit(1)).alias("patient_count"))
     line = Window.partitionBy("line_of_therapy")
     shared = counts.withColumn("percentage", exprs.rate(F.col("patient_count"), F.sum("patient_count").over(line), places))
     return topk_per_group(shared, ["line_of_therapy", "regimen_category"], [F.col("patient_count").desc(), F.col("regimen_name")], k, "regimen_rank")
@@ -192,7 +194,7 @@ def sankey(paths: DataFrame, snapshot: Column) -> DataFrame:
         ("treatment", F.col("treatment"), F.col("response"), F.col("treatment") != "No Treatment"),
         ("response", F.col("response"), F.col("next_step"), F.col("response") != "Not Assessed"),
     ]
-    edges = flow_edges(paths, levels, "stage", STAGES, "patient_id")
+    edges = flow_edges(paths, levels, "stage", STAGES, "patient_id", distinct=False)  # a path is a patient
     target = F.element_at(F.array(*[F.lit(x) for x in ("stage", "treatment", "response", "next_step")]), F.col("level"))
     return edges.select(
         snapshot.alias("snapshot_date"), F.col("filter_value").alias("stage_filter"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "patient_count",

@@ -222,17 +222,17 @@ _LINKS = "SELECT source_node, target_node, patient_count, source_category, targe
 
 @query(_EDGES + f"SELECT DATE '{SNAPSHOT}' AS snapshot_date, * FROM edges")
 def sankey_transitions(t: Frames) -> DataFrame:
-    return gold.sankey(t.published().paths, t.snapshot)
+    return gold.sankey(t.paths, t.snapshot)
 
 
 @query(_EDGES + _LINKS)
 def sankey_links(t: Frames) -> DataFrame:
-    return serve.sankey(cut_lineage(gold.sankey(t.published().paths, t.snapshot)), "ES-SCLC")[0]
+    return serve.sankey(cut_lineage(gold.sankey(t.paths, t.snapshot)), "ES-SCLC")[0]
 
 
 @query(_EDGES + f"SELECT source_node AS node, source_category AS category FROM ({_LINKS}) UNION SELECT target_node, target_category FROM ({_LINKS})")
 def sankey_link_nodes(t: Frames) -> DataFrame:
-    return serve.sankey(cut_lineage(gold.sankey(t.published().paths, t.snapshot)), "ES-SCLC")[1]
+    return serve.sankey(cut_lineage(gold.sankey(t.paths, t.snapshot)), "ES-SCLC")[1]
 
 
 @query(
@@ -241,7 +241,7 @@ def sankey_link_nodes(t: Frames) -> DataFrame:
         UNION ALL SELECT stage_filter, source_category, source_node, CAST(sum(patient_count) AS BIGINT) FROM edges WHERE source_category = 'diagnosis' GROUP BY ALL"""
 )
 def sankey_nodes(t: Frames) -> DataFrame:
-    return gold.sankey_nodes(gold.sankey(t.published().paths, t.snapshot))
+    return gold.sankey_nodes(gold.sankey(t.paths, t.snapshot))
 
 
 @query("SELECT patient_id, line_of_therapy, treatment_start_date, treatment_end_date, claim_count, CAST(treatment_end_date - treatment_start_date AS INTEGER) AS duration_days FROM episodes")
@@ -404,11 +404,6 @@ def patient_details(t: Frames) -> DataFrame:
     return serve.patient_details(t.patients, diagnoses=(t.diagnoses, "diagnosis_date"), episodes=(episodes, "treatment_start_date"), trials=(t.trials, "day"))
 
 
-@query()
-def patient_detail_nested(t: Frames) -> DataFrame:
-    return patient_details(t)
-
-
 @query(
     """SELECT p_type, flag_name, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DOUBLE AS quantity
        FROM (SELECT p_type, CASE l_returnflag WHEN 'A' THEN 'chemo' WHEN 'R' THEN 'io' ELSE 'other' END AS flag_name, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) x GROUP BY ALL""",
@@ -610,16 +605,6 @@ def union_by_name_sources(t: Frames) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query(
-    """SELECT event_type, count(*) AS records, count(DISTINCT ts::DATE) AS partitions, min(ts::DATE) AS first_day, max(ts::DATE) AS last_day, count(DISTINCT user_id % 7) AS batches
-       FROM events GROUP BY event_type""",
-    prelude=False,
-)
-def ingest_summary(t: Frames) -> DataFrame:
-    day = F.to_date("ts")
-    return t.table("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.count_distinct(day).alias("partitions"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(F.col("user_id") % 7).alias("batches"))
-
-
 @query(
     """SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d::DATE AS full_date, CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week, CAST(weekofyear(d) AS INTEGER) AS week_of_year,
        CAST(quarter(d) AS INTEGER) AS quarter, dayofweek(d) IN (0, 6) AS is_weekend, d::DATE = last_day(d::DATE) AS is_month_end, monthname(d) AS month_name, dayname(d) AS day_name
@@ -651,12 +636,12 @@ def _live(stage: str) -> str:
 
 @query(_live("true"))
 def overview_live(t: Frames) -> DataFrame:
-    return live.overview(t.patients, t.diagnoses, t.published().episodes, t.biomarkers, t.trials, t.snapshot)
+    return live.overview(t.patients, t.diagnoses, t.episodes, t.biomarkers, t.trials, t.snapshot)
 
 
 @query(_live("stage = 'LS-SCLC'"))
 def overview_live_stage(t: Frames) -> DataFrame:
-    return live.overview(t.patients, t.diagnoses, t.published().episodes, t.biomarkers, t.trials, t.snapshot, stage="LS-SCLC")
+    return live.overview(t.patients, t.diagnoses, t.episodes, t.biomarkers, t.trials, t.snapshot, stage="LS-SCLC")
 
 
 @query(
@@ -668,7 +653,6 @@ def overview_live_stage(t: Frames) -> DataFrame:
     UNION ALL SELECT a, b, count(*) FROM journey WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT b, c, count(*) FROM journey WHERE c IS NOT NULL GROUP BY ALL"""
 )
 def sankey_live(t: Frames) -> DataFrame:
-    t = t.published()
     return live.sankey(t.diagnoses, t.episodes, t.responses)
 
 
@@ -679,7 +663,7 @@ def sankey_live(t: Frames) -> DataFrame:
     FROM patients p LEFT JOIN dx USING (patient_id) LEFT JOIN tx USING (patient_id)"""
 )
 def patient_rows_enriched(t: Frames) -> DataFrame:
-    return serve.enriched_rows(t.patients, t.diagnoses, t.published().episodes)
+    return serve.enriched_rows(t.patients, t.diagnoses, t.episodes)
 
 
 def _raw_orders(t: Frames, **columns: str) -> DataFrame:
@@ -814,3 +798,6 @@ def insights_rules(t: Frames) -> DataFrame:
     ttt = cut_lineage(serve.time_to_treatment(cut_lineage(gold.ttt_distribution(t.base, t.snapshot, zero_filled=True))))
     patterns = cut_lineage(serve.treatment_patterns(cut_lineage(gold.treatment_patterns(t.episodes, t.diagnosed, t.snapshot))))
     return serve.insights(kpi, ttt, patterns, cut_lineage(gold.geographic(t.base, t.snapshot)))
+
+
+from . import registry_raw  # noqa: E402, F401 registers its queries too
