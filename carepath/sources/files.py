@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .schema_log import RESCUED, SchemaLog, conform, merge
+from .sinks import hadoop
 
 
 @dataclass(frozen=True)
@@ -59,18 +64,33 @@ def with_lineage(df: DataFrame, feed: Feed, batch_id: str, today: Column | None
     return df.withColumns(added)
 
 
-def read_bronze(spark, path: str) -> DataFrame:
-    """A bronze table: what each format's stream has committed, with the columns of all files."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    parts = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory())
-    out = None
-    for part in parts:
-        df = spark.read.option("mergeSchema", "true").parquet(part)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+#: Where a feed's bronze table keeps its schemas, and the column that tells which one a row was read with.
+SCHEMAS, VERSION = "_schemas", "_schema"
+LINEAGE = T.StructType(
+    [
+        T.StructField("_ingestion_timestamp", T.TimestampType()), T.StructField("_source_file", T.StringType()), T.StructField("_batch_id", T.StringType()),
+        T.StructField("_source_description", T.StringType()), T.StructField("_ingestion_date", T.DateType()),
+    ]
+)
+
+
+def read_bronze(spark: SparkSession, path: str) -> DataFrame:
+    """A bronze table: what each format's stream has committed, with the columns of all its files in their widest
+    types. Each version's rows are read with its own schema, so no file's footer is merged."""
+    at, fs = hadoop(spark, path)
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName() != SCHEMAS)
+    frames = []
+    for kind in parts:
+        table, schemas = f"{path}/{kind}", SchemaLog(spark, f"{path}/{SCHEMAS}/{kind}").schemas()
+        dated = bool(fs.globStatus(hadoop(spark, f"{table}/{VERSION}=*/_partition_date=*")[0]))
+        more = [*LINEAGE, *([T.StructField("_partition_date", T.DateType())] if dated else []), *([T.StructField(RESCUED, T.StringType())] if kind == "json" else [])]
+        for version, schema in schemas.items():
+            stored = T.StructType([*schema, *more, T.StructField(VERSION, T.IntegerType())])
+            frames.append(spark.read.schema(stored).parquet(table).where(F.col(VERSION) == version).drop(VERSION))
+    if not frames:
         raise FileNotFoundError(path)
-    return out
+    whole = reduce(merge, [df.schema for df in frames])
+    return reduce(DataFrame.unionByName, [conform(df, whole) for df in frames])
 
 
 def ingest_summary(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,10 +1,11 @@
 import json
+import os
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from carepath.sources import seed, sinks
+from carepath.sources import schema_log, seed, sinks
 from carepath.sources.files import FEEDS, ingest_summary, read_bronze
 from carepath.streaming.ingest import ingest, session_episodes
 
@@ -116,3 +117,53 @@ def test_seed_is_json_and_repeatable(spark, records):
     assert len(json.loads(seed.to_json(records))["patients"]) == 1000
     assert seed.generate(50) == seed.generate(50)
     assert seed.frames(spark, seed.generate(20))["diagnoses"].count() == 20
+
+
+def test_types_widen_and_nothing_is_lost(spark):
+    kind = lambda s: spark.createDataFrame([], f"x {s}").schema[0].dataType
+    wide = lambda a, b: schema_log.widen(kind(a), kind(b)).simpleString()
+    assert [wide(*p) for p in (("int", "bigint"), ("bigint", "double"), ("double", "string"), ("date", "timestamp"), ("boolean", "int"), ("struct<a:int>", "string"))] == ["bigint", "double", "string", "timestamp", "string", "string"]
+    assert wide("struct<a:int,b:array<int>>", "struct<b:array<double>,C:string,A:bigint>") == "struct<a:bigint,b:array<double>,C:string>"
+    old = spark.createDataFrame([(1, (2, [3])), (None, None)], "k int, s struct<a:int,b:array<int>>")
+    new = schema_log.merge(old.schema, spark.createDataFrame([], "k string, s struct<a:double,c:string>, more date").schema)
+    rows = schema_log.conform(old, new).collect()
+    assert (rows[0].k, rows[0].s.a, rows[0].s.b, rows[0].s.c, rows[0].more) == ("1", 2.0, [3], None, None) and rows[1].s is None
+
+
+def test_drops_with_added_widened_and_broken_columns(spark, tmp_path):
+    src = tmp_path / "raw/ehr/observations"
+    src.mkdir(parents=True)
+    args = (f"{tmp_path}/raw", f"{tmp_path}/bronze", f"{tmp_path}/checkpoints")
+    drops = [
+        [{"subject_id": "1", "value": 3, "code": {"id": 1}}],
+        [{"subject_id": "2", "value": 2.5, "unit": "mg", "code": {"id": 2, "name": "n"}}],
+        [{"subject_id": "3", "value": "high", "code": {"id": "x"}}, {"subject_id": "4", "value": None, "unit": ["a"]}],
+    ]
+    for k, rows in enumerate(drops):
+        (src / f"d{k}.json").write_text("\n".join(map(json.dumps, rows)) + ("\n{broken\n" if k == 2 else ""))
+        os.utime(src / f"d{k}.json", (1000 + k, 1000 + k))
+        ingest(spark, "ehr_observations", *args, f"b{k}")
+    ingest(spark, "ehr_observations", *args, "again")
+    df = read_bronze(spark, f"{tmp_path}/bronze/ehr_observations")
+    kinds = dict(df.dtypes)
+    assert (kinds["value"], kinds["unit"], kinds["code"]) == ("string", "string", "struct<id:string,name:string>")
+    got = {r.subject_id: (r.value, r.unit, r.code and r.code.id, r._batch_id) for r in df.where("subject_id is not null").collect()}
+    assert got == {"1": ("3", None, "1", "b0"), "2": ("2.5", "mg", "2", "b1"), "3": ("high", None, "x", "b2"), "4": (None, '["a"]', None, "b2")}
+    assert [r._rescued for r in df.where("_rescued is not null").collect()] == ["{broken"] and df.count() == 5
+    assert len(schema_log.SchemaLog(spark, f"{tmp_path}/bronze/ehr_observations/_schemas/json").versions()) == 3
+    assert "mergeSchema" not in df._jdf.queryExecution().toString()
+
+
+def test_csv_columns_keep_their_places(spark, tmp_path):
+    src = tmp_path / "raw/ehr/conditions"
+    src.mkdir(parents=True)
+    args = (f"{tmp_path}/raw", f"{tmp_path}/bronze", f"{tmp_path}/checkpoints")
+    for k, text in enumerate(("subject_id,code\n1,a\n", "subject_id,code,stage\n2,b,IV\n", "subject_id\n3\n")):
+        (src / f"{k}.csv").write_text(text)
+        os.utime(src / f"{k}.csv", (1000 + k, 1000 + k))
+        ingest(spark, "ehr_conditions", *args, f"b{k}")
+    rows = {r.subject_id: (r.code, r.stage) for r in read_bronze(spark, f"{tmp_path}/bronze/ehr_conditions").collect()}
+    assert rows == {"1": ("a", None), "2": ("b", "IV"), "3": (None, None)}
+    (src / "bad.csv").write_text("code,subject_id\nx,4\n")
+    with pytest.raises(ValueError, match="bad.csv"):
+        ingest(spark, "ehr_conditions", *args, "b9")
