@@ -93,30 +93,64 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
 
 @pytest.fixture(scope="module")
-def records():
-    return seed.generate(1000)
-
-
-def test_seed_counts(records):
-    assert len(records["patients"]) == 1000 and len(records["facilities"]) == 200 and records["biomarker_tests"]
-
-
-def test_seed_stages(records):
-    n = sum(d["stage"] == "LS-SCLC" for d in records["diagnoses"])
-    assert 200 <= n <= 400 and {d["stage"] for d in records["diagnoses"]} == {"LS-SCLC", "ES-SCLC"}
-
-
-def test_seed_every_patient_is_diagnosed_and_treated(records):
-    ids = {p["patient_id"] for p in records["patients"]}
-    assert {d["patient_id"] for d in records["diagnoses"]} == ids
-    assert {e["patient_id"] for e in records["treatment_episodes"] if e["line_of_therapy"] == 1} == ids
-    assert all(0 <= d["ecog_status"] <= 4 for d in records["diagnoses"])
-
-
-def test_seed_is_json_and_repeatable(spark, records):
-    assert len(json.loads(seed.to_json(records))["patients"]) == 1000
-    assert seed.generate(50) == seed.generate(50)
-    assert seed.frames(spark, seed.generate(20))["diagnoses"].count() == 20
+def tables(spark):
+    return {name: df.cache() for name, df in seed.generate(spark, 4000).items()}
+
+
+def ids(df, column="patient_id"):
+    return sorted(r[0] for r in df.select(column).collect())
+
+
+def test_seed_counts_and_keys(tables):
+    people = ids(tables["patients"])
+    assert len(set(people)) == 4000 and tables["facilities"].count() == 200
+    assert ids(tables["diagnoses"]) == people == ids(tables["treatment_episodes"].where("line_of_therapy = 1"))
+    known = set(ids(tables["facilities"], "facility_id"))
+    assert set(ids(tables["diagnoses"], "diagnosing_facility_id")) <= known
+    for name, key in (("diagnoses", "diagnosis_id"), ("biomarker_tests", "test_id"), ("treatment_episodes", "episode_id"), ("response_assessments", "assessment_id"), ("progression_events", "progression_id"), ("trial_enrollments", "enrollment_id")):
+        assert len(set(ids(tables[name], key))) == tables[name].count() > 0
+    assert set(ids(tables["response_assessments"], "episode_id")) == set(ids(tables["treatment_episodes"], "episode_id"))
+    assert set(ids(tables["trial_enrollments"])) == set(ids(tables["treatment_episodes"].where("regimen_name = 'Clinical Trial'")))
+
+
+@pytest.mark.parametrize(
+    "table, column, weights, where",
+    [
+        ("patients", "state", seed.STATES, "true"), ("patients", "insurance_type", seed.INSURANCE, "true"), ("patients", "race_ethnicity", seed.RACE, "true"), ("diagnoses", "stage", seed.STAGE, "true"),
+        ("diagnoses", "ecog_status", seed.ECOG, "true"), ("diagnoses", "smoking_status", seed.SMOKING, "true"), ("treatment_episodes", "regimen_name", seed.SECOND, "line_of_therapy = 2"),
+    ],
+)
+def test_seed_weights_hold(tables, table, column, weights, where):
+    got = {r[0]: r[1] for r in tables[table].where(where).groupBy(column).count().collect()}
+    n, total = sum(got.values()), sum(weights.values())
+    assert set(got) <= set(weights)
+    squares = sum((got.get(k, 0) - n * w / total) ** 2 / (n * w / total) for k, w in weights.items())
+    free = len(weights) - 1
+    assert squares < free + 4 * (2 * free) ** 0.5 + 4  # chi-square, far above its 0.999 quantile
+
+
+def test_seed_follows_the_stage(spark, tables):
+    first = tables["treatment_episodes"].where("line_of_therapy = 1").join(tables["diagnoses"], "patient_id")
+    got = {(r.stage, r.regimen_name): r["count"] for r in first.groupBy("stage", "regimen_name").count().collect()}
+    assert {k for s, k in got if s == "LS-SCLC"} == set(seed.LIMITED) and {k for s, k in got if s == "ES-SCLC"} == set(seed.EXTENSIVE)
+    share = tables["progression_events"].join(tables["diagnoses"], "patient_id").groupBy("stage").count().collect()
+    staged = {r.stage: r["count"] for r in tables["diagnoses"].groupBy("stage").count().collect()}
+    assert all(abs(r["count"] / staged[r.stage] - seed.PROGRESSES[r.stage]) < 0.05 for r in share)
+    ages = tables["patients"].selectExpr("2026 - year(date_of_birth) AS age").agg(F.min("age"), F.max("age"), F.median("age")).first()
+    assert 45 <= ages[0] and ages[1] <= 86 and 68 <= ages[2] <= 72
+
+
+def test_seed_is_the_same_at_any_partitioning_and_is_json(spark, tmp_path):
+    one, two = seed.generate(spark, 60, partitions=1), seed.generate(spark, 60, partitions=7)
+    for name in one:
+        assert sorted(map(str, one[name].collect())) == sorted(map(str, two[name].collect())), name
+    doc = json.loads(seed.to_json(one))
+    assert len(doc["patients"]) == 60 and doc["diagnoses"][0]["diagnosis_date"][:3] == "202"
+    seed.write_json(one, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/patients").count() == 60
+    with pytest.raises(ValueError, match="write_json"):
+        seed.to_json(one, most=5)
+    assert sorted(map(str, seed.generate(spark, 60, seed=7)["patients"].collect())) != sorted(map(str, one["patients"].collect()))
 
 
 def test_types_widen_and_nothing_is_lost(spark):
