@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import apply_filters, latest_per_key, paginate
@@ -118,11 +118,6 @@ def get_patient(details: DataFrame, patient_id) -> DataFrame:
     return found
 
 
-def query(spark: SparkSession, sql: str, **params: object) -> DataFrame:
-    """A statement with named parameters."""
-    return spark.sql(sql, args=params or None)
-
-
 # fixed values: thresholds of the insights
 INSIGHTS = {"within_target_pct": (75, 60), "immunotherapy_uptake_rate": (60, 40), "biomarker_testing_rate": (80, 65), "clinical_trial_rate": (15, 8)}
 LATE_SHARE, CHEMO_ONLY_SHARE, STATE_GAP, LOW_STATES, LOW_TESTING = 10, 25, 5, 5, 70
@@ -167,4 +162,4 @@ def age_today(born, today):
     return F.floor(F.months_between(today, born) / 12).cast("int")
 
 
-__all__ = ["NotFound", "age_today", "get_patient", "insights", "list_patients", "overview", "enriched_rows", "patient_details", "patient_rows", "query", "sankey", "states", "time_to_treatment", "treatment_patterns"]
+__all__ = ["NotFound", "age_today", "get_patient", "insights", "list_patients", "overview", "enriched_rows", "patient_details", "patient_rows", "sankey", "states", "time_to_treatment", "treatment_patterns"]

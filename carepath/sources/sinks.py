@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import curve
 from ..operators.relational import keyed_upsert
 
 
@@ -41,9 +42,12 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
 
 def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (), files: int | None = None) -> int:
     """A new version beside the old ones, so that the frame may read the latest. One writer at a time. Rows are
-    clustered and sorted by `cluster_by` for file statistics to prune by."""
+    clustered and sorted by `cluster_by` for file statistics to prune by: by several columns and a number of files
+    along a curve, so that each of the columns alone prunes."""
     version = (versions(df.sparkSession, path) or [0])[-1] + 1
-    if cluster_by:
+    if len(cluster_by) > 1 and files:
+        df = curve.cluster(df, cluster_by, files)
+    elif cluster_by:
         dealt = df.repartition(files, *cluster_by) if files else df.repartition(*cluster_by)
         df = dealt.sortWithinPartitions(*cluster_by)
     df.write.mode("overwrite").parquet(f"{path}/v={version}")

@@ -141,7 +141,6 @@ def test_serving(spark):
     assert [r.state for r in serve.states(geo).collect()] == ["TX", "NY"] and serve.states(geo, "biomarker_rate", top=1).first().bar_share == 100.0
     with pytest.raises(ValueError):
         serve.states(geo, "state")
-    assert serve.query(spark, "select :x + 1 as y", x=2).first().y == 3
 
 
 def test_insights(spark):
@@ -176,3 +175,16 @@ def test_cohort_rules(spark):
     r = gold.geographic(base, snap).collect()
     assert [(x.snapshot_date, x.state, x.state_name, x.biomarker_rate) for x in r] == [(D("2024-06-15"), "NY", "New York", 50.0)]
     assert (cube[None, None].biomarker_tested_count, cube[None, None].es_sclc_patient_count, cube[None, None].es_sclc_io_count, cube[None, None].trial_enrolled_count) == (1, 1, 1, 0)
+
+
+def test_names_and_addresses_as_arrays(spark):
+    """As FHIR has them: the first counts, an empty array is none."""
+    raw = spark.createDataFrame([("1", [(["Ann", "B"], "Lee"), (["Old"], "Name")], [("10001-22", "NY")]), ("2", [], [])], "id string, name array<struct<given:array<string>,family:string>>, address array<struct<postalCode:string,state:string>>")
+    a, b = silver.ehr_patients(raw).orderBy("source_patient_id").collect()
+    assert (a.first_name, a.last_name, a.zip5, a.state) == ("ANN", "LEE", "10001", "NY") and (b.first_name, b.last_name, b.zip5, b.state) == (None, None, None, None)
+
+
+def test_the_newest_record_of_a_facility(spark):
+    df = spark.createDataFrame([("f", "old", "NY", "2024-01-01"), ("f", "new", "texas", "2024-02-01"), ("g", None, None, None)], "facility_id string, facility_name string, state string, t string")
+    got = silver.dim_facility(df.withColumn("_ingestion_timestamp", F.col("t").cast("timestamp"))).collect()
+    assert sorted((r.facility_id, r.facility_name, r.state) for r in got) == [("f", "new", "TX"), ("g", None, None)]
