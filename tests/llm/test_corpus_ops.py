@@ -427,7 +427,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
 
 def test_every_operator_has_its_query(spark, sf_dir):
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     for f in queries.QUERIES.values():
         assert f(spark, sf_dir).count() > 0
 

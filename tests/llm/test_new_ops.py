@@ -7,11 +7,12 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from carepath.llm import simhash, source_audit, vector_codes
+from carepath.llm import queries, simhash, source_audit, vector_codes
 
 AUDIT = "doc_id long, text string, lang string, source string, n long, term string, p double, kind string, part int"
 
@@ -62,6 +63,17 @@ def test_source_divergence(spark, least, block, chars, size):
     assert sorted(map(tuple, got.collect())) == brute_audit(rows, least, 4)
 
 
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_vector_codes"])
+def test_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, sf_dir).select(*columns).collect()
+    assert len(got) > 0 and sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_source_divergence_of_an_empty_table(spark):
     assert source_audit.source_divergence(spark.createDataFrame([], AUDIT)).count() == 0
 
