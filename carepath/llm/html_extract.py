@@ -5,7 +5,9 @@ are summed per path; their ratios to the path's number of blocks are smoothed ov
 thresholded to choose the paths that hold content. Elements that never are content (menus, footers, forms,
 adverts, comments and the like, by tag, role or class) are left out before. Where a page marks articles or a
 main part, the mark is a prior: the ratio that a path needs is lower in the largest marked regions than in
-the other ones, and higher outside all of them.
+the other ones, and higher outside all of them; and the totals per path tell what is foreign whatever it is called: a
+path outside all marks that holds little text beside the marked one, and a named part that stands beside the path of the
+prose, within it or after it, and holds little of the region's text (a thread of comments, a notice, a box).
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from .common import map_batches, texts_of
 
 #: Elements whose content is not text of the page; read up to their end tag.
-RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object textarea select title canvas audio video xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame command".split())
 #: Elements that do not break a block of text and are not part of a path.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link nobr output q s samp small span strike strong sub sup time tt u var wbr br ruby rb rt rp area map picture source track param embed base".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics nobr output q s samp small span strike strong sub sup time tt u var wbr br ruby rb rt rp area map picture source track param embed base".split())
 BAD_TAGS = frozenset("nav footer aside form button dialog menu menuitem fieldset legend datalist head".split())
 #: Of these, an element is left out though it holds an article: a teaser or a comment.
 STRICT_TAGS = BAD_TAGS - {"form", "fieldset"}
@@ -75,6 +77,14 @@ SMOOTH, SHARE = 1.0, 0.25
 #: the ones that hold nearly as much text as the largest.
 PRIOR = np.array([4.0, 1.0, 0.5])
 OUTSIDE, NEUTRAL, CORE = range(3)
+#: Share of the core's text that a path outside all marks needs; the shares below which a named part of the core is
+#: foreign to it, after the prose and within; and the share that the path of the prose must hold for that.
+RIVAL, TAIL, WITHIN, PROSE = 0.5, 0.3, 0.15, 0.5
+#: Words of a list's items, on average, from which a list of links among the prose is content.
+ITEM_WORDS = 2
+#: What a named part may be, and what it may hold without being foreign.
+PARTS, FIGURES = frozenset("div section ul ol dl".split()), frozenset("pre table blockquote figure".split())
+LISTS = frozenset("ul ol li dl dt dd".split())
 
 
 @dataclass
@@ -151,7 +161,7 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
             if not attrs.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = n if close is None else page.find(">", close.start()) + 1 or n
-                if tag not in ("svg", "math"):
+                if tag not in ("svg", "annotation", "annotation-xml"):
                     held.append(" ")
             continue
         if tag in INLINE:
@@ -257,11 +267,9 @@ def _heading(elements: list[Element], k: int) -> bool:
     return False
 
 
-def _by_ratio(elements: list[Element], blocks: list[Block], level: np.ndarray) -> list[Block]:
-    """Blocks whose path's smoothed and fused ratios of text and punctuation pass the threshold of their level."""
-    if len(blocks) < 2:
-        return blocks
-    paths = [(k, elements[b.element].path) for k, b in zip(level.tolist(), blocks)]
+def ratios(paths: list[tuple[int, str]], blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block's path its text and punctuation per block, the share of its text in links, its whole text; and
+    the two ratios smoothed over the blocks and fused."""
     sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for path, b in zip(paths, blocks):
         s = sums[path]
@@ -269,22 +277,93 @@ def _by_ratio(elements: list[Element], blocks: list[Block], level: np.ndarray) -
         s[1] += len(MARK.findall(b.text))
         s[2] += 1
         s[3] += b.links
-    text, marks, linked = (np.array(x) for x in zip(*((s[0] / s[2], (s[1] + 0.5) / s[2], s[3] / s[0]) for s in (sums[path] for path in paths))))
+    text, marks, linked, total = (np.array(x) for x in zip(*((s[0] / s[2], (s[1] + 0.5) / s[2], s[3] / s[0], s[0]) for s in (sums[path] for path in paths))))
     near = np.exp(-0.5 * (np.arange(-3, 4) / SMOOTH) ** 2)
     near /= near.sum()
     smooth = lambda x: np.convolve(np.pad(x, 3, mode="edge"), near, "valid")
-    fused = np.sqrt(smooth(text) * smooth(marks))
-    # links with the marks of sentences, such as a list of sources, are content in the core; menus have none
-    listed = (level == CORE) & (marks >= 1.5) & (text >= 20)
+    return text, marks, linked, total, np.sqrt(smooth(text) * smooth(marks))
+
+
+def _foreign(elements: list[Element], blocks: list[Block], level: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, int]:
+    """Blocks that the totals per path tell to be no content, and the parent of the prose (0: there is none)."""
+    core = np.flatnonzero(level == CORE)
+    out = np.zeros(len(blocks), bool)
+    if not len(core):
+        return out, 0
+    sizes = np.array([len(b.text) for b in blocks])
+    whole = sizes[core].sum()
+    out |= (level == OUTSIDE) & (total < RIVAL * whole)
+    top = core[total[core].argmax()]
+    path = elements[blocks[top].element].path
+    prose = [k for k in core.tolist() if elements[blocks[k].element].path == path]
+    if total[top] < PROSE * whole:
+        return out, 0
+    up: set[int] = set()
+    for k in prose:
+        e = blocks[k].element
+        while e > 0 and e not in up:
+            up.add(e)
+            e = elements[e].parent
+    figures = set()
+    for k, e in enumerate(elements):
+        if e.tag in FIGURES:
+            while k > 0 and k not in figures:
+                figures.add(k)
+                k = elements[k].parent
+    parts: dict[int, int] = {}
+    shares: dict[tuple[str, bool], int] = defaultdict(int)
+    kind = lambda k: (elements[parts[k]].path, k > prose[-1])
+    for k in core.tolist():
+        e, part = blocks[k].element, 0
+        while e > 0 and e not in up:
+            if elements[e].tag in PARTS and "." in elements[e].path.rsplit("/", 1)[-1]:
+                part = e
+            e = elements[e].parent
+        if part and part not in figures and k > prose[0]:
+            parts[k] = part
+            shares[kind(k)] += int(sizes[k])
+    for k in parts:
+        out[k] = shares[kind(k)] < (TAIL if k > prose[-1] else WITHIN) * whole
+    return out, elements[blocks[top].element].parent
+
+
+def _listed(elements: list[Element], blocks: list[Block], prose: int) -> np.ndarray:
+    """Which blocks are of a plain list that stands among the paragraphs of the prose and whose items are phrases, or
+    that a colon leads to."""
+    lists: dict[int, list[int]] = defaultdict(list)
+    for i, b in enumerate(blocks):
+        k, top = b.element, 0
+        while k > 0 and elements[k].tag in LISTS and "." not in elements[k].path.rsplit("/", 1)[-1]:
+            k, top = elements[k].parent, k
+        if top and prose > 0 and k == prose:
+            lists[top].append(i)
+    out = np.zeros(len(blocks), bool)
+    for items in lists.values():
+        led = items[0] > 0 and blocks[items[0] - 1].text.endswith(":")
+        out[items] = led or sum(len(blocks[i].text.split()) for i in items) >= ITEM_WORDS * len(items)
+    return out
+
+
+def _by_ratio(elements: list[Element], blocks: list[Block], level: np.ndarray) -> list[Block]:
+    """Blocks whose path's smoothed and fused ratios of text and punctuation pass the threshold of their level, and
+    whose totals do not tell them foreign."""
+    if len(blocks) < 2:
+        return blocks
+    text, marks, linked, total, fused = ratios([(k, elements[b.element].path) for k, b in zip(level.tolist(), blocks)], blocks)
+    foreign, prose = _foreign(elements, blocks, level, total)
+    # links with the marks of sentences, such as a list of sources, are content in the core, and so is a plain list
+    # among the paragraphs; menus are neither
+    listed = (level == CORE) & ((marks >= 1.5) & (text >= 20) | _listed(elements, blocks, prose))
     size = np.where(level > OUTSIDE, [len(b.text) for b in blocks], 0.0)
     fused *= np.where(listed, 1, 1 - linked)
     keep = (fused >= SHARE * PRIOR[level] * (fused @ size) / max(1.0, size.sum())) & ((linked < 0.6) | listed) & ((text >= 20) | (level == CORE))
+    keep &= ~foreign
     # a heading goes with the content that follows it, in the core up to the next heading
     heading = [_heading(elements, b.element) for b in blocks]
     follows = bool(keep[-1])
     for k in range(len(blocks) - 2, -1, -1):
         if heading[k]:
-            keep[k] = (follows if level[k] == CORE else keep[k + 1]) and linked[k] < 0.6
+            keep[k] = (follows if level[k] == CORE else keep[k + 1]) and linked[k] < 0.6 and not foreign[k]
             follows = bool(keep[k]) and heading[k - 1]
         else:
             follows = follows and not heading[k + 1] or bool(keep[k])

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +270,72 @@ def test_ratios_decide_inside_marked_regions():
     # text that a page leaves outside its mark stands if it is as dense, short text there does not
     got = html_extract.extract(f"<body><div>Terms</div><article>{prose(1)}</article><div class=x>Terms</div><div class=body>{first}{second}</div></body>")
     assert "Paragraph 6" in got and "Terms" not in got
+
+
+PROSE = [
+    "The committee met on Tuesday, and after a long debate it approved the plan; critics said it was too late.",
+    "Residents, who had waited for years, welcomed the decision: a new bridge will cross the river, and traffic should ease.",
+    "Work is expected to begin in spring, although funding, as the mayor admitted, is not yet secured.",
+    "Engineers have surveyed the site, drilled test holes, and published their findings.",
+]
+SAID = "I think this is a fine idea, but they should, of course, have asked us first."
+
+
+def article(inside="", after=""):
+    paragraphs = "".join(f"<p>{p}</p>" for p in PROSE)
+    return f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Bridge</h1>{paragraphs}{inside}</article>{after}<footer>(c) us</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", ["thread", "responses", "reader-voices", "opinions-below", "user-feedback", "paywall", "privacy", "donate", "author-bio", "most-read", "tags", "qzx"])
+def test_totals_tell_foreign_parts_by_no_word(name):
+    want = "\n".join(["Bridge", *PROSE])
+    assert html_extract.extract(article(f'<div class="{name}"><p>{SAID}</p></div>')) == want
+    thread = f'<div class="{name}"><h3>What you say</h3><p>{SAID}</p><p>Nonsense, in my view; nobody needs it, and it costs too much.</p></div>'
+    assert html_extract.extract(article("", thread)) == want == html_extract.extract(article(thread))
+
+
+def test_parts_that_belong_stay():
+    lead = article().replace("<h1>Bridge</h1>", f'<h1>Bridge</h1><div class="lead"><p>{SAID}</p></div>')
+    assert html_extract.extract(lead).split("\n") == ["Bridge", SAID, *PROSE]
+    shown = {"<p>See, then:</p><ul><li><a href=a>First plan</a></li><li><a href=b>Second plan</a></li></ul><p>More, soon.</p>": ["See, then:", "First plan", "Second plan", "More, soon."],
+             "<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds, it follows.</p>": ["Where x=2 holds, it follows."],
+             '<div class="highlight"><pre>x = 1; y = 2, z.</pre></div>': ["x = 1; y = 2, z."]}
+    for inside, more in shown.items():
+        assert html_extract.extract(article(inside)).split("\n") == ["Bridge", *PROSE, *more]
+    sections = "".join(f'<div class="part"><h2>Part {k}</h2><p>{p}</p></div>' for k, p in enumerate(PROSE))
+    got = html_extract.extract(f"<article><h1>Bridge</h1>{sections}</article>").split("\n")
+    assert got == ["Bridge", *[x for k, p in enumerate(PROSE) for x in (f"Part {k}", p)]]
+
+
+def test_names_do_not_matter(sf_dir):
+    """All class names replaced: the article is found whole, and next to nothing else."""
+    rng, whole, lost, foreign = random.Random(2), 0, 0, 0
+    for page in pq.read_table(sf_dir.replace("0.001", "0.01") + "/pages.parquet").column("html").to_pylist():
+        elements, blocks = html_extract.read(page)
+        want = [b.text for b in blocks if "/article" in elements[b.element].path]
+        got = html_extract.extract(re.sub(r'class="[^"]*"', lambda m: f'class="c{rng.randrange(10**6)}"', page)).split("\n")  # noqa: B023
+        whole += sum(map(len, want))
+        lost += sum(len(w) for w in want if w not in got)
+        foreign += sum(len(g) for g in got if g not in want)
+    assert lost <= 0.05 * whole and foreign <= 0.02 * whole
+
+
+def test_ratios_are_brute_force():
+    rng = random.Random(4)
+    blocks = [html_extract.Block(k, "".join(rng.choice("ab ,.!") for _ in range(rng.randrange(1, 60))), rng.randrange(0, 3)) for k in range(40)]
+    paths = [(rng.randrange(2), rng.choice(["/a/p", "/a/div/p", "/b"])) for _ in blocks]
+    text, marks, linked, total, fused = html_extract.ratios(paths, blocks)
+    of = lambda path, f: [f(b) for p, b in zip(paths, blocks) if p == path]
+    count = lambda b: sum(c in ",.!" for c in b.text)
+    t = [sum(of(p, lambda b: len(b.text))) / len(of(p, len_of)) for p in paths]
+    m = [(sum(of(p, count)) + 0.5) / len(of(p, len_of)) for p in paths]
+    weight = [2.718281828459045 ** (-0.5 * d * d) for d in range(-3, 4)]
+    smooth = lambda x, k: sum(w * x[min(max(k + d, 0), len(x) - 1)] for w, d in zip(weight, range(-3, 4))) / sum(weight)
+    assert list(total) == [sum(of(p, lambda b: len(b.text))) for p in paths]
+    assert list(text) == pytest.approx(t) and list(marks) == pytest.approx(m)
+    assert list(linked) == pytest.approx([sum(of(p, lambda b: b.links)) / sum(of(p, lambda b: len(b.text))) for p in paths])
+    assert list(fused) == pytest.approx([(smooth(t, k) * smooth(m, k)) ** 0.5 for k in range(len(blocks))])
+
+
+def len_of(block):
+    return len(block.text)
