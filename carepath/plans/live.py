@@ -32,15 +32,19 @@ def overview(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame, bio
     people = patients if state is None else patients.where(F.col("state") == state)
     ids = people.select("patient_id").distinct()
     mine = lambda df: df.join(ids, "patient_id", "left_semi")
-    staged = mine(diagnoses if stage is None else diagnoses.where(F.col("stage") == stage))
+    in_stage = F.lit(True) if stage is None else F.col("stage") == stage
+    es = F.col("stage") == "ES-SCLC"
+    known = mine(diagnoses)
+    staged = known.where(in_stage)
     since = lambda period: F.count_if(F.col("diagnosis_date") >= F.trunc(today, period))
     distinct = lambda df, name: mine(df).agg(F.count_distinct("patient_id").alias(name))
+    # one pass over the pairs for the wait of the stage and the uptake of extensive disease
+    pairs = first_line_pairs(known, episodes).withColumn("_wait", F.when(in_stage & (F.col("days") >= 0), F.col("days")))
     rows = _one(
         ids.agg(F.count(F.lit(1)).alias("total_patients")),
         staged.agg(since("month").alias("new_diagnoses_mtd"), since("quarter").alias("new_diagnoses_qtd"), since("year").alias("new_diagnoses_ytd"), F.count_distinct("patient_id").alias("_diagnosed")),
-        first_line_pairs(staged, episodes).where("days >= 0").agg(F.round(exprs.upper_median("days"), 1).alias("median_time_to_treatment_days")),
+        pairs.agg(F.round(exprs.upper_median("_wait"), 1).alias("median_time_to_treatment_days"), F.count_if(es).alias("_es"), F.count_if(es & F.col("has_io")).alias("_io")),
         distinct(biomarkers, "_tested"),
-        first_line_pairs(mine(diagnoses.where("stage = 'ES-SCLC'")), episodes).agg(F.count(F.lit(1)).alias("_es"), F.count_if("has_io").alias("_io")),
         distinct(trials, "_enrolled"),
     )
     return rows.select(
