@@ -608,11 +608,12 @@ def union_by_name_sources(t: Frames) -> DataFrame:
 @query(
     """SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d::DATE AS full_date, CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week, CAST(weekofyear(d) AS INTEGER) AS week_of_year,
        CAST(quarter(d) AS INTEGER) AS quarter, dayofweek(d) IN (0, 6) AS is_weekend, d::DATE = last_day(d::DATE) AS is_month_end, monthname(d) AS month_name, dayname(d) AS day_name
-       FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) s(d)""",
+       FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders) s""",
     prelude=False,
 )
 def dim_date(t: Frames) -> DataFrame:
-    return silver.dim_date(t.spark, "1995-01-01", "2001-12-31").select("date_key", "full_date", "day_of_week", "week_of_year", "quarter", "is_weekend", "is_month_end", "month_name", "day_name")
+    bounds = t.table("orders").agg(F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"))
+    return silver.dim_date(bounds).select("date_key", "full_date", "day_of_week", "week_of_year", "quarter", "is_weekend", "is_month_end", "month_name", "day_name")
 
 
 _SHARE = "CASE WHEN {1} > 0 THEN round(CAST({0} AS DOUBLE) / {1} * 100, 1) ELSE CAST(0 AS DOUBLE) END"

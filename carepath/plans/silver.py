@@ -16,6 +16,42 @@ from ..operators.quality import flag_patients
 from ..operators.relational import asof_join, code_table, ensure_columns, gap_dedup, latest_per_key, nearest_join, pick, scd2_diff, sessionize
 
 GAP_DAYS, PROGRESSION_DAYS, TRIAL_DAYS = 28, 30, 30
+
+# fixed values: the names that a field of a raw record may have, the first that is filled counts
+FIELDS = {
+    "subject": ("subject_id", "patient_id", "subscriber_id"),
+    "code": ("code", "procedure_code"),
+    "test_code": ("code", "observation_code"),
+    "category": ("category",),
+    "observed": ("effectiveDateTime", "observation_date"),
+    "performed": ("performedDateTime", "procedure_date"),
+    "met": ("period_start", "encounter_date"),
+    "number": ("valueQuantity_value", "value_numeric"),
+    "text": ("valueString", "value", "value_text"),
+    "unit": ("valueQuantity_unit", "unit"),
+    "interpretation": ("interpretation", "result_interpretation"),
+    "trial": ("clinical_trial_id", "study_id", "protocol_number"),
+    "trial_name": ("trial_name", "study_name"),
+    "trial_phase": ("trial_phase", "study_phase"),
+    "trial_status": ("trial_status", "enrollment_status"),
+    "type": ("type", "encounter_type"),
+    "service": ("serviceType", "service_type"),
+}
+# fixed values: what tells records of interest, held against lower-cased text (codes against upper-cased)
+PATTERNS = {
+    "lung": "^C34\\.",
+    "response_category": "imaging|assessment|response|recist",
+    "response_code": "recist|response|tumor.*assessment",
+    "biomarker_category": "pd-l1|pdl1|tmb|ngs|biomarker|genomic",
+    "progression": "progression|progressive|progressed|recurrence|relapse",
+    "trial_type": "research|trial|study|investigational|protocol",
+    "trial_service": "clinical.?trial|research",
+    "trial_category": "research|trial|investigational",
+    "trial_code": "0074T|0075T|99199",
+}
+# fixed values: the kind of a biomarker test without a known code, by its category; the first that fits counts
+TEST_KINDS = {"pd-?l1": "PD-L1", "tmb": "TMB", "ngs|genomic": "NGS"}
+
 TRACKED = ["gender", "race_ethnicity", "state", "zip5", "urban_rural", "insurance_type"]
 
 
@@ -23,8 +59,22 @@ def _date(df: DataFrame, *names: str) -> Column:
     return F.try_to_date(F.substring(pick(df, *names), 1, 10))
 
 
+def _field(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return pick(df, *FIELDS[name], kind=kind)
+
+
+def _says(text: Column, pattern: str) -> Column:
+    """Whether text fits a pattern; null does not."""
+    return F.coalesce(text.rlike(PATTERNS[pattern]), F.lit(False))
+
+
+def _of_ehr(df: DataFrame, **columns: Column) -> DataFrame:
+    """Raw records of the EHR with their subject and the given columns."""
+    return df.select(F.lit("EHR").alias("source_system"), _ids(df).alias("source_patient_id"), *[c.alias(n) for n, c in columns.items()])
+
+
 def _ids(df: DataFrame) -> Column:
-    return pick(df, "subject_id", "patient_id", "subscriber_id")
+    return _field(df, "subject")
 
 
 def _linked(df: DataFrame, xref: DataFrame) -> DataFrame:
@@ -113,9 +163,9 @@ def dim_facility(facilities: DataFrame) -> DataFrame:
     return newest.select("facility_id", "facility_name", "facility_type", exprs.state_code(F.col("state")).alias("state"), "city")
 
 
-def dim_date(spark: SparkSession, start: str, end: str, fiscal_start_month: int = 1) -> DataFrame:
-    """One row per day; weeks start on Sunday (day_of_week 1)."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("d"))
+def dim_date(bounds: DataFrame, fiscal_start_month: int = 1) -> DataFrame:
+    """One row per day from `first_day` to `last_day` of a frame of one row; weeks start on Sunday (day_of_week 1)."""
+    days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("d"))
     shifted = F.add_months("d", (13 - fiscal_start_month) % 12)
     return days.select(
         exprs.date_key(F.col("d")).alias("date_key"),
@@ -140,7 +190,7 @@ def dim_date(spark: SparkSession, start: str, end: str, fiscal_start_month: int
 
 def fact_diagnosis(conditions: DataFrame, claims: DataFrame, xref: DataFrame) -> DataFrame:
     """Lung-cancer diagnoses of small-cell or unknown morphology, one per patient and day, EHR first."""
-    lung = "^C34\\."
+    lung = PATTERNS["lung"]
     code = pick(conditions, "code", "icd10_code")
     ehr = conditions.select(
         F.lit("EHR").alias("source_system"),
@@ -225,13 +275,8 @@ def best_response(df: DataFrame, by: Sequence[str], order: Sequence[Column]) ->
 
 def fact_response_assessment(observations: DataFrame, episode: DataFrame, xref: DataFrame) -> DataFrame:
     """Assessments with the latest episode that began on or before their day; one per patient and day."""
-    category, code = F.lower(pick(observations, "category")), F.lower(pick(observations, "code", "observation_code"))
-    hit = F.coalesce(category.rlike("imaging|assessment|response|recist"), F.lit(False)) | F.coalesce(code.rlike("recist|response|tumor.*assessment"), F.lit(False))
-    rows = observations.where(hit).select(
-        F.lit("EHR").alias("source_system"), _ids(observations).alias("source_patient_id"),
-        _date(observations, "effectiveDateTime", "observation_date").alias("assessment_date"),
-        exprs.response(pick(observations, "valueString", "value", "value_text")).alias("response_type"),
-    )
+    hit = _says(F.lower(_field(observations, "category")), "response_category") | _says(F.lower(_field(observations, "test_code")), "response_code")
+    rows = _of_ehr(observations.where(hit), assessment_date=_date(observations, *FIELDS["observed"]), response_type=exprs.response(_field(observations, "text")))
     rows = _linked(rows.where("assessment_date is not null"), xref)
     rows = latest_per_key(rows, ["patient_id", "assessment_date"], [exprs.response_rank(F.col("response_type")), F.col("source_patient_id")])
     linked = asof_join(rows, episode.select("patient_id", "episode_id", "treatment_start_date"), ["patient_id"], "assessment_date", "treatment_start_date", ["episode_id"])
@@ -240,32 +285,24 @@ def fact_response_assessment(observations: DataFrame, episode: DataFrame, xref:
 
 
 def fact_biomarker_test(spark: SparkSession, observations: DataFrame, xref: DataFrame) -> DataFrame:
-    table = code_table(spark, [(c, k) for k, cs in codes.BIOMARKERS.items() for c in cs], "test_code string, mapped string")
-    category = F.lower(pick(observations, "category"))
-    rows = observations.select(
-        F.lit("EHR").alias("source_system"),
-        _ids(observations).alias("source_patient_id"),
-        pick(observations, "code", "observation_code").alias("test_code"),
-        category.alias("category"),
-        _date(observations, "effectiveDateTime", "observation_date").alias("test_date"),
-        pick(observations, "valueQuantity_value", "value_numeric", kind="double").alias("result_numeric"),
-        pick(observations, "valueString", "value", "value_text").alias("result_text"),
-        pick(observations, "valueQuantity_unit", "unit").alias("result_unit"),
-        pick(observations, "interpretation", "result_interpretation").alias("interpretation"),
-    ).join(table, "test_code", "left")
-    rows = rows.where(F.col("mapped").isNotNull() | F.col("category").rlike("pd-l1|pdl1|tmb|ngs|biomarker|genomic"))
-    by_name = F.when(F.col("category").rlike("pd-?l1"), "PD-L1").when(F.col("category").contains("tmb"), "TMB").when(F.col("category").rlike("ngs|genomic"), "NGS").otherwise("Other")
-    rows = rows.withColumn("biomarker_type", F.coalesce("mapped", by_name))
-    note = F.concat_ws(" ", "interpretation", "result_text")
-    rows = _linked(rows, xref).withColumns(
-        {
-            "result_positive": exprs.biomarker_positive(F.col("biomarker_type"), F.col("result_numeric"), note),
-            "pdl1_tps_score": F.when(F.col("biomarker_type") == "PD-L1", F.col("result_numeric")),
-            "tmb_score": F.when(F.col("biomarker_type") == "TMB", F.col("result_numeric")),
-        }
-    )
-    ident = exprs.key(*[F.col(c) for c in ("patient_id", "test_code", "test_date", "result_numeric", "result_text")])
-    return rows.withColumn("test_id", ident).dropDuplicates(["test_id"]).drop("source_system", "source_patient_id", "mapped", "category")
+    """Tests with a known code or a telling category, equal ones once."""
+    kinds = code_table(spark, [(c, k) for k, cs in codes.BIOMARKERS.items() for c in cs], "test_code string, known string")
+    category = F.lower(_field(observations, "category"))
+    named = F.coalesce(*[F.when(category.rlike(p), F.lit(k)) for p, k in TEST_KINDS.items()], F.lit("Other"))
+    taken = {"test_code": "test_code", "result_text": "text", "result_unit": "unit", "interpretation": "interpretation"}
+    told = _of_ehr(
+        observations, **{out: _field(observations, field) for out, field in taken.items()}, test_date=_date(observations, *FIELDS["observed"]),
+        result_numeric=_field(observations, "number", "double"), named=named, telling=_says(category, "biomarker_category"),
+    )
+    rows = _linked(told.join(kinds, "test_code", "left").where(F.col("known").isNotNull() | F.col("telling")), xref)
+    kind, number = F.coalesce("known", "named"), F.col("result_numeric")
+    rows = rows.withColumn("biomarker_type", kind).select(
+        "test_code", "test_date", "result_numeric", "result_text", "result_unit", "interpretation", "patient_id", "biomarker_type",
+        exprs.biomarker_positive(F.col("biomarker_type"), number, F.concat_ws(" ", "interpretation", "result_text")).alias("result_positive"),
+        F.when(F.col("biomarker_type") == "PD-L1", number).alias("pdl1_tps_score"), F.when(F.col("biomarker_type") == "TMB", number).alias("tmb_score"),
+        exprs.key(*[F.col(c) for c in ("patient_id", "test_code", "test_date", "result_numeric", "result_text")]).alias("test_id"),
+    )
+    return rows.dropDuplicates(["test_id"])
 
 
 def fact_progression_event(responses: DataFrame, notes: DataFrame, diagnoses: DataFrame, episode: DataFrame, xref: DataFrame) -> DataFrame:
@@ -273,9 +310,7 @@ def fact_progression_event(responses: DataFrame, notes: DataFrame, diagnoses: Da
     since the first diagnosis and since the latest treatment start."""
     seen = responses.where("response_type = 'PD'").select("patient_id", F.col("assessment_date").alias("progression_date"), F.lit("assessment").alias("evidence"))
     text = F.lower(F.concat_ws(" ", pick(notes, "valueString"), pick(notes, "value"), pick(notes, "value_text"), pick(notes, "code"), pick(notes, "category")))
-    said = notes.where(text.rlike("progression|progressive|progressed|recurrence|relapse")).select(
-        F.lit("EHR").alias("source_system"), _ids(notes).alias("source_patient_id"), _date(notes, "effectiveDateTime", "observation_date").alias("progression_date"), F.lit("note").alias("evidence")
-    )
+    said = _of_ehr(notes.where(_says(text, "progression")), progression_date=_date(notes, *FIELDS["observed"]), evidence=F.lit("note"))
     rows = seen.unionByName(_linked(said, xref).select("patient_id", "progression_date", "evidence")).where("progression_date is not null")
     return progressions(rows, diagnoses, episode).withColumn("progression_id", exprs.key(F.lit("pe"), F.col("patient_id"), F.col("progression_date")))
 
@@ -298,26 +333,17 @@ def progressions(rows: DataFrame, diagnoses: DataFrame, episode: DataFrame) -> D
 def fact_trial_enrollment(encounters: DataFrame, procedures: DataFrame, episode: DataFrame, xref: DataFrame, legacy_codes: bool = False) -> DataFrame:
     """Enrollments, one per patient and trial (rows without a trial id are one trial), each with the episode that
     begins nearest, within 30 days."""
-    trial = pick(encounters, "clinical_trial_id", "study_id", "protocol_number")
-    kind, service = F.lower(pick(encounters, "type", "encounter_type")), F.lower(pick(encounters, "serviceType", "service_type"))
-    hit = F.coalesce(kind.rlike("research|trial|study|investigational|protocol"), F.lit(False)) | F.coalesce(service.rlike("clinical.?trial|research"), F.lit(False)) | trial.isNotNull()
-    met = encounters.where(hit).select(
-        F.lit("EHR").alias("source_system"),
-        _ids(encounters).alias("source_patient_id"),
-        trial.alias("trial_identifier"),
-        pick(encounters, "trial_name", "study_name").alias("trial_name"),
-        pick(encounters, "trial_phase", "study_phase").alias("trial_phase"),
-        F.coalesce(F.lower(pick(encounters, "trial_status", "enrollment_status")), F.lit("enrolled")).alias("trial_status"),
-        _date(encounters, "period_start", "encounter_date").alias("enrollment_date"),
-    )
-    code = pick(procedures, "code", "procedure_code")
+    trial, code = _field(encounters, "trial"), _field(procedures, "code")
+    visits = _says(F.lower(_field(encounters, "type")), "trial_type") | _says(F.lower(_field(encounters, "service")), "trial_service") | trial.isNotNull()
     # the legacy rule held the codes against the lower-cased code, so of these only the numeric one could match
-    done = F.coalesce((F.lower(code) if legacy_codes else F.upper(code)).rlike("0074T|0075T|99199"), F.lit(False)) | F.coalesce(F.lower(pick(procedures, "category")).rlike("research|trial|investigational"), F.lit(False))
-    null = F.lit(None).cast("string")
-    other = procedures.where(done).select(
-        F.lit("EHR").alias("source_system"), _ids(procedures).alias("source_patient_id"), null.alias("trial_identifier"), null.alias("trial_name"), null.alias("trial_phase"),
-        F.lit("enrolled").alias("trial_status"), _date(procedures, "performedDateTime", "procedure_date").alias("enrollment_date"),
+    done = _says(F.lower(code) if legacy_codes else F.upper(code), "trial_code") | _says(F.lower(_field(procedures, "category")), "trial_category")
+    enrolled = F.lit("enrolled")
+    met = _of_ehr(
+        encounters.where(visits), trial_identifier=trial, trial_name=_field(encounters, "trial_name"), trial_phase=_field(encounters, "trial_phase"),
+        trial_status=F.coalesce(F.lower(_field(encounters, "trial_status")), enrolled), enrollment_date=_date(encounters, *FIELDS["met"]),
     )
+    unnamed = dict.fromkeys(("trial_identifier", "trial_name", "trial_phase"), F.lit(None).cast("string"))
+    other = _of_ehr(procedures.where(done), **unnamed, trial_status=enrolled, enrollment_date=_date(procedures, *FIELDS["performed"]))
     rows = _linked(met.unionByName(other).where("enrollment_date is not null"), xref)
     rows = latest_per_key(rows, ["patient_id", "trial_identifier"], [F.col("enrollment_date"), F.col("trial_status"), F.col("source_patient_id")])
     rows = rows.withColumn("enrollment_id", exprs.key(F.lit("te"), F.col("patient_id"), F.col("trial_identifier")))

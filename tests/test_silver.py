@@ -96,7 +96,7 @@ def test_biomarkers(spark, xref):
 
 
 def test_dims(spark):
-    days = silver.dim_date(spark, "2024-02-28", "2024-03-02", fiscal_start_month=10).collect()
+    days = silver.dim_date(spark.sql("SELECT date'2024-02-28' AS first_day, date'2024-03-02' AS last_day"), fiscal_start_month=10).collect()
     assert [d.date_key for d in days] == [20240228, 20240229, 20240301, 20240302]
     assert [(d.is_month_end, d.is_weekend, d.fiscal_quarter) for d in days] == [(False, False, 2), (True, False, 2), (False, False, 2), (False, True, 2)]
     f = spark.createDataFrame([("f", "texas"), ("f", "texas")], "facility_id string, state string")
