@@ -315,7 +315,9 @@ def edit_near(docs: DataFrame, similarity: float = 0.8, bands: int = 64, bits: i
 
     Each band samples `bits` places of the walks that start at each character, and takes the least of their
     hashes (see near_keys); documents that agree in a band are verified by their edit distance. Rows without an
-    id are left out; null and empty texts are linked to nothing.
+    id are left out; null and empty texts are linked to nothing. Equal texts are copies and verified once, rows that repeat are
+    repeated, an empty table gives an empty table, texts are read whole, and columns of `docs` other than the two are not
+    read, whatever their names.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text").where("id is not null")
 

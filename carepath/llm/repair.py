@@ -314,7 +314,11 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Read shard files back, one row per document: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+    ids_crc32 (of its ids as little-endian unsigned 32-bit integers).
+
+    Documents come as they were written: a null id is null, a repeated id or row has a row each, an empty text its end
+    id alone, a text of any length all its ids. No files give an empty table; of `shards` only shard, n_ids and file are read.
+    """
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:

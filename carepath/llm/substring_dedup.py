@@ -233,15 +233,17 @@ def paragraph_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall:
 
 
 def context_keys(words: np.ndarray, place: np.ndarray, room: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
-    """A row per passage, given by its first word and hash: 64-bit keys of the passage with the 1, 2, ... `reach`
+    """A row per passage, given by its first word and hash: 128-bit keys (two numbers) of the passage with the 1, 2, ... `reach`
     words before it (side 0) or after it (side 1), and which of these its text has; `room` is how many words of
     the text there are on that side."""
-    key = mix(h1.view(np.uint64) ^ mix(h2.view(np.uint64) + np.uint64(side)))
+    one, two = h1.view(np.uint64), h2.view(np.uint64)
+    key = np.stack([mix(one ^ mix(two + np.uint64(side))), mix(two ^ mix(one + np.uint64(side + 2)))], 1)
     start, step = (place + PASSAGE, 1) if side else (place - 1, -1)
-    keys = np.zeros((len(place), reach), np.uint64)
+    keys = np.zeros((len(place), reach, 2), np.uint64)
     for k in range(reach):
         at = np.clip(start + step * k, 0, max(0, len(words) - 1))
-        key = mix((key ^ (words[at] if len(words) else np.uint64(0))) * MULT + np.uint64(k))
+        word = words[at] if len(words) else np.zeros(len(place), np.uint64)
+        key = mix((key ^ np.stack([word, mix(word + MULT)], 1)) * MULT + np.uint64(k))
         keys[:, k] = key
     return keys.view(np.int64), np.arange(reach) < room[:, None]
 
@@ -293,7 +295,7 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
             word, row, h1, h2 = listed.flatten().to_numpy().astype(np.int64), row[of], h1[of], h2[of]
             own = flat_structs(batch.column(3), "place", "side", "h1", "h2")
             out: list[list] = [[], [], [], []]
-            keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+            keys: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
             for a, b in pieces(all_texts, CHARS):
                 words, sizes = word_hashes(all_texts[a:b])
                 begin = np.cumsum(sizes) - sizes
@@ -303,7 +305,7 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
                     return context_keys(words, begin[row - a] + at, room, h1, h2, side)
 
                 lo, hi = np.searchsorted(row, (a, b)).tolist()
-                found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+                found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]]
                 for c in range(lo, hi, PLACES):
                     block = slice(c, min(hi, c + PLACES))
                     rows, values = [], []
@@ -312,10 +314,10 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
                         rows.append(np.repeat(row[block], has.sum(1)))
                         values.append(k[has])
                     rows, values = np.concatenate(rows), np.concatenate(values)
-                    order = np.lexsort((values, rows))
+                    order = np.lexsort((values[:, 1], values[:, 0], rows))
                     rows, values = rows[order], values[order]
                     fresh = np.ones(len(rows), bool)
-                    fresh[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+                    fresh[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1]).any(1)
                     found[0].append(rows[fresh])
                     found[1].append(values[fresh])
                 rows, values = (np.concatenate(x) for x in found)  # rows ascend from block to block
@@ -335,12 +337,14 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
                     out[2] += [side] * len(which)
                     out[3] += has.sum(1).tolist()
                     keys.append(k[has])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out[3]]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            flat = np.concatenate(keys)
+            each = pa.Array.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat.astype("<i8").tobytes())]).cast(pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out[3]]), pa.int32()), each)
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), lists], names=["id", "place", "side", "keys"])
 
         return f
 
-    return map_batches(texts.select("id", "text", "listed", "ends"), make, "id long, place long, side long, keys array<long>")
+    return map_batches(texts.select("id", "text", "listed", "ends"), make, "id long, place long, side long, keys array<binary>")
 
 
 def _range(a, b):
@@ -455,7 +459,8 @@ def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "
 
     Of each cluster of near-duplicate paragraphs, and of each repeated passage, the occurrence in the
     document with the smallest id stays; paragraphs of fewer than `cut_words` words (LEAST_WORDS cuts all) stay
-    unless a repeated passage covers them. Documents without a shared passage are not listed, nor are rows
+    unless a repeated passage covers them. Words are equal by 64-bit hashes, passages and what goes on around them by
+    128-bit keys. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
     An empty table gives an empty table. Texts are read whole, and columns of `docs` other than the two are not
     read, whatever their names.
@@ -480,7 +485,8 @@ def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "
 def substring_dedup(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the passages that stay elsewhere; where there is an
     n_chars column it is set to the new text's length. A document that loses all its text goes; rows without an id,
-    null and empty texts stay as they are. Other columns keep their values, whatever their names."""
+    null and empty texts stay as they are. Rows that share an id are one document, and each is cut by its own text; rows that
+    repeat stay repeated; an empty table gives an empty table. Other columns keep their values, whatever their names."""
     gone = written(removals(_rows(docs, id_col, text_col), cut_words), "removals")
     names = docs.columns
     own = [f"{c}_{'_'.join(names)}" for c in ("lines", "words")]  # names that no column of docs has
