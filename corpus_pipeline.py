@@ -11,30 +11,36 @@ from carepath.llm import common, exact_dedup, ngram_join, packing, quality, subs
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score below 0.3) go."""
+    """Documents that the quality classifier rejects (score below 0.3) go. Null and empty texts have a score like any
+    other, rows that repeat have the same one, rows without an id are scored too, and long texts are read whole."""
     return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space one stays."""
+    """Of texts that are equal but for white space one stays: the longest, then the one with the smallest id. Null, empty and
+    blank texts are equal; rows without an id, and those that repeat a row that stays, stay."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a 5-gram Jaccard similarity of 0.8 or more one stays."""
+    """Of each group of documents linked by a 5-gram Jaccard similarity of 0.8 or more one stays, that with the smallest
+    id. Texts without words are linked to nothing, and rows without an id stay."""
     return ngram_join.ngram_dedup(docs, similarity=0.8, n=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that documents share stay in one of them."""
+    """Passages that documents share stay in the one with the smallest id; a document that loses all its text goes. Null and
+    empty texts, and rows without an id, stay as they are; rows that share an id are one document."""
     return substring_dedup.substring_dedup(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row per piece of a document."""
+    """Sequences of at most 1024 tokens: one row per piece of a document. Null and empty texts are one token, the end
+    id; rows that repeat are packed one by one, and long texts cut freely."""
     return packing.pack_documents(docs, tokens=1024, segments=128, end_id=0).drop("n_loss")
 
 
+# Every stage gives an empty table for an empty one, and keeps columns of other names as they are, whatever these names.
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
