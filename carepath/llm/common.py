@@ -70,13 +70,13 @@ def tidy() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of rows that is made once per task; it gets slices of the batches."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = ROWS) -> DataFrame:
+    """mapInArrow with a function of rows that is made once per task; it gets slices of the batches, of so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            yield from map(f, slices(batch))
+            yield from map(f, slices(batch, rows))
         tidy()
 
     return df.mapInArrow(run, schema)

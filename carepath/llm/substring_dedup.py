@@ -344,7 +344,7 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
 
         return f
 
-    return map_batches(texts.select("id", "text", "listed", "ends"), make, "id long, place long, side long, keys array<binary>")
+    return map_batches(texts.select("id", "text", "listed", "ends"), make, "id long, place long, side long, keys array<binary>", rows=128)  # a text has many keys
 
 
 def _range(a, b):
