@@ -12,11 +12,11 @@ import xxhash
 
 SHINGLE = 5
 MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Base of the words' polynomial hash, and its inverse modulo 2^64.
-BASE = 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Characters that are hashed at a time; a longer word is hashed alone.
-SPAN = 1 << 15
+#: Bases of the words' two polynomial hashes.
+BASES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Characters that are hashed at a time, and of the longest word that a polynomial hashes: there are long words that
+#: differ and are equal under every polynomial modulo 2^64.
+SPAN, LONGEST = 1 << 15, 1 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,16 +26,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each code point: 2 white space, 1 letter or digit, 0 other; and 64 mixed bits of its lower case. Powers
-    of the base, and of its inverse."""
+def _tables() -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """Of each code point: 2 white space, 1 letter or digit, 0 other; and 64 mixed bits of its lower case. Of each base,
+    its powers, and those of its inverse."""
     every = [chr(k) for k in range(sys.maxunicode + 1)]
     kind = np.fromiter((2 if c.isspace() else c.isalnum() for c in every), np.uint8, len(every))
     # one character for one: a final sigma is a sigma, and the dotted capital I is a letter of its own
     lower = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every), np.uint64, len(every))
     lower[ord("\u03c2")] = ord("\u03c3")
-    powers = [np.cumprod(np.r_[np.uint64(1), np.full(SPAN, x, np.uint64)]) for x in (BASE, INVERSE)]
-    return kind, mix((lower + np.uint64(1)) * MULT), *powers
+    powers = [[np.cumprod(np.r_[np.uint64(1), np.full(SPAN, x, np.uint64)]) for x in (b, pow(b, -1, 1 << 64))] for b in BASES]
+    return kind, mix((lower + np.uint64(1)) * MULT), powers
 
 
 @dataclass
@@ -51,6 +51,8 @@ class Words:
     hash: np.ndarray
     first_line: np.ndarray  # of each text
     lines: int
+    #: A second hash, independent of the first, of the same characters; empty if not asked for.
+    other: np.ndarray
 
 
 def _bounds(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +62,9 @@ def _bounds(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def read_words(texts: list[str]) -> Words:
-    kinds, bits, power, inverse = _tables()
+def read_words(texts: list[str], both: bool = False) -> Words:
+    """The words of all texts, with one 64-bit hash each, or both."""
+    kinds, bits, powers = _tables()
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds[points]
     start, end = _bounds(kind)
@@ -70,7 +73,7 @@ def read_words(texts: list[str]) -> Words:
     text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.r_[at, len(points) + 1])))
     breaks = np.flatnonzero(points == 10)
     line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, np.searchsorted(start, breaks), len(start)]))
-    words = Words(text, line, start - at[text], end - at[text], np.zeros(len(start), np.uint64), np.searchsorted(breaks, at), len(breaks) + 1)
+    words = Words(text, line, start - at[text], end - at[text], np.zeros(len(start), np.uint64), np.searchsorted(breaks, at), len(breaks) + 1, np.zeros(len(start) if both else 0, np.uint64))
     # without the marks at the ends
     a, b = start.copy(), end.copy()
     odd = (kind[a] != 1) | (kind[b - 1] != 1)
@@ -83,22 +86,26 @@ def read_words(texts: list[str]) -> Words:
         b[k[~some]] = a[k[~some]]
     full = np.flatnonzero(b > a)
     a, b = a[full], b[full]
-    sums = np.zeros(len(full), np.uint64)
+    hashes = [words.hash, words.other][: 1 + both]
+    sums = np.zeros((len(hashes), len(full)), np.uint64)
     k = 0
     while k < len(full):
         m = max(k + 1, int(np.searchsorted(b, a[k] + SPAN, "right")))
         base = int(a[k])
         size = int(b[m - 1]) - base
-        mixed = bits[points[base : base + size]]
-        if size > SPAN:  # one long word
-            sums[k] = xxhash.xxh3_64_intdigest(mixed.tobytes())
-        else:
-            total = np.zeros(size + 1, np.uint64)
-            mixed *= power[:size]
-            np.cumsum(mixed, out=total[1:])
-            sums[k:m] = (total[b[k:m] - base] - total[a[k:m] - base]) * inverse[a[k:m] - base]
+        if size <= SPAN:
+            mixed = bits[points[base : base + size]]
+            for row, (power, inverse) in zip(sums, powers):
+                total = np.zeros(size + 1, np.uint64)
+                np.cumsum(mixed * power[:size], out=total[1:])
+                row[k:m] = (total[b[k:m] - base] - total[a[k:m] - base]) * inverse[a[k:m] - base]
+                mixed = (mixed >> np.uint64(32)) | (mixed << np.uint64(32))
         k = m
-    words.hash[full] = mix(sums + (b - a).astype(np.uint64) * MULT) | np.uint64(1)
+    for k in np.flatnonzero(b - a > LONGEST).tolist():
+        mixed = bits[points[a[k] : b[k]]].tobytes()
+        sums[:, k] = [xxhash.xxh3_64_intdigest(mixed, seed) for seed in range(len(hashes))]
+    for column, row in zip(hashes, sums):
+        column[full] = mix(row + (b - a).astype(np.uint64) * MULT) | np.uint64(1)
     return words
 
 
@@ -109,6 +116,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words.hash[some], np.bincount(words.text[some], minlength=len(texts))
 
 
+def both_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, with two rows of hashes: 128 bits of each word."""
+    words = read_words(texts, both=True)
+    some = words.hash != 0
+    return np.stack([words.hash[some], words.other[some]]), np.bincount(words.text[some], minlength=len(texts))
+
+
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word n-grams of all texts, one after another, and each text's number of them. A text of
     1 to n - 1 words has one shingle, of all its words; a text without words has none."""

@@ -4,10 +4,14 @@ Two kinds of paragraphs are looked at:
 - lines of at least LEAST_WORDS words, and blocks of lines between blank ones, by MinHash banding: colliding
   paragraphs are verified by exact Jaccard similarity of their word 5-grams and clustered by components; the
   first one of a cluster stays, and so do those of fewer than CUT_WORDS words;
-- passages inside lines or across them. Every word 5-gram whose hash is the least among WINNOW in a row
-  starts a passage of PASSAGE words; passages with the same words (128-bit hash) are copies. Chains of copies
-  that overlap go on at both ends as far as some document with a smaller id has the same words. A run of WINNOW + PASSAGE - 1 or more words that two
-  documents share, wherever it starts, holds such a passage, and goes whole.
+- passages inside lines or across them. Every word 5-gram whose hash is the least among `window` in a row
+  starts a passage of `passage` words; passages with the same words are copies. Chains of copies
+  that overlap go on at both ends as far as some document with a smaller id has the same words. A run of window + passage - 1 or more words that two
+  documents share, wherever it starts, holds such a passage, and goes whole. With a window of 1 every word starts a passage,
+  so every shared run of `passage` words or more goes, at some eight times the passages of the default.
+
+Nothing is told by 64 bits alone: a word is two independent hashes of its characters, passages, their contexts and equal paragraphs are keys
+of 128 bits that take one half from each, and paragraphs that meet in a band of the first hash are compared by the second.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, join_ids, map_batches, pieces, texts_of, written
 from .near import jaccard_verifier, near_links
-from .shingles import MULT, SHINGLE, Words, choose_bands, grams, mix, range_keys, read_words, word_hashes
+from .shingles import MULT, SHINGLE, Words, both_hashes, choose_bands, grams, mix, range_keys, read_words
 
 #: Words (as white space separates them) of a line that is a paragraph, and of a block of shorter lines.
 LEAST_WORDS, BLOCK_WORDS = SHINGLE, 36
@@ -35,16 +39,16 @@ CHARS, PLACES = 1 << 18, 1 << 13
 
 
 def anchors(words: np.ndarray, sizes: np.ndarray, n: int = SHINGLE, window: int = WINNOW, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passages of all texts, given by their words' hashes and numbers: which text, first word, and a 128-bit hash
+    """Passages of all texts, given by their words' two hashes (rows) and numbers: which text, first word, and a 128-bit hash
     of the words as two 64-bit numbers.
 
     A passage starts where an n-gram's hash is the least of some `window` n-grams in a row (the last of
     equals) and ends within its text.
     """
-    total = len(words)
+    total = words.shape[1]
     if total < max(window, passage):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = grams(words, n)
+    h = grams(words[0], n)
     text = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     end = np.repeat(ends, sizes)
@@ -63,17 +67,17 @@ def anchors(words: np.ndarray, sizes: np.ndarray, n: int = SHINGLE, window: int
     start = np.unique(place[inside]) if inside.any() else np.zeros(0, np.int64)
     start = start[start + passage <= end[start]] if len(start) else start
     hashes = []
-    for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
+    for base, half in zip((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), words):
         key = np.zeros(len(start), np.uint64)
         for k in range(passage):
-            key = (key ^ words[start + k]) * base
+            key = (key ^ half[start + k]) * base
             key ^= key >> np.uint64(29)
         hashes.append(mix(key))
     begin = ends - sizes
     return text[start], start - begin[text[start]] if len(start) else start, hashes[0], hashes[1]
 
 
-def passages(rows: DataFrame) -> DataFrame:
+def passages(rows: DataFrame, window: int = WINNOW, passage: int = PASSAGE) -> DataFrame:
     """(id, text) to (id, h1, h2, words array<int>): each passage of a document once, with its places (see
     anchors). A text that repeats itself has few passages however long it is."""
 
@@ -83,7 +87,7 @@ def passages(rows: DataFrame) -> DataFrame:
             texts = texts_of(batch.column(1))
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for a, b in pieces(texts, CHARS):
-                which, word, h1, h2 = anchors(*word_hashes(texts[a:b]))
+                which, word, h1, h2 = anchors(*both_hashes(texts[a:b]), window=window, passage=passage)
                 order = np.lexsort((word, h2, h1, which))
                 which, word, h1, h2 = which[order], word[order], h1[order], h2[order]
                 fresh = np.ones(len(which), bool)
@@ -127,26 +131,26 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.r_[line, first], np.r_[line, last], np.r_[size[line], total]
 
 
-def paragraph_grams(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """5-gram hashes, and of each paragraph (first and last line) the range of them that are its own. One of fewer
-    words has one 5-gram, of all its words; one without words has none."""
-    known = words.hash[words.hash != 0]
+def paragraph_grams(words: Words, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """5-gram hashes, from either hash of the words, and of each paragraph (first and last line) the range of them that are its own. One
+    of fewer words has one 5-gram, of all its words; one without words has none."""
+    known = hashes[words.hash != 0]
     place = line_places(words)
     start, end = place[first], place[last + 1]
     short = np.flatnonzero((end - start < SHINGLE) & (end > start))
     padded = np.zeros((len(short), SHINGLE), np.uint64)
     for row, k in zip(padded, short.tolist()):
         row[: end[k] - start[k]] = known[start[k] : end[k]]
-    hashes = np.r_[grams(known), grams(padded.ravel())[::SHINGLE]]
+    found = np.r_[grams(known), grams(padded.ravel())[::SHINGLE]]
     stop = np.maximum(start, end - SHINGLE + 1)
     start[short] = len(known) + np.arange(len(short))
     stop[short] = start[short] + 1
-    return hashes, start, stop
+    return found, start, stop
 
 
 def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(id, text) to (doc, line, upto, words, same, bands) of the paragraphs that have words. `same` holds two sums of the
-    5-grams' hashes. A paragraph that only equal sets of 5-grams can be similar to has the first band alone."""
+    """(id, text) to (doc, line, upto, words, same, bands) of the paragraphs that have words. `same` holds two sums, of the
+    5-grams of either hash. A paragraph that only equal sets of 5-grams can be similar to has the first band alone."""
     bands, band_rows = choose_bands(similarity, recall, HASHES)
 
     def make():
@@ -155,15 +159,16 @@ def paragraph_signatures(rows: DataFrame, similarity: float, recall: float) -> D
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
             same = [b""]
             for a, b in pieces(texts, CHARS):
-                words = read_words(texts[a:b])
+                words = read_words(texts[a:b], both=True)
                 first, last, count = paragraphs(words)
-                hashes, start, stop = paragraph_grams(words, first, last)
+                hashes, start, stop = paragraph_grams(words, words.hash, first, last)
+                others = paragraph_grams(words, words.other, first, last)[0]
                 some = stop > start
                 first, last, count, start, stop = first[some], last[some], count[some], start[some], stop[some]
                 if not len(first):
                     continue
-                bounds, padded = np.stack([start, stop], 1).ravel(), np.r_[hashes, np.uint64(0)]
-                sums = [np.add.reduceat(x, bounds)[::2] for x in (padded, mix(padded * MULT))]
+                bounds = np.stack([start, stop], 1).ravel()
+                sums = [np.add.reduceat(np.r_[x, np.uint64(0)], bounds)[::2] for x in (hashes, others)]
                 same.append(np.stack(sums, 1).astype("<u8").tobytes())
                 size = stop - start
                 width = np.where(size >= similarity * (size + 1), bands, 1)
@@ -192,7 +197,7 @@ def flat_structs(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def paragraph_sets(rows: DataFrame) -> DataFrame:
-    """(text, places array<struct<id, line, upto>>) to (id, payload): each place's sorted set of 5-grams."""
+    """(text, places array<struct<id, line, upto>>) to (id, payload): each place's sorted set of 5-grams, of the second hash."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,10 +206,10 @@ def paragraph_sets(rows: DataFrame) -> DataFrame:
             ids, sets = [], []
             for a, b in pieces(texts, CHARS):
                 mine = slice(*np.searchsorted(row, (a, b)))
-                words = read_words(texts[a:b])
+                words = read_words(texts[a:b], both=True)
                 base = words.first_line[row[mine] - a]
                 here = base + upto[mine] < np.r_[words.first_line[1:], words.lines][row[mine] - a]
-                hashes, start, stop = paragraph_grams(words, (base + line[mine])[here], (base + upto[mine])[here])
+                hashes, start, stop = paragraph_grams(words, words.other, (base + line[mine])[here], (base + upto[mine])[here])
                 ids += id_[mine][here].tolist()
                 sets += [np.unique(hashes[s:e]).tobytes() for s, e in zip(start.tolist(), stop.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "payload"])
@@ -232,23 +237,23 @@ def paragraph_clusters(rows: DataFrame, similarity: float = SIMILARITY, recall:
     return join_ids(found, kept, "class_id", "inner").select(F.col("doc").alias("id"), "line", "upto", "words", F.col("keep.doc").alias("keep_id"), F.col("keep.line").alias("keep_line"))
 
 
-def context_keys(words: np.ndarray, place: np.ndarray, room: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int = WINNOW - 1) -> tuple[np.ndarray, np.ndarray]:
+def context_keys(words: np.ndarray, place: np.ndarray, room: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int, reach: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
     """A row per passage, given by its first word and hash: 128-bit keys (two numbers) of the passage with the 1, 2, ... `reach`
     words before it (side 0) or after it (side 1), and which of these its text has; `room` is how many words of
     the text there are on that side."""
     one, two = h1.view(np.uint64), h2.view(np.uint64)
     key = np.stack([mix(one ^ mix(two + np.uint64(side))), mix(two ^ mix(one + np.uint64(side + 2)))], 1)
-    start, step = (place + PASSAGE, 1) if side else (place - 1, -1)
+    start, step = (place + passage, 1) if side else (place - 1, -1)
     keys = np.zeros((len(place), reach, 2), np.uint64)
     for k in range(reach):
-        at = np.clip(start + step * k, 0, max(0, len(words) - 1))
-        word = words[at] if len(words) else np.zeros(len(place), np.uint64)
-        key = mix((key ^ np.stack([word, mix(word + MULT)], 1)) * MULT + np.uint64(k))
+        at = np.clip(start + step * k, 0, max(0, words.shape[1] - 1))
+        word = words[:, at].T if words.shape[1] else np.zeros((len(place), 2), np.uint64)
+        key = mix((key ^ word) * MULT + np.uint64(k))
         keys[:, k] = key
     return keys.view(np.int64), np.arange(reach) < room[:, None]
 
 
-def chains(gone: DataFrame) -> DataFrame:
+def chains(gone: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """(id, h1, h2, words, keep_id) to a row per chain of passages of a document without a gap between them: (id,
     first, last: the first words of its first and last passage, head, tail: these passages' hashes, keep_ids)."""
 
@@ -262,7 +267,7 @@ def chains(gone: DataFrame) -> DataFrame:
             order = np.lexsort((word, row[of]))
             word, of = word[order].astype(np.int64), of[order]
             new = np.ones(len(word), bool)
-            new[1:] = (row[of[1:]] != row[of[:-1]]) | (np.diff(word) > PASSAGE)
+            new[1:] = (row[of[1:]] != row[of[:-1]]) | (np.diff(word) > passage)
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(word)] - 1 if len(first) else first
             chain = np.cumsum(new) - 1
@@ -282,7 +287,7 @@ def chains(gone: DataFrame) -> DataFrame:
     return map_batches(listed, make, "id long, first long, last long, head struct<h1: long, h2: long>, tail struct<h1: long, h2: long>, keep_ids array<long>")
 
 
-def passage_contexts(texts: DataFrame) -> DataFrame:
+def passage_contexts(texts: DataFrame, window: int = WINNOW, passage: int = PASSAGE) -> DataFrame:
     """(id, text, listed, ends) to (id, place, side, keys): of each document the keys of the contexts of all listed
     passages (place null), and of each end of its chains the keys from the nearest context to the farthest."""
 
@@ -297,12 +302,12 @@ def passage_contexts(texts: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             keys: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
             for a, b in pieces(all_texts, CHARS):
-                words, sizes = word_hashes(all_texts[a:b])
+                words, sizes = both_hashes(all_texts[a:b])
                 begin = np.cumsum(sizes) - sizes
 
                 def contexts(at: np.ndarray, row: np.ndarray, h1: np.ndarray, h2: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-                    room = sizes[row - a] - at - PASSAGE if side else at
-                    return context_keys(words, begin[row - a] + at, room, h1, h2, side)
+                    room = sizes[row - a] - at - passage if side else at
+                    return context_keys(words, begin[row - a] + at, room, h1, h2, side, window - 1, passage)
 
                 lo, hi = np.searchsorted(row, (a, b)).tolist()
                 found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]]
@@ -352,17 +357,22 @@ def _range(a, b):
     return F.shiftleft(a.cast("long"), 32) + b.cast("long")
 
 
-def passage_copies(rows: DataFrame) -> DataFrame:
+def passage_copies(rows: DataFrame, window: int = WINNOW, passage: int = PASSAGE) -> DataFrame:
     """Passages that a document with a smaller id has too: (id, range of words, keep_ids).
 
     At both ends of a chain of such passages, a range goes on as far as any place of the same passage in any
-    document with a smaller id has the same words around it.
+    document with a smaller id has the same words around it. With a window of 1 there is nothing to go on to.
     """
-    found = written(passages(rows), "passages")
+    if window < 1 or passage < SHINGLE:
+        raise ValueError(f"a window of 1 or more and passages of {SHINGLE} words or more are needed")
+    found = written(passages(rows, window, passage), "passages")
     groups = found.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("most")).where("most > keep_id").select("h1", "h2", "keep_id")
     copies = written(found.join(groups, ["h1", "h2"]), "copies")
     drop_written(found)
-    chained = written(chains(copies.where("id <> keep_id")), "chains")
+    chained = written(chains(copies.where("id <> keep_id"), passage), "chains")
+    whole = chained.select("id", _range(F.col("first"), F.col("last") + passage).alias("range"), "keep_ids")
+    if window == 1:
+        return whole
     end = lambda h, place, side: F.struct(f"{h}.h1", f"{h}.h2", F.col(place).alias("place"), F.lit(side).cast("long").alias("side"))
     ends = chained.select("id", F.explode(F.array(end("head", "first", 0), end("tail", "last", 1))).alias("e")).select("id", "e.*")
     # every document that holds the passage of an end, with all its places there, and the ends of its own
@@ -370,23 +380,23 @@ def passage_copies(rows: DataFrame) -> DataFrame:
     listed = lambda t, *c: t.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", *c)).alias("listed"))
     holders = listed(join_ids(copies, sides, ["h1", "h2"], "left_semi"), "words")
     around = written(holders.join(listed(ends, "place", "side").withColumnRenamed("listed", "ends"), "id", "left"), "holders")
-    keyed = written(passage_contexts(join_ids(rows, around.select("id"), "id", "left_semi").join(around, "id")), "context-keys")
+    keyed = written(passage_contexts(join_ids(rows, around.select("id"), "id", "left_semi").join(around, "id"), window, passage), "context-keys")
     least = keyed.where("place is null").select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
     least = written(least.select("key", "least"), "contexts")
     asked = keyed.where("place is not null").select("id", "place", "side", F.posexplode("keys").alias("k", "key"))
     # what is shared with k words is shared with fewer, so the longest counts
     far = join_ids(asked, least, "key", "inner").where("least < id").groupBy("id", "place", "side").agg(F.max(F.struct("k", "least")).alias("m"))
     left, more = F.when(F.col("side") == 0, F.col("m.k") + 1).otherwise(0), F.when(F.col("side") == 1, F.col("m.k") + 1).otherwise(0)
-    grown = far.select("id", _range(F.col("place") - left, F.col("place") + PASSAGE + more).alias("range"), F.array("m.least").alias("keep_ids"))
-    return chained.select("id", _range(F.col("first"), F.col("last") + PASSAGE).alias("range"), "keep_ids").unionByName(grown)
+    grown = far.select("id", _range(F.col("place") - left, F.col("place") + passage + more).alias("range"), F.array("m.least").alias("keep_ids"))
+    return whole.unionByName(grown)
 
 
-def removals(rows: DataFrame, cut_words: int) -> DataFrame:
+def removals(rows: DataFrame, cut_words: int, window: int = WINNOW, passage: int = PASSAGE) -> DataFrame:
     """Documents that lose text: (id, lines array<int>, words array<long>: ranges of words, keep_ids array<long>). Only
     documents that share with another document are listed; a passage repeated within one document stays."""
     cut = paragraph_clusters(rows).where((F.col("id") != F.col("keep_id")) & (F.col("words") >= cut_words))
     lines = cut.select("id", F.explode(F.sequence(F.col("line").cast("int"), F.col("upto").cast("int"))).alias("line"), F.array("keep_id").alias("keep_ids"))
-    both = lines.unionByName(passage_copies(rows), allowMissingColumns=True)
+    both = lines.unionByName(passage_copies(rows, window, passage), allowMissingColumns=True)
     return both.groupBy("id").agg(F.collect_set("line").alias("lines"), F.collect_list("range").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keep_ids")))).alias("keep_ids"))
 
 
@@ -453,20 +463,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text").where("id is not null")
 
 
-def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, window: int = WINNOW, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses text: doc_id, n_spans, removed_chars, spans (array<struct<start, end>>,
     in code points), keep_doc_ids (documents with smaller ids that hold what it loses; each part stays in the first).
 
     Of each cluster of near-duplicate paragraphs, and of each repeated passage, the occurrence in the
     document with the smallest id stays; paragraphs of fewer than `cut_words` words (LEAST_WORDS cuts all) stay
-    unless a repeated passage covers them. Words are equal by 64-bit hashes, passages and what goes on around them by
-    128-bit keys. Documents without a shared passage are not listed, nor are rows
+    unless a repeated passage covers them. A run of window + passage - 1 words or more that a document with a smaller id
+    has goes whole; one of `passage` words or more goes if a passage starts in it, which a window of 1 makes sure of. Documents without a shared passage are not listed, nor are rows
     without an id, null and empty texts. Rows that share an id are one document, cut each by its own text.
     An empty table gives an empty table. Texts are read whole, and columns of `docs` other than the two are not
     read, whatever their names.
     """
     rows = _rows(docs, id_col, text_col)
-    gone = written(removals(rows, cut_words), "removals")
+    gone = written(removals(rows, cut_words, window, passage), "removals")
     hit = join_ids(rows, gone.select("id"), "id", "left_semi").join(gone, "id")
 
     def make():
@@ -482,12 +492,12 @@ def substring_spans(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "
     return map_batches(hit.select("id", "text", "lines", "words", "keep_ids"), make, "doc_id long, n_spans long, removed_chars long, spans array<struct<start: long, end: long>>, keep_doc_ids array<long>").where("n_spans > 0")
 
 
-def substring_dedup(docs: DataFrame, cut_words: int = CUT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, cut_words: int = CUT_WORDS, window: int = WINNOW, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the passages that stay elsewhere; where there is an
     n_chars column it is set to the new text's length. A document that loses all its text goes; rows without an id,
     null and empty texts stay as they are. Rows that share an id are one document, and each is cut by its own text; rows that
-    repeat stay repeated; an empty table gives an empty table. Other columns keep their values, whatever their names."""
-    gone = written(removals(_rows(docs, id_col, text_col), cut_words), "removals")
+    repeat stay repeated; an empty table gives an empty table. Parameters are as in substring_spans. Other columns keep their values, whatever their names."""
+    gone = written(removals(_rows(docs, id_col, text_col), cut_words, window, passage), "removals")
     names = docs.columns
     own = [f"{c}_{'_'.join(names)}" for c in ("lines", "words")]  # names that no column of docs has
     ids = gone.select(F.col("id").alias(id_col))

@@ -556,3 +556,129 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
             if name == "exact_dedup" and not empty:
                 assert now.where("doc_id = 50").isEmpty()
         assert empty or sum(r.length for r in now.collect()) > 0
+
+
+def plain_words(text):
+    """(word, start, end) as the operators on words read them, for texts of ASCII."""
+    found = ((re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", m.group().lower()), *m.span()) for m in re.finditer(r"\S+", text))
+    return [x for x in found if x[0]]
+
+
+def slow_paragraphs(text):
+    lines = text.split("\n")
+    size = [len(x.split()) for x in lines]
+    out = [(k, k) for k, n in enumerate(size) if n >= 5]
+    k = 0
+    while k < len(lines):
+        m = k
+        while m < len(lines) and size[m]:
+            m += 1
+        if m - k > 1 and (max(size[k:m]) >= 5 or sum(size[k:m]) >= 36):
+            out.append((k, m - 1))
+        k = max(m, k + 1)
+    return [(a, b, sum(size[a : b + 1]), "\n".join(lines[a : b + 1])) for a, b in out]
+
+
+def slow_cuts(texts, passage, cut_words=36):
+    """The places of each text's characters that go, white space aside: every pair of paragraphs is compared, and every passage."""
+    gone = {d: set() for d in texts}
+    paras = [(d, *p) for d, t in sorted(texts.items()) for p in slow_paragraphs(t)]
+    read = [" ".join(w for w, _, _ in plain_words(p[4])) for p in paras]
+    sets = [set(brute_sets(x)) if x else set() for x in read]
+    label = list(range(len(paras)))
+    for a in range(len(paras)):
+        for b in range(a):
+            if sets[a] and sets[b] and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    first = {}
+    for k, p in enumerate(paras):
+        first[label[k]] = min(first.get(label[k], p[:2]), p[:2])
+    for k, (d, a, b, n, _) in enumerate(paras):
+        if sets[k] and n >= cut_words and first[label[k]][0] != d:
+            lines = texts[d].split("\n")
+            at = sum(len(x) + 1 for x in lines[:a])
+            gone[d] |= set(range(at, at + len("\n".join(lines[a : b + 1]))))
+    keep = {}
+    listed = {d: plain_words(t) for d, t in sorted(texts.items())}
+    for d, ws in listed.items():
+        for k in range(len(ws) - passage + 1):
+            keep.setdefault(tuple(w for w, _, _ in ws[k : k + passage]), d)
+    for d, ws in listed.items():
+        for k in range(len(ws) - passage + 1):
+            if keep[tuple(w for w, _, _ in ws[k : k + passage])] < d:
+                gone[d] |= set(range(ws[k][1], ws[k + passage - 1][2]))
+    return {d: {x for x in xs if not texts[d][x].isspace()} for d, xs in gone.items()}
+
+
+@pytest.fixture(scope="module")
+def shared_runs():
+    """Texts that share runs of 8 to 90 words, in other cases and with other marks, whole lines and lines with a word changed."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    runs = [some(n) for n in range(8, 91, 3)]
+    lines = [some(n) for n in (4, 6, 30, 40, 100, 120)]
+    dress = lambda ws: " ".join(rng.choice([w, w, w.title(), w + ",", f"({w})", w + "\n", "- " + w]) for w in ws)
+    texts = {}
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            kind = rng.random()
+            if kind < 0.35:
+                run = rng.choice(runs)
+                a = rng.randint(0, len(run) // 3)
+                parts.append(dress(some(rng.randint(0, 9)) + run[a:] + some(rng.randint(0, 9))))
+            elif kind < 0.6:
+                line = list(rng.choice(lines))
+                if rng.random() < 0.5:
+                    line[rng.randrange(len(line))] = "changed"
+                parts.append("\n" + " ".join(line) + "\n")
+            else:
+                parts.append(dress(some(rng.randint(1, 60))) + rng.choice(["\n", "\n\n", " "]))
+        texts[d * 7 - 100] = "".join(parts)
+    return texts
+
+
+@pytest.mark.parametrize(("window", "passage", "cut_words"), [(1, 36, 36), (1, 12, 5), (16, 36, 36), (4, 12, 5)])
+def test_substring_dedup_is_brute_force(spark, shared_runs, window, passage, cut_words):
+    docs = spark.createDataFrame([*shared_runs.items(), (None, "no id " * 60)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in substring_dedup.substring_spans(docs, cut_words, window, passage).collect()}
+    got = {d: {x for s in rows[d].spans for x in range(s.start, s.end) if not t[x].isspace()} if d in rows else set() for d, t in shared_runs.items()}
+    most = slow_cuts(shared_runs, passage, cut_words)
+    assert sum(map(len, most.values())) > 1000 and all(k < d for d, r in rows.items() for k in r.keep_doc_ids)
+    if window == 1:  # the exact way
+        assert got == most
+    else:
+        least = slow_cuts(shared_runs, passage + window - 1, cut_words)
+        assert all(least[d] <= got[d] <= most[d] for d in got)
+    kept = {r.doc_id: r.text for r in substring_dedup.substring_dedup(docs.where("doc_id is not null"), cut_words, window, passage).collect()}
+    left = lambda d: "".join(c for x, c in enumerate(shared_runs[d]) if x not in got[d] and not c.isspace())
+    assert {d: re.sub(r"\s", "", t) for d, t in kept.items()} == {d: left(d) for d, t in shared_runs.items() if left(d)}
+
+
+def test_words_that_are_equal_under_one_hash_alone_are_told_apart():
+    rng = np.random.default_rng(4)
+    a = rng.integers(1, 1 << 63, (2, 60)).astype(np.uint64)
+    b = a.copy()
+    b[1, 30] += np.uint64(1)  # one word differs in its second hash alone
+    (_, at, one, two), (_, at2, one2, two2) = (substring_dedup.anchors(x, np.array([60])) for x in (a, b))
+    assert len(at) and (at == at2).all() and (one == one2).all() and (two != two2).all()
+    same, zero = np.array([7], np.uint64), np.array([0])
+    keys = [substring_dedup.context_keys(x, zero, np.array([24]), same, same, 1, 15, 24)[0] for x in (a, b)]
+    equal = (keys[0] == keys[1]).all(2)[0]
+    assert equal[:6].all() and not equal[6:].any()  # the words after the passage are those from 24 on
+
+
+def test_both_hashes_of_words():
+    bits = "a"
+    for _ in range(12):
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    texts = [bits, bits.translate(str.maketrans("ab", "ba")), "Some words, some Words; x" + "y" * 1023 + " x" + "y" * 1024]
+    found = shingles.read_words(texts, both=True)
+    known, sizes = shingles.both_hashes(texts)
+    assert sizes.tolist() == [1, 1, 6] and known.shape == (2, 8) and (known[0] == shingles.read_words(texts).hash).all()
+    assert len(set(found.hash.tolist())) == len(set(found.other.tolist())) == 6  # "some" and "words" twice each
+    assert not set(found.hash.tolist()) & set(found.other.tolist())
+    alone = [shingles.both_hashes([w])[0][:, 0].tolist() for t in texts for w in t.split()]
+    assert alone == known.T.tolist()
