@@ -682,3 +682,46 @@ def test_both_hashes_of_words():
     assert not set(found.hash.tolist()) & set(found.other.tolist())
     alone = [shingles.both_hashes([w])[0][:, 0].tolist() for t in texts for w in t.split()]
     assert alone == known.T.tolist()
+
+
+def slow_embedding(text):
+    """The embedded string, place by place: a character is written until a random bit of the place and the character says go on."""
+    bits = np.random.default_rng(edit_fingerprint.SEED).integers(0, 2, (256, 4096), np.int8)
+    bits[:, 2047] = 1
+    number = lambda c: ord(c) if ord(c) < 256 else (ord(c) * 0x9E3779B1 % 2**32) >> 24
+    x, out, k = [number(c) for c in text], [], 0
+    while k < len(x):
+        c, place = x[k], len(out)
+        out.append(c)
+        k += int(bits[c, place % 2048])
+    return out
+
+
+def octave_of(place):
+    return (place + 1).bit_length() - 1
+
+
+def test_fingerprints_are_samples_of_the_embedded_string():
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghij klmn") for _ in range(6000))
+    texts = ["", "a", "é🙂x的", base[:37], base[:1500], base[:700] + "XYZ" + base[705:1500], base, base[:2999] + base[3001:], base[::-1], "b" * 5000]
+    full = [slow_embedding(t) for t in texts]
+    places = edit_fingerprint.PLACES.tolist()
+    per = Counter(map(octave_of, places))
+    assert places == sorted(places) and all(per[o] == min(1 << o, 24) for o in range(34))
+    marks = edit_fingerprint.fingerprints(texts)
+    digit = lambda c: "0123456789abcdef"[int(edit_fingerprint.NIBBLE[c])]
+    shown = [edit_fingerprint.shown(m) for m in marks]
+    assert shown == ["".join(digit(s[p]) for p in places if p < len(s)) for s in full]
+    errors = []
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            n, m = sorted((len(shown[a]), len(shown[b])))
+            weight = [2 ** octave_of(p) / per[octave_of(p)] for p in places[:m]]
+            want = sum(w for w, c, d in zip(weight, shown[a], shown[b]) if c == d) / sum(weight) if m else 1.0
+            got = edit_fingerprint.likeness(marks[a], marks[b])
+            assert abs(got - want) < 1e-12
+            if min(len(texts[a]), len(texts[b])) > 1000 and len(full[a]) and abs(len(full[a]) - len(full[b])) < 0.1 * len(full[a]):
+                agree = np.mean([digit(c) == digit(d) for c, d in zip(full[a], full[b])])
+                errors.append(abs(got - agree))
+    assert len(errors) > 8 and np.mean(errors) < 0.1  # the estimate is near the share of all places that agree
