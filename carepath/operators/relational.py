@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: The most rows of a literal that is broadcast as a code table.
 SMALL_ROWS = 100_000
+#: Rows of a task that sorts or groups by key. Spark joins small partitions by their compressed bytes, so a task's
+#: memory would grow with the table.
+TASK_ROWS = 300_000
 
 
 def pick(df: DataFrame, *names: str, kind: str = "string") -> Column:
@@ -19,6 +22,16 @@ def pick(df: DataFrame, *names: str, kind: str = "string") -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
 
+def parts_of(rows: int) -> int | None:
+    """Partitions for a table of so many rows, in proportion to them; None, which leaves it to Spark, for a small one."""
+    return -(-rows // TASK_ROWS) if rows > 4 * TASK_ROWS else None
+
+
+def dealt(df: DataFrame, by: Sequence[str], parts: int | None) -> DataFrame:
+    """`df` dealt by key; windows and groups by that key, and joins of frames dealt alike, keep to these partitions."""
+    return df.repartition(parts, *by) if parts else df
+
+
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add absent columns as typed nulls."""
     have = {c.lower() for c in df.columns}

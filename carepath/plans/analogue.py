@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut_lineage
+from ..operators.relational import dealt, parts_of
 from . import gold, silver
 
 SNAPSHOT = "2001-06-15"
@@ -28,6 +29,14 @@ class Frames:
     def snapshot(self):
         return F.lit(SNAPSHOT).cast("date")
 
+    @cached_property
+    def parts(self) -> int | None:
+        """Partitions of what is dealt by patient or order, for the largest table's rows (Parquet's footers count them)."""
+        return parts_of(self.table("lineitem").count())
+
+    def by_patient(self, df: DataFrame) -> DataFrame:
+        return dealt(df, ["patient_id"], self.parts)
+
     @cached_property
     def patients(self) -> DataFrame:
         nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
@@ -45,7 +54,8 @@ class Frames:
         owners = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("patient_id"))
         category = F.when(F.col("l_returnflag") == "A", "chemo").when(F.col("l_returnflag") == "R", "io").otherwise("radiation")
         drug = F.concat_ws("-", "l_returnflag", "l_linestatus")
-        return lines.join(owners, "l_orderkey").select("patient_id", "service_date", category.alias("category"), drug.alias("drug"), F.col("l_suppkey").alias("facility_id"))
+        rows = dealt(lines, ["l_orderkey"], self.parts).join(owners, "l_orderkey")
+        return self.by_patient(rows.select("patient_id", "service_date", category.alias("category"), drug.alias("drug"), F.col("l_suppkey").alias("facility_id")))
 
     @cached_property
     def episodes(self) -> DataFrame:
@@ -81,7 +91,7 @@ class Frames:
 
     @cached_property
     def base(self) -> DataFrame:
-        return gold.patient_base(self.patients, self.diagnoses, self.episodes, self.biomarkers, self.trials, self.snapshot)
+        return gold.patient_base(self.patients, self.by_patient(self.diagnoses), self.episodes, self.biomarkers, self.trials, self.snapshot)
 
     def published(self) -> Frames:
         """The same frames over written episodes and cohort, for queries that read these several times."""

@@ -332,7 +332,7 @@ def trial_nearest_30d(t: Frames) -> DataFrame:
     FROM patients p LEFT JOIN dx ON p.patient_id = dx.patient_id LEFT JOIN tx ON p.patient_id = tx.patient_id LEFT JOIN supplier ON s_suppkey = tx.facility_id"""
 )
 def patient_latest_status(t: Frames) -> DataFrame:
-    dx = t.diagnoses.withColumn("facility_id", F.lit(None).cast("long"))
+    dx = t.by_patient(t.diagnoses).withColumn("facility_id", F.lit(None).cast("long"))
     return views.patient_latest_status(t.patients, dx, t.episodes, t.facilities, t.biomarkers, t.trials)
 
 
