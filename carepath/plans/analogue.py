@@ -87,7 +87,7 @@ class Frames:
 
     @cached_property
     def diagnosed(self) -> DataFrame:
-        return gold.first_diagnosis(self.diagnoses).where(F.col("first_diagnosis_date") <= self.snapshot)
+        return gold.first_diagnosis(self.by_patient(self.diagnoses)).where(F.col("first_diagnosis_date") <= self.snapshot)
 
     @cached_property
     def base(self) -> DataFrame:

@@ -22,6 +22,8 @@ def test_partitions_grow_with_the_rows(spark, sf_dir, small_tasks):
 
 @pytest.mark.parametrize("name", [
     "patient_latest_status",
+    "patterns_first_second_line",
+    "treatment_patterns_category",
 ])
 def test_large_tables_give_the_same_rows(spark, sf_dir, duck, small_tasks, name):  # noqa: F811
     df = QUERIES[name](spark, sf_dir)
