@@ -69,11 +69,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     without one keep nulls. Of right rows with the same time the last by `right_order` counts.
 
     Both sides are merged into one timeline per key and the last right row is carried forward, so the work is
-    linear in the rows of a key; a join of all earlier rows would be quadratic.
+    linear in the rows of a key; a join of all earlier rows would be quadratic. Sides that are `dealt` alike are not shuffled again.
     """
     values = [c for c in right.columns if c not in by]
     packed = F.struct(*[F.col(c) for c in values])
-    side = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    side = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in left.columns if c not in by]).alias("_left"))
     other = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(right_order)], packed.alias("_right"))
     line = side.unionByName(other, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), *[F.col(f"_o{k}") for k in range(len(right_order))]]
@@ -82,7 +82,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     # a null key or time matches nothing
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, "_t"]])
     match = F.when(known, F.col("_match"))
-    return joined.select("_left.*", *[match.getField(c).alias(c if c not in left.columns else f"right_{c}") for c in values])
+    own = [F.col(c).cast(left.schema[c].dataType).alias(c) if c in by else F.col(f"_left.{c}") for c in left.columns]
+    return joined.select(*own, *[match.getField(c).alias(c if c not in left.columns else f"right_{c}") for c in values])
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, max_days: int, left_key: Sequence[str], right_order: Sequence[str] = ()) -> DataFrame:

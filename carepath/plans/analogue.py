@@ -83,7 +83,7 @@ class Frames:
         """Orders as assessments, each with the latest episode begun by then."""
         kind = F.element_at(F.create_map(*[F.lit(x) for p in (("1", "CR"), ("2", "PR"), ("3", "SD"), ("4", "NE"), ("5", "PD")) for x in p]), F.substring("o_orderpriority", 1, 1))
         rows = self.table("orders").select(F.col("o_orderkey").alias("assessment_id"), F.col("o_custkey").alias("patient_id"), F.to_date("o_orderdate").alias("assessment_date"), kind.alias("response_type"))
-        return silver.asof_join(rows, self.episodes.select("patient_id", "episode_id", "treatment_start_date"), ["patient_id"], "assessment_date", "treatment_start_date", ["episode_id"])
+        return silver.asof_join(self.by_patient(rows), self.episodes.select("patient_id", "episode_id", "treatment_start_date"), ["patient_id"], "assessment_date", "treatment_start_date", ["episode_id"])
 
     @cached_property
     def diagnosed(self) -> DataFrame:

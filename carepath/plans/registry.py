@@ -347,7 +347,7 @@ def patient_latest_status(t: Frames) -> DataFrame:
     LEFT JOIN supplier ON s_suppkey = e.facility_id LEFT JOIN best_one b ON b.episode_id = e.episode_id"""
 )
 def treatment_timeline(t: Frames) -> DataFrame:
-    rows = views.treatment_timeline(t.patients, t.diagnoses, t.episodes, t.facilities, t.responses)
+    rows = views.treatment_timeline(t.patients, t.by_patient(t.diagnoses), t.episodes, t.facilities, t.responses)
     return rows.select(
         "patient_id", "diagnosis_id", "stage", "episode_id", "line_of_therapy", "regimen_category", "facility_name", "response_date", "response_type",
         "days_from_diagnosis_to_treatment", "treatment_duration_days",

@@ -33,11 +33,17 @@ def patient_latest_status(patients: DataFrame, diagnoses: DataFrame, episodes: D
 
 
 def treatment_timeline(patients: DataFrame, diagnoses: DataFrame, episodes: DataFrame, facilities: DataFrame, responses: DataFrame) -> DataFrame:
-    """Diagnoses by episodes of each patient, with the facility and the episode's best response."""
-    best = latest_per_key(responses.where("episode_id is not null"), ["episode_id"], [exprs.response_rank(F.col("response_type")), F.col("assessment_date").desc(), F.col("assessment_id")])
-    best = best.select("episode_id", F.col("assessment_date").alias("response_date"), "response_type")
-    rows = patients.join(diagnoses.select("patient_id", "diagnosis_id", "diagnosis_date", "stage"), "patient_id").join(episodes, "patient_id", "left")
-    rows = rows.join(facilities.select("facility_id", "facility_name"), "facility_id", "left").join(best, "episode_id", "left")
+    """Diagnoses by episodes of each patient, with the facility and the episode's best response.
+
+    Facility and response are joined to the episodes, before these meet the diagnoses, and all by patient: the rows that come out,
+    many for each patient, are not shuffled.
+    """
+    best = latest_per_key(responses.where("episode_id is not null"), ["patient_id", "episode_id"], [exprs.response_rank(F.col("response_type")), F.col("assessment_date").desc(), F.col("assessment_id")])
+    told = F.struct("episode_id", F.struct(F.col("assessment_date").alias("response_date"), "response_type"))
+    best = best.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(told)).alias("_best"))  # a patient has few
+    treated = episodes.join(facilities.select("facility_id", "facility_name"), "facility_id", "left").join(best, "patient_id", "left")
+    treated = treated.withColumn("_b", F.col("_best")[F.col("episode_id")]).select(*[c for c in episodes.columns if c != "facility_id"], "facility_id", "facility_name", "_b.*")
+    rows = patients.join(diagnoses.select("patient_id", "diagnosis_id", "diagnosis_date", "stage"), "patient_id").join(treated, "patient_id", "left")
     return rows.withColumns(
         {
             "days_from_diagnosis_to_treatment": F.datediff("treatment_start_date", "diagnosis_date"),
