@@ -366,7 +366,7 @@ _LIST = """
 
 
 def _listed(t: Frames) -> DataFrame:
-    return serve.patient_rows(t.patients, t.diagnoses, t.episodes)
+    return serve.patient_rows(t.patients, t.by_patient(t.diagnoses), t.episodes)
 
 
 @query(_LIST + "SELECT * FROM listed WHERE stage = 'ES-SCLC' ORDER BY days_to_treatment DESC NULLS LAST, patient_id LIMIT 25 OFFSET 25")
