@@ -664,7 +664,7 @@ def sankey_live(t: Frames) -> DataFrame:
     FROM patients p LEFT JOIN dx USING (patient_id) LEFT JOIN tx USING (patient_id)"""
 )
 def patient_rows_enriched(t: Frames) -> DataFrame:
-    return serve.enriched_rows(t.patients, t.diagnoses, t.episodes)
+    return serve.enriched_rows(t.patients, t.by_patient(t.diagnoses), t.episodes)
 
 
 def _raw_orders(t: Frames, **columns: str) -> DataFrame:
