@@ -401,7 +401,7 @@ def patient_detail_text(t: Frames) -> DataFrame:
 
 def patient_details(t: Frames) -> DataFrame:
     episodes = t.episodes.select("patient_id", "treatment_start_date", "line_of_therapy", "regimen_category")
-    return serve.patient_details(t.patients, diagnoses=(t.diagnoses, "diagnosis_date"), episodes=(episodes, "treatment_start_date"), trials=(t.trials, "day"))
+    return serve.patient_details(t.patients, diagnoses=(t.by_patient(t.diagnoses), "diagnosis_date"), episodes=(episodes, "treatment_start_date"), trials=(t.by_patient(t.trials), "day"))
 
 
 @query(
