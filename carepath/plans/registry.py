@@ -715,7 +715,7 @@ def fact_diagnosis(t: Frames) -> DataFrame:
 def fact_response_assessment(t: Frames) -> DataFrame:
     said = "element_at(array('Complete Response', 'partial', 'SD', 'cannot say', 'progression seen'), int(left(o_orderpriority, 1)))"
     observations = _raw_orders(t, subject_id="string(o_custkey)", category="'Imaging'", valueString=said, effectiveDateTime="string(to_date(o_orderdate))")
-    return silver.fact_response_assessment(observations, t.episodes, _xref(t)).drop("assessment_id")
+    return silver.fact_response_assessment(observations, t.episodes, _xref(t), t.parts).drop("assessment_id")
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, exprs
 from ..operators.quality import flag_patients
-from ..operators.relational import asof_join, code_table, ensure_columns, gap_dedup, latest_per_key, nearest_join, pick, scd2_diff, sessionize
+from ..operators.relational import asof_join, code_table, dealt, ensure_columns, gap_dedup, latest_per_key, nearest_join, pick, scd2_diff, sessionize
 
 GAP_DAYS, PROGRESSION_DAYS, TRIAL_DAYS = 28, 30, 30
 
@@ -273,11 +273,12 @@ def best_response(df: DataFrame, by: Sequence[str], order: Sequence[Column]) ->
     return df.withColumn("is_best_response", F.row_number().over(w) == 1)
 
 
-def fact_response_assessment(observations: DataFrame, episode: DataFrame, xref: DataFrame) -> DataFrame:
-    """Assessments with the latest episode that began on or before their day; one per patient and day."""
+def fact_response_assessment(observations: DataFrame, episode: DataFrame, xref: DataFrame, parts: int | None = None) -> DataFrame:
+    """Assessments with the latest episode that began on or before their day; one per patient and day. `parts`: what
+    the episodes are dealt to."""
     hit = _says(F.lower(_field(observations, "category")), "response_category") | _says(F.lower(_field(observations, "test_code")), "response_code")
     rows = _of_ehr(observations.where(hit), assessment_date=_date(observations, *FIELDS["observed"]), response_type=exprs.response(_field(observations, "text")))
-    rows = _linked(rows.where("assessment_date is not null"), xref)
+    rows = dealt(_linked(rows.where("assessment_date is not null"), xref), ["patient_id"], parts)
     rows = latest_per_key(rows, ["patient_id", "assessment_date"], [exprs.response_rank(F.col("response_type")), F.col("source_patient_id")])
     linked = asof_join(rows, episode.select("patient_id", "episode_id", "treatment_start_date"), ["patient_id"], "assessment_date", "treatment_start_date", ["episode_id"])
     marked = best_response(linked, ["patient_id", "episode_id"], [F.col("assessment_date")])

@@ -31,6 +31,7 @@ def test_partitions_grow_with_the_rows(spark, sf_dir, small_tasks):
     "patient_rows",
     "patient_rows_enriched",
     "patient_detail_text",
+    "fact_response_assessment",
 ])
 def test_large_tables_give_the_same_rows(spark, sf_dir, duck, small_tasks, name):  # noqa: F811
     df = QUERIES[name](spark, sf_dir)
