@@ -147,7 +147,8 @@ _CHILDREN = {
 )
 def patient_detail_nested(t: Frames) -> DataFrame:
     """Patients with their five kinds of records, newest first, as JSON."""
-    children = {c: (getattr(t, source).select("patient_id", day, *columns), day) for c, (source, day, columns) in _CHILDREN.items()}
+    dealt = {c: t.by_patient(getattr(t, c)) for c in ("diagnoses", "biomarkers", "trials")}  # the others are already
+    children = {c: (dealt.get(source, getattr(t, source)).select("patient_id", day, *columns), day) for c, (source, day, columns) in _CHILDREN.items()}
     shown = [F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in _CHILDREN]
     return serve.patient_details(t.patients.select("patient_id", "state", "insurance_type"), **children).select("patient_id", "state", "insurance_type", *shown)
 

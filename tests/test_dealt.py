@@ -23,15 +23,8 @@ def test_partitions_grow_with_the_rows(spark, sf_dir, small_tasks):
 
 
 @pytest.mark.parametrize("name", [
-    "patient_latest_status",
-    "patterns_first_second_line",
-    "treatment_patterns_category",
-    "treatment_timeline",
-    "patient_list_page",
-    "patient_rows",
-    "patient_rows_enriched",
-    "patient_detail_text",
-    "fact_response_assessment",
+    "patient_latest_status", "patterns_first_second_line", "treatment_patterns_category", "treatment_timeline", "patient_list_page", "patient_rows",
+    "patient_rows_enriched", "patient_detail_text", "fact_response_assessment", "patient_detail_nested",
 ])
 def test_large_tables_give_the_same_rows(spark, sf_dir, duck, small_tasks, name):  # noqa: F811
     df = QUERIES[name](spark, sf_dir)
