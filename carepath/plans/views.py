@@ -44,6 +44,8 @@ def treatment_timeline(patients: DataFrame, diagnoses: DataFrame, episodes: Data
     treated = episodes.join(facilities.select("facility_id", "facility_name"), "facility_id", "left").join(best, "patient_id", "left")
     treated = treated.withColumn("_b", F.col("_best")[F.col("episode_id")]).select(*[c for c in episodes.columns if c != "facility_id"], "facility_id", "facility_name", "_b.*")
     rows = patients.join(diagnoses.select("patient_id", "diagnosis_id", "diagnosis_date", "stage"), "patient_id").join(treated, "patient_id", "left")
+    first = ["episode_id", "facility_id"]
+    rows = rows.select(*first, *[c for c in rows.columns if c not in first])
     return rows.withColumns(
         {
             "days_from_diagnosis_to_treatment": F.datediff("treatment_start_date", "diagnosis_date"),
