@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from .lineage import cut_lineage
+from .lineage import written
 
-#: Rounds that are run before labels are looked at for changes.
-ROUNDS = 3
 #: What the loads leave behind: which person each key belongs to since it was first seen, and which ids have given
 #: way to which. `since` is the load that the person came with.
 KEYS = "key string, patient_id string, since int, load int"
@@ -33,15 +31,23 @@ def _keyed(people: DataFrame) -> DataFrame:
     return people.withColumns({"_own": exprs.key(F.col("source_system"), F.col("source_patient_id")), "_exact": exact, "_fuzzy": fuzzy})
 
 
-def _edges(rows: DataFrame, own: bool) -> DataFrame:
-    """(node, key): a record's matching keys, and with `own` its own one too, as hashes."""
-    kinds = [(0, "_exact"), (1, "_fuzzy"), *([(2, "_own")] if own else [])]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds]))
-    edges = rows.select(F.col("_own").alias("node"), keys.alias("k")).where("k.value is not null")
-    return edges.select("node", F.sha2(F.concat_ws("|", "k.kind", "k.value"), 256).alias("key")).distinct()
+def _nodes(people: DataFrame) -> DataFrame:
+    """The records numbered (node, source_system, source_patient_id), with their keys as hashes: the matching ones, and their own one, which
+    tells a record that comes twice. The table is written, as numbers are to hold wherever it is read."""
+    kinds = [(0, "_exact"), (1, "_fuzzy"), (2, "_own")]
+    keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.unhex(F.sha2(F.concat_ws("|", F.lit(str(k)), c), 256))) for k, c in kinds]))
+    return written(_keyed(people).select(F.monotonically_increasing_id().alias("node"), "source_system", "source_patient_id", keys.alias("keys")), "nodes")
 
 
-def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _own() -> Column:
+    return F.unhex(exprs.key(F.col("source_system"), F.col("source_patient_id")))
+
+
+def _hex(c: str | Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def resolve(people: DataFrame) -> DataFrame:
     """`people` (source_system, source_patient_id, first_name, last_name, date_of_birth, zip5) with patient_id and
     match_group.
 
@@ -49,28 +55,47 @@ def resolve(people: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the first name, last name and birth date; groups that share either key are merged. A row that lacks a part
     of a key has no such key, so incomplete rows never collapse.
     """
-    rows = _keyed(people)
-    found = _settle(_edges(rows, own=False).withColumn("label", F.col("node")), rounds)
-    rows = rows.join(found.select(F.col("node").alias("_own"), F.col("label").alias("_label")).distinct(), "_own", "left")
-    return rows.withColumns({"patient_id": F.coalesce("_label", "_own"), "match_group": F.coalesce("_exact", "_own")}).drop("_own", "_exact", "_fuzzy", "_label")
+    nodes = _nodes(people)
+    labels = _settle(nodes.select("node", F.lit(0).alias("since"), _own().alias("id"), "keys"))
+    found = nodes.select("node", _own().alias("_key")).join(labels.select("node", "id"), "node").select("_key", "id").distinct()
+    rows = _keyed(people).withColumn("_key", F.unhex("_own")).drop("_own").join(found, "_key", "left")
+    own = _hex("_key")
+    return rows.withColumns({"patient_id": F.coalesce(_hex("id"), own), "match_group": F.coalesce("_exact", own)}).drop("_key", "id", "_exact", "_fuzzy")
+
+
+def _settle(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, since, id, keys) to (node, since, id): the least since and id among the nodes that keys connect. Nodes that
+    share no key are not listed.
+
+    Hashes are shuffled once to find the least node of each key. From there on links are pairs of numbers, and hashes come in
+    again once for the labels, so no round carries them.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"))
+    links = _stars(keyed.join(least, "key").where("least < node").select("node", "least").distinct())
+    members = links.unionByName(links.select(F.col("least").alias("node"), "least").distinct())
+    label = nodes.select("node", F.struct("since", "id").alias("label")).join(members, "node").groupBy("least").agg(F.min("label").alias("label"))
+    return written(members.join(label, "least").select("node", "label.since", "label.id"), "labels")
 
 
-def _settle(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, key, label) with the least label among the nodes that keys connect.
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (node, least), each to a lesser node, to one link of each node to the least that can be reached.
 
-    Only hashes are shuffled. The least label of a key's nodes goes to all of them, round by round; a
-    chain of nodes settles in as many rounds as it has links at most, so rounds go on, `rounds` at a time, until
-    one changes no label; labels only get smaller.
+    A round links each node to the least neighbour of those that it is linked to, then those to each other's least: paths
+    get shorter by half or more. Each round is written; rounds go on until links are stars. A node with many links is joined to its
+    least, never gathered.
     """
+    links = written(links, "links")
     while True:
-        for _ in range(rounds):
-            least = edges.groupBy("key").agg(F.min("label").alias("least"))
-            after = edges.join(least, "key").groupBy("node").agg(F.min("least").alias("now"))
-            edges = edges.join(after, "node").select("node", "key", F.col("label").alias("last"), F.col("now").alias("label"))
-        edges = cut_lineage(edges)
-        if edges.where("label <> last").isEmpty():
-            return edges.drop("last")
-        edges = edges.drop("last")
+        ends = links.unionByName(links.select(F.col("least").alias("node"), F.lit(None).cast("long").alias("least")))
+        several = ends.groupBy("node").agg(F.min("least").alias("a"), F.max("least").alias("b"), F.count(F.lit(1)).alias("n"), F.count("least").alias("up"))
+        if several.where("a < b or (up > 0 and up < n)").isEmpty():
+            return links
+        low = links.groupBy("node").agg(F.min("least").alias("low"))
+        far = links.join(low.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("low", "least").alias("least"))
+        low = far.groupBy("node").agg(F.min("least").alias("low"))
+        rest = far.join(low, "node").where("low < least").select(F.col("least").alias("node"), F.col("low").alias("least"))
+        links = written(rest.unionByName(low.withColumnRenamed("low", "least")).distinct(), "links")
 
 
 @dataclass
@@ -90,7 +115,7 @@ def no_redirects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], REDIRECTS)
 
 
-def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int, rounds: int = ROUNDS) -> Linked:
+def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int) -> Linked:
     """The persons of a load's records (as for `resolve`), given the keys and redirects that earlier loads left.
 
     Records that share a key with a known person belong to it, and so does a record that was seen before, whatever has
@@ -101,23 +126,22 @@ def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int, ro
     The work grows with the load: of the known keys only those that it touches are joined, and labels are settled among its
     records and the persons touched.
     """
-    rows = _keyed(people)
-    new = _edges(rows, own=True)
-    known = keys.join(new.select("key").distinct(), "key", "left_semi").select("key", "patient_id", "since")
-    known = cut_lineage(current_ids(known, redirects))
-    label = lambda since, ident: F.struct(since.alias("since"), ident.alias("id"))
-    records = new.select(F.concat(F.lit("r"), F.col("node")).alias("node"), "key", label(F.lit(load), F.col("node")).alias("label"))
-    persons = known.select(F.concat(F.lit("p"), F.col("patient_id")).alias("node"), "key", label(F.col("since"), F.col("patient_id")).alias("label")).distinct()
-    settled = _settle(records.unionByName(persons), rounds)
-    kind, ident = F.substring("node", 1, 1), F.expr("substring(node, 2)")
-    of_record = settled.where(kind == "r")
-    owner = of_record.select(ident.alias("_own"), F.col("label.id").alias("patient_id")).distinct()
-    fresh = of_record.select("key", F.col("label.id").alias("patient_id"), F.col("label.since").alias("since"), F.lit(load).alias("load")).distinct()
-    moved = settled.where(kind == "p").select(ident.alias("old_id"), F.col("label.id").alias("patient_id"), F.col("label.since").alias("since"), F.lit(load).alias("load")).distinct()
+    rows = _nodes(people)
+    touched = keys.select(F.unhex("key").alias("key"), "patient_id", "since").join(rows.select(F.explode("keys").alias("key")), "key", "left_semi")
+    # a known key is a node of its own, and the person that all of its person's keys have in common
+    person = F.unhex(F.concat(F.lit("00"), "patient_id"))
+    known = current_ids(touched, redirects).select((-1 - F.monotonically_increasing_id()).alias("node"), "since", F.unhex("patient_id").alias("id"), F.array("key", person).alias("keys"))
+    known = written(known, "known")
+    labels = _settle(rows.select("node", F.lit(load).alias("since"), _own().alias("id"), "keys").unionByName(known))
+    own = {"id": F.coalesce("id", _own()), "since": F.coalesce("since", F.lit(load))}
+    found = rows.join(labels, "node", "left").withColumns(own)
+    records = found.select("source_system", "source_patient_id", "id").distinct()
+    fresh = found.select(F.explode("keys").alias("key"), "id", "since").dropDuplicates(["key"]).join(known.select(F.col("keys")[0].alias("key")), "key", "left_anti")
+    moved = known.select("node", F.col("id").alias("old")).join(labels, "node").where("old <> id").select("old", "id", "since").distinct()
     return Linked(
-        rows.join(owner, "_own").select("source_system", "source_patient_id", "patient_id", F.lit(load).alias("load")).distinct(),
-        fresh.join(known.select("key"), "key", "left_anti"),
-        moved.where("old_id <> patient_id"),
+        records.select("source_system", "source_patient_id", _hex("id").alias("patient_id"), F.lit(load).alias("load")),
+        fresh.select(_hex("key").alias("key"), _hex("id").alias("patient_id"), "since", F.lit(load).alias("load")),
+        moved.select(_hex("old").alias("old_id"), _hex("id").alias("patient_id"), "since", F.lit(load).alias("load")),
     )
 
 
