@@ -108,11 +108,11 @@ class Linked:
 
 
 def no_keys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], KEYS)
+    return spark.createDataFrame([], KEYS).limit(0)  # by which plans know that it is empty
 
 
 def no_redirects(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], REDIRECTS)
+    return spark.createDataFrame([], REDIRECTS).limit(0)
 
 
 def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int) -> Linked:
@@ -127,7 +127,8 @@ def link(people: DataFrame, keys: DataFrame, redirects: DataFrame, load: int) ->
     records and the persons touched.
     """
     rows = _nodes(people)
-    touched = keys.select(F.unhex("key").alias("key"), "patient_id", "since").join(rows.select(F.explode("keys").alias("key")), "key", "left_semi")
+    touched = keys.select(F.unhex("key").alias("key"), F.unhex("patient_id").alias("id"), "since").join(rows.select(F.explode("keys").alias("key")), "key", "left_semi")
+    touched = touched.select("key", _hex("id").alias("patient_id"), "since")
     # a known key is a node of its own, and the person that all of its person's keys have in common
     person = F.unhex(F.concat(F.lit("00"), "patient_id"))
     known = current_ids(touched, redirects).select((-1 - F.monotonically_increasing_id()).alias("node"), "since", F.unhex("patient_id").alias("id"), F.array("key", person).alias("keys"))
